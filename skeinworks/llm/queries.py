@@ -4,9 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skeinworks.llm import packing, sharding
+from skeinworks.llm import bpe, packing, quality, sharding, simhash
 from skeinworks.session import table
 
+def vocabulary(name: str) -> str:
+    """Where a public vocabulary file is; it is read on the driver and broadcast."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 #: Bytes of text to a shard in op8.
 SHARD_BYTES = 1 << 20
 
@@ -17,6 +24,24 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, F.octet_length("text"))
 
 
+def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded by the public ranks, and its ids decoded again."""
+    return bpe.digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
+
+
+def op5_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents, and the components of those 3 or fewer bits apart."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op6_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, by trees that never saw a held-out row's label."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
 def op8_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards of documents, up to SHARD_BYTES of text each."""
     return sharding.assign(table(spark, sf_dir, "documents"), SHARD_BYTES)
@@ -42,6 +67,9 @@ FROM least l JOIN fit f ON f.depth = l.depth AND f.node = (l.h >> (60 - l.depth)
 
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_bpe_round_trip": op4_bpe_round_trip,
+    "op5_simhash_near_duplicates": op5_simhash_near_duplicates,
+    "op6_quality_trees": op6_quality_trees,
     "op8_extendible_sharding": op8_extendible_sharding,
 }
 
