@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skeinworks.llm import bpe, packing, quality, sharding, simhash
+from skeinworks.llm import bpe, langid, packing, quality, sharding, simhash
 from skeinworks.session import table
 
 def vocabulary(name: str) -> str:
@@ -42,6 +42,13 @@ def op6_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
 
 
+def op7_language_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by machines that never saw a held-out row."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs)
+    return langid.predict(docs, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op8_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards of documents, up to SHARD_BYTES of text each."""
     return sharding.assign(table(spark, sf_dir, "documents"), SHARD_BYTES)
@@ -70,6 +77,7 @@ QUERIES = {
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_simhash_near_duplicates": op5_simhash_near_duplicates,
     "op6_quality_trees": op6_quality_trees,
+    "op7_language_families": op7_language_families,
     "op8_extendible_sharding": op8_extendible_sharding,
 }
 
