@@ -5,8 +5,8 @@ machines choose the family first, one against the rest; within the family, machi
 pair of languages vote. A text's margin is the mean weight of its trigrams, so all machines
 are read in one pass of array look-ups, whatever the length.
 
-Training sees up to `PER_LANGUAGE` rows of each of the `LANGUAGES` most frequent languages,
-chosen by a hash of their id; their trigram shares come to the driver.
+Training sees up to `SAMPLE` rows, as many of each of the `LANGUAGES` most frequent
+languages, chosen by a hash of their id; their trigram shares come to the driver.
 
 Defined results
 * null text or no letter: `und`, score 0. Very long texts: whole. Repeated rows: each.
@@ -27,8 +27,8 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from skeinworks.llm.batches import sliced, texts_of
 from skeinworks.session import reach_workers
 
-#: Rows of a language, and languages, that training sees at most.
-PER_LANGUAGE, LANGUAGES = 400, 64
+#: Rows, and languages, that training sees at most.
+SAMPLE, LANGUAGES = 2000, 64
 #: Hash values of trigrams.
 WIDTH = 1 << 13
 #: Scores below this are no prediction that `keep` trusts.
@@ -72,22 +72,23 @@ def shares(text: str) -> np.ndarray:
     return np.bincount(slot, minlength=WIDTH).astype(np.float32) / count[0]
 
 
-def linear_machine(x: np.ndarray, y: np.ndarray, rounds: int = 200, ridge: float = 1e-4) -> tuple[np.ndarray, float, float]:
-    """Weights, bias and the scale of a logistic link, of a squared-hinge machine for y in
-    (-1, 1), both kinds weighing the same, by accelerated gradient steps."""
+def linear_machine(k: np.ndarray, y: np.ndarray, rounds: int = 200, ridge: float = 1e-4) -> tuple[np.ndarray, float, float]:
+    """Row factors, bias and the scale of a logistic link, of a squared-hinge machine for y
+    in (-1, 1), both kinds weighing the same, by accelerated gradient steps. The weights are
+    the rows' sum by their factors; k holds the rows' inner products."""
     each = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    norm = float(np.sqrt((x**2).sum(1).mean())) or 1.0
-    x = (x / norm).astype(np.float32)
-    w, b = np.zeros(x.shape[1], np.float32), 0.0
-    vw, vb, step = w.copy(), b, 0.5 / (2 * float((each * ((x**2).sum(1) + 1)).sum()) + ridge)
-    for k in range(rounds):
-        slack = np.maximum(0, 1 - y * (x @ vw + vb))
-        g = (-2 * each * y * slack).astype(np.float32)
-        nw, nb = vw - np.float32(step) * (g @ x + np.float32(ridge) * vw), vb - step * float(g.sum())
-        vw, vb = nw + np.float32(k / (k + 3)) * (nw - w), nb + k / (k + 3) * (nb - b)
-        w, b = nw, nb
-    margin = y * (x @ w + b)
-    return w / norm, b, 3.0 / max(0.05, float(np.median(margin)))
+    norm = float(np.trace(k) / len(y)) or 1.0
+    k = (k / norm).astype(np.float32)
+    a, b = np.zeros(len(y)), 0.0
+    va, vb, step = a.copy(), b, 0.5 / (2 * float((each * (np.diag(k) + 1)).sum()) + ridge)
+    for n in range(rounds):
+        slack = np.maximum(0, 1 - y * (k @ va.astype(np.float32) + vb))
+        g = -2 * each * y * slack
+        na, nb = va - step * (g + ridge * va), vb - step * g.sum()
+        va, vb = na + n / (n + 3) * (na - a), nb + n / (n + 3) * (nb - b)
+        a, b = na, nb
+    margin = y * (k @ a.astype(np.float32) + b)
+    return a / norm, b, 3.0 / max(0.05, float(np.median(margin)))
 
 
 @dataclass
@@ -134,16 +135,23 @@ def fit(x: np.ndarray, langs: list[str]) -> Model:
         by.setdefault(family(code), []).append(code)
     families = sorted(by)
     of = np.array([family(c) for c in langs], object)
+    inner = x @ x.T
     found, pairs = [], {}
+
+    def machine(rows: np.ndarray, y: np.ndarray) -> None:
+        factors, bias, scale = linear_machine(inner[np.ix_(rows, rows)], y)
+        found.append((x[rows].T @ factors.astype(np.float32), bias, scale))
+
     if len(families) > 1:
-        found += [linear_machine(x, np.where(of == f, 1.0, -1.0)) for f in families]
+        for f in families:
+            machine(np.arange(len(x)), np.where(of == f, 1.0, -1.0))
     elif families:
         found.append((np.zeros(x.shape[1]), 0.0, 1.0))
     for f in families:
         for a, b in combinations(by[f], 2):
-            rows = (kinds == a) | (kinds == b)
+            rows = np.flatnonzero((kinds == a) | (kinds == b))
             pairs[a, b] = len(found)
-            found.append(linear_machine(x[rows], np.where(kinds[rows] == a, 1.0, -1.0)))
+            machine(rows, np.where(kinds[rows] == a, 1.0, -1.0))
     w = np.stack([m[0] for m in found], 1).astype(np.float32) if found else np.zeros((WIDTH, 0), np.float32)
     return Model(families, by, pairs, w, np.array([m[1] for m in found]), np.array([m[2] for m in found]))
 
@@ -153,14 +161,15 @@ def held_out(key: str = "doc_id", parts: int = 4, part: int = 2) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string")) % parts == part, F.lit(False))
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Model:
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, languages: int = LANGUAGES) -> Model:
     reach_workers(docs.sparkSession)
     known = docs.where(F.col(lang).isNotNull() & F.col(key).isNotNull() & F.col(text).rlike("\\p{L}") & ~held_out(key)).select(key, lang, text)
     top = known.groupBy(lang).agg(F.count("*").alias("__n")).orderBy(F.desc("__n"), lang).limit(languages).select(lang)
+    each = sample // max(1, top.count())
     # A window that keeps the first rows of a language drops the others before the shuffle.
     first = Window.partitionBy(lang).orderBy(F.xxhash64(key), key)
-    ids = known.join(F.broadcast(top), lang).select(key, lang).withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= per_language).select(key, lang).distinct()
-    # Bounded by its parameters: languages * per_language pairs of an id and a language.
+    ids = known.join(F.broadcast(top), lang).select(key, lang).withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= each).select(key, lang).distinct()
+    # Bounded by its parameters: sample pairs of an id and a language.
     rows = known.join(F.broadcast(ids), [key, lang])
 
     def run(batches):
@@ -168,7 +177,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
             x = [shares(t) for t in texts_of(b, text)]
             yield pa.RecordBatch.from_arrays([b.column(key), b.column(lang), pa.array([v.astype(np.float16).tobytes() for v in x], pa.binary())], names=[key, lang, "x"])
 
-    got = rows.select(key, lang, text).mapInArrow(run, f"{key} long, {lang} string, x binary").orderBy(lang, F.xxhash64(key), "x").limit(per_language * languages).toPandas()
+    got = rows.select(key, lang, text).mapInArrow(run, f"{key} long, {lang} string, x binary").orderBy(lang, F.xxhash64(key), "x").limit(sample).toPandas()
     if not len(got):
         return fit(np.zeros((0, WIDTH)), [])
     return fit(np.stack([np.frombuffer(v, np.float16) for v in got["x"]]).astype(np.float32), got[lang].tolist())

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skeinworks.llm import bpe, langid, packing, quality, sharding, simhash
-from skeinworks.session import table
+from skeinworks.llm import bpe, huffman, langid, packing, quality, sharding, simhash
+from skeinworks.session import shared_folder, table
 
 def vocabulary(name: str) -> str:
     """Where a public vocabulary file is; it is read on the driver and broadcast."""
@@ -54,6 +56,13 @@ def op8_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
+def op10_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids written as Huffman-coded blocks and read back."""
+    path = f"{shared_folder(spark)}/huffman-{uuid.uuid4().hex}"
+    huffman.write(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
+    return huffman.read(spark, path, digest=True)
+
+
 OP8_SQL = f"""
 WITH rows AS (
   SELECT doc_id, strlen(coalesce(text, '')) AS n_bytes,
@@ -79,6 +88,7 @@ QUERIES = {
     "op6_quality_trees": op6_quality_trees,
     "op7_language_families": op7_language_families,
     "op8_extendible_sharding": op8_extendible_sharding,
+    "op10_huffman_ids": op10_huffman_ids,
 }
 
 ORACLES = {"op8_extendible_sharding": OP8_SQL}
