@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skeinworks.llm import bpe, huffman, langid, packing, quality, sharding, simhash
+from skeinworks.llm import bpe, huffman, langid, packing, pq, quality, rabitq, sharding, simhash
 from skeinworks.session import shared_folder, table
 
 def vocabulary(name: str) -> str:
@@ -20,6 +20,16 @@ def vocabulary(name: str) -> str:
 SHARD_BYTES = 1 << 20
 
 
+def op1_one_bit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found for every vector whose id is divisible by 20, against all rows."""
+    return rabitq.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op3_product_quantised_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors with a cosine of 0.9 or more, as components over all embeddings."""
+    return pq.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in sequences of byte-level tokens: a token for each UTF-8 byte, one at the end."""
     docs = table(spark, sf_dir, "documents")
@@ -82,6 +92,8 @@ FROM least l JOIN fit f ON f.depth = l.depth AND f.node = (l.h >> (60 - l.depth)
 """
 
 QUERIES = {
+    "op1_one_bit_neighbours": op1_one_bit_neighbours,
+    "op3_product_quantised_duplicates": op3_product_quantised_duplicates,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_simhash_near_duplicates": op5_simhash_near_duplicates,
