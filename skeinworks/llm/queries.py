@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skeinworks.llm import bpe, huffman, langid, packing, pq, quality, rabitq, sharding, simhash
+from skeinworks.llm import bpe, huffman, langid, packing, pq, quality, rabitq, rlindex, sharding, simhash
 from skeinworks.session import shared_folder, table
 
 def vocabulary(name: str) -> str:
@@ -66,6 +66,12 @@ def op8_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
+def op9_run_length_deduplication(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 200-byte strings that start elsewhere too."""
+    found = rlindex.remove(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' ids written as Huffman-coded blocks and read back."""
     path = f"{shared_folder(spark)}/huffman-{uuid.uuid4().hex}"
@@ -100,6 +106,7 @@ QUERIES = {
     "op6_quality_trees": op6_quality_trees,
     "op7_language_families": op7_language_families,
     "op8_extendible_sharding": op8_extendible_sharding,
+    "op9_run_length_deduplication": op9_run_length_deduplication,
     "op10_huffman_ids": op10_huffman_ids,
 }
 

@@ -204,3 +204,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     least = named.groupBy("c").agg(F.min("head").alias("component_id"))
     of = stored(named.join(least, "c").select("fp", "component_id"), "fingerprint-components")
     return rows.join(of, "fp").select(key, "fp", "component_id")
+
+
+def keep(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """One document of each component, the one with the least key, with docs' columns. Rows
+    with equal key and text count as one document; rows without a key are one key's rows."""
+    heads = near_duplicates(docs, key, text, radius).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__head")).distinct()
+    return docs.join(heads, F.col(key).eqNullSafe(F.col("__head")), "left_semi").dropDuplicates([key, text])
