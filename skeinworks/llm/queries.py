@@ -68,7 +68,7 @@ def op8_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_run_length_deduplication(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the bytes of 200-byte strings that start elsewhere too."""
-    found = rlindex.remove(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
+    found = rlindex.remove(table(spark, sf_dir, "documents").select("doc_id", "text"), form="kept_sha256")
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 

@@ -324,13 +324,14 @@ def removed_runs(packed: list[int] | None) -> list[tuple[int, int]]:
     return [(a, z) for a, z in out]
 
 
-def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, digest: bool = False) -> DataFrame:
-    """docs with the text's remaining bytes in `kept` (with digest, their SHA-256 in
-    `kept_sha256`) in place of the text, and n_bytes, n_removed, n_spans."""
+def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, form: str = "kept") -> DataFrame:
+    """docs with the text's remaining bytes in place of the text, and n_bytes, n_removed,
+    n_spans. form: `kept` (the bytes), `kept_sha256`, or `kept_text` (without characters
+    that were cut in two)."""
     found = spans(docs, key, text, length)
     named = docs.withColumns({"__d": F.coalesce(F.col(key).cast("long"), F.lit(-1)), "__t": F.hash(text)})
     others = [c for c in docs.columns if c != text]
-    last = "kept_sha256" if digest else "kept"
+    finish = {"kept": bytes, "kept_sha256": lambda x: hashlib.sha256(x).hexdigest(), "kept_text": lambda x: x.decode(errors="ignore")}[form]
     joined = _squeezed(named, [*others, "__d", "__t"], text).join(found, ["__d", "__t"], "left")
 
     def run(batches):
@@ -344,20 +345,18 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
                 size.append(len(data))
                 gone.append(len(data) - len(rest))
                 runs.append(len(cut))
-                out.append(hashlib.sha256(rest).hexdigest() if digest else rest)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(out, pa.string() if digest else pa.binary())], names=[*others, "n_bytes", "n_removed", "n_spans", last])
+                out.append(finish(rest))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(out, pa.binary() if form == "kept" else pa.string())], names=[*others, "n_bytes", "n_removed", "n_spans", form])
 
-    more = [StructField("n_bytes", LongType()), StructField("n_removed", LongType()), StructField("n_spans", LongType()), StructField(last, StringType() if digest else BinaryType())]
+    more = [StructField("n_bytes", LongType()), StructField("n_removed", LongType()), StructField("n_spans", LongType()), StructField(form, BinaryType() if form == "kept" else StringType())]
     return joined.mapInArrow(run, StructType([*(docs.schema[c] for c in others), *more]))
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """docs without what repeats; characters cut in two go as well. Documents of which
     nothing is left go; those that were empty before stay as they are."""
-    named = remove(docs, key, text, length)
-    rest = F.decode(F.col("kept"), "UTF-8")
-    kept = F.when(F.col("n_removed") == 0, rest).otherwise(F.regexp_replace(rest, "\N{REPLACEMENT CHARACTER}", ""))
-    out = named.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_bytes"))).withColumn(text, kept)
+    named = remove(docs, key, text, length, "kept_text")
+    out = named.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_bytes"))).withColumnRenamed("kept_text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
