@@ -295,13 +295,24 @@ def import_names(sources: DataFrame, path: str = "path", content: str = "content
     return each.select("file", F.element_at(parts, -1).alias("local_name"), F.when(F.col("named"), parts[0]).otherwise("default").alias("orig_name"), "spec")
 
 
-def rpc_methods(sources: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """name, file of methods by pattern: keys of registered objects, and `publish:` names."""
-    block = r"(?s)Meteor\.methods\s*\(\s*\{([^}]*(?:\{[^}]*\}[^}]*)*)\}"
-    key = r"(?m)^\s*['\"]?([\w/:-]+)['\"]?\s*(?:\(|:)"
-    keys = sources.select(F.col(path).alias("file"), F.explode(F.regexp_extract_all(F.col(content), F.lit(block), F.lit(1))).alias("b")).select("file", F.explode(F.regexp_extract_all("b", F.lit(key), F.lit(1))).alias("name")).where(~F.col("name").isin("function", "async", "return", "if"))
-    published = sources.select(F.col(path).alias("file"), F.explode(F.regexp_extract_all(F.col(content), F.lit(r"Meteor\.publish\s*\(\s*['\"]([^'\"]+)['\"]"), F.lit(1))).alias("n")).select("file", F.concat(F.lit("publish:"), "n").alias("name"))
-    return keys.unionByName(published).select("name", "file")
+#: Calls that register methods by an object's keys, and publications by name.
+METHODS, PUBLICATION = "Meteor.methods", "Meteor.publish"
+
+
+def rpc_methods(parsed: DataFrame, path: str = "path") -> DataFrame:
+    """name, file of methods that registered objects name, and `publish:` names."""
+    keys = parsed.where((F.col("section") == "method") & (F.col("kind") == METHODS)).select("name", F.col(path).alias("file"))
+    named = (F.col("section") == "Registrations") & F.startswith(F.col("text"), F.lit(f"{PUBLICATION}('"))
+    return keys.unionByName(parsed.where(named).select(F.concat(F.lit("publish:"), "name").alias("name"), F.col(path).alias("file")))
+
+
+def rpc_methods_by_pattern(sources: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """name, file by pattern alone, for text that is no clean source: names before a bracket
+    or colon at the start of a block's lines, up to the block's first closing brace."""
+    block = r"(?s)Meteor\.methods\s*\(\s*\{([^}]*)\}"
+    key = r"(?m)^\s*(?:async\s+)?['\"]?([\w/:-]+)['\"]?\s*(?:\(|:)"
+    blocks = sources.select(F.col(path).alias("file"), F.explode(F.regexp_extract_all(F.col(content), F.lit(block), F.lit(1))).alias("b"))
+    return blocks.select(F.explode(F.regexp_extract_all("b", F.lit(key), F.lit(1))).alias("name"), "file").where(~F.col("name").isin("function", "async", "return", "if"))
 
 
 def symbol_source(sources: DataFrame, name: str, path: str = "path", content: str = "content", parsed: DataFrame | None = None) -> DataFrame:

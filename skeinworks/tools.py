@@ -66,7 +66,7 @@ class CodeBase:
         order = F.col("seq") * (1 << 20)
         self.files = files
         self.symbols = stored(parse.symbols(self.parsed.drop("seq")).join(files, F.col("file") == F.col("path")).withColumn("seq", order + F.col("pos")).drop("path", "pos"), "symbols")
-        self.methods = stored(resolve.last_writer(parse.rpc_methods(self.sources).join(files, F.col("file") == F.col("path")).select("name", "file", "seq"), "name", "file", "seq"), "methods")
+        self.methods = stored(resolve.last_writer(parse.rpc_methods(self.parsed.drop("seq")).join(files, F.col("file") == F.col("path")).select("name", "file", "seq"), "name", "file", "seq"), "methods")
         self.imports = stored(resolve.imports(parse.import_specs(self.sources), files), "imports").select("src", "dst", "pos", "spec")
         names = parse.import_names(self.sources).join(self.imports.select(F.col("src").alias("file"), "spec", F.col("dst").alias("target")).distinct(), ["file", "spec"])
         self.edges = stored(resolve.call_edges(parse.call_sites(self.sources, self.parsed), names, self.symbols), "edges")
