@@ -49,7 +49,8 @@ BUCKET_BYTES, HOT = 1 << 20, 2000
 
 def _mix(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     z = x * np.uint64(0x9E3779B97F4A7C15)
-    z ^= y + np.uint64(0x632BE59BD9B4E019)
+    z ^= y
+    z += np.uint64(0x632BE59BD9B4E019)
     z ^= z >> np.uint64(29)
     z *= np.uint64(0xBF58476D1CE4E5B9)
     z ^= z >> np.uint64(32)
@@ -110,26 +111,24 @@ def _fragments(parts: list[bytes], row: list[int], base: list[int], length: int,
     ahead = np.minimum.accumulate(grid, axis=1).ravel()
     back = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
     least = np.minimum(back[: n - width + 1], ahead[width - 1 : n])
-    owner = (least & np.uint64(0xFFFFFF)).astype(np.int64)
-    valid = np.zeros(len(owner) + 1, bool)
-    text = np.repeat(np.arange(len(parts)), size)
-    starts = np.flatnonzero(np.arange(n) + length <= ends[text])
-    starts = starts[starts < len(owner)]
-    valid[starts] = True
-    new = np.ones(len(starts), bool)
-    new[1:] = (owner[starts[1:]] != owner[starts[:-1]]) | (starts[1:] != starts[:-1] + 1) | (text[starts[1:]] != text[starts[:-1]])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(starts)) - 1
-    begin, stop = starts[first], starts[last] + length
+    least &= np.uint64(0xFFFFFF)
+    begin = np.append(0, np.flatnonzero(least[1:] != least[:-1]) + 1)
+    owner = least[begin].astype(np.int64)
+    # A run of windows of one anchor, less those that leave the anchor's text.
+    t = np.searchsorted(ends, owner, side="right")
+    stop = np.minimum(np.append(begin[1:], len(least)), ends[t] - length + 1)
+    begin = np.maximum(begin, ends[t] - size[t])
+    some = begin < stop
+    begin, stop, owner, t = begin[some], stop[some] + length - 1, owner[some], t[some]
     digest = xxhash.xxh3_64_intdigest
     frag = np.array([digest(data[a:z]) for a, z in zip(begin.tolist(), stop.tolist())], np.uint64)
-    t = text[begin]
     at = begin - (ends - size)[t] + np.array(base)[t]
-    return np.array(row)[t], at, stop - begin, h[owner[begin]].view(np.int64), frag.view(np.int64)
+    return np.array(row)[t], at, stop - begin, h[owner].view(np.int64), frag.view(np.int64)
 
 
-def suffix_array(symbols: np.ndarray, most: int) -> np.ndarray:
-    """Prefix doubling, on symbols that make all suffixes differ within `most` of them."""
+def suffix_array(symbols: np.ndarray) -> np.ndarray:
+    """Prefix doubling, on symbols that make all suffixes differ. A group of suffixes that
+    are equal so far is ranked by its first slot, so only such groups are sorted again."""
     n = len(symbols)
     bits = max(1, int(symbols.max()).bit_length())
     held = max(1, 62 // bits)
@@ -137,15 +136,20 @@ def suffix_array(symbols: np.ndarray, most: int) -> np.ndarray:
     for k in range(held):
         key <<= bits
         key[: n - k] |= symbols[k:] if k else symbols
+    order = np.argsort(key)
+    slots, key = np.arange(n), key[order]
+    rank = np.empty(n, np.int64)
     while True:
-        order = np.argsort(key, kind="stable")
-        rank = np.empty(n, np.int64)
-        sorted_ = key[order]
-        rank[order] = np.cumsum(np.append(False, sorted_[1:] != sorted_[:-1]))
-        if held >= most or rank[order[-1]] == n - 1:
+        new = np.append(True, key[1:] != key[:-1])
+        rank[order[slots]] = np.maximum.accumulate(np.where(new, slots, 0))
+        slots = slots[~(new & np.append(new[1:], True))]
+        if not len(slots):
             return order
-        key = rank * (n + 1)
-        key[: n - held] += rank[held:] + 1
+        at = order[slots]
+        after = at + held
+        key = rank[at] * (n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        turn = np.argsort(key)
+        order[slots], key = at[turn], key[turn]
         held *= 2
 
 
@@ -162,7 +166,7 @@ class RunLengthIndex:
         symbols = np.frombuffer(data, np.uint8).astype(np.int64) + len(texts)
         symbols[mark] = np.arange(len(texts))  # each end its own symbol: all suffixes differ
         self.room = np.repeat(mark, size + 1) - np.arange(n)
-        sa = suffix_array(symbols, int(size.max()) + 1)
+        sa = suffix_array(symbols)
         bwt = symbols[sa - 1]
         heads = np.flatnonzero(np.append(True, bwt[1:] != bwt[:-1]))
         tails = np.append(heads[1:], n) - 1
