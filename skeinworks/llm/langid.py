@@ -183,28 +183,27 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     return fit(np.stack([np.frombuffer(v, np.float16) for v in got["x"]]).astype(np.float32), got[lang].tolist())
 
 
-def predicted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with all columns, and lang_pred and score; columns of those names go first."""
+def predicted(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with all columns, the language and the score. Columns of their names are replaced."""
     reach_workers(docs.sparkSession)
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop(*names)
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for b in sliced(batches, text):
             lang, sure = known.value.predict(texts_of(b, text))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(sure)], names=[*b.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(sure)], names=[*b.schema.names, *names])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())]))
 
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, lang_pred, score (0 to 1)."""
-    return predicted(docs.select(key, text), model, text)
+    return predicted(docs.select(key, text), model, text).drop(text)
 
 
 def keep(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", trusted: float = TRUSTED) -> DataFrame:
     """The documents in a learned language with at least the score `trusted`, with docs' columns."""
-    if {"lang_pred", "score"} & set(docs.columns):
-        raise ValueError("docs has a column named lang_pred or score")
-    model = train(docs, key, text, lang)
-    return predicted(docs, model, text).where((F.col("lang_pred") != "und") & (F.col("score") >= trusted)).drop("lang_pred", "score")
+    names = ("__lang_pred", "__score")
+    found = predicted(docs, train(docs, key, text, lang), text, names)
+    return found.where((F.col("__lang_pred") != "und") & (F.col("__score") >= trusted)).drop(*names)

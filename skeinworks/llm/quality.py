@@ -20,6 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from skeinworks.llm.batches import sliced, texts_of
 from skeinworks.session import reach_workers
@@ -169,24 +170,20 @@ def score(docs: DataFrame, model: Trees, key: str = "doc_id", text: str = "text"
     return scored(docs.select(key, text), model, text).select(key, "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
 
-def scored(docs: DataFrame, model: Trees, text: str = "text") -> DataFrame:
-    """docs with all columns, and `score`. Any column of that name goes first."""
+def scored(docs: DataFrame, model: Trees, text: str = "text", name: str = "score") -> DataFrame:
+    """docs with all columns, and the score. A column of that name is replaced."""
     reach_workers(docs.sparkSession)
-    docs = docs.drop("score")
+    docs = docs.drop(name)
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for b in sliced(batches, text):
             stats = np.array([statistics(t) for t in texts_of(b, text)], np.float64).reshape(b.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(known.value.score(stats))], names=[*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(known.value.score(stats))], names=[*b.schema.names, name])
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def keep(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The documents predicted good, with docs' columns."""
-    if "score" in docs.columns:
-        raise ValueError("docs has a column named score")
-    return scored(docs, train(docs, labels, key, text), text).where(F.col("score") >= threshold).drop("score")
+    return scored(docs, train(docs, labels, key, text), text, "__quality").where(F.col("__quality") >= threshold).drop("__quality")

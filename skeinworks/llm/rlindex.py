@@ -43,8 +43,10 @@ from skeinworks.session import reach_workers, stored
 LENGTH, GRAM = 200, 32
 #: Bytes of a text that are looked at together; positions must fit 24 bits.
 PIECE = 1 << 23
-#: Bytes of fragments to a bucket, and different fragments of an anchor that share one.
-BUCKET_BYTES, HOT = 1 << 20, 2000
+#: Bytes of fragments that a bucket indexes at a time, about, and different fragments of an
+#: anchor that go there whole. An index takes about 100 bytes of memory for a byte of text,
+#: so HOT fragments of up to 2 * LENGTH bytes keep a task within half a gigabyte.
+BUCKET_BYTES, HOT = 1 << 20, 8000
 
 
 def _mix(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -246,9 +248,11 @@ def spans(docs: DataFrame, key: str, text: str, length: int = LENGTH) -> DataFra
             d, t, at, size, a, f = columns(b)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(f), pa.array(d), pa.array(t), pa.array(_pack(at, size))], names=["a", "f", "__d", "__t", "span"])
 
-    repeated = (
+    # Stored, so that both sides of the join are plain exchanges, whose large partitions split.
+    repeated = stored(
         named.mapInArrow(anchors, "a long, n long, low long, high long").groupBy("a").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
-        .where("n > 1").select("a", (F.col("low") != F.col("high")).alias("mixed"))
+        .where("n > 1").select("a", (F.col("low") != F.col("high")).alias("mixed")),
+        "rl-repeated",
     )
     seen = stored(named.mapInArrow(places, "a long, f long, __d long, __t int, span long").join(repeated, "a"), "rl-places")
     mixed = seen.where("mixed").withColumn("rep", F.xxhash64("__d", "__t", "span"))
@@ -291,8 +295,11 @@ def spans(docs: DataFrame, key: str, text: str, length: int = LENGTH) -> DataFra
     buckets = max(1, -(-total // BUCKET_BYTES))
 
     def bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["__d", "__t", "span"], kind="stable")
-        marks = repeated_windows(list(pdf["data"]), length)
+        # Only fragments of one anchor need to meet: whole anchors, as many as one index holds.
+        pdf = pdf.sort_values(["a", "__d", "__t", "span"], kind="stable")
+        total = pdf["data"].map(len).groupby(pdf["a"], sort=False).sum().cumsum()
+        part = pdf["a"].map(total.sub(1) // BUCKET_BYTES).to_numpy()
+        marks = [m for k in np.unique(part) for m in repeated_windows(list(pdf["data"][part == k]), length)]
         n = [len(m) for m in marks]
         at = np.repeat(pdf["span"].to_numpy() >> 20, n)
         run = np.array([r for m in marks for r in m], np.int64).reshape(-1, 2)
@@ -328,15 +335,21 @@ def removed_runs(packed: list[int] | None) -> list[tuple[int, int]]:
     return [(a, z) for a, z in out]
 
 
-def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, form: str = "kept") -> DataFrame:
+FORMS = {"kept": bytes, "kept_sha256": lambda x: hashlib.sha256(x).hexdigest(), "kept_text": lambda x: x.decode(errors="ignore")}
+
+
+def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, form: str = "kept", prefix: str = "") -> DataFrame:
     """docs with the text's remaining bytes in place of the text, and n_bytes, n_removed,
     n_spans. form: `kept` (the bytes), `kept_sha256`, or `kept_text` (without characters
-    that were cut in two)."""
+    that were cut in two). New names start with prefix; columns of those names are replaced."""
+    names = [prefix + n for n in ("n_bytes", "n_removed", "n_spans", form)]
+    docs = docs.drop(*(n for n in names if n not in (key, text)))
     found = spans(docs, key, text, length)
     named = docs.withColumns({"__d": F.coalesce(F.col(key).cast("long"), F.lit(-1)), "__t": F.hash(text)})
     others = [c for c in docs.columns if c != text]
-    finish = {"kept": bytes, "kept_sha256": lambda x: hashlib.sha256(x).hexdigest(), "kept_text": lambda x: x.decode(errors="ignore")}[form]
+    finish = FORMS[form]
     joined = _squeezed(named, [*others, "__d", "__t"], text).join(found, ["__d", "__t"], "left")
+    kind = pa.binary() if form == "kept" else pa.string()
 
     def run(batches):
         undo = zstandard.ZstdDecompressor()
@@ -350,17 +363,17 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
                 gone.append(len(data) - len(rest))
                 runs.append(len(cut))
                 out.append(finish(rest))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(out, pa.binary() if form == "kept" else pa.string())], names=[*others, "n_bytes", "n_removed", "n_spans", form])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(out, kind)], names=[*others, *names])
 
-    more = [StructField("n_bytes", LongType()), StructField("n_removed", LongType()), StructField("n_spans", LongType()), StructField(form, BinaryType() if form == "kept" else StringType())]
+    more = [*(StructField(n, LongType()) for n in names[:3]), StructField(names[3], BinaryType() if form == "kept" else StringType())]
     return joined.mapInArrow(run, StructType([*(docs.schema[c] for c in others), *more]))
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """docs without what repeats; characters cut in two go as well. Documents of which
-    nothing is left go; those that were empty before stay as they are."""
-    named = remove(docs, key, text, length, "kept_text")
-    out = named.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_bytes"))).withColumnRenamed("kept_text", text)
+    nothing is left go; those that were empty before stay, with an empty text."""
+    named = remove(docs, key, text, length, "kept_text", "__")
+    out = named.where((F.col("__n_removed") == 0) | (F.col("__n_removed") < F.col("__n_bytes"))).withColumnRenamed("__kept_text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

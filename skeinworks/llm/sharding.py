@@ -87,6 +87,8 @@ def _copies(same: DataFrame, byte_limit: int, key: str) -> DataFrame:
 
 
 def write(docs: DataFrame, path: str, byte_limit: int, key: str = "doc_id", text: str = "text") -> None:
-    """Write docs as Parquet, one folder `shard=<prefix>` to a shard."""
+    """Write docs as Parquet, one folder `shard=<prefix>` to a shard; a column `shard` of docs
+    is replaced. A large shard's rows come from one task, as its bytes are under the limit."""
+    docs = docs.drop("shard")
     named = assign(docs, byte_limit, key, text).select(key, "shard").dropDuplicates([key])
     docs.join(named, key, "left").repartition(F.col("shard")).write.partitionBy("shard").parquet(path)
