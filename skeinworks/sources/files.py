@@ -7,6 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from skeinworks.functions.text import folded_path, relative_to
+from skeinworks.session import stored
 
 #: Folders that hold no sources, and suffixes that do.
 SKIPPED = ("node_modules", "dist", "build", ".git", ".meteor")
@@ -27,7 +28,8 @@ def source_tree(spark: SparkSession, root: str) -> DataFrame:
 def numbered(files: DataFrame, order: str = "path") -> DataFrame:
     """files with `seq`, dense and distributed: a count of each range and its rank inside.
     Ranges come from a sort; only one count a range meets in one place."""
-    ranged = files.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
+    # Stored with their numbers: numbers taken again on another plan would not be the same.
+    ranged = stored(files.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id()), "numbered")
     first = ranged.groupBy("__p").agg(F.min("__i").alias("__low"), F.count("*").alias("__n"))
     base = first.withColumn("__base", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return ranged.join(F.broadcast(base), "__p").withColumn("seq", F.col("__base") + F.col("__i") - F.col("__low")).drop("__p", "__i", "__low", "__n", "__base")
