@@ -69,15 +69,17 @@ def assign(docs: DataFrame, byte_limit: int, key: str = "doc_id", text: str = "t
         out = out.unionByName(part)
     shard = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.expr("lpad(bin(node), depth, '0')"))
     out = out.withColumn("shard", shard)
-    fitting = out.where(~(F.col("single") & (F.col("shard_bytes") > byte_limit)))
-    return fitting.select(key, "shard", "depth", "n_bytes", "shard_bytes", "shard_rows", F.lit(True).alias("fits")).unionByName(_copies(out.where(F.col("single") & (F.col("shard_bytes") > byte_limit)), byte_limit, key))
+    copies = F.col("single") & (F.col("shard_bytes") > byte_limit) & (F.col("shard_rows") > 1)
+    whole = out.where(~copies).select(key, "shard", "depth", "n_bytes", "shard_bytes", "shard_rows", (F.col("shard_bytes") <= byte_limit).alias("fits"))
+    return whole.unionByName(_copies(out.where(copies), byte_limit, key))
 
 
 def _copies(same: DataFrame, byte_limit: int, key: str) -> DataFrame:
     """Rows of one hash value that exceed the limit together: as many copies to a sub-shard
     as fit. Copies are equal, so any of them may go anywhere; each input partition numbers
     its own, which needs neither a sort nor all copies in one task."""
-    salted = same.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
+    # Stored with their numbers: numbers taken again on another plan would not be the same.
+    salted = stored(same.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id()), "shard-copies")
     low = salted.groupBy("__h", "__p").agg(F.min("__i").alias("__low"), F.count("*").alias("__n"))
     each = F.greatest(F.lit(1), F.floor(F.lit(byte_limit) / F.greatest(F.col("n_bytes"), F.lit(1)))).cast("long")
     chunk = F.floor((F.col("__i") - F.col("__low")) / each)
