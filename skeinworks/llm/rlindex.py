@@ -36,13 +36,15 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from skeinworks.llm.batches import sliced
+from skeinworks.llm.batches import ragged, sliced
 from skeinworks.session import reach_workers, stored
 
 #: Bytes of a window, and of the grams that name it.
 LENGTH, GRAM = 200, 32
 #: Bytes of a text that are looked at together; positions must fit 24 bits.
 PIECE = 1 << 23
+#: Bytes of a packed run; their number has 20 bits.
+RUN = 1 << 19
 #: Bytes of fragments that a bucket indexes at a time, about, and different fragments of an
 #: anchor that go there whole. An index takes about 100 bytes of memory for a byte of text,
 #: so HOT fragments of up to 2 * LENGTH bytes keep a task within half a gigabyte.
@@ -222,6 +224,34 @@ def _pack(at: np.ndarray, size: np.ndarray) -> np.ndarray:
     return at << 20 | size
 
 
+def _places(row, doc, txt, at, size, a, f) -> pa.RecordBatch:
+    """One row for each fragment of a text: how often it has it, its first span, and, if it
+    has it more than once, the runs of bytes that its spans cover together. A text that
+    repeats one line a thousand times has one row for it."""
+    order = np.lexsort((at, f, a, row))
+    row, at, size, a, f = row[order], at[order], size[order], a[order], f[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (a[1:] != a[:-1]) | (f[1:] != f[:-1])
+    first = np.flatnonzero(new)
+    n = np.diff(np.append(first, len(row)))
+    # Equal fragments have equal sizes, so their spans join while each starts in the last.
+    gap = new.copy()
+    gap[1:] |= at[1:] > at[:-1] + size[:-1]
+    begin = np.flatnonzero(gap)
+    stop = np.append(begin[1:], len(row))[: len(begin)] - 1
+    start, length = at[begin], at[stop] + size[stop] - at[begin]
+    whole = -(-length // RUN)
+    k = ragged(np.zeros(len(whole), np.int64), whole)
+    start = np.repeat(start, whole) + k * RUN
+    runs = _pack(start, np.minimum(RUN, np.repeat(length, whole) - k * RUN))
+    each = np.bincount(np.searchsorted(first, begin, side="right") - 1, weights=whole, minlength=len(first)).astype(np.int64)
+    once = n == 1
+    runs = runs[np.repeat(~once, each)]
+    offsets = np.concatenate([[0], np.cumsum(np.where(once, 0, each))]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(once, False)), pa.array(runs))
+    return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(f[first]), pa.array(doc[row[first]]), pa.array(txt[row[first]]), pa.array(n), pa.array(_pack(at[first], size[first])), lists], names=["a", "f", "__d", "__t", "n", "span", "runs"])
+
+
 def spans(docs: DataFrame, key: str, text: str, length: int = LENGTH) -> DataFrame:
     """__d (key), __t (hash of the text), __spans: packed runs of bytes (start << 20 | size),
     overlapping and in any order, that together are what repeats."""
@@ -231,11 +261,11 @@ def spans(docs: DataFrame, key: str, text: str, length: int = LENGTH) -> DataFra
 
     def columns(b: pa.RecordBatch):
         row, at, size, anchor, frag = fragments(_texts(b.column("__x")), length)
-        return b.column("__d").to_numpy()[row], b.column("__t").to_numpy()[row], at, size, anchor, frag
+        return row, b.column("__d").to_numpy(), b.column("__t").to_numpy(), at, size, anchor, frag
 
     def anchors(batches):
         for b in sliced(batches, "__x"):
-            a, f = columns(b)[4:]
+            a, f = columns(b)[5:]
             # Sums within a slice: a text that repeats one line sends one row for it.
             at, each, n = np.unique(a, return_inverse=True, return_counts=True)
             low, high = np.full(len(at), np.iinfo(np.int64).max), np.full(len(at), np.iinfo(np.int64).min)
@@ -245,8 +275,7 @@ def spans(docs: DataFrame, key: str, text: str, length: int = LENGTH) -> DataFra
 
     def places(batches):
         for b in sliced(batches, "__x"):
-            d, t, at, size, a, f = columns(b)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(f), pa.array(d), pa.array(t), pa.array(_pack(at, size))], names=["a", "f", "__d", "__t", "span"])
+            yield _places(*columns(b))
 
     # Stored, so that both sides of the join are plain exchanges, whose large partitions split.
     repeated = stored(
@@ -254,14 +283,15 @@ def spans(docs: DataFrame, key: str, text: str, length: int = LENGTH) -> DataFra
         .where("n > 1").select("a", (F.col("low") != F.col("high")).alias("mixed")),
         "rl-repeated",
     )
-    seen = stored(named.mapInArrow(places, "a long, f long, __d long, __t int, span long").join(repeated, "a"), "rl-places")
+    seen = stored(named.mapInArrow(places, "a long, f long, __d long, __t int, n long, span long, runs array<long>").join(repeated, "a"), "rl-places")
     mixed = seen.where("mixed").withColumn("rep", F.xxhash64("__d", "__t", "span"))
-    kinds = stored(mixed.groupBy("a", "f").agg(F.count("*").alias("n"), F.min("rep").alias("rep")), "rl-kinds")
+    kinds = stored(mixed.groupBy("a", "f").agg(F.sum("n").alias("n"), F.min("rep").alias("rep")), "rl-kinds")
     # Different fragments of an anchor; an anchor without a single one needs no index.
     groups = kinds.groupBy("a").agg(F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("single")).where("single > 0")
     needed = kinds.join(groups, "a").select("a", "f", F.col("rep").alias("r"), (F.col("kinds") > HOT).alias("hot"))
     sent = stored(mixed.join(needed, ["a", "f"]).where("rep = r").select("a", "hot", "__d", "__t", "span").distinct(), "rl-sent")
-    folded = seen.where("NOT mixed").select("__d", "__t", "span").unionAll(mixed.join(kinds.where("n > 1").select("a", "f"), ["a", "f"]).select("__d", "__t", "span"))
+    whole = F.coalesce("runs", F.array("span")).alias("runs")
+    folded = seen.where("NOT mixed").select("__d", "__t", whole).unionAll(mixed.join(kinds.where("n > 1").select("a", "f"), ["a", "f"]).select("__d", "__t", whole))
 
     wanted = sent.groupBy("__d", "__t").agg(F.collect_set(F.struct("a", "hot", "span")).alias("want"))
     joined = _squeezed(named, ["__d", "__t"], "__x").dropDuplicates(["__d", "__t"]).join(wanted, ["__d", "__t"])
@@ -309,7 +339,8 @@ def spans(docs: DataFrame, key: str, text: str, length: int = LENGTH) -> DataFra
     windows = pieces.where("a IS NULL").select("__d", "__t", "span", "data")
     twice = windows.groupBy("data").agg(F.count("*").alias("n")).where("n > 1").select("data")
     single = windows.join(twice, "data").select("__d", "__t", "span")
-    return folded.unionAll(indexed).unionAll(single).groupBy("__d", "__t").agg(F.collect_set("span").alias("__spans"))
+    found = folded.unionAll(indexed.unionAll(single).select("__d", "__t", F.array("span")))
+    return found.groupBy("__d", "__t").agg(F.flatten(F.collect_set("runs")).alias("__spans"))
 
 
 def _squeezed(rows: DataFrame, keep: list[str], text: str) -> DataFrame:
