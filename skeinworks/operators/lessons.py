@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from skeinworks.session import stored
+
 #: Lessons that a playbook keeps, and the cosine above which a lesson is known already.
 KEPT, SIMILAR = 120, 0.82
 
@@ -80,6 +82,8 @@ def cosine_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: st
     the share of its norm that is left out cannot reach `least` by itself, so very common
     terms of long texts pair nothing that the rest would not pair as well; the exact cosine
     is computed for the pairs found."""
+    # Every step below reads the terms; taking them from the texts each time costs far more.
+    left, right = stored(left, "terms"), stored(right, "terms")
     norms = lambda v, k: v.groupBy(k).agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
     ln, rn = norms(left, left_key), norms(right, right_key)
     df = left.select("term").unionAll(right.select("term")).groupBy("term").agg(F.count("*").alias("df"))

@@ -7,26 +7,24 @@ from pyspark.sql import DataFrame, Window, functions as F
 from skeinworks.operators.listing import bounded
 from skeinworks.session import stored
 
-#: Depth up to which levels are one plan; deeper traversals store each level.
-FUSED_LEVELS = 4
-
 
 def impact(edges: DataFrame, seeds: DataFrame, max_depth: int = 4, src: str = "src", dst: str = "dst", seed: str = "id", expandable: DataFrame | None = None) -> DataFrame:
     """id, depth of all that reaches a seed over edges src -> dst, by the fewest steps; seeds
     excluded. Cycles end as known ids leave each level by an anti-join. With expandable(id),
-    other ids are reported and not followed. Each level is one join and one distinct, both
-    shuffled by id; the depth is bounded, so the loop is too."""
+    other ids are reported and not followed. Each level is stored, so a plan holds one level:
+    one scan of the edges, joined with the level (Spark broadcasts a small one, and leaves
+    the edges unshuffled then). An empty level ends the traversal early."""
     bounded(max_depth, 1, 6, "max_depth")
-    back = edges.select(F.col(dst).alias("__at"), F.col(src).alias("id")).distinct()
-    seen = seeds.select(F.col(seed).alias("id"), F.lit(0).alias("depth")).distinct()
-    level, found = seen, None
+    back = edges.select(F.col(dst).alias("__at"), F.col(src).alias("id"))
+    seen = stored(seeds.select(F.col(seed).alias("id"), F.lit(0).alias("depth")).distinct(), "impact")
+    level, found = seen, seen.where("depth > 0")
     for depth in range(1, max_depth + 1):
         step = level if expandable is None or depth == 1 else level.join(expandable.select("id").distinct(), "id", "left_semi")
-        level = step.select(F.col("id").alias("__at")).join(back, "__at").select("id").distinct().join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth))
-        if max_depth > FUSED_LEVELS:
-            level = stored(level, "impact")
-        seen = seen.unionByName(level)
-        found = level if found is None else found.unionByName(level)
+        new = step.select(F.col("id").alias("__at")).join(back, "__at").select("id").distinct().join(seen.select("id"), "id", "left_anti")
+        level = stored(new.withColumn("depth", F.lit(depth)), "impact")
+        if level.isEmpty():
+            break
+        seen, found = seen.unionByName(level), found.unionByName(level)
     return found
 
 

@@ -484,7 +484,7 @@ def code_imports(spark, sf):
 
 def _call_edges(spark, sf):
     sources = modules(spark, sf)
-    parsed = parse.parse(sources)
+    parsed = stored(parse.parse(sources), "parsed")
     specs = resolve.imports(parse.import_specs(sources), sources.select("path"))
     names = parse.import_names(sources).join(specs.select(F.col("src").alias("file"), "spec", F.col("dst").alias("target")), ["file", "spec"])
     return resolve.call_edges(parse.call_sites(sources, parsed), names, parse.symbols(parsed))
