@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one slice holds, unless a single row holds more.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def sliced(batches, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

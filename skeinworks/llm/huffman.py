@@ -251,7 +251,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, key:
 
     def coded(batches):
         size, codes, bounds = code.value
-        for b in sliced(batches, "ids", 1 << 21):
+        for b in sliced(batches, "ids", 1 << 20):
             keys = b.column(key)
             known = keys.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
             each = [np.frombuffer(x.as_buffer(), kind) for x in b.column("ids")]

@@ -128,7 +128,7 @@ class WordIds:
     """Ids of pre-tokens by hash, kept by a worker in flat sorted arrays. It is emptied when
     it holds more than `most` pre-tokens, which bounds its memory."""
 
-    def __init__(self, encode, most: int = 1_500_000) -> None:
+    def __init__(self, encode, most: int = 800_000) -> None:
         self.encode, self.most = encode, most
         self._empty()
 
