@@ -59,6 +59,14 @@ def graph_stats(files: DataFrame, parsed: DataFrame, symbols: DataFrame, edges:
     return out.withColumn("frontier_files", F.col("total_files") - F.col("parsed_files"))
 
 
+def index_stats(files: DataFrame, symbols: DataFrame, edges: DataFrame, methods: DataFrame) -> DataFrame:
+    """The eager index's four counts: files, distinct symbol names, edges with repeats, methods."""
+    out = files.agg(F.count_distinct("path").alias("files"))
+    for df, c, name in ((symbols, F.count_distinct("name"), "symbols"), (edges, F.count("*"), "edges"), (methods, F.count_distinct("name"), "methods")):
+        out = out.crossJoin(df.agg(c.alias(name)))  # one row each
+    return out
+
+
 def report(calls: DataFrame) -> DataFrame:
     """One row: totals, efficiency and the tools by tokens out, as structs. Batch only."""
     tools = per_tool(calls).agg(F.array_sort(F.collect_list(F.struct((-F.col("tokens_out")).alias("__o"), "tool", "calls", "tokens_in", "tokens_out", "avg_ms", "errors"))).alias("__t"))

@@ -445,6 +445,20 @@ def graph_stats(spark, sf):
     return telemetry.graph_stats(t("documents", path), t("labels", path), t("part", F.col("p_name").alias("node_id")), t("lineitem", F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst")), t("nation", F.col("n_name").alias("name")))
 
 
+@register("SELECT (SELECT count(DISTINCT doc_id) FROM documents) AS files, (SELECT count(DISTINCT p_name) FROM part) AS symbols, (SELECT count(*) FROM lineitem) AS edges, (SELECT count(DISTINCT n_name) FROM nation) AS methods")
+def index_stats(spark, sf):
+    t = lambda name, *cols: table(spark, sf, name).select(*cols)
+    return telemetry.index_stats(t("documents", F.col("doc_id").alias("path")), t("part", F.col("p_name").alias("name")), t("lineitem", "l_orderkey", "l_partkey"), t("nation", F.col("n_name").alias("name")))
+
+
+@register("""WITH t AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 1 ELSE 0 END AS closes FROM conversations)
+SELECT conv_id, CAST(max(c) AS BIGINT) AS turns FROM (SELECT conv_id, coalesce(sum(closes) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM t) GROUP BY 1""")
+def user_turns(spark, sf):
+    """Turns by the other rule: a user's message closes one."""
+    marked = masking.turns(table(spark, sf, "conversations"), "conv_id", "turn", F.col("role") == "user")
+    return marked.groupBy("conv_id").agg(F.max("turn_id").alias("turns"))
+
+
 @register(_PER_TOOL)
 def snapshot_stream(spark, sf):
     """The per-tool report as a stream over the events files, in complete mode."""
@@ -513,6 +527,14 @@ def code_skeletons(spark, sf):
     return parse.skeletons(sources, parse.parse(sources)).select("path", "skeleton")
 
 
+@register("""SELECT path, v.name || k AS name, v.kind AS kind, v.exported AS exported FROM (SELECT p_partkey AS k, 'lib/f' || p_partkey % 25 || '/m' || p_partkey || '.ts' AS path FROM part),
+(VALUES ('Kept', 'interface', false), ('run', 'function', true), ('helper', 'function', false)) v(name, kind, exported)""")
+def line_symbols(spark, sf):
+    """Symbols by patterns over lines, without the scanner."""
+    top = parse.symbols_of_lines(modules(spark, sf), "path", "content").where(~F.col("name").isin("text"))
+    return top.select("path", "name", "kind", "exported")
+
+
 _SCRIPT = "string_split(html, chr(10))"
 
 

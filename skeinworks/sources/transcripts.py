@@ -76,3 +76,9 @@ def load_playbook(spark: SparkSession, path: str, default: str = "# Playbook\n")
 def write_report(report: DataFrame, path: str) -> None:
     """A report's rows as JSON lines."""
     report.write.mode("overwrite").json(path)
+
+
+def write_playbook(path: str, text: str) -> None:
+    """The playbook's text to a local file; it holds KEPT lessons at most."""
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(text)
