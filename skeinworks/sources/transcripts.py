@@ -9,7 +9,7 @@ from skeinworks.functions.text import lines
 #: One part of a message; what is open in the payload stays JSON text.
 PART = "struct<type string, text string, content array<struct<type string, text string>>, call string, response string>"
 #: The playbook's section of lessons.
-SECTION = "## Learned Strategies (ACE)"
+SECTION = "## Learned Strategies"
 
 
 def payloads(raw: DataFrame, text: str = "value") -> DataFrame:
