@@ -2,8 +2,8 @@
 
 Every row hashes to 60 bits. A shard is a hash prefix. The directory is built from a
 histogram over prefixes: a prefix whose rows exceed the byte limit splits on its next bit,
-one that fits stays whole, so a shard's depth is the least depth at which its prefix fits.
-The histogram's size depends on bytes / limit, not on rows, and is never collected.
+one that fits stays whole, so a shard's depth is the least depth at which its prefix fits, and
+all slots under it point to it. The histogram's size depends on bytes / limit, not on rows, and is never collected.
 
 Defined results
 * null key or text: hashed as the empty string, 0 bytes.
@@ -55,10 +55,12 @@ def assign(docs: DataFrame, byte_limit: int, key: str = "doc_id", text: str = "t
         nodes = over.groupBy("depth", "node").agg(F.sum("bytes").alias("shard_bytes"), F.sum("rows").alias("shard_rows"), F.min("h0").alias("h0"), F.max("h1").alias("h1"))
         # One hash value cannot split further, whatever its size.
         done = nodes.where((F.col("shard_bytes") <= byte_limit) | (F.col("h0") == F.col("h1"))).select("depth", "node", "shard_bytes", "shard_rows", (F.col("h0") == F.col("h1")).alias("single"))
-        directory = stored(
-            over.select("leaf", "depth", "node").join(done, ["depth", "node"]).groupBy("leaf").agg(F.min(F.struct("depth", "node", "shard_bytes", "shard_rows", "single")).alias("d")).select("leaf", "d.*"),
-            "shard-directory",
-        )
+        # Shards are the fitting nodes without a fitting parent; every slot of the directory
+        # under a shard points to it.
+        parents = done.select((F.col("depth") + 1).alias("depth"), F.col("node").alias("__up"))
+        shards = done.withColumn("__up", F.shiftright("node", 1)).join(parents, ["depth", "__up"], "left_anti").drop("__up")
+        slots = F.expr(f"sequence(shiftleft(node, {bits} - depth), shiftleft(node + 1, {bits} - depth) - 1)")
+        directory = stored(shards.select(F.explode(slots).alias("leaf"), "depth", "node", "shard_bytes", "shard_rows", "single"), "shard-directory")
         parts.append(waiting.withColumn("leaf", _prefix("__h", bits)).join(directory, "leaf").drop("leaf"))
         if bits == HASH_BITS or not leaves.join(directory, "leaf", "left_anti").limit(1).count():
             break
