@@ -164,11 +164,14 @@ def held_out(key: str = "doc_id", parts: int = 4, part: int = 2) -> Column:
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, languages: int = LANGUAGES) -> Model:
     reach_workers(docs.sparkSession)
     known = docs.where(F.col(lang).isNotNull() & F.col(key).isNotNull() & F.col(text).rlike("\\p{L}") & ~held_out(key)).select(key, lang, text)
-    top = known.groupBy(lang).agg(F.count("*").alias("__n")).orderBy(F.desc("__n"), lang).limit(languages).select(lang)
+    top = known.groupBy(lang).agg(F.count("*").alias("__n")).orderBy(F.desc("__n"), lang).limit(languages)
     each = sample // max(1, top.count())
-    # A window that keeps the first rows of a language drops the others before the shuffle.
-    first = Window.partitionBy(lang).orderBy(F.xxhash64(key), key)
-    ids = known.join(F.broadcast(top), lang).select(key, lang).withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= each).select(key, lang).distinct()
+    # Ids with the least hashes of a language. A language of many rows keeps three times as
+    # many ids as are wanted by their hash alone, so no window holds more of them.
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 40))
+    near = known.join(F.broadcast(top), lang).where(place <= F.lit(3.0 * each * (1 << 40)) / F.col("__n")).select(key, lang).distinct()
+    first = Window.partitionBy(lang).orderBy(F.pmod(F.xxhash64(key), F.lit(1 << 40)), key)
+    ids = near.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= each).select(key, lang)
     # Bounded by its parameters: sample pairs of an id and a language.
     rows = known.join(F.broadcast(ids), [key, lang])
 
