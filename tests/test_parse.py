@@ -6,83 +6,84 @@ from skeinworks.operators import parse, resolve
 from skeinworks.tools import CodeBase
 
 BASIC = """
-import { z } from 'zod';
-import { readFile } from 'fs/promises';
+import { clock } from './clock';
+import fs from 'node:fs';
 
-interface IUser {
-  id: string;
-  name: string;
+interface Parcel {
+  weight: number;
+  to: string;
 }
 
-export interface IMessage {
-  rid: string;
-  msg: string;
+export interface Order {
+  id: number;
+  parcels: Parcel[];
 }
 
-export async function sendMessage(msg: IMessage): Promise<boolean> {
-  const result = await doSomething(msg);
-  return result;
+export async function placeOrder(order: Order, at = clock()): Promise<number> {
+  const price = await quote(order, { at });
+  if (price < 0) { throw new Error("no } price"); }
+  return price;
 }
 
-export class MessageService {
-  private db: Database;
-  public async send(msg: IMessage): Promise<void> { }
-  static validate(msg: unknown): boolean { return true; }
+export class Depot<T> {
+  private shelves: Map<string, T>;
+  public async store(item: T): Promise<void> { this.shelves.set(`${item}`, item); }
+  static empty(): boolean { return true; }
 }
 
-export const MAX_LENGTH = 5000;
-export type MessageStatus = 'sent' | 'pending' | 'failed';
+export const LIMIT = 12;
+export type Speed = 'slow' | 'fast';
 """.strip()
 
 TOOLS = """
-const server = new Server({ name: 'test' });
+const registry = new Registry({ strict: true });
 
-server.registerTool(
-  'list_files',
+registry.addCommand(
+  'weigh_parcel',
   {
-    description: 'Lists files for discovery.',
+    description: 'Weighs a parcel on the nearest scale.',
     inputSchema: {
-      path: z.string().optional(),
-      pattern: z.string().optional(),
+      parcel: s.text(),
+      scale: s.text().optional(),
     }
   },
-  async ({ path, pattern }) => {
-    return { content: [] };
+  async ({ parcel, scale }) => {
+    return scale ?? parcel;
   }
 );
 """.strip()
 
 METHODS = """
-export interface IOptions { rid: string }
+export interface Route { stops: string[] }
 
 Meteor.methods({
-  async sendMessage(message: IOptions) {
-    check(message, Object);
-    return doSend(message);
+  async planRoute(route: Route) {
+    verify(route, Object);
+    return solve(route);
   },
-  'deleteMessage'(msgId: string) {
-    return doDelete(msgId);
+  'dropStop'(name: string) {
+    return forget(name);
   },
 });
 """.strip()
 
 ROUTES = """
-import express from 'express';
+import http from 'web-kit';
 
-const router = express.Router();
+const app = http.create();
 
-router.get('/rooms', async (req, res) => {
-  const rooms = await getRooms();
-  res.json(rooms);
+app.get('/parcels', async (req, res) => {
+  const all = await listParcels();
+  res.send(all);
 });
 
-router.post('/rooms', async (req, res) => {
-  const room = await createRoom(req.body);
-  res.json(room);
+app.put('/parcels', async (req, res) => {
+  const one = await addParcel(req.body);
+  res.send(one);
 });
 
-function getRooms() {
-  return db.find({});
+function listParcels() {
+  return table.all({});
 }
 """.strip()
 
@@ -97,10 +98,10 @@ def rows(spark):
 @pytest.mark.parametrize(
     "path, shown",
     [
-        ("basic.ts", ["import { z } from 'zod';", "// ── Types", "interface IUser", "export interface IMessage", "export async function sendMessage", "{ ... }", "public async send", "static validate", "export const MAX_LENGTH", "export type MessageStatus"]),
-        ("tools.js", ["// ── Registrations", "server.registerTool('list_files'", "Lists files for discovery", "{ path, pattern }"]),
-        ("methods.ts", ["export interface IOptions", "// ── Registrations", "Meteor.methods({", "async sendMessage", "deleteMessage"]),
-        ("routes.js", ["// ── Registrations", "router.get('/rooms'", "router.post('/rooms'", "function getRooms"]),
+        ("basic.ts", ["import { clock } from './clock';", "// ── Types", "interface Parcel", "export interface Order", "export async function placeOrder", "{ ... }", "public async store", "static empty", "export const LIMIT", "export type Speed"]),
+        ("tools.js", ["// ── Registrations", "registry.addCommand('weigh_parcel'", "Weighs a parcel on the nearest scale", "{ parcel, scale }"]),
+        ("methods.ts", ["export interface Route", "// ── Registrations", "Meteor.methods({", "async planRoute", "dropStop"]),
+        ("routes.js", ["// ── Registrations", "app.get('/parcels'", "app.put('/parcels'", "function listParcels"]),
     ],
 )
 def test_skeleton_holds(rows, path, shown):
@@ -111,9 +112,9 @@ def test_skeleton_holds(rows, path, shown):
 def test_skeleton_details(rows):
     skeletons = rows[2]
     basic = skeletons["basic.ts"].skeleton
-    assert "doSomething" not in basic
-    assert basic.index("// ── Types") < basic.index("// ── Exports") < basic.index("export interface IMessage")
-    assert skeletons["methods.ts"].methods == ["sendMessage", "deleteMessage"]
+    assert "quote" not in basic
+    assert basic.index("// ── Types") < basic.index("// ── Exports") < basic.index("export interface Order")
+    assert skeletons["methods.ts"].methods == ["planRoute", "dropStop"]
     assert "// ── Types" not in skeletons["methods.ts"].skeleton
     assert skeletons["routes.js"].reduction_pct >= 30
     assert skeletons["basic.ts"].reduction_pct >= 25
@@ -122,17 +123,17 @@ def test_skeleton_details(rows):
 
 def test_symbol_source(rows):
     sources, parsed, _ = rows
-    got = {r.path: r for r in parse.symbol_source(sources, "sendMessage", parsed=parsed).collect()}
-    assert "await doSomething" in got["basic.ts"].source and got["basic.ts"].line_start == 14
-    assert "doSend" in got["methods.ts"].source
+    got = {r.path: r for r in parse.symbol_source(sources, "placeOrder", parsed=parsed).collect()}
+    assert "await quote" in got["basic.ts"].source and got["basic.ts"].line_start == 14
+    assert "solve(route)" in parse.symbol_source(sources, "planRoute", parsed=parsed).where("path = 'methods.ts'").first().source
     assert got["routes.js"].source is None and "not found" in got["routes.js"].error
 
 
 def test_patterns_agree_with_scanner(rows):
     sources, parsed, _ = rows
-    assert {(r.name, r.file) for r in parse.rpc_methods(parsed).collect()} == {("sendMessage", "methods.ts"), ("deleteMessage", "methods.ts")}
-    assert "sendMessage" in {r.name for r in parse.rpc_methods_by_pattern(sources).collect()}
-    assert {r.name for r in parse.symbols_of_lines(sources.where("path = 'basic.ts'"), "path", "content").collect()} >= {"IUser", "IMessage", "sendMessage", "MessageService", "MAX_LENGTH", "MessageStatus"}
+    assert {(r.name, r.file) for r in parse.rpc_methods(parsed).collect()} == {("planRoute", "methods.ts"), ("dropStop", "methods.ts")}
+    assert "planRoute" in {r.name for r in parse.rpc_methods_by_pattern(sources).collect()}
+    assert {r.name for r in parse.symbols_of_lines(sources.where("path = 'basic.ts'"), "path", "content").collect()} >= {"Parcel", "Order", "placeOrder", "Depot", "LIMIT", "Speed"}
 
 
 FILES = {
