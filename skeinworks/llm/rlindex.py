@@ -46,9 +46,9 @@ PIECE = 1 << 23
 #: Bytes of a packed run; their number has 20 bits.
 RUN = 1 << 19
 #: Bytes of fragments that a bucket indexes at a time, about, and different fragments of an
-#: anchor that go there whole. An index takes about 100 bytes of memory for a byte of text,
-#: so HOT fragments of up to 2 * LENGTH bytes keep a task within half a gigabyte.
-BUCKET_BYTES, HOT = 1 << 20, 8000
+#: anchor that go there whole. An index takes about 60 bytes of memory for a byte of text,
+#: so HOT fragments of up to 2 * LENGTH bytes keep a task within 150 megabytes.
+BUCKET_BYTES, HOT = 1 << 19, 5000
 
 
 def _mix(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -140,18 +140,20 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     for k in range(held):
         key <<= bits
         key[: n - k] |= symbols[k:] if k else symbols
-    order = np.argsort(key)
-    slots, key = np.arange(n), key[order]
-    rank = np.empty(n, np.int64)
+    order = np.argsort(key).astype(np.int32)
+    slots, key = np.arange(n, dtype=np.int32), key[order]
+    rank = np.empty(n, np.int32)
     while True:
         new = np.append(True, key[1:] != key[:-1])
-        rank[order[slots]] = np.maximum.accumulate(np.where(new, slots, 0))
+        del key
+        rank[order[slots]] = np.maximum.accumulate(np.where(new, slots, np.int32(0)))
         slots = slots[~(new & np.append(new[1:], True))]
         if not len(slots):
             return order
         at = order[slots]
-        after = at + held
-        key = rank[at] * (n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        after = np.minimum(at, n - 1 - held) + held if held < n else np.zeros_like(at)
+        key = rank[at].astype(np.int64) * (n + 1)
+        key += np.where(at.astype(np.int64) + held < n, rank[after] + 1, 0)
         turn = np.argsort(key)
         order[slots], key = at[turn], key[turn]
         held *= 2
@@ -167,9 +169,9 @@ class RunLengthIndex:
         data = b"\0".join(texts) + b"\0"
         n = len(data)
         mark = self.starts + size
-        symbols = np.frombuffer(data, np.uint8).astype(np.int64) + len(texts)
+        symbols = np.frombuffer(data, np.uint8).astype(np.int32) + np.int32(len(texts))
         symbols[mark] = np.arange(len(texts))  # each end its own symbol: all suffixes differ
-        self.room = np.repeat(mark, size + 1) - np.arange(n)
+        self.room = np.repeat(mark.astype(np.int32), size + 1) - np.arange(n, dtype=np.int32)
         sa = suffix_array(symbols)
         bwt = symbols[sa - 1]
         heads = np.flatnonzero(np.append(True, bwt[1:] != bwt[:-1]))
@@ -183,12 +185,12 @@ class RunLengthIndex:
 
     def _match(self, words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         most = np.minimum(self.room[a], self.room[b])
-        got = np.zeros(len(a), np.int64)
+        got = np.zeros(len(a), np.int32)
         live = np.flatnonzero(most > 0)
         while len(live):
             x = words[a[live] + got[live]] ^ words[b[live] + got[live]]
             low = x & (~x + np.uint64(1))  # the lowest differing bit gives the equal bytes
-            equal = np.where(x == 0, 8, (np.bitwise_count(low - np.uint64(1)) // 8).astype(np.int64))
+            equal = np.where(x == 0, 8, np.bitwise_count(low - np.uint64(1)) // 8).astype(np.int32)
             got[live] = np.minimum(got[live] + equal, most[live])
             live = live[(x == 0) & (got[live] < most[live])]
         return got
@@ -196,10 +198,10 @@ class RunLengthIndex:
     def matching_statistics(self) -> np.ndarray:
         """At each position, the longest match with a suffix that starts elsewhere: a sample's
         match end holds for the positions after it until another sample reaches further."""
-        reach = np.arange(self.n)
+        reach = np.arange(self.n, dtype=np.int32)
         for at, match in ((self.head_at, self.head_match), (self.tail_at, self.tail_match)):
             np.maximum.at(reach, at, at + match)
-        return np.maximum.accumulate(reach) - np.arange(self.n)
+        return np.maximum.accumulate(reach) - np.arange(self.n, dtype=np.int32)
 
 
 def repeated_windows(texts: list[bytes], length: int = LENGTH) -> list[list[tuple[int, int]]]:
