@@ -185,7 +185,9 @@ def _tokenizer(spec: str) -> tuple[Splitter, WordIds]:
         tokenizer.encode_special_tokens = True
 
         def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-            got = [e.ids for e in tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+            got = []
+            for k in range(0, len(words), 4096):  # the library's results are large next to their ids
+                got += [e.ids for e in tokenizer.encode_batch_fast([w.decode() for w in words[k : k + 4096]], add_special_tokens=False)]
             return np.fromiter(map(len, got), np.int32, len(got)), np.array([i for ids in got for i in ids], np.int32)
 
         _HERE[key] = Splitter(), WordIds(encode)
