@@ -36,7 +36,7 @@ from skeinworks.session import reach_workers, shared_folder
 #: Bits of the longest code.
 LIMIT = 20
 #: Ids between two checkpoints, and ids to a block, about.
-STRIDE, BLOCK_IDS = 512, 1 << 21
+STRIDE, BLOCK_IDS = 512, 1 << 20
 #: Text bytes to a range of ids, and ranges at most. A range is streamed, never held.
 PART_BYTES, PARTS = 32 << 20, 4096
 MAGIC = b"SKH1"
@@ -190,7 +190,7 @@ def _tokenizer(spec: str) -> tuple[Splitter, WordIds]:
                 got += [e.ids for e in tokenizer.encode_batch_fast([w.decode() for w in words[k : k + 4096]], add_special_tokens=False)]
             return np.fromiter(map(len, got), np.int32, len(got)), np.array([i for ids in got for i in ids], np.int32)
 
-        _HERE[key] = Splitter(), WordIds(encode)
+        _HERE[key] = Splitter(), WordIds(encode, 300_000)
     return _HERE[key]
 
 
