@@ -15,6 +15,7 @@ checkpoints within their document; the bits of every document, from a byte bound
 
 Defined results
 * null text: the end id alone. Null ids of documents: first. Very long texts: whole.
+* added tokens of the tokenizer's file that occur in a text: their own ids, as the library's.
 * equal ids of documents: all are kept, ordered by their bits.
 * empty table: a codebook without codes, no blocks, no rows. Extra columns are ignored.
 """
@@ -22,6 +23,7 @@ Defined results
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 
@@ -174,15 +176,36 @@ def unpack_block(payload: bytes, decoder: Decoder, stride: int = STRIDE) -> tupl
 _HERE: dict[int, tuple] = {}
 
 
-def _tokenizer(spec: str) -> tuple[Splitter, WordIds]:
-    """A worker's tokenizer and the pre-tokens it has met, kept between its tasks."""
+def added_tokens(tokenizer) -> tuple[re.Pattern | None, dict[str, int]]:
+    """A pattern that cuts texts at the added tokens, longest first, and their ids."""
+    found = {t.content: (i, t) for i, t in tokenizer.get_added_tokens_decoder().items()}
+    odd = [c for c, (_, t) in found.items() if t.single_word or t.lstrip or t.rstrip or t.normalized]
+    if odd:
+        raise ValueError(f"added tokens with rules on their surroundings: {odd}")
+    longest = "|".join(map(re.escape, sorted(found, key=len, reverse=True)))
+    return re.compile(f"({longest})") if found else None, {c: i for c, (i, _) in found.items()}
+
+
+def cut_at_added(texts: list[str], pattern: re.Pattern | None, added: dict[str, int], end_id: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Texts in segments without added tokens; the id after each segment, the added token's
+    or, at the end of a text, end_id; each text's number of segments."""
+    segments, after, n = [], [], []
+    for t in texts:
+        parts = pattern.split(t) if pattern else [t]
+        segments += parts[::2]
+        after += [added[c] for c in parts[1::2]] + [end_id]
+        n.append(len(parts) // 2 + 1)
+    return segments, np.array(after, np.int64), np.array(n, np.int64)
+
+
+def _tokenizer(spec: str) -> tuple[Splitter, WordIds, re.Pattern | None, dict[str, int]]:
+    """A worker's tokenizer, the pre-tokens it has met and the added tokens, kept between its tasks."""
     key = zlib.crc32(spec.encode())
     if key not in _HERE:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(spec)
-        tokenizer.encode_special_tokens = True
 
         def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             got = []
@@ -190,25 +213,27 @@ def _tokenizer(spec: str) -> tuple[Splitter, WordIds]:
                 got += [e.ids for e in tokenizer.encode_batch_fast([w.decode() for w in words[k : k + 4096]], add_special_tokens=False)]
             return np.fromiter(map(len, got), np.int32, len(got)), np.array([i for ids in got for i in ids], np.int32)
 
-        _HERE[key] = Splitter(), WordIds(encode, 300_000)
+        _HERE[key] = Splitter(), WordIds(encode, 300_000), *added_tokens(tokenizer)
     return _HERE[key]
 
 
 def token_ids(docs: DataFrame, spec: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, ids: little-endian uint16, or uint32 where the vocabulary needs it, with end_id
-    at the end. The tokenizers library encodes each distinct pre-token that a worker meets;
-    as its byte-level pre-tokenizer splits at the same bounds, texts come out the same."""
+    at the end. Texts are cut at added tokens, then the tokenizers library encodes each
+    distinct pre-token that a worker meets; as it cuts at the same tokens and its byte-level
+    pre-tokenizer splits at the same bounds, texts come out the same."""
     reach_workers(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(spec)
 
     def run(batches):
-        splitter, words = _tokenizer(shared.value)
+        splitter, words, pattern, added = _tokenizer(shared.value)
         for b in sliced(batches, text):
-            ids, counts = encode_slice(splitter, words, texts_of(b, text))
-            out = np.insert(ids, np.cumsum(counts), end_id).astype("<u4")
-            ends = np.cumsum((counts + 1) * 4)
+            segments, after, n = cut_at_added(texts_of(b, text), pattern, added, end_id)
+            ids, counts = encode_slice(splitter, words, segments)
+            out = np.insert(ids, np.cumsum(counts), after).astype("<u4")
+            ends = np.cumsum((counts + 1) * 4)[np.cumsum(n) - 1]
             data = out.tobytes()
-            yield pa.RecordBatch.from_arrays([b.column(key), pa.array([data[e - 4 * (c + 1) : e] for e, c in zip(ends.tolist(), counts.tolist())], pa.binary())], names=[key, "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array([data[a:e] for a, e in zip([0, *ends.tolist()], ends.tolist())], pa.binary())], names=[key, "ids"])
 
     return docs.select(key, text).mapInArrow(run, f"{key} long, ids binary")
 
@@ -223,7 +248,8 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, key:
 
     spark = docs.sparkSession
     spec = open(tokenizer_path, encoding="utf-8").read()
-    vocab = max([*json.loads(spec)["model"]["vocab"].values(), end_id]) + 1
+    known = json.loads(spec)
+    vocab = max([*known["model"]["vocab"].values(), *(t["id"] for t in known.get("added_tokens") or []), end_id]) + 1
     kind = "<u4" if vocab > 1 << 16 else "<u2"
     rows = token_ids(docs, spec, end_id, key, text)
     # Ids wait in the shared folder for the counts; zstd brings them near their entropy.

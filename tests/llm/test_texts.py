@@ -120,6 +120,20 @@ def test_huffman_files(spark, odd):
         assert [r.start for r in got] == [sum(map(len, want[:k])) for k in range(len(want))]
 
 
+def test_huffman_added_tokens(spark):
+    """Added tokens of the file inside texts, against the library as it comes."""
+    end = "<|endoftext|>"
+    texts = [f"a{end}b", end, f"{end}{end} x", f" it's{end}'s  {end}\n", "<|endoftext", f"<|{end}|>", "", None, "plain words", f"é{end}" * 300]
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = [e.ids + [0] for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert want[0] == [64, 50256, 65, 0]
+    path = f"{shared_folder(spark)}/huffman-test-added"
+    huffman.write(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    got = sorted(huffman.read(spark, path, digest=True).collect(), key=lambda r: r.start)
+    assert [(r.doc_id, r.n_tokens, r.ids_crc32) for r in got] == [(k, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for k, x in enumerate(want)]
+    assert [r.start for r in got] == [sum(map(len, want[:k])) for k in range(len(want))]
+
+
 def slow_fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
     shingles = [" ".join(words[k : k + 3]) for k in range(len(words) - 2)] if len(words) >= 3 else [" ".join(words)] * bool(words)
