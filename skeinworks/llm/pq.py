@@ -1,16 +1,17 @@
 """Embedding near-duplicates by product quantisation.
 
 Equal vectors fold into one first. A coarse quantiser deals unit vectors into inverted
-lists; what is left after the list's centre is coded by subspace codebooks. A vector meets
-each list whose border lies within `MARGIN` of it, so a pair of lists is compared on both
-lists' border rows only. In a pair of lists, distances of one side's vectors to the other
-side's codes are sums of table look-ups; a code's own error bounds how far its distance can
-be off, so the filter loses nothing, and what passes is compared by exact cosine.
+lists; what is left after the list's centre is coded by subspace codebooks. Distances of
+vectors to a list's codes are sums of table look-ups; a code's own error bounds how far its
+distance can be off, so the filter loses nothing, and what passes is compared by exact cosine.
 
-Two vectors at the threshold differ by a vector of known length; in a random direction, its
-part across a border exceeds MARGIN standard deviations in fewer than one of 2,000 pairs.
+Two vectors at the threshold are `reach` apart, so their distances to the border between their
+lists add up to no more than that, whatever the directions in which data vary: the nearer one
+lies within half of it. A vector visits each list whose border is that near and meets the
+members there whose own distance to that border fits in what is left. A pair that would meet
+in both lists meets in the one of the higher number.
 
-Pairs of large lists are cut into tiles. A task returns, for each of its vectors, the number
+Large lists are cut into tiles. A task returns, for each of its vectors, the number
 of rows linked and one star link, and never its pairs.
 
 Defined results
@@ -34,8 +35,6 @@ from skeinworks.session import reach_workers, stored
 COSINE = 0.9
 #: Inverted lists, dimensions of a subspace, centres of its codebook.
 LISTS, SUBSPACE, CENTRES = 64, 4, 256
-#: Standard deviations by which a difference may cross a border.
-MARGIN = 3.5
 #: Vectors of the sample that fits the quantisers.
 SAMPLE = 8192
 #: Rows of a tile.
@@ -96,7 +95,7 @@ def close_pairs(quantiser: Quantiser, x, y, number: int, code, left, cosine: flo
     return np.concatenate(out_i), np.concatenate(out_j)
 
 
-def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE, margin: float = MARGIN) -> DataFrame:
+def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE) -> DataFrame:
     """key, n_links, component_id, kept for every row."""
     spark = rows.sparkSession
     reach_workers(spark)
@@ -109,7 +108,7 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
         return slim.select(key, alone.alias("n_links"), F.col(key).alias("component_id"), F.lit(True).alias("kept"))
     unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
     model = spark.sparkContext.broadcast(Quantiser(unit(seen)))
-    slack = margin * float(np.sqrt(max(0.0, 2 - 2 * cosine))) / np.sqrt(dim)
+    reach = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + 1e-6
 
     def dealt(batches):
         q = model.value
@@ -118,40 +117,64 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
                 part = b.slice(at, 2048)
                 x = matrix(part.column("__v"), dim)
                 of, code, left = q.codes(unit(x))
-                go = q.borders(unit(x), of) <= slack
+                edge = q.borders(unit(x), of)
+                go = edge <= reach / 2
                 go[np.arange(len(x)), of] = True
                 i, other = np.nonzero(go)
                 mine = of[i]
+                guest = mine != other
                 take = pa.array(i)
+                # Only members are met by their codes and need the lists that they visit.
+                member = pa.array(np.where(guest, -1, i), mask=guest)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.minimum(mine, other).astype(np.int32)), pa.array(np.maximum(mine, other).astype(np.int32)), pa.array((mine > other).astype(np.int32)), part.column("head").take(take), part.column("n").take(take), packed(code).take(take), pa.array(left[i]), packed(x).take(take)],
-                    names=["lo", "hi", "side", "head", "n", "code", "rest", "x"],
+                    [pa.array(other.astype(np.int32)), pa.array(guest.astype(np.int32)), pa.array(mine.astype(np.int32)), pa.array(edge[i, other]), packed(np.packbits(go, axis=1)).take(member), part.column("head").take(take), part.column("n").take(take), packed(code).take(member), pa.array(left[i]), packed(x).take(take)],
+                    names=["list", "side", "own", "edge", "visits", "head", "n", "code", "rest", "x"],
                 )
 
-    met = heads.mapInArrow(dealt, "lo int, hi int, side int, head long, n long, code binary, rest double, x binary")
-    # At most two rows for each pair of lists.
-    size = stored(met.groupBy("lo", "hi").agg(F.count_if(F.col("side") == 0).alias("n0"), F.count_if(F.col("side") == 1).alias("n1")).where("lo = hi OR (n0 > 0 AND n1 > 0)"), "pq-sizes")
-    tiles = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / TILE)).cast("int")
-    placed = met.join(F.broadcast(size), ["lo", "hi"]).withColumn("t", F.pmod(F.xxhash64("head"), F.when(F.col("side") == 0, tiles("n0")).otherwise(tiles("n1"))).cast("int"))
-    facing = F.when(F.col("lo") == F.col("hi"), tiles("n0")).when(F.col("side") == 0, tiles("n1")).otherwise(tiles("n0"))
-    placed = placed.withColumn("o", F.explode(F.sequence(F.lit(0), facing - 1)))
-    first = F.when(F.col("lo") == F.col("hi"), F.least("t", "o")).when(F.col("side") == 0, F.col("t")).otherwise(F.col("o"))
-    second = F.when(F.col("lo") == F.col("hi"), F.greatest("t", "o")).when(F.col("side") == 0, F.col("o")).otherwise(F.col("t"))
-    grid = placed.select("lo", "hi", first.alias("ta"), second.alias("tb"), "side", "t", "head", "n", "code", "rest", "x")
+    met = heads.mapInArrow(dealt, "list int, side int, own int, edge double, visits binary, head long, n long, code binary, rest double, x binary")
+    # At most one row for each list.
+    size = stored(met.groupBy("list").agg(F.count_if(F.col("side") == 0).alias("n0"), F.count_if(F.col("side") == 1).alias("n1")).where("n0 > 0"), "pq-sizes")
+    tiles = lambda c: F.ceil(F.col(c) / TILE).cast("int")
+    placed = met.join(F.broadcast(size), "list").withColumn("t", F.pmod(F.xxhash64("head"), F.when(F.col("side") == 0, tiles("n0")).otherwise(tiles("n1"))).cast("int"))
+    # Members' tiles face each other (guests false) and every tile of guests (true).
+    facing = lambda c, guests: F.transform(F.sequence(F.lit(1), tiles(c)), lambda o: F.struct(F.lit(guests).alias("guests"), (o - 1).alias("o")))
+    hosts = F.when(F.col("n1") > 0, F.concat(facing("n0", False), facing("n1", True))).otherwise(facing("n0", False))
+    placed = placed.withColumn("f", F.explode(F.when(F.col("side") == 0, hosts).otherwise(facing("n0", True)))).withColumns({"guests": F.col("f.guests"), "o": F.col("f.o")})
+    first = F.when(~F.col("guests"), F.least("t", "o")).when(F.col("side") == 0, F.col("t")).otherwise(F.col("o"))
+    second = F.when(~F.col("guests"), F.greatest("t", "o")).when(F.col("side") == 0, F.col("o")).otherwise(F.col("t"))
+    grid = placed.select("list", "guests", first.alias("ta"), second.alias("tb"), "side", "t", "own", "edge", "visits", "head", "n", "code", "rest", "x")
 
     def tile(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         q = model.value
-        lo, hi, ta, tb = group
+        number, guests, ta, tb = group
         pdf = pdf.sort_values(["side", "head"], kind="stable")
-        if lo == hi:
-            a, b = pdf[pdf.t == ta], pdf[pdf.t == tb]
+        if guests:
+            a, b = pdf[pdf.side == 1], pdf[pdf.side == 0]
         else:
-            a, b = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        same = lo == hi and ta == tb
+            a, b = pdf[pdf.t == ta], pdf[pdf.t == tb]
+        same = not guests and ta == tb
         if not len(a) or not len(b):
             return pd.DataFrame({"head": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "root": np.zeros(0, np.int64)})
         code = np.frombuffer(b"".join(b.code), np.uint8).reshape(len(b), -1)
-        i, j = close_pairs(q, rows_of(a.x, dim), rows_of(b.x, dim), hi, code, b["rest"].to_numpy(), cosine, same)
+        xa, xb, rest = rows_of(a.x, dim), rows_of(b.x, dim), b["rest"].to_numpy()
+        if guests:
+            own, edge = a["own"].to_numpy(), a["edge"].to_numpy()
+            apart = q.borders(unit(xb), np.full(len(b), number))
+            visits = np.unpackbits(np.frombuffer(b"".join(b.visits), np.uint8).reshape(len(b), -1), axis=1)
+            out_i, out_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for home in np.unique(own):
+                u = np.flatnonzero(own == home)
+                meets = apart[:, home] <= reach - edge[u].min() + 1e-6
+                if home > number:  # members that visit the guests' list meet them there
+                    meets &= visits[:, home] == 0
+                v = np.flatnonzero(meets)
+                if len(v):
+                    p, r = close_pairs(q, xa[u], xb[v], number, code[v], rest[v], cosine, False)
+                    out_i.append(u[p])
+                    out_j.append(v[r])
+            i, j = np.concatenate(out_i), np.concatenate(out_j)
+        else:
+            i, j = close_pairs(q, xa, xb, number, code, rest, cosine, same)
         heads_ = np.concatenate([a["head"].to_numpy(), b["head"].to_numpy()]) if not same else a["head"].to_numpy()
         n = np.concatenate([a["n"].to_numpy(), b["n"].to_numpy()]) if not same else a["n"].to_numpy()
         if not same:
@@ -161,7 +184,7 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
         some = np.flatnonzero(links)
         return pd.DataFrame({"head": heads_[some], "links": links[some].astype(np.int64), "root": root[some]})
 
-    found = stored(grid.groupBy("lo", "hi", "ta", "tb").applyInPandas(tile, "head long, links long, root long"), "pq-links")
+    found = stored(grid.groupBy("list", "guests", "ta", "tb").applyInPandas(tile, "head long, links long, root long"), "pq-links")
     linked = found.groupBy("head").agg(F.sum("links").alias("links"))
     of = components(found, "head", "root")
     classes = stored(heads.join(linked, "head", "left").join(of, F.col("head") == F.col("id"), "left").select("__v", (F.col("n") - 1 + F.coalesce("links", alone)).alias("n_links"), F.coalesce("component", "head").alias("component_id")), "pq-classes")

@@ -94,6 +94,21 @@ def test_near_duplicate_vectors(spark, vectors, tile, monkeypatch):
     assert pq.near_duplicates(vectors.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("tile", [4096, 150])
+def test_near_duplicates_of_uneven_spread(spark, tile, monkeypatch):
+    """Vectors that vary in few directions, along which lists part: no link may be lost."""
+    monkeypatch.setattr(pq, "TILE", tile)
+    x = np.random.default_rng(4).normal(size=(3000, 64)) / np.arange(1, 65)
+    x = x.astype(np.float32).astype(np.float64)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    link = unit @ unit.T >= 0.9
+    np.fill_diagonal(link, False)
+    root = local_stars(len(x), *np.nonzero(link))
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in pq.near_duplicates(rows).collect())
+    assert link.sum() > 10_000 and got == [(k, int(n), int(c)) for k, (n, c) in enumerate(zip(link.sum(1), root))]
+
+
 def slow_best_fit(lengths, capacities, overhead):
     bins, where = [], []
     for k, n in enumerate(lengths):
