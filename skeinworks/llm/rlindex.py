@@ -33,7 +33,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from skeinworks.llm.batches import ragged, sliced
@@ -226,7 +226,16 @@ def _pack(at: np.ndarray, size: np.ndarray) -> np.ndarray:
     return at << 20 | size
 
 
-def _places(row, doc, txt, at, size, a, f) -> pa.RecordBatch:
+#: What names a text: its id, a 64-bit hash, and its bytes (inverted where it has no id).
+NAME = ["__d", "__t", "__u"]
+
+
+def _name(key: str, text: str) -> dict[str, Column]:
+    size = F.coalesce(F.octet_length(text), F.lit(0))
+    return dict(zip(NAME, (F.coalesce(F.col(key).cast("long"), F.lit(-1)), F.xxhash64(text), F.when(F.col(key).isNull(), F.bitwise_not(size)).otherwise(size))))
+
+
+def _places(row, doc, txt, long, at, size, a, f) -> pa.RecordBatch:
     """One row for each fragment of a text: how often it has it, its first span, and, if it
     has it more than once, the runs of bytes that its spans cover together. A text that
     repeats one line a thousand times has one row for it."""
@@ -251,23 +260,23 @@ def _places(row, doc, txt, at, size, a, f) -> pa.RecordBatch:
     runs = runs[np.repeat(~once, each)]
     offsets = np.concatenate([[0], np.cumsum(np.where(once, 0, each))]).astype(np.int32)
     lists = pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(once, False)), pa.array(runs))
-    return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(f[first]), pa.array(doc[row[first]]), pa.array(txt[row[first]]), pa.array(n), pa.array(_pack(at[first], size[first])), lists], names=["a", "f", "__d", "__t", "n", "span", "runs"])
+    return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(f[first]), pa.array(doc[row[first]]), pa.array(txt[row[first]]), pa.array(long[row[first]]), pa.array(n), pa.array(_pack(at[first], size[first])), lists], names=["a", "f", *NAME, "n", "span", "runs"])
 
 
 def spans(docs: DataFrame, key: str, text: str, length: int = LENGTH) -> DataFrame:
-    """__d (key), __t (hash of the text), __spans: packed runs of bytes (start << 20 | size),
+    """NAME, __spans: packed runs of bytes (start << 20 | size),
     overlapping and in any order, that together are what repeats."""
     spark = docs.sparkSession
     reach_workers(spark)
-    named = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-1)).alias("__d"), F.hash(text).alias("__t"), F.col(text).alias("__x"))
+    named = docs.select(*(c.alias(n) for n, c in _name(key, text).items()), F.col(text).alias("__x"))
 
     def columns(b: pa.RecordBatch):
         row, at, size, anchor, frag = fragments(_texts(b.column("__x")), length)
-        return row, b.column("__d").to_numpy(), b.column("__t").to_numpy(), at, size, anchor, frag
+        return row, *(b.column(c).to_numpy() for c in NAME), at, size, anchor, frag
 
     def anchors(batches):
         for b in sliced(batches, "__x"):
-            a, f = columns(b)[5:]
+            a, f = columns(b)[6:]
             # Sums within a slice: a text that repeats one line sends one row for it.
             at, each, n = np.unique(a, return_inverse=True, return_counts=True)
             low, high = np.full(len(at), np.iinfo(np.int64).max), np.full(len(at), np.iinfo(np.int64).min)
@@ -285,64 +294,64 @@ def spans(docs: DataFrame, key: str, text: str, length: int = LENGTH) -> DataFra
         .where("n > 1").select("a", (F.col("low") != F.col("high")).alias("mixed")),
         "rl-repeated",
     )
-    seen = stored(named.mapInArrow(places, "a long, f long, __d long, __t int, n long, span long, runs array<long>").join(repeated, "a"), "rl-places")
-    mixed = seen.where("mixed").withColumn("rep", F.xxhash64("__d", "__t", "span"))
+    seen = stored(named.mapInArrow(places, "a long, f long, __d long, __t long, __u int, n long, span long, runs array<long>").join(repeated, "a"), "rl-places")
+    mixed = seen.where("mixed").withColumn("rep", F.xxhash64(*NAME, "span"))
     kinds = stored(mixed.groupBy("a", "f").agg(F.sum("n").alias("n"), F.min("rep").alias("rep")), "rl-kinds")
     # Different fragments of an anchor; an anchor without a single one needs no index.
     groups = kinds.groupBy("a").agg(F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("single")).where("single > 0")
     needed = kinds.join(groups, "a").select("a", "f", F.col("rep").alias("r"), (F.col("kinds") > HOT).alias("hot"))
-    sent = stored(mixed.join(needed, ["a", "f"]).where("rep = r").select("a", "hot", "__d", "__t", "span").distinct(), "rl-sent")
+    sent = stored(mixed.join(needed, ["a", "f"]).where("rep = r").select("a", "hot", *NAME, "span").distinct(), "rl-sent")
     whole = F.coalesce("runs", F.array("span")).alias("runs")
-    folded = seen.where("NOT mixed").select("__d", "__t", whole).unionAll(mixed.join(kinds.where("n > 1").select("a", "f"), ["a", "f"]).select("__d", "__t", whole))
+    folded = seen.where("NOT mixed").select(*NAME, whole).unionAll(mixed.join(kinds.where("n > 1").select("a", "f"), ["a", "f"]).select(*NAME, whole))
 
-    wanted = sent.groupBy("__d", "__t").agg(F.collect_set(F.struct("a", "hot", "span")).alias("want"))
-    joined = _squeezed(named, ["__d", "__t"], "__x").dropDuplicates(["__d", "__t"]).join(wanted, ["__d", "__t"])
+    wanted = sent.groupBy(*NAME).agg(F.collect_set(F.struct("a", "hot", "span")).alias("want"))
+    joined = _squeezed(named, NAME, "__x").dropDuplicates(NAME).join(wanted, NAME)
 
     def cut(batches):
         undo = zstandard.ZstdDecompressor()
         for b in sliced(batches, "__x"):
-            out = {c: [] for c in ("a", "__d", "__t", "span", "data")}
+            out = {c: [] for c in ("a", *NAME, "span", "data")}
 
             def put(*values):
                 for c, x in zip(out.values(), values):
                     c.append(x)
 
-            for d, t, x, want in zip(*(b.column(c).to_pylist() for c in ("__d", "__t", "__x", "want"))):
+            for d, t, u, x, want in zip(*(b.column(c).to_pylist() for c in (*NAME, "__x", "want"))):
                 data = undo.decompress(x)
                 for w in want:
                     at, size = w["span"] >> 20, w["span"] & 0xFFFFF
                     if not w["hot"]:
-                        put(w["a"], d, t, w["span"], data[at : at + size])
+                        put(w["a"], d, t, u, w["span"], data[at : at + size])
                         continue
                     for s in range(at, at + size - length + 1):
-                        put(None, d, t, s << 20 | length, xxhash.xxh3_128_digest(data[s : s + length]))
+                        put(None, d, t, u, s << 20 | length, xxhash.xxh3_128_digest(data[s : s + length]))
                 if len(out["a"]) > 1 << 13:
                     yield pa.RecordBatch.from_pydict(out, schema=shape)
                     out = {c: [] for c in out}
             yield pa.RecordBatch.from_pydict(out, schema=shape)
 
-    shape = pa.schema([("a", pa.int64()), ("__d", pa.int64()), ("__t", pa.int32()), ("span", pa.int64()), ("data", pa.binary())])
-    pieces = stored(joined.mapInArrow(cut, "a long, __d long, __t int, span long, data binary"), "rl-pieces")
+    shape = pa.schema([("a", pa.int64()), ("__d", pa.int64()), ("__t", pa.int64()), ("__u", pa.int32()), ("span", pa.int64()), ("data", pa.binary())])
+    pieces = stored(joined.mapInArrow(cut, "a long, __d long, __t long, __u int, span long, data binary"), "rl-pieces")
     total = pieces.where("a IS NOT NULL").agg(F.sum(F.octet_length("data"))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
 
     def bucket(pdf: pd.DataFrame) -> pd.DataFrame:
         # Only fragments of one anchor need to meet: whole anchors, as many as one index holds.
-        pdf = pdf.sort_values(["a", "__d", "__t", "span"], kind="stable")
+        pdf = pdf.sort_values(["a", *NAME, "span"], kind="stable")
         total = pdf["data"].map(len).groupby(pdf["a"], sort=False).sum().cumsum()
         part = pdf["a"].map(total.sub(1) // BUCKET_BYTES).to_numpy()
         marks = [m for k in np.unique(part) for m in repeated_windows(list(pdf["data"][part == k]), length)]
         n = [len(m) for m in marks]
         at = np.repeat(pdf["span"].to_numpy() >> 20, n)
         run = np.array([r for m in marks for r in m], np.int64).reshape(-1, 2)
-        return pd.DataFrame({"__d": np.repeat(pdf["__d"].to_numpy(), n), "__t": np.repeat(pdf["__t"].to_numpy(), n), "span": _pack(at + run[:, 0], run[:, 1] - run[:, 0])})
+        return pd.DataFrame({**{c: np.repeat(pdf[c].to_numpy(), n) for c in NAME}, "span": _pack(at + run[:, 0], run[:, 1] - run[:, 0])})
 
-    indexed = pieces.where("a IS NOT NULL").withColumn("g", F.pmod(F.xxhash64("a"), F.lit(buckets))).groupBy("g").applyInPandas(bucket, "__d long, __t int, span long")
-    windows = pieces.where("a IS NULL").select("__d", "__t", "span", "data")
+    indexed = pieces.where("a IS NOT NULL").withColumn("g", F.pmod(F.xxhash64("a"), F.lit(buckets))).groupBy("g").applyInPandas(bucket, "__d long, __t long, __u int, span long")
+    windows = pieces.where("a IS NULL").select(*NAME, "span", "data")
     twice = windows.groupBy("data").agg(F.count("*").alias("n")).where("n > 1").select("data")
-    single = windows.join(twice, "data").select("__d", "__t", "span")
-    found = folded.unionAll(indexed.unionAll(single).select("__d", "__t", F.array("span")))
-    return found.groupBy("__d", "__t").agg(F.flatten(F.collect_set("runs")).alias("__spans"))
+    single = windows.join(twice, "data").select(*NAME, "span")
+    found = folded.unionAll(indexed.unionAll(single).select(*NAME, F.array("span")))
+    return found.groupBy(*NAME).agg(F.flatten(F.collect_set("runs")).alias("__spans"))
 
 
 def _squeezed(rows: DataFrame, keep: list[str], text: str) -> DataFrame:
@@ -378,10 +387,10 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     names = [prefix + n for n in ("n_bytes", "n_removed", "n_spans", form)]
     docs = docs.drop(*(n for n in names if n not in (key, text)))
     found = spans(docs, key, text, length)
-    named = docs.withColumns({"__d": F.coalesce(F.col(key).cast("long"), F.lit(-1)), "__t": F.hash(text)})
+    named = docs.withColumns(_name(key, text))
     others = [c for c in docs.columns if c != text]
     finish = FORMS[form]
-    joined = _squeezed(named, [*others, "__d", "__t"], text).join(found, ["__d", "__t"], "left")
+    joined = _squeezed(named, [*others, *NAME], text).join(found, NAME, "left")
     kind = pa.binary() if form == "kept" else pa.string()
 
     def run(batches):

@@ -14,6 +14,7 @@ import tiktoken
 import tokenizers
 import xxhash
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from skeinworks.llm import bpe, huffman, langid, pretokens, quality, rlindex, simhash
 from skeinworks.llm.components import components, local_stars
@@ -279,6 +280,17 @@ def test_removal_equals_counting(spark, hot, bucket, monkeypatch):
         assert (bytes(r.kept), r.n_bytes, r.n_removed, r.n_spans, r.extra) == (rest, len(t), len(t) - len(rest), len(runs), "x")
 
 
+def test_removal_without_ids(spark):
+    """Different texts without an id whose 32-bit hashes are equal; a real id of -1."""
+    text = lambda k: "".join(hashlib.sha512(f"{k}{c}".encode()).hexdigest() for c in "abc")
+    a, b = text(83668), text(243672)
+    rows = [(None, a), (None, b), (1, a[:250] + "!"), (-1, b[100:] + "?"), (-1, "short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert docs.select(F.hash("text").alias("h")).where("doc_id IS NULL").distinct().count() == 1
+    got = sorted((r.n_bytes, r.n_removed, bytes(r.kept).decode()) for r in rlindex.remove(docs).collect())
+    assert got == sorted([(384, 250, a[250:]), (384, 284, b[:100]), (251, 250, "!"), (285, 284, "?"), (5, 0, "short")])
+
+
 def test_removal_keeps_columns_and_characters(spark, odd):
     out = rlindex.deduplicate(odd)
     assert out.columns == odd.columns
