@@ -27,7 +27,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from skeinworks.llm.batches import sliced, texts_of
 from skeinworks.session import reach_workers
 
-#: Rows, and languages, that training sees at most.
+#: Ids that training sees at most, for up to so many languages; for more it grows with them.
 SAMPLE, LANGUAGES = 2000, 64
 #: Hash values of trigrams.
 WIDTH = 1 << 13
@@ -164,23 +164,25 @@ def held_out(key: str = "doc_id", parts: int = 4, part: int = 2) -> Column:
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, languages: int = LANGUAGES) -> Model:
     reach_workers(docs.sparkSession)
     known = docs.where(F.col(lang).isNotNull() & F.col(key).isNotNull() & F.col(text).rlike("\\p{L}") & ~held_out(key)).select(key, lang, text)
-    top = known.groupBy(lang).agg(F.count("*").alias("__n")).orderBy(F.desc("__n"), lang).limit(languages)
-    each = sample // max(1, top.count())
-    # Ids with the least hashes of a language. A language of many rows keeps three times as
+    top = known.select(key, lang).distinct().groupBy(lang).agg(F.count("*").alias("__n")).orderBy(F.desc("__n"), lang)
+    count = top.count()
+    each = sample // min(max(1, count), languages)
+    # Ids with the least hashes of a language. A language of many ids keeps three times as
     # many ids as are wanted by their hash alone, so no window holds more of them.
     place = F.pmod(F.xxhash64(key), F.lit(1 << 40))
     near = known.join(F.broadcast(top), lang).where(place <= F.lit(3.0 * each * (1 << 40)) / F.col("__n")).select(key, lang).distinct()
     first = Window.partitionBy(lang).orderBy(F.pmod(F.xxhash64(key), F.lit(1 << 40)), key)
     ids = near.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= each).select(key, lang)
-    # Bounded by its parameters: sample pairs of an id and a language.
-    rows = known.join(F.broadcast(ids), [key, lang])
+    # At most `each` ids to a language. An id that many rows carry counts once in a language,
+    # with its text of least hash.
+    rows = known.join(F.broadcast(ids), [key, lang]).groupBy(key, lang).agg(F.min_by(text, F.xxhash64(text)).alias(text))
 
     def run(batches):
         for b in sliced(batches, text):
             x = [shares(t) for t in texts_of(b, text)]
             yield pa.RecordBatch.from_arrays([b.column(key), b.column(lang), pa.array([v.astype(np.float16).tobytes() for v in x], pa.binary())], names=[key, lang, "x"])
 
-    got = rows.select(key, lang, text).mapInArrow(run, f"{key} long, {lang} string, x binary").orderBy(lang, F.xxhash64(key), "x").limit(sample).toPandas()
+    got = rows.select(key, lang, text).mapInArrow(run, f"{key} long, {lang} string, x binary").orderBy(lang, F.xxhash64(key), key).limit(max(1, each * count)).toPandas()
     if not len(got):
         return fit(np.zeros((0, WIDTH)), [])
     return fit(np.stack([np.frombuffer(v, np.float16) for v in got["x"]]).astype(np.float32), got[lang].tolist())

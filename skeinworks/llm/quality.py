@@ -157,8 +157,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         .orderBy(F.xxhash64(key), key).limit(sample)
     )
     # The sample is bounded by its parameter: at most `sample` pairs of an id and a label.
-    # Only ids of labels are used, so each document's statistics stay where its text is.
-    rows = statistics_of(docs.select(key, text).join(F.broadcast(chosen), key), [key, "__y"], text).orderBy(F.xxhash64(key), key).limit(sample)
+    # Only ids of labels are used. An id that many rows carry counts once, with its text of
+    # least hash.
+    each = docs.select(key, text).join(F.broadcast(chosen), key).groupBy(key, "__y").agg(F.min_by(text, F.xxhash64(text)).alias(text))
+    rows = statistics_of(each, [key, "__y"], text).orderBy(F.xxhash64(key), key).limit(sample)
     got = rows.select("__y", "stats").toPandas()
     if not len(got):
         return fit(np.zeros((0, len(STATISTICS))), np.zeros(0))

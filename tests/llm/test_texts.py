@@ -228,6 +228,37 @@ def test_language(spark, odd):
     assert one.predict(["abc", "1"])[0] == ["en", "und"]
 
 
+def test_language_of_hot_id(spark):
+    """An id with many rows leaves room for the other ids of its language and for others."""
+    words = {"de": "der die das und ist nicht", "en": "the and of with this that", "fr": "le la les des une avec"}
+    rows = [(k, f"{w} {k}", lang) for lang, w in words.items() for k in range(sum(map(ord, lang)) * 100, sum(map(ord, lang)) * 100 + 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").where(~langid.held_out())
+    hot = docs.where("lang = 'de'").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))).first().doc_id
+    docs = docs.union(spark.createDataFrame([(hot, f"der hund {k}", "de") for k in range(3000)], docs.schema))
+    model = langid.train(docs, sample=90)
+    assert model.predict(["the and of with this", "le la les des une", "der die das und"])[0] == ["en", "fr", "de"]
+
+
+def test_more_languages_than_the_sample_is_for(spark):
+    rows = [(k * 10 + i, chr(0x4E00 + k) * 9 + f" {i}", f"l{k:02d}") for k in range(70) for i in range(10)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sum(map(len, model.languages.values())) == 70
+
+
+def test_quality_of_hot_id(spark):
+    """An id with many rows does not fill the sample."""
+    free = [k for k in range(300) if zlib.crc32(str(k).encode()) % 5]
+    good, bad = "A plain sentence about the harbour and its ships. " * 4, "!!! 000 ### $$$ 111 " * 9
+    rows = [(k, good if k % 2 else bad) for k in free]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(k, k % 2) for k in free], "doc_id long, quality int")
+    hot = marks.orderBy(F.xxhash64("doc_id")).first().doc_id
+    docs = docs.union(spark.createDataFrame([(hot, f"{dict(rows)[hot]} {k}") for k in range(1000)], "doc_id long, text string"))
+    model = quality.train(docs, marks, sample=200)
+    low, high = model.score(np.array([quality.statistics(t) for t in (bad, good)]))
+    assert low < 0.3 and high > 0.7
+
+
 def repeats(texts, length=200):
     seen = collections.Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
     out = []
