@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from skeinworks.session import stored
 
@@ -39,8 +39,13 @@ def _prefix(col: str, bits):
 def assign(docs: DataFrame, byte_limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: key, shard (its prefix as 0s and 1s), depth (bits of the
     directory used), n_bytes, shard_bytes, shard_rows, fits."""
+    return _assign(docs, byte_limit, key, text, F.col(key)).withColumnRenamed("__row", key)
+
+
+def _assign(docs: DataFrame, byte_limit: int, key: str, text: str, carried: Column) -> DataFrame:
+    """As assign, with `carried` of each row in place of the key."""
     rows = stored(
-        docs.select(F.col(key), _hash60(key, text).alias("__h"), F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("n_bytes")),
+        docs.select(carried.alias("__row"), _hash60(key, text).alias("__h"), F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("n_bytes")),
         "shard-rows",
     )
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
@@ -72,11 +77,11 @@ def assign(docs: DataFrame, byte_limit: int, key: str = "doc_id", text: str = "t
     shard = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.expr("lpad(bin(node), depth, '0')"))
     out = out.withColumn("shard", shard)
     copies = F.col("single") & (F.col("shard_bytes") > byte_limit) & (F.col("shard_rows") > 1)
-    whole = out.where(~copies).select(key, "shard", "depth", "n_bytes", "shard_bytes", "shard_rows", (F.col("shard_bytes") <= byte_limit).alias("fits"))
-    return whole.unionByName(_copies(out.where(copies), byte_limit, key))
+    whole = out.where(~copies).select("__row", "shard", "depth", "n_bytes", "shard_bytes", "shard_rows", (F.col("shard_bytes") <= byte_limit).alias("fits"))
+    return whole.unionByName(_copies(out.where(copies), byte_limit))
 
 
-def _copies(same: DataFrame, byte_limit: int, key: str) -> DataFrame:
+def _copies(same: DataFrame, byte_limit: int) -> DataFrame:
     """Rows of one hash value that exceed the limit together: as many copies to a sub-shard
     as fit. Copies are equal, so any of them may go anywhere; each input partition numbers
     its own, which needs neither a sort nor all copies in one task."""
@@ -87,12 +92,14 @@ def _copies(same: DataFrame, byte_limit: int, key: str) -> DataFrame:
     chunk = F.floor((F.col("__i") - F.col("__low")) / each)
     named = salted.join(low, ["__h", "__p"]).withColumn("shard", F.concat(F.col("shard"), F.lit("+"), F.col("__p").cast("string"), F.lit("."), chunk.cast("string")))
     sums = named.groupBy("shard").agg(F.sum("n_bytes").alias("shard_bytes"), F.count("*").alias("shard_rows"))
-    return named.drop("shard_bytes", "shard_rows").join(sums, "shard").select(key, "shard", "depth", "n_bytes", "shard_bytes", "shard_rows", (F.col("shard_bytes") <= byte_limit).alias("fits"))
+    return named.drop("shard_bytes", "shard_rows").join(sums, "shard").select("__row", "shard", "depth", "n_bytes", "shard_bytes", "shard_rows", (F.col("shard_bytes") <= byte_limit).alias("fits"))
 
 
 def write(docs: DataFrame, path: str, byte_limit: int, key: str = "doc_id", text: str = "text") -> None:
     """Write docs as Parquet, one folder `shard=<prefix>` to a shard; a column `shard` of docs
-    is replaced. A large shard's rows come from one task, as its bytes are under the limit."""
+    is replaced. Rows carry their columns through the assignment, so rows of one key or of
+    none go where they were assigned. A large shard's rows come from one task, as its bytes
+    are under the limit."""
     docs = docs.drop("shard")
-    named = assign(docs, byte_limit, key, text).select(key, "shard").dropDuplicates([key])
-    docs.join(named, key, "left").repartition(F.col("shard")).write.partitionBy("shard").parquet(path)
+    named = _assign(docs, byte_limit, key, text, F.struct(*docs.columns))
+    named.select("__row.*", "shard").repartition(F.col("shard")).write.partitionBy("shard").parquet(path)

@@ -195,6 +195,16 @@ def test_written_shards(spark, odd, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).count() == odd.count()
 
 
+def test_written_shards_fit(spark, tmp_path):
+    """Repeated and null keys: different texts, and copies of one row."""
+    rows = [(1, f"{k:020d}") for k in range(60)] + [(None, f"{k:020d}") for k in range(60)] + [(2, "x" * 20)] * 40 + [(None, "y" * 20)] * 40
+    sharding.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), str(tmp_path / "s"), 100)
+    shards = {d: spark.read.parquet(str(d)).collect() for d in (tmp_path / "s").glob("shard=*")}
+    assert all(sum(len(r.text) for r in found) <= 100 for found in shards.values())
+    name = lambda r: (r[0] or 0, r[1])
+    assert sorted(map(name, rows)) == sorted(name(r) for found in shards.values() for r in found)
+
+
 def test_pipeline(spark, odd, labels, tmp_path):
     """Each stage against a plain version of its rule, on whole small tables."""
     from skeinworks.llm import langid, quality
