@@ -44,18 +44,50 @@ def reach_workers(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Where the session names
-    none (tests on one machine), a fresh local folder is set."""
+    """The folder that all executors share: spark.checkpoint.dir. Where a local session names
+    none (tests on one machine), a fresh local folder is set; a cluster has to name one."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skeinworks-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="skeinworks-"))
     return sc.getCheckpointDir()
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+#: Bytes of a row group of intermediate tables: two writers to an executor hold one each.
+ROW_GROUP = 32 << 20
+_STORED: list[str] = []
+
+
+def stored(df: DataFrame, label: str, compression: str = "snappy", row_group: int = ROW_GROUP) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back. This cuts the lineage:
-    a lost executor costs no recomputation of what came before."""
+    a lost executor costs no recomputation of what came before. The table stays until
+    `discard` or `clean_up`."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _STORED.append(path)
+    df.write.option("compression", compression).option("parquet.block.size", row_group).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of `stored` that nothing reads any more."""
+    for df in tables:
+        _delete(df.sparkSession, df.stored_at)
+        _STORED.remove(df.stored_at)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all tables that `stored` has written and nothing has discarded. Results that
+    still read them are to be written before."""
+    while _STORED:
+        _delete(spark, _STORED.pop())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).delete(at, True)
