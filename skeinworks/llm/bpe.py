@@ -1,8 +1,11 @@
 """Byte-level BPE on padded matrices.
 
-Distinct pre-tokens are bucketed by length into padded matrices of ids. In each round every
-row looks its neighbouring pairs up in a hash table of merges, merges its leftmost pair of
-the least rank, and is compacted by one column; finished rows leave the matrix.
+Distinct pre-tokens are bucketed by length into padded matrices of ids, beside matrices of
+their neighbouring pairs' ranks from a hash table of merges. In each round every row merges
+its leftmost pair of the least rank, both matrices are compacted by one column, and the two
+new pairs are looked up; finished rows leave the matrix. A pre-token longer than the widest
+bucket is a matrix of one row, which in a round merges all pairs of the least rank at once
+where no other merge could come between them, and the leftmost alone where one could.
 
 Defined results
 * null text: encoded as the empty text, no ids. Ids of very long texts: encoded in full; the
@@ -14,7 +17,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from skeinworks.llm.pretokens import Splitter, WordIds, encode_slice
 from skeinworks.session import reach_workers
 
 NONE = np.int32(2**31 - 1)
-#: Widths of the padded matrices; longer pre-tokens merge one at a time with a heap.
+#: Widths of the padded matrices; a longer pre-token is a row of its own width.
 WIDTHS = (2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 128, 256)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -107,7 +109,7 @@ class MergeTable:
             for at in range(0, len(rows), max(1, (1 << 18) // width)):
                 self._merge(ids, begin, length, size, rows[at : at + max(1, (1 << 18) // width)], width)
         for r in np.flatnonzero(length > low):
-            one = self._merge_long(ids[begin[r] : begin[r] + length[r]].tolist())
+            one = self._merge_row(ids[begin[r] : begin[r] + length[r]])
             ids[begin[r] : begin[r] + len(one)] = one
             size[r] = len(one)
         return size, ids[ragged(begin, size.astype(np.int64))]
@@ -116,53 +118,64 @@ class MergeTable:
         column = np.arange(width)
         inside = column < length[rows, None]
         m = np.where(inside, ids[np.minimum(begin[rows, None] + column, len(ids) - 1)], -1).astype(np.int32)
+        rank = self.ranks(m[:, :-1], m[:, 1:])
         count = length[rows].copy()
         while True:
-            rank = self.ranks(m[:, :-1], m[:, 1:]) if m.shape[1] > 1 else np.full((len(m), 1), NONE)
-            at = rank.argmin(1)
-            best = rank[np.arange(len(m)), at]
+            r = np.arange(len(m))
+            at = rank.argmin(1) if rank.shape[1] else np.zeros(len(m), np.int64)
+            best = rank[r, at] if rank.shape[1] else np.full(len(m), NONE)
             stop = best == NONE
             if stop.any():
                 done = np.flatnonzero(stop)
                 ids[ragged(begin[rows[done]], count[done])] = m[done][np.arange(m.shape[1]) < count[done, None]]
                 size[rows[done]] = count[done]
                 going = ~stop
-                m, rows, count, at, best = m[going], rows[going], count[going], at[going], best[going]
+                m, rank, rows, count, at, best = m[going], rank[going], rows[going], count[going], at[going], best[going]
+                r = np.arange(len(m))
             if not len(m):
                 return
-            r = np.arange(len(m))
             m[r, at] = best
             keep = np.ones(m.shape, bool)
             keep[r, at + 1] = False
             m = m[keep].reshape(len(m), -1)
+            keep = np.ones(rank.shape, bool)
+            keep[r, at] = False
+            rank = rank[keep].reshape(len(m), -1)
             count -= 1
-
-    def _merge_long(self, ids: list[int]) -> list[int]:
-        n = len(ids)
-        after, before, alive = [*range(1, n), -1], [*range(-1, n - 1)], [True] * n
-        first = self.ranks(np.array(ids[:-1]), np.array(ids[1:])).tolist()
-        heap = [(rank, i) for i, rank in enumerate(first) if rank != NONE]
-        heapq.heapify(heap)
-        cache: dict[tuple[int, int], int] = {}
-
-        def rank_of(a: int, b: int) -> int:
-            if (a, b) not in cache:
-                cache[a, b] = int(self.ranks(np.array([a]), np.array([b]))[0])
-            return cache[a, b]
-
-        while heap:
-            rank, i = heapq.heappop(heap)
-            j = after[i]
-            if not alive[i] or j < 0 or rank_of(ids[i], ids[j]) != rank:
-                continue
-            ids[i], alive[j], after[i] = rank, False, after[j]
-            if after[i] >= 0:
-                before[after[i]] = i
-                if (r := rank_of(ids[i], ids[after[i]])) != NONE:
-                    heapq.heappush(heap, (r, i))
-            if before[i] >= 0 and (r := rank_of(ids[before[i]], ids[i])) != NONE:
-                heapq.heappush(heap, (r, before[i]))
-        return [x for x, a in zip(ids, alive) if a]
+            left, right = np.flatnonzero(at > 0), np.flatnonzero(at < rank.shape[1])
+            row = np.concatenate([left, right])
+            pair = np.concatenate([at[left] - 1, at[right]])
+            rank[row, pair] = self.ranks(m[row, pair], m[row, pair + 1])
+
+    def _merge_row(self, m: np.ndarray) -> np.ndarray:
+        rank = self.ranks(m[:-1], m[1:])
+        while len(rank) and (best := rank.min()) != NONE:
+            at = np.flatnonzero(rank == best)
+            # Of pairs that overlap (three equal ids) the first, third and so on can merge.
+            first = np.flatnonzero(np.append(True, np.diff(at) > 1))
+            at = at[(np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))) % 2 == 0]
+            while True:
+                keep = np.ones(len(m), bool)
+                keep[at + 1] = False
+                merged = m.copy()
+                merged[at] = best
+                merged = merged[keep]
+                place = at - np.arange(len(at))
+                before = place[place > 0]
+                left = self.ranks(merged[before - 1], merged[before])
+                if len(at) == 1:
+                    break
+                # A merge sees its left side done and its right side not: had one of those
+                # pairs a lower rank, it would come before the next merge of this rank.
+                beside = m[at[at + 2 < len(m)] + 2]
+                if (left > best).all() and (self.ranks(np.full(len(beside), best), beside) > best).all():
+                    break
+                at = at[:1]
+            m, rank = merged, np.delete(rank, at)
+            rank[before - 1] = left
+            after = place[place < len(rank)]
+            rank[after] = self.ranks(m[after], m[after + 1])
+        return m
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all ids in turn, and the number of bytes of each row of `counts` ids."""
