@@ -2,9 +2,10 @@
 
 Ids are counted over the whole input; package-merge gives the best code lengths up to
 `LIMIT` bits, and canonical codes follow from the lengths alone. Documents are coded where
-they are, dealt by ranges of their id, and written in ascending order. A file row is an
-independent block: header, documents, bit-offset checkpoints every `STRIDE` ids, and bits.
-Decoding takes all checkpoints of a block at once, one table look-up an id in each step.
+they are, dealt by ranges of their id, one range to a file, and written in ascending order. A
+file row is an independent block: header, documents, bit-offset checkpoints every `STRIDE`
+ids, and bits. Decoding takes all checkpoints of a block at once, one table look-up an id in
+each step.
 
 Layout of `path`: `codebook` (one row, the code length of every id) and `blocks` (part,
 block, first token in the part, tokens, payload), both Parquet as a container, so that
@@ -16,12 +17,14 @@ checkpoints within their document; the bits of every document, from a byte bound
 Defined results
 * null text: the end id alone. Null ids of documents: first. Very long texts: whole.
 * added tokens of the tokenizer's file that occur in a text: their own ids, as the library's.
-* equal ids of documents: all are kept, ordered by their bits.
+* equal ids of documents: all are kept, next to each other in an order of their own. An id
+  (or null) that many rows carry is dealt over as many ranges as its share of the rows is.
 * empty table: a codebook without codes, no blocks, no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import struct
@@ -33,14 +36,17 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from skeinworks.llm.batches import ragged, sliced, texts_of
 from skeinworks.llm.pretokens import Splitter, WordIds, encode_slice
-from skeinworks.session import reach_workers, shared_folder
+from skeinworks.session import discard, reach_workers, stored
 
 #: Bits of the longest code.
 LIMIT = 20
 #: Ids between two checkpoints, and ids to a block, about.
 STRIDE, BLOCK_IDS = 512, 1 << 20
-#: Text bytes to a range of ids, and ranges at most. A range is streamed, never held.
-PART_BYTES, PARTS = 32 << 20, 4096
+#: Ids to a range of documents; a range is streamed, never held. Small inputs get up to four
+#: ranges a core, down to the second number of ids.
+PART_IDS, LEAST_IDS = 1 << 26, 1 << 22
+#: Bytes of a row group of the files.
+ROW_GROUP = 8 << 20
 MAGIC = b"SKH1"
 
 
@@ -173,7 +179,7 @@ def unpack_block(payload: bytes, decoder: Decoder, stride: int = STRIDE) -> tupl
     return [None if z else int(i) for i, z in zip(ids, null)], tokens, out
 
 
-_HERE: dict[int, tuple] = {}
+_HERE: dict[str, tuple] = {}
 
 
 def added_tokens(tokenizer) -> tuple[re.Pattern | None, dict[str, int]]:
@@ -200,28 +206,41 @@ def cut_at_added(texts: list[str], pattern: re.Pattern | None, added: dict[str,
 
 def _tokenizer(spec: str) -> tuple[Splitter, WordIds, re.Pattern | None, dict[str, int]]:
     """A worker's tokenizer, the pre-tokens it has met and the added tokens, kept between its tasks."""
-    key = zlib.crc32(spec.encode())
+    key = hashlib.sha1(spec.encode()).hexdigest()
     if key not in _HERE:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(spec)
+        # A byte-level token has a character for each of its bytes.
+        length = np.zeros(tokenizer.get_vocab_size(), np.int64)
+        for token, i in tokenizer.get_vocab().items():
+            length[i] = len(token)
 
         def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-            got = []
-            for k in range(0, len(words), 4096):  # the library's results are large next to their ids
-                got += [e.ids for e in tokenizer.encode_batch_fast([w.decode() for w in words[k : k + 4096]], add_special_tokens=False)]
-            return np.fromiter(map(len, got), np.int32, len(got)), np.array([i for ids in got for i in ids], np.int32)
-
-        _HERE[key] = Splitter(), WordIds(encode, 300_000), *added_tokens(tokenizer)
+            """Words go to the library many at a time, as one text split beforehand; where
+            each one's ids end is told by their bytes."""
+            sizes, flat = [], []
+            for k in range(0, len(words), 1024):
+                part = words[k : k + 1024]
+                ids = np.array(tokenizer.encode_batch_fast([[w.decode() for w in part]], is_pretokenized=True, add_special_tokens=False)[0].ids, np.int32)
+                reach, ends = np.cumsum(length[ids]), np.cumsum([len(w) for w in part])
+                stop = np.searchsorted(reach, ends) + 1
+                if len(ids) != stop[-1] or (reach[stop - 1] != ends).any():
+                    raise ValueError("the tokenizer's ids do not spell its pre-tokens")
+                sizes.append(np.diff(stop, prepend=0))
+                flat.append(ids)
+            return np.concatenate(sizes), np.concatenate(flat)
+
+        _HERE[key] = Splitter(), WordIds(encode, 1_000_000), *added_tokens(tokenizer)
     return _HERE[key]
 
 
-def token_ids(docs: DataFrame, spec: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, ids: little-endian uint16, or uint32 where the vocabulary needs it, with end_id
-    at the end. Texts are cut at added tokens, then the tokenizers library encodes each
-    distinct pre-token that a worker meets; as it cuts at the same tokens and its byte-level
-    pre-tokenizer splits at the same bounds, texts come out the same."""
+def token_ids(docs: DataFrame, spec: str, end_id: int, key: str = "doc_id", text: str = "text", wide: bool = True) -> DataFrame:
+    """key, ids: little-endian uint32 (uint16 if not wide) with end_id at the end. Texts are
+    cut at added tokens, then the tokenizers library encodes each distinct pre-token that a
+    worker meets; as it cuts at the same tokens and its byte-level pre-tokenizer splits at
+    the same bounds, texts come out the same."""
     reach_workers(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(spec)
 
@@ -230,18 +249,14 @@ def token_ids(docs: DataFrame, spec: str, end_id: int, key: str = "doc_id", text
         for b in sliced(batches, text):
             segments, after, n = cut_at_added(texts_of(b, text), pattern, added, end_id)
             ids, counts = encode_slice(splitter, words, segments)
-            out = np.insert(ids, np.cumsum(counts), after).astype("<u4")
-            ends = np.cumsum((counts + 1) * 4)[np.cumsum(n) - 1]
+            out = np.insert(ids, np.cumsum(counts), after).astype("<u4" if wide else "<u2")
+            ends = np.cumsum((counts + 1) * out.itemsize)[np.cumsum(n) - 1].tolist()
             data = out.tobytes()
-            yield pa.RecordBatch.from_arrays([b.column(key), pa.array([data[a:e] for a, e in zip([0, *ends.tolist()], ends.tolist())], pa.binary())], names=[key, "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array([data[a:e] for a, e in zip([0, *ends], ends)], pa.binary())], names=[key, "ids"])
 
     return docs.select(key, text).mapInArrow(run, f"{key} long, ids binary")
 
 
-def _narrow(ids: DataFrame, key: str, wide: bool) -> DataFrame:
-    return ids if wide else ids.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([b.column(key), pa.array([np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in b.column("ids").to_pylist()], pa.binary())], names=[key, "ids"]) for b in batches), ids.schema)
-
-
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, key: str = "doc_id", text: str = "text") -> None:
     """Encode docs and write them to `path`, which must not exist."""
     import json
@@ -251,11 +266,13 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, key:
     known = json.loads(spec)
     vocab = max([*known["model"]["vocab"].values(), *(t["id"] for t in known.get("added_tokens") or []), end_id]) + 1
     kind = "<u4" if vocab > 1 << 16 else "<u2"
-    rows = token_ids(docs, spec, end_id, key, text)
-    # Ids wait in the shared folder for the counts; zstd brings them near their entropy.
-    waiting = f"{shared_folder(spark)}/huffman-ids-{os.urandom(8).hex()}"
-    _narrow(rows, key, kind == "<u4").write.option("compression", "zstd").parquet(waiting)
-    ids = spark.read.schema(f"{key} long, ids binary").parquet(waiting)
+    rows = token_ids(docs, spec, end_id, key, text, wide=kind == "<u4")
+    # Ids wait in the shared folder for the counts; zstd brings them near their entropy. The
+    # salt is stored with them: it orders the rows of one id, on every later read alike.
+    waiting = stored(
+        rows.select(key, "ids", F.coalesce(key, F.lit(-(1 << 63))).alias("place"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 30)).alias("salt")),
+        "huffman-ids", compression="zstd", row_group=ROW_GROUP,
+    )
 
     def histogram(batches):
         count = np.zeros(vocab, np.int64)
@@ -267,32 +284,35 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, key:
 
     counts = np.zeros(vocab, np.int64)
     # At most one row for each id of the vocabulary.
-    for row in ids.select("ids").mapInArrow(histogram, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for row in waiting.select("ids").mapInArrow(histogram, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[row.id] = row.n
     lengths = code_lengths(counts)
     spark.createDataFrame([(bytearray(lengths.astype(np.uint8).tobytes()), STRIDE, int(counts.sum()))], "lengths binary, stride int, tokens long").coalesce(1).write.parquet(f"{path}/codebook")
 
-    total, cuts = docs.agg(F.sum(F.octet_length(text)), F.percentile_approx(key, [k / 1000 for k in range(1, 1000)], 100_000)).first()
-    parts = int(min(PARTS, 1000, max(1, (total or 0) // PART_BYTES + 1)))
-    inner = sorted({cuts[round(1000 * k / parts) - 1] for k in range(1, parts)}) if cuts and parts > 1 else []
-    code = spark.sparkContext.broadcast((lengths, canonical_codes(lengths), np.array(inner, np.int64)))
+    total = int(counts.sum())
+    parts = max(1, -(-total // PART_IDS), min(4 * spark.sparkContext.defaultParallelism, total // LEAST_IDS))
+    # One bound for each range: quantiles of the ids, off by a tenth of a range at most.
+    cuts = waiting.agg(F.percentile_approx("place", [k / parts for k in range(1, parts)], 10 * parts + 10_000)).first()[0] if parts > 1 else []
+    code = spark.sparkContext.broadcast((lengths, canonical_codes(lengths), np.array(cuts, np.int64)))
 
     def coded(batches):
         size, codes, bounds = code.value
         for b in sliced(batches, "ids", 1 << 20):
-            keys = b.column(key)
-            known = keys.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
+            place = b.column("place").to_numpy()
+            # Rows of an id that fills ranges of its own go to them by their salt.
+            low, high = np.searchsorted(bounds, place, side="left"), np.searchsorted(bounds, place, side="right")
+            part = low + (b.column("salt").to_numpy() * (high - low + 1) >> 30)
             each = [np.frombuffer(x.as_buffer(), kind) for x in b.column("ids")]
             n = np.array([len(x) for x in each], np.int64)
             bits, sizes, offsets, points = encode_bits(np.concatenate(each).astype(np.int64), n, size, codes)
             ends, marks = np.cumsum(sizes).tolist(), np.cumsum(points).tolist()
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.searchsorted(bounds, known, side="left").astype(np.int32)), keys, pa.array(n),
+                    pa.array(part.astype(np.int32)), b.column(key), b.column("place"), b.column("salt"), pa.array(n),
                     pa.array([bits[e - s : e] for e, s in zip(ends, sizes.tolist())], pa.binary()),
                     pa.array([offsets[e - p : e].astype("<u4").tobytes() for e, p in zip(marks, points.tolist())], pa.binary()),
                 ],
-                names=["part", key, "n", "bits", "offsets"],
+                names=["part", key, "place", "salt", "n", "bits", "offsets"],
             )
 
     def blocks(batches):
@@ -314,8 +334,11 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, key:
         if held:
             yield done()
 
-    dealt = ids.mapInArrow(coded, f"part int, {key} long, n long, bits binary, offsets binary").repartition(parts, "part").sortWithinPartitions("part", key, F.xxhash64("bits"))
-    dealt.mapInArrow(blocks, "part int, block int, first long, tokens long, payload binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    dealt = waiting.mapInArrow(coded, f"part int, {key} long, place long, salt long, n long, bits binary, offsets binary")
+    ranged = dealt.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "place", "salt").select("part", key, "n", "bits", "offsets")
+    files = ranged.mapInArrow(blocks, "part int, block int, first long, tokens long, payload binary").write
+    files.option("compression", "none").option("parquet.block.size", ROW_GROUP).parquet(f"{path}/blocks")
+    discard(waiting)
 
 
 def read(spark: SparkSession, path: str, key: str = "doc_id", digest: bool = False) -> DataFrame:
@@ -326,7 +349,7 @@ def read(spark: SparkSession, path: str, key: str = "doc_id", digest: bool = Fal
     lengths = spark.sparkContext.broadcast(np.frombuffer(bytes(book.lengths), np.uint8).astype(np.int64))
     stride = book.stride
     blocks = spark.read.schema("part int, block int, first long, tokens long, payload binary").parquet(f"{path}/blocks")
-    # One row a range, PARTS at most.
+    # One row a range, of PART_IDS ids or more but for small inputs.
     base = blocks.groupBy("part").agg(F.sum("tokens").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "base")
 
     def run(batches):
