@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
@@ -54,6 +55,46 @@ def test_bpe_cuts_long_texts(monkeypatch):
     assert ids.tolist() == TIKTOKEN.encode_ordinary(text)
 
 
+def thue_morse(k):
+    """Two different words of 2**k letters whose polynomials modulo 2**64 are equal, for any odd base, from k = 11 on."""
+    bits = [bin(i).count("1") % 2 for i in range(1 << k)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("k", [10, 11, 12])
+def test_pre_tokens_of_one_hash(k):
+    a, b = thue_morse(k)
+    splitter = pretokens.Splitter()
+    _, codes, begin, end, _ = splitter.bounds([a, b])
+    assert k < 11 or len(set(splitter.hashes(codes, begin, end).tolist())) == 1
+    want = [TIKTOKEN.encode_ordinary(t) for t in (a, b)]
+    assert want[0] != want[1]
+    words = pretokens.WordIds(MERGES.encode)
+    for texts in ([a, b], [b], [a], [b, "x", b, a]):  # in one batch, and against what is kept
+        ids, _ = pretokens.encode_slice(splitter, words, texts)
+        assert ids.tolist() == [i for t in texts for i in TIKTOKEN.encode_ordinary(t)]
+
+
+@pytest.mark.parametrize("letters", ["a", "ab", "etaoin", "abcdefghijklmnopqrstuvwxyz", "é漢", "0123", "=-_"])
+def test_long_pre_tokens(letters):
+    rnd = random.Random(7)
+    for n in (255, 257, 300, 3000):
+        word = "".join(rnd.choice(letters) for _ in range(n))
+        size, ids = MERGES.encode([word.encode(), b"it"])
+        assert ids.tolist() == TIKTOKEN.encode_ordinary(word) + TIKTOKEN.encode_ordinary("it") and size.sum() == len(ids)
+
+
+def test_colliding_texts_in_queries(spark):
+    texts = [*thue_morse(11), "plain words"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.ids for r in bpe.encode(docs, RANKS).collect()}
+    assert [got[k] for k in range(3)] == [TIKTOKEN.encode_ordinary(t) for t in texts]
+    path = f"{shared_folder(spark)}/huffman-test-colliding"
+    huffman.write(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
+    rows = sorted(huffman.read(spark, path).collect(), key=lambda r: r.doc_id)
+    assert [list(r.ids) for r in rows] == library_ids(texts)
+
+
 def test_bpe_query(spark, odd):
     got = [r for r in bpe.digests(odd, RANKS).collect()]
     assert len(got) == odd.count() and all(r.round_trip for r in got)
@@ -105,7 +146,6 @@ def test_huffman_blocks(rows):
 
 def library_ids(texts):
     t = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [e.ids + [0] for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -135,6 +175,23 @@ def test_huffman_added_tokens(spark):
     assert [r.start for r in got] == [sum(map(len, want[:k])) for k in range(len(want))]
 
 
+def test_huffman_ranges(spark, monkeypatch):
+    """Files ascend by id; an id and a null that many rows carry fill ranges of their own."""
+    monkeypatch.setattr(huffman, "PART_IDS", 300)
+    rows = [(k, f"text number {k}") for k in range(200)] + [(77, f"again {k}") for k in range(150)] + [(None, f"no id {k}") for k in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    path = f"{shared_folder(spark)}/huffman-test-ranges"
+    huffman.write(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
+    got = sorted(huffman.read(spark, path).collect(), key=lambda r: r.start)
+    ids = [r.doc_id for r in got]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i)) and [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got[:-1])]).tolist()
+    assert sorted((r.doc_id is not None, r.doc_id or 0, list(r.ids)) for r in got) == sorted((i is not None, i or 0, x) for (i, _), x in zip(rows, library_ids([t for _, t in rows])))
+    blocks = spark.read.parquet(f"{path}/blocks").withColumn("file", F.input_file_name())
+    files = blocks.groupBy("file").agg(F.collect_set("part").alias("parts"), F.sum("tokens").alias("n")).orderBy("file").collect()
+    assert [r.parts[0] for r in files] == sorted(r.parts[0] for r in files) and all(len(r.parts) == 1 for r in files)
+    assert len(files) > 5 and max(r.n for r in files) < 900
+
+
 def slow_fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
     shingles = [" ".join(words[k : k + 3]) for k in range(len(words) - 2)] if len(words) >= 3 else [" ".join(words)] * bool(words)
@@ -154,6 +211,56 @@ def test_bit_sliced_links(radius):
     assert set(zip(i.tolist(), j.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(want))))
 
 
+@pytest.mark.parametrize("most", [3, 16, 17, 200])
+def test_keys_share_planes(most):
+    """Keys of every size, tiled or not, side by side in the planes: links stay within a key."""
+    rng = np.random.default_rng(most)
+    rows = []
+    for key in range(60):
+        base = rng.integers(0, 2**63)
+        tiled = key % 3 == 0
+        for _ in range(rng.integers(1, most + 1)):
+            fp = int(base)
+            for b in rng.choice(64, rng.integers(0, 4), replace=False):
+                fp ^= 1 << int(b)
+            rows.append((fp - (fp >> 63 << 64), key % 10, key, 2 if tiled else 0, 5 if tiled else 0, int(rng.choice([2, 5])) if tiled else 0))
+    batch = pd.DataFrame(rows, columns=["fp", "which", "value", "x", "y", "t"]).sample(frac=1, random_state=1)
+    a, b = simhash.links_of_keys(batch)
+    got, want = collections.defaultdict(set), collections.defaultdict(set)
+    for name, (left, right) in (("got", (a, b)),):
+        for x, y in zip(left.tolist(), right.tolist()):
+            got[x].add(y), got[y].add(x)
+    for _, part in batch.groupby(["which", "value"]):
+        fps, t = part.fp.to_numpy(), part.t.to_numpy()
+        near = np.bitwise_count((fps[:, None] ^ fps[None]).view(np.uint64)) <= 3
+        if part.x.iloc[0] != part.y.iloc[0]:
+            near &= t[:, None] != t[None]
+        root = local_stars(len(fps), *np.nonzero(near))
+        for i, r in enumerate(root):
+            want[int(fps[r])].add(int(fps[i]))
+    reach = lambda links: {frozenset(c) for c in union(links) if len(c) > 1}
+    assert reach(got) == reach(want)
+
+
+def union(links):
+    left, out = {k: set(v) | {k} for k, v in links.items()}, []
+    for v in [x for v in links.values() for x in v]:
+        left.setdefault(v, {v})
+    while left:
+        k, group = left.popitem()
+        waiting = set(group)
+        while waiting:
+            x = waiting.pop()
+            more = left.pop(x, set()) - group
+            group |= more
+            waiting |= more
+            for y in [y for y, v in left.items() if x in v]:
+                group |= left.pop(y)
+                waiting |= group - {x}
+        out.append(group)
+    return out
+
+
 @pytest.mark.parametrize("tile", [4096, 5])
 def test_simhash_query(spark, odd, tile, monkeypatch):
     monkeypatch.setattr(simhash.links, "__defaults__", (simhash.RADIUS, tile))
