@@ -29,6 +29,13 @@ def rows_of(packed, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(packed), np.float64).reshape(-1, dim)
 
 
+def fixed(column: pa.ChunkedArray, kind: str, width: int) -> np.ndarray:
+    """A column of binaries, each of `width` numbers of a kind, as a matrix."""
+    parts = [c.cast(pa.binary()) for c in column.chunks if len(c)]
+    rows = [np.frombuffer(c.buffers()[2], kind, len(c) * width, np.frombuffer(c.buffers()[1], np.int32)[c.offset]).reshape(-1, width) for c in parts]
+    return np.concatenate([np.zeros((0, width), kind), *rows])
+
+
 def packed(x: np.ndarray) -> pa.Array:
     size = x.shape[1] * x.itemsize
     data = np.ascontiguousarray(x).tobytes()

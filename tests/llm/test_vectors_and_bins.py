@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from skeinworks.llm import packing, pq, queries, rabitq, sharding
+from skeinworks.llm import packing, pq, queries, rabitq, sharding, simhash
 from skeinworks.llm.components import local_stars
 from skeinworks.session import table
 from tests.conftest import SF, SMALL
@@ -34,6 +34,7 @@ def usable(rows):
 @pytest.mark.parametrize("row_block, query_block", [(16384, 2048), (90, 7)])
 def test_neighbours(spark, vectors, row_block, query_block, monkeypatch):
     monkeypatch.setattr(rabitq, "ROW_BLOCK", row_block)
+    monkeypatch.setattr(rabitq, "LEAST_BLOCK", row_block)
     monkeypatch.setattr(rabitq, "QUERY_BLOCK", query_block)
     ids, x = usable(vectors.collect())
     got = {}
@@ -61,6 +62,31 @@ def test_neighbours_few(spark, vectors):
     assert rabitq.search(vectors.where("vec_id >= 3000"), F.lit(True)).where("query_id >= 3007").count() == 0
 
 
+def test_repeated_queries(spark):
+    """Copies of a query are one query; another vector of its id is a query of its own."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(101, 8)).tolist()
+    rows = [(k, v) for k, v in enumerate(x)]
+    ids, known = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+
+    def best(v, own):
+        score = np.where(ids == own, -np.inf, known @ np.array(v))
+        return np.lexsort((ids, -score))[:20].tolist()
+
+    def found(more):
+        got = {}
+        for r in rabitq.search(spark.createDataFrame(rows + more, "vec_id long, embedding array<double>").repartition(4), F.col("vec_id") % 20 == 0).collect():
+            got.setdefault((r.query_id, r.rank), []).append(r.vec_id)
+        return got
+
+    twice = found([rows[20]] * 3)
+    assert all(len(v) == 1 for v in twice.values())
+    assert [twice[20, k][0] for k in range(1, 21)] == best(x[20], 20)
+    other = rng.normal(size=8).tolist()
+    both = found([(20, other)])
+    assert sorted(v for k in range(1, 21) for v in both[20, k]) == sorted(best(x[20], 20) + best(other, 20))
+
+
 def test_recall_on_embeddings(spark):
     rows = table(spark, SF, "embeddings")
     ids, x = (lambda p: (p.vec_id.to_numpy(), np.stack(p.embedding).astype(np.float64)))(rows.toPandas())
@@ -109,28 +135,40 @@ def test_near_duplicates_of_uneven_spread(spark, tile, monkeypatch):
     assert link.sum() > 10_000 and got == [(k, int(n), int(c)) for k, (n, c) in enumerate(zip(link.sum(1), root))]
 
 
-def slow_best_fit(lengths, capacities, overhead):
+def slow_packing(lengths, capacities, opening):
     bins, where = [], []
     for k, n in enumerate(lengths):
         fits = [(c - sum(b), i) for i, (c, b) in enumerate(bins) if c - sum(b) >= n]
-        if fits:
-            i = min(fits)[1]
-        else:
-            left = sum(lengths[k + 1 :])
-            i = len(bins)
-            bins.append((min((c for c in capacities if c >= n), key=lambda c: ((c + overhead) / min(c, n + left), c)), []))
+        i = min(fits)[1] if fits else len(bins)
+        if not fits:
+            bins.append((opening(k), []))
         bins[i][1].append(n)
         where.append(i)
     return where, [min(c for c in capacities if c >= sum(b)) for _, b in bins]
 
 
+def slow_opening(lengths, k, capacities, cost):
+    """Fill each bin that could open by walking all later pieces, and take the cheapest a token."""
+    prices = []
+    for c in capacities:
+        if c >= lengths[k]:
+            used = lengths[k]
+            for n in lengths[k + 1 :]:
+                used += n if used + n <= c else 0
+            prices.append((cost(min(x for x in capacities if x >= used)) / used, c))
+    return min(prices)[1]
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_best_fit(seed):
     rnd = random.Random(seed)
     capacities = [16, 32, 64, 128]
+    cost = lambda c: c + c * c / 500 + 4
     lengths = sorted((min(128, int(rnd.paretovariate(0.6))) for _ in range(200)), reverse=True)
-    where, offsets, sizes = packing.best_fit(lengths, capacities, 4)
-    assert (where, sizes) == slow_best_fit(lengths, capacities, 4)
+    rules = [lambda k: slow_opening(lengths, k, capacities, cost), *(lambda k, least=c: min(x for x in capacities if x >= max(least, lengths[k])) for c in capacities)]
+    want = [slow_packing(lengths, capacities, rule) for rule in rules]
+    where, offsets, sizes = packing.best_fit(lengths, capacities, cost)
+    assert (where, sizes) == min(want, key=lambda w: sum(map(cost, w[1])))
     used = [0] * len(sizes)
     for b, o, n in zip(where, offsets, lengths):
         assert o == used[b]
@@ -138,6 +176,20 @@ def test_best_fit(seed):
     assert all(u <= c for u, c in zip(used, sizes))
 
 
+def test_lengths_compete():
+    """Pieces that fill short sequences get short ones; pieces that would leave them half
+    empty get the length where they fit; one length alone costs more than the choice."""
+    total = lambda sizes: sum(map(packing.sequence_cost, sizes))
+    assert set(packing.best_fit([2048] * 40)[2]) == {2048}
+    assert set(packing.best_fit([2730] * 36)[2]) == {8192}
+    mixed = [2730] * 36 + [2048] * 40
+    chosen = packing.best_fit(mixed)[2]
+    assert set(chosen) == {2048, 8192}
+    for alone in packing.CAPACITIES:
+        fixed = packing._packed(mixed, list(packing.CAPACITIES), lambda k: next(c for c in packing.CAPACITIES if c >= max(alone, mixed[k])))[2]
+        assert total(chosen) < total(fixed)
+
+
 @pytest.mark.parametrize("group", [8192, 4])
 def test_packing(spark, odd, group):
     got = packing.pack(odd, F.octet_length("text"), group_pieces=group).toPandas()
@@ -208,7 +260,7 @@ def test_written_shards_fit(spark, tmp_path):
 def test_pipeline(spark, odd, labels, tmp_path):
     """Each stage against a plain version of its rule, on whole small tables."""
     from skeinworks.llm import langid, quality
-    from tests.llm.test_texts import repeats, slow_fingerprint
+    from tests.llm.test_texts import repeats, slow_wide
 
     docs = table(spark, SF, "documents")
     model = quality.train(docs, table(spark, SF, "labels"))
@@ -221,8 +273,13 @@ def test_pipeline(spark, odd, labels, tmp_path):
     stage = corpus_pipeline.language_id(spark, stage, SF)
     assert sorted(r.doc_id for r in stage.collect()) == sorted(known.doc_id)
     known = known.sort_values("doc_id")
-    fps = np.array([slow_fingerprint(t) for t in known.text], np.uint64)
-    root = local_stars(len(fps), *np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None]) <= 3))
+    fps = [slow_wide(t) for t in known.text]
+    differ = np.array([[(x ^ y).bit_count() for y in fps] for x in fps])
+    bits = np.array([[x >> b & 1 for b in range(256)] for x in fps])
+    meet = np.zeros_like(differ, bool)
+    for key in simhash.sampled_bits(len(set(fps))):
+        meet |= (bits[:, None, key] == bits[None, :, key]).all(2)
+    root = local_stars(len(fps), *np.nonzero(meet & (differ <= simhash.NEAR_RADIUS)))
     one = known[root == np.arange(len(known))]
     stage = spark.createDataFrame(known[docs.columns])
     stage = corpus_pipeline.simhash_near_dedup(spark, stage, SF)
