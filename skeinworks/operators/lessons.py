@@ -10,6 +10,8 @@ from skeinworks.session import stored
 
 #: Lessons that a playbook keeps, and the cosine above which a lesson is known already.
 KEPT, SIMILAR = 120, 0.82
+#: Terms of a side, up to which its rows (some 30 bytes each) are broadcast.
+BROADCAST_ROWS = 500_000
 
 
 @dataclass(frozen=True)
@@ -76,24 +78,42 @@ def terms(texts: DataFrame, key: str, text: str) -> DataFrame:
     return texts.select(key, F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"\w{3,}"), F.lit(0))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
+def cosine_candidates(left: DataFrame, right: DataFrame, left_key: str, right_key: str, least: float) -> DataFrame:
+    """left_key, right_key of the pairs that can exceed `least`. Both sides order their terms
+    alike, the right side's most frequent first, and leave out the first ones as long as their
+    share of the vector's norm cannot reach `least`. Of the terms a pair shares, those that
+    one side leaves out include those that the other does, so a pair above `least` shares a
+    term that both keep. left, right: (key, term, tf, norm, df)."""
+
+    def kept(rows: DataFrame, key: str) -> DataFrame:
+        until = Window.partitionBy(key).orderBy(F.desc("df"), "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        share = F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(until)) / F.col("norm")
+        return rows.withColumn("__share", share).where(F.col("__share") > least * (1 - 1e-9)).select(key, "term")
+
+    return kept(left, left_key).join(_small(kept(right, right_key), right), "term").select(left_key, right_key).distinct()
+
+
+def _small(df: DataFrame, of: DataFrame) -> DataFrame:
+    """df to be broadcast where `of`, which has as many rows at least, is small."""
+    return F.broadcast(df) if of.count() <= BROADCAST_ROWS else df
+
+
 def cosine_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, least: float = 0.0) -> DataFrame:
-    """left_key, right_key, cosine of term vectors (key, term, tf) above `least`. Pairs meet
-    on their terms only. Before the join, a vector drops its most frequent terms as long as
-    the share of its norm that is left out cannot reach `least` by itself, so very common
-    terms of long texts pair nothing that the rest would not pair as well; the exact cosine
-    is computed for the pairs found."""
+    """left_key, right_key, cosine of term vectors (key, term, tf) above `least`: one join on
+    terms, summed for the candidates. A left row without a term of the right side only counts
+    in its vector's norm; the right side is broadcast where it has no more than BROADCAST_ROWS
+    terms."""
     # Every step below reads the terms; taking them from the texts each time costs far more.
     left, right = stored(left, "terms"), stored(right, "terms")
     norms = lambda v, k: v.groupBy(k).agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
-    ln, rn = norms(left, left_key), norms(right, right_key)
-    df = left.select("term").unionAll(right.select("term")).groupBy("term").agg(F.count("*").alias("df"))
-    rare = Window.partitionBy(left_key).orderBy(F.desc("df"), "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # The prefix of common terms whose norm stays under `least` of the whole is left out.
-    prefix = left.join(df, "term").join(ln, left_key).withColumn("__left", F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(rare)) / F.col("norm"))
-    probe = prefix.where(F.col("__left") > least * (1 - 1e-9)).select(left_key, "term") if least > 0 else left.select(left_key, "term")
-    pairs = probe.join(right.select(right_key, "term"), "term").select(left_key, right_key).distinct()
-    dot = pairs.join(left, left_key).join(right.withColumnRenamed("tf", "__tf"), [right_key, "term"]).groupBy(left_key, right_key).agg(F.sum(F.col("tf") * F.col("__tf")).alias("dot"))
-    return dot.join(ln.withColumnRenamed("norm", "__ln"), left_key).join(rn, right_key).select(left_key, right_key, (F.col("dot") / (F.col("__ln") * F.col("norm"))).alias("cosine")).where(F.col("cosine") > least)
+    df = right.groupBy("term").agg(F.count("*").alias("df"))
+    named = stored(right.join(df, "term").join(norms(right, right_key), right_key), "terms-right")
+    met = stored(left.join(_small(df, named), "term").join(norms(left, left_key), left_key), "terms-left")
+    pairs = cosine_candidates(met, named, left_key, right_key, least)
+    other = named.select(right_key, "term", F.col("tf").alias("__tf"), F.col("norm").alias("__norm"))
+    dot = met.join(_small(other, named), "term").join(pairs, [left_key, right_key], "left_semi").groupBy(left_key, right_key)
+    cosine = F.sum(F.col("tf") * F.col("__tf")) / (F.first("norm") * F.first("__norm"))
+    return dot.agg(cosine.alias("cosine")).where(F.col("cosine") > least)
 
 
 def curate(new: DataFrame, known: DataFrame, key: str, text: str, known_key: str, known_text: str, similar: float = SIMILAR) -> DataFrame:

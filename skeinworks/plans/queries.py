@@ -180,7 +180,7 @@ UNION SELECT DISTINCT 'supplier::' || l_suppkey, 'part::' || l_partkey FROM line
 
 @register(_reach(_BOTH, "supplier::0", 2))
 def impact_cycle(spark, sf):
-    pairs = table(spark, sf, "lineitem").select(_node("part", "l_partkey").alias("src"), _node("supplier", "l_suppkey").alias("dst")).distinct()
+    pairs = stored(table(spark, sf, "lineitem").select(_node("part", "l_partkey").alias("src"), _node("supplier", "l_suppkey").alias("dst")).distinct(), "edges")
     both = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     return traverse.impact(both, spark.createDataFrame([("supplier::0",)], "id string"), 2)
 
