@@ -3,15 +3,25 @@
 Fingerprints: the majority bit over the XXH64 of every 3-word shingle, repeats included.
 Equal fingerprints fold into one before anything is compared. The 64 bits fall into five
 bands; fingerprints with up to three differing bits agree on two bands at least, so each goes
-to the ten keys of two bands. The fingerprints of a key are compared bit-sliced: 64 of them
-share a word per bit plane, differences are added up by carry-save counters, and a block is
-left as soon as all its lanes exceed the radius. A key with more fingerprints than one task
-should hold is cut into tiles and compared tile against tile, so no link is lost. A task
-emits its links as stars, at most one per fingerprint, and never its pairs.
+to the ten keys of two bands. The fingerprints of all keys of a task, in the order of their
+keys, are stored as bit planes, 64 of them to a word; a lane mask keeps keys apart, so small
+keys share words and large ones fill many. A fingerprint meets the words of its key: differences
+are added up by carry-save counters, which start so that they overflow beyond the radius, and a
+block is left as soon as all its lanes did. A key with more fingerprints than one task should
+hold is cut into tiles and compared tile against tile, so no link is lost. A task emits its
+links as stars, at most one per fingerprint, and never its pairs.
+
+`near_duplicates` links fingerprints of 64 bits that differ in three or fewer: all such pairs.
+`similar` and `keep` are for texts that share about 0.8 of their 5-word shingles: fingerprints
+of 256 bits, mixed from the same hashes, which differ in 39 of them at that similarity, 26 at
+0.9 and 128 when unrelated. They link up to `NEAR_RADIUS`, which 0.9 of the pairs at 0.8 keep,
+all at 0.9 and one in ten at 0.65. Keys are samples of the bits, as many as find 0.97 of the
+pairs at 0.8; their number of bits grows with the logarithm of the number of fingerprints.
 
 Defined results
 * null text: as the empty text. No word: fingerprint zero, linked like any other.
-* repeated rows: one component. Empty table: no rows. Extra columns are ignored.
+* repeated rows: one component. Empty table: no rows. Extra columns are ignored, or kept by
+  `keep`. Ties of a group go to the least key; keys that are null count as one key.
 """
 
 from __future__ import annotations
@@ -38,6 +48,11 @@ BANDS = (13, 13, 13, 13, 12)
 TILE = 4096
 #: Keyed fingerprints that a task compares at once, about; the number of groups follows.
 GROUP_ROWS = 100_000
+#: Words to a shingle, words of 64 bits to a fingerprint and differing bits of `similar`.
+NEAR_WORDS, NEAR_WIDTH, NEAR_RADIUS = 5, 4, 46
+#: Share of its bits in which a pair at a similarity of 0.8 differs, the share of such pairs
+#: that meet in a key, and the binary logarithm of the fingerprints that a key holds by chance.
+NEAR_DIFFER, NEAR_FOUND, NEAR_CHANCE = 0.152, 0.97, 6
 
 
 def shingle_hashes(text: str, words: int = WORDS, seed: int = SEED) -> np.ndarray:
@@ -76,56 +91,80 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
     return docs.select(key, text).mapInArrow(run, f"{key} long, fp long")
 
 
+def wide_fingerprint(text: str, words: int = NEAR_WORDS, width: int = NEAR_WIDTH, seed: int = SEED) -> np.ndarray:
+    """`width` words of majority bits, each over another mix of the shingles' hashes."""
+    h = shingle_hashes(text, words, seed)
+    ones = np.zeros(64 * width, np.int64)
+    for at in range(0, len(h), 255):
+        mixed = h[at : at + 255, None] + np.arange(width, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(30)
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(31)
+        ones += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(h), bitorder="little").view("<u8")
+
+
 def planes_of(fps: np.ndarray) -> np.ndarray:
-    """64 rows, one for each bit; in each, 64 fingerprints to a word. The last word is padded."""
-    padded = np.zeros(-(-len(fps) // 64) * 64, np.uint64)
-    padded[: len(fps)] = fps
-    bits = np.unpackbits(padded.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    """One row for each bit of the fingerprints (a word each, or rows of words); in each, 64
+    fingerprints to a word. The last word is padded."""
+    wide = fps.reshape(len(fps), -1)
+    padded = np.zeros((-(-len(fps) // 64) * 64, wide.shape[1]), "<u8")
+    padded[: len(fps)] = wide
+    bits = np.unpackbits(padded.view(np.uint8), axis=1, bitorder="little")
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u8")
 
 
-def links_between(left: np.ndarray, right: np.ndarray, radius: int = RADIUS, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Indices (i, j) of all pairs within the radius."""
-    planes = planes_of(right)
-    words = planes.shape[1]
+FULL = np.uint64(2**64 - 1)
+
+
+def links_in_lanes(fps: np.ndarray, first: np.ndarray, end: np.ndarray, radius: int = RADIUS, blocks: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
+    """Indices (i, j) of all pairs within the radius with first[i] <= j < end[i]."""
+    planes = planes_of(fps)
+    low = first // 64
+    words = np.where(first < end, (end - 1) // 64 - low + 1, 0)
+    total = np.concatenate([[0], np.cumsum(words)])
+    out_i, out_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in range(0, int(total[-1]), blocks):
+        # Blocks: a fingerprint and a word of 64 lanes, of which those of its range count.
+        block = np.arange(at, min(at + blocks, int(total[-1])))
+        q = np.searchsorted(total, block, side="right") - 1
+        w = low[q] + block - total[q]
+        below, above = np.maximum(first[q] - 64 * w, 0).astype(np.uint64), np.maximum(64 * (w + 1) - end[q], 0).astype(np.uint64)
+        i, j = _near_lanes(fps.reshape(len(fps), -1), planes, q, w, ~((FULL << below) & (FULL >> above)), radius)
+        out_i.append(i)
+        out_j.append(j)
+    return np.concatenate(out_i), np.concatenate(out_j)
+
+
+def _near_lanes(fps: np.ndarray, planes: np.ndarray, q: np.ndarray, w: np.ndarray, over: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within the radius of blocks (q, w); lanes set in `over` are out from the start."""
     levels = radius.bit_length()
-    full = np.uint64(2**64 - 1)
-    out_i, out_j = [], []
-    for at in range(0, len(left), rows):
-        part = left[at : at + rows]
-        query = np.where((part[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1), full, np.uint64(0))
-        # Blocks still in play: pairs of a query and a word of 64 fingerprints.
-        q, w = np.divmod(np.arange(len(part) * words), words)
-        count = np.zeros((levels, len(q)), np.uint64)
-        over = np.zeros(len(q), np.uint64)
-        for bit in range(64):
-            carry = query[q, bit] ^ planes[bit, w]
-            for level in range(levels):  # carry-save: add one bit to 64 counters at once
-                count[level], carry = count[level] ^ carry, count[level] & carry
-            over |= carry
-            if radius != (1 << levels) - 1:
-                above = np.zeros(len(q), np.uint64)
-                equal = np.full(len(q), full)
-                for level in reversed(range(levels)):
-                    have = full if radius >> level & 1 else np.uint64(0)
-                    above |= equal & count[level] & ~have
-                    equal &= ~(count[level] ^ have)
-                over |= above
-            if bit % 4 == 3 and bit > 8:
-                live = over != full
-                if not live.all():
-                    q, w, over, count = q[live], w[live], over[live], count[:, live]
-                    if not len(q):
-                        break
-        if len(q):
-            hit = np.unpackbits((~over).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            k, lane = np.nonzero(hit)
-            j = w[k] * 64 + lane
-            inside = j < len(right)
-            out_i.append(at + q[k][inside])
-            out_j.append(j[inside])
-    empty = np.zeros(0, np.int64)
-    return np.concatenate([empty, *out_i]), np.concatenate([empty, *out_j])
+    start = (1 << levels) - 1 - radius  # so that radius + 1 differences overflow
+    count = [np.full(len(q), FULL if start >> level & 1 else np.uint64(0)) for level in range(levels)]
+    for bit in range(len(planes)):
+        if bit % 64 == 0:
+            own = fps[q, bit // 64]
+        carry = (np.uint64(0) - ((own >> np.uint64(bit % 64)) & np.uint64(1))) ^ planes[bit, w]
+        for level in range(levels):  # carry-save: add one bit to 64 counters at once
+            count[level], carry = count[level] ^ carry, count[level] & carry
+        over = over | carry
+        if bit % 4 == 3 and bit > 2 * radius:
+            live = np.flatnonzero(over != FULL)
+            if len(live) < len(q):
+                q, w, own, over = q[live], w[live], own[live], over[live]
+                count = [c[live] for c in count]
+                if not len(q):
+                    break
+    hit = np.unpackbits((~over).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    k, lane = np.nonzero(hit)
+    return q[k], w[k] * 64 + lane
+
+
+def links_between(left: np.ndarray, right: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Indices (i, j) of all pairs within the radius."""
+    lanes = np.repeat([0, len(right)], [len(right), len(left)])
+    i, j = links_in_lanes(np.concatenate([right, left]), np.zeros(len(lanes), np.int64), lanes, radius)
+    return i - len(right), j
 
 
 def _band_keys() -> list:
@@ -147,48 +186,73 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     keyed = distinct.select("fp", F.explode(keys).alias("k")).select("fp", "k.which", "k.value")
     size = keyed.groupBy("which", "value").agg(F.count("*").alias("n")).where("n > 1").withColumn("tiles", F.ceil(F.col("n") / tile).cast("int"))
     own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
-    # Tile t meets itself and every other tile: (x, y) with x <= y holds the two.
     tiled = keyed.join(size.select("which", "value", "tiles"), ["which", "value"]).withColumn("t", own)
-    met = tiled.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("fp", "which", "value", "t", F.least("t", "o").alias("x"), F.greatest("t", "o").alias("y"))
     groups = max(1, -(-len(keys_of) * distinct.count() // GROUP_ROWS))
-    return _compare(met, radius, groups)
+    return _compare(tiled.withColumn("node", F.col("fp")), radius, groups)
+
 
+def sampled_bits(count: int, width: int = NEAR_WIDTH) -> list[np.ndarray]:
+    """The bits of each key, for so many fingerprints."""
+    bits = max(8, count.bit_length() - NEAR_CHANCE)
+    bands = int(np.ceil(np.log(1 - NEAR_FOUND) / np.log(1 - (1 - NEAR_DIFFER) ** bits)))
+    rng = np.random.default_rng(5)
+    return [np.sort(rng.choice(64 * width, bits, replace=False)) for _ in range(bands)]
 
-def _compare(met: DataFrame, radius: int, groups: int) -> DataFrame:
-    reach_workers(met.sparkSession)
+
+def wide_links(distinct: DataFrame, radius: int = NEAR_RADIUS, tile: int = TILE, width: int = NEAR_WIDTH) -> DataFrame:
+    """Links a, b that join the nodes of distinct (node long, fp binary) of fingerprints that
+    share a key and differ in no more bits than the radius, as stars."""
+    reach_workers(distinct.sparkSession)
+    count = distinct.count()
+    chosen = sampled_bits(count, width)
+    bands, bits = len(chosen), len(chosen[0])
+
+    def run(batches):
+        for b in batches:
+            all_bits = np.unpackbits(np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint8).reshape(b.num_rows, 8 * width), axis=1, bitorder="little")
+            values = np.stack([all_bits[:, c].astype(np.int64) @ (np.int64(1) << np.arange(bits)) for c in chosen], 1)
+            offsets = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * bands)
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("fp"), pa.ListArray.from_arrays(offsets, pa.array(values.ravel()))], names=["node", "fp", "values"])
+
+    keyed = distinct.select("node", "fp").mapInArrow(run, "node long, fp binary, values array<long>").select("node", "fp", F.posexplode("values").alias("which", "value"))
+    # Keys above a tile: fewer than one for each `tile` keyed rows.
+    large = keyed.groupBy("which", "value").agg(F.count("*").alias("n")).where(F.col("n") > tile).withColumn("tiles", F.ceil(F.col("n") / tile).cast("int")).drop("n")
+    tiled = keyed.join(large, ["which", "value"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn("t", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    return _compare(tiled, radius, max(1, -(-bands * count // GROUP_ROWS)))
+
+
+def links_of_keys(batch: pd.DataFrame, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes (a, b) joined by star links, within each (which, value, x, y) of a batch with the
+    node, fp and tile t of each fingerprint: tile x against tile y, or x with itself."""
+    batch = batch.sort_values(["which", "value", "x", "y", "t"], kind="stable")
+    node = batch.node.to_numpy()
+    fps = batch.fp.to_numpy()
+    fps = fps.view(np.uint64) if fps.dtype == np.int64 else np.frombuffer(b"".join(fps), "<u8").reshape(len(fps), -1)
+    keys = batch[["which", "value", "x", "y"]].to_numpy()
+    edge = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(1)))
+    size = np.diff(np.append(edge, len(fps)))
+    end = np.repeat(edge + size, size)
+    # Within a tile: those after it. Between tiles: the other tile's, for those of the first.
+    one = batch.x.to_numpy() == batch.y.to_numpy()
+    second = batch.t.to_numpy() == batch.y.to_numpy()
+    other = np.repeat(edge + np.add.reduceat(~second, edge), size)
+    first = np.where(one, np.arange(len(fps)) + 1, np.where(second, end, other))
+    i, j = links_in_lanes(fps, first, end, radius)
+    root = local_stars(len(fps), i, j)
+    moved = np.flatnonzero(root != np.arange(len(fps)))
+    return node[root[moved]], node[moved]
+
+
+def _compare(tiled: DataFrame, radius: int, groups: int) -> DataFrame:
+    """Stars of tiled (node, fp, which, value, t, tiles)."""
+    reach_workers(tiled.sparkSession)
 
     def group(batch: pd.DataFrame) -> pd.DataFrame:
-        # One call holds many small keys: sort by key, compare each key's fingerprints.
-        batch = batch.sort_values(["which", "value", "x", "y", "t"], kind="stable")
-        fps = batch.fp.to_numpy()
-        keys = batch[["which", "value", "x", "y"]].to_numpy()
-        t = batch.t.to_numpy()
-        edge = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(1)))
-        ends = np.append(edge[1:], len(fps))
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        small = ends - edge
-        for gap in range(1, 16):  # small keys: compare each row with its next ones, all at once
-            i = np.arange(len(fps) - gap) if gap < len(fps) else np.zeros(0, np.int64)
-            end_of = np.repeat(ends, small)
-            size_of = np.repeat(small, small)
-            i = i[(size_of[i] <= 16) & (i + gap < end_of[i])]
-            if not len(i):
-                continue
-            near = np.bitwise_count((fps[i] ^ fps[i + gap]).view(np.uint64)) <= radius
-            a.append(fps[i[near]])
-            b.append(fps[i[near] + gap])
-        for s, e in zip(edge[small > 16].tolist(), ends[small > 16].tolist()):
-            x, y = keys[s, 2], keys[s, 3]
-            part, side = fps[s:e], t[s:e]
-            left = np.flatnonzero(side == x)
-            right = np.flatnonzero(side == y)
-            i, j = links_between(part[left].view(np.uint64), part[right].view(np.uint64), radius)
-            root = local_stars(len(part), left[i], right[j])
-            moved = np.flatnonzero(root != np.arange(len(part)))
-            a.append(part[root[moved]])
-            b.append(part[moved])
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+        a, b = links_of_keys(batch, radius)
+        return pd.DataFrame({"a": a, "b": b})
 
+    # Tile t meets itself and every other tile: (x, y) with x <= y holds the two.
+    met = tiled.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("node", "fp", "which", "value", "t", F.least("t", "o").alias("x"), F.greatest("t", "o").alias("y"))
     # A group's keys hash together; a tiled key's pairs of tiles are groups of their own.
     named = met.withColumn("g", F.when((F.col("x") == 0) & (F.col("y") == 0), F.struct(F.pmod(F.xxhash64("which", "value"), F.lit(groups)), F.lit(-1).alias("x"), F.lit(-1).alias("y"))).otherwise(F.struct(F.xxhash64("which", "value"), "x", "y")))
     return named.groupBy("g").applyInPandas(group, "a long, b long")
@@ -206,8 +270,29 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     return rows.join(of, "fp").select(key, "fp", "component_id")
 
 
-def keep(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One document of each component, the one with the least key, with docs' columns. Rows
-    with equal key and text count as one document; rows without a key are one key's rows."""
-    heads = near_duplicates(docs, key, text, radius).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__head")).distinct()
-    return docs.join(heads, F.col(key).eqNullSafe(F.col("__head")), "left_semi").dropDuplicates([key, text])
+def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = NEAR_WORDS, radius: int = NEAR_RADIUS) -> DataFrame:
+    """key, component_id: the least key that links of wide fingerprints reach."""
+    reach_workers(docs.sparkSession)
+
+    def run(batches):
+        for b in sliced(batches, text):
+            fps = [wide_fingerprint(t, words).tobytes() for t in texts_of(b, text)]
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(fps, pa.binary())], names=[key, "fp"])
+
+    rows = stored(docs.select(key, text).mapInArrow(run, f"{key} long, fp binary"), "wide-fingerprints")
+    heads = stored(rows.groupBy("fp").agg(F.min(key).alias("head")).withColumn("node", F.monotonically_increasing_id()), "wide-heads")
+    found = components(wide_links(heads.select("node", "fp"), radius), "a", "b")
+    named = stored(heads.join(found, heads.node == found.id, "left").select("fp", "head", F.coalesce("component", "node").alias("c")), "wide-components")
+    least = named.groupBy("c").agg(F.min("head").alias("component_id"))
+    return rows.join(named.join(least, "c").select("fp", "component_id"), "fp").select(key, "component_id")
+
+
+def keep(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = NEAR_WORDS, radius: int = NEAR_RADIUS) -> DataFrame:
+    """One document of each component of `similar`, the one with the least key, with docs'
+    columns. Rows of one key stay or go together; of those equal in text too, one stays."""
+    own = F.col(key).eqNullSafe(F.col("component_id"))
+    heads = stored(similar(docs, key, text, words, radius).groupBy(key).agg(F.max(own).alias("__own"), (F.count("*") > 1).alias("__many")).where("__own").select(F.col(key).alias("__head"), "__many"), "wide-kept")
+    kept = docs.join(heads, F.col(key).eqNullSafe(F.col("__head")))
+    once, many = (kept.where(c).select(*docs.columns) for c in ("NOT __many", "__many"))
+    # Only keys that several rows carry need their texts compared.
+    return once if heads.where("__many").isEmpty() else once.unionByName(many.dropDuplicates([key, text]))

@@ -225,6 +225,7 @@ def test_keys_share_planes(most):
                 fp ^= 1 << int(b)
             rows.append((fp - (fp >> 63 << 64), key % 10, key, 2 if tiled else 0, 5 if tiled else 0, int(rng.choice([2, 5])) if tiled else 0))
     batch = pd.DataFrame(rows, columns=["fp", "which", "value", "x", "y", "t"]).sample(frac=1, random_state=1)
+    batch["node"] = batch.fp
     a, b = simhash.links_of_keys(batch)
     got, want = collections.defaultdict(set), collections.defaultdict(set)
     for name, (left, right) in (("got", (a, b)),):
@@ -278,6 +279,51 @@ def test_simhash_query(spark, odd, tile, monkeypatch):
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
 
 
+def slow_wide(text, words=5):
+    parts = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+    shingles = [" ".join(parts[k : k + words]) for k in range(len(parts) - words + 1)] if len(parts) >= words else [" ".join(parts)] * bool(parts)
+    bits = 0
+    for k in range(4):
+        mixed = []
+        for s in shingles:
+            x = (xxhash.xxh64_intdigest(s.encode(), 42) + k * 0x9E3779B97F4A7C15) % 2**64
+            x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+            mixed.append(x ^ x >> 31)
+        bits |= sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in mixed) > len(mixed)) << 64 * k
+    return bits
+
+
+def test_wide_fingerprints():
+    rnd = random.Random(3)
+    for n in (0, 1, 4, 5, 6, 300, 700):
+        text = " ".join(rnd.choice(["Alpha", "beta", "gamma", "Δ", "e"]) for _ in range(n))
+        assert int.from_bytes(simhash.wide_fingerprint(text).tobytes(), "little") == slow_wide(text)
+
+
+@pytest.mark.parametrize("tile", [4096, 40])
+def test_similar_texts(spark, tile, monkeypatch):
+    """Edited copies that share 0.8 to 1 of their 5-word shingles meet; other texts do not."""
+    monkeypatch.setattr(simhash.wide_links, "__defaults__", (simhash.NEAR_RADIUS, tile, simhash.NEAR_WIDTH))
+    rnd = random.Random(11)
+    words = [f"w{k}" for k in range(4000)]
+    sets = lambda t: {tuple(t[k : k + 5]) for k in range(len(t) - 4)}
+    rows, pairs = [], []
+    for group in range(300):
+        base = [rnd.choice(words) for _ in range(rnd.randint(150, 400))]
+        edited = list(base)
+        for _ in range(rnd.randint(1, len(base) // 45)):
+            edited[rnd.randrange(len(edited))] = rnd.choice(words)
+        rows += [(2 * group, " ".join(base)), (2 * group + 1, " ".join(edited))]
+        a, b = sets(base), sets(edited)
+        pairs.append(len(a & b) / len(a | b))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in simhash.similar(docs).collect()}
+    assert all(got[2 * g] == 2 * g and got[2 * g + 1] in (2 * g, 2 * g + 1) for g in range(300))
+    near = [g for g in range(300) if pairs[g] >= 0.8]
+    assert len(near) > 200 and sum(got[2 * g + 1] == 2 * g for g in near) / len(near) > 0.95
+    assert sorted(r.doc_id for r in simhash.keep(docs).collect()) == sorted(i for i, c in got.items() if i == c)
+
+
 def test_simhash_hot_key(spark):
     """One key's fingerprints in tiles: a chain of single-bit steps stays one component."""
     base = 0x0123456789ABCDEF
