@@ -3,70 +3,148 @@
 One small scanner, run by Spark over partitions of files, cuts a file into its top-level
 statements and labels them; all else is column expressions over its rows: skeletons, symbols,
 call sites, imports, RPC methods. What a regex can find in whole texts never enters Python.
+Files that it cannot close, and files of other languages, are read line by line instead, by
+column expressions alone.
 
-Fidelity: brackets, strings, templates and comments are honoured; types and expressions are
-not parsed. Bare types are kept, methods are listed, and enums are symbols.
+Fidelity: brackets, strings, templates with code inside, regular expressions and comments are
+honoured; types and expressions are not parsed. Bare types are kept, methods are listed, and
+enums are symbols. Time grows in proportion to a file's size.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from skeinworks.functions.text import half_up, line_count, lines
+from skeinworks.functions.text import half_up, language_of, line_count, lines
 from skeinworks.session import reach_workers
 
 #: Sections of a skeleton, in order; imports have no header.
 SECTIONS = ("imports", "Types", "Exports", "Registrations", "Module-level")
 STATEMENT = "section string, kind string, name string, exported boolean, text string, source string, line_start int, line_end int, pos int"
 
-_SKIP = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?|`(?:\\.|[^`\\])*`?", re.S)
 _NAME = r"[A-Za-z_$][\w$]*"
+_COMMENT = r"//[^\n]*|/\*.*?(?:\*/|\Z)"
+_STRING = r"\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?"
+_NEXT = re.compile(rf"{_COMMENT}|{_STRING}|[`{{}}/]", re.S)
+_TEMPLATE = re.compile(r"(?:\\(?:.|\Z)|\$(?!\{)|[^`\\$])*(`|\$\{|\Z)", re.S)
+_REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*")
+#: What stands before a slash that begins a regular expression, not a division.
+_BEFORE_REGEX = re.compile(r"(?:^|[(,=:\[!&|?{};+\-*%~^<>]|\b(?:return|typeof|case|in|of|delete|void|throw|new|instanceof|do|else|await|yield))\s*$")
 _DECLARED = re.compile(rf"(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(function|class|interface|type|enum|const\s+enum|const|let|var)\b\s*\*?\s*({_NAME})?")
-_REGISTERED = re.compile(rf"({_NAME}(?:\.{_NAME})+)\s*\(\s*(?:(['\"`])([^'\"`]+)\2\s*,|\{{)")
-_MEMBER = re.compile(rf"(?:(?:public|private|protected|static|abstract|readonly|async|override|get|set)\s+)*[\w$#]+\??\s*[(:=;<!]")
+_REGISTERED = re.compile(rf"({_NAME}(?:\.{_NAME})+)\s*\(\s*(?:(['\"`])([^'\"`]+)\2\s*[,)]|\{{)")
+_MEMBER = re.compile(r"(?:(?:public|private|protected|static|abstract|readonly|async|override|get|set)\s+)*[\w$#]+\??\s*[(:=;<!]")
 _KEY = re.compile(rf"(async\s+)?(?:['\"]([^'\"]+)['\"]|({_NAME}))\s*(?=[(:,])")
 #: Keys of a registration that are no parameters, and how many to list.
-_NOT_PARAMS, _PARAMS = {"description", "title", "shape", "type", "default", "inputSchema", "argsSchema", "schema"}, 10
+_NOT_PARAMS, _PARAMS = {"description", "title", "shape", "type", "default", "examples", "inputSchema", "argsSchema", "outputSchema", "schema"}, 10
+#: Levels of nested objects whose keys are parameters, characters of a description.
+_LEVELS, _DESCRIPTION = 4, 150
 
 
-def code_only(text: str) -> str:
-    """text with the insides of comments, strings and templates blanked, lengths kept."""
-    return _SKIP.sub(lambda m: re.sub(r"[^\n]", " ", m[0]) if m[0][0] == "/" else m[0][0] + re.sub(r"[^\n]", " ", m[0][1:-1]) + m[0][-1], text)
+def _blank(text: str) -> str:
+    return re.sub(r"[^\n]", " ", text)
 
 
-def statements(code: str) -> Iterator[tuple[int, int]]:
-    """Bounds of the top-level statements of blanked code: up to a semicolon, a line's end or
-    a block's end outside of all brackets, unless what follows goes on with it."""
-    depth, start = 0, None
-    for m in re.finditer(r"[(\[{]|[)\]}]|;|\n|[^\s]", code):
-        c, at = m[0], m.start()
-        if c == "\n":
-            if depth == 0 and start is not None and not re.match(r"\s*(?:[.?:=,)&|+*{]|from\b|extends\b|implements\b)", code[at:]) and not re.search(r"(?:[=,({\[.&|+:?]|=>|\bfrom|\bexport|\bdefault|\bimport)\s*$", code[start:at]):
-                yield start, at
-                start = None
+def code_only(text: str) -> str:
+    """text with the insides of comments, strings, regular expressions and templates (code
+    in templates too) blanked, lengths kept."""
+    out, at, before = [], 0, ""
+    while m := _NEXT.search(text, at):
+        plain, found = text[at : m.start()], m[0]
+        out.append(plain)
+        before = (before + plain)[-40:]
+        end = m.end()
+        if found == "`":
+            end = _template_end(text, end)
+            closed = end - m.start() > 1 and text[end - 1] == "`"
+            out.append("`" + _blank(text[m.end() : end - 1]) + "`" if closed else "`" + _blank(text[m.end() : end]))
+        elif found == "/":
+            r = _REGEX.match(text, m.start()) if _BEFORE_REGEX.search(before) else None
+            end = r.end() if r else end
+            out.append("/" + _blank(text[m.start() + 1 : end - 1]) + "/" if r else "/")
+        elif found[0] == "/":
+            out.append(_blank(found))
+            at = end
+            continue  # a comment does not part what stands around it
+        elif found in "{}":
+            out.append(found)
+        else:
+            closed = len(found) > 1 and found[-1] == found[0]
+            out.append(found[0] + _blank(found[1:-1]) + found[-1] if closed else found[0] + _blank(found[1:]))
+        before = (before + found[-1])[-40:]
+        at = end
+    return "".join([*out, text[at:]])
+
+
+def _template_end(text: str, at: int) -> int:
+    """The end of a template whose inside starts at `at`, templates in its code included."""
+    depth = [0]  # braces open in the code of each template around; 0: in the text of one
+    while depth:
+        if depth[-1] == 0:
+            m = _TEMPLATE.match(text, at)
+            at = m.end()
+            if m[1] == "${":
+                depth[-1] = 1
+            else:
+                depth.pop()
+                if not m[1]:
+                    break
             continue
-        if start is None:
-            if c in ";)]}":
+        m = _NEXT.search(text, at)
+        if not m:
+            return len(text)
+        at = m.end()
+        depth[-1] += (m[0] == "{") - (m[0] == "}")
+        if m[0] == "`":
+            depth.append(0)
+    return at
+
+
+_OUTER, _DEEP = re.compile(r"[(\[{]|[)\]}]|;|\n"), re.compile(r"[(\[{]|[)\]}]")
+_START, _BREAK_START = re.compile(r"[^\s;)\]}]"), re.compile(r"\s*(?:[.?:=,)&|+*{]|from\b|extends\b|implements\b)")
+_GOES_ON = re.compile(r"(?:[=,({\[.&|+:?]|=>|\bfrom|\bexport|\bdefault|\bimport)\s*$")
+_NEW_START = re.compile(r"\s*(?:(?:export|import|function|class|const|let|var|interface|type|enum|async|abstract)\b|\Z)")
+
+
+def statements(code: str) -> Iterator[tuple[int, int, bool]]:
+    """Bounds of the top-level statements of blanked code, and whether each is closed: up to
+    a semicolon, a line's end or a block's end outside of all brackets, unless what follows
+    goes on with it."""
+    at = 0
+    while m := _START.search(code, at):
+        start, at, depth, end = m.start(), m.start(), 0, None
+        while end is None:
+            m = (_DEEP if depth else _OUTER).search(code, at)
+            if not m:
+                break
+            c, at = m[0], m.end()
+            if c == "\n":
+                if not _BREAK_START.match(code, m.start()) and not _GOES_ON.search(code, max(start, m.start() - 40), m.start()):
+                    end = m.start()
                 continue
-            start = at
-        depth = max(0, depth + (c in "([{") - (c in ")]}"))
-        if depth == 0 and (c == ";" or c == "}" and re.match(r"\s*(?:\n\s*)?(?:(?:export|import|function|class|const|let|var|interface|type|enum|async|abstract)\b|\Z)", code[at + 1 :])):
-            yield start, at + 1
-            start = None
-    if start is not None:
-        yield start, len(code.rstrip())
+            depth = max(0, depth + (c in "([{") - (c in ")]}"))
+            if depth == 0 and (c == ";" or c == "}" and _NEW_START.match(code, at)):
+                end = at
+        if end is None:
+            at = len(code)
+            yield start, len(code.rstrip()), depth == 0
+        else:
+            yield start, end, True
+
+
+_SOLID = re.compile(r"\S|\n")
 
 
 def _inner(code: str, opened: int) -> Iterator[tuple[int, int]]:
     """Bounds of what stands between the brace at `opened` and its partner, cut at depth one
     by semicolons, commas, line ends and closed bodies."""
     depth, start = 0, None
-    for m in re.finditer(r"\S|\n", code[opened:]):
-        c, at = m[0], opened + m.start()
+    for m in _SOLID.finditer(code, opened):
+        c, at = m[0], m.start()
         if depth == 1 and start is not None and (c in ";\n," or c == "}"):
             yield start, at
             start = None
@@ -86,19 +164,27 @@ def _inner(code: str, opened: int) -> Iterator[tuple[int, int]]:
             start = at
 
 
-def _signature(text: str, code: str) -> str:
-    """text up to its body, the first brace outside of brackets; a single line without one."""
+def _body(code: str) -> int:
+    """Where a declaration's body starts: its first brace outside of brackets; -1 without."""
     depth = 0
     for m in re.finditer(r"[(<\[]|[)>\]]|\{", code):
         if m[0] == "{" and depth <= 0:
-            return text[: m.start()].rstrip() + " { ... }"
+            return m.start()
         if not (m[0] == ">" and code[m.start() - 1] in "=-"):
             depth += (m[0] in "(<[") - (m[0] in ")>]")
-    return text.split("\n")[0].rstrip()
+    return -1
+
+
+def _signature(text: str, code: str) -> str:
+    """text up to its body; its first line without one."""
+    at = _body(code)
+    return text[:at].rstrip() + " { ... }" if at >= 0 else text.split("\n")[0].rstrip()
 
 
 def _class(text: str, code: str) -> str:
-    opened = code.find("{")
+    opened = _body(code)
+    if opened < 0:
+        return text
     members = []
     for a, z in _inner(code, opened):
         piece, bare = text[a:z], code[a:z]
@@ -116,45 +202,95 @@ def _variable(text: str, code: str) -> str:
     return text[: m.end(1)].rstrip() + "(...)" if m else text.split("\n")[0].rstrip()[:80]
 
 
-def _description(text: str) -> str:
-    m = re.search(r"description\s*:\s*(\[[^\]]*\]|(['\"`])[^'\"`]{3,}?\2)", text)
-    words = " ".join(re.findall(r"['\"`]([^'\"`\n]+)['\"`]", m[1])) if m else ""
-    return re.sub(r"\s+", " ", words).strip()[:150]
+_DECLARATOR = re.compile(rf"\s*({_NAME})\s*(?=[=:,;!]|\Z)")
+
+
+def _more_names(code: str, at: int) -> Iterator[str]:
+    """Names that a variable statement declares after its first, which ends at `at`."""
+    depth = 0
+    for m in re.finditer(r"[(\[{<]|[)\]}]|>|,", code[at:]):
+        c, place = m[0], at + m.start()
+        if c == "," and depth == 0:
+            if d := _DECLARATOR.match(code, place + 1):
+                yield d[1]
+        elif not (c == ">" and code[place - 1] in "=-"):
+            depth = max(0, depth + (c in "([{<") - (c in ")]}>"))
 
 
-def _keys(text: str, code: str) -> list[tuple[str, bool]]:
-    out = []
-    for a, z in _inner(code, code.find("{")):
-        if m := _KEY.match(text[a:z] + ","):
-            out.append((m[2] or m[3], bool(m[1])))
-    return out
+def _squeezed(text: str) -> str:
+    return re.sub(r"\s+", " ", text).strip()[:_DESCRIPTION]
+
+
+def _config(text: str, code: str, opened: int, level: int = 0) -> tuple[str, list[str]]:
+    """The description and the parameter names of a configuration object and its nested ones."""
+    said, names = "", []
+    for a, z in _inner(code, opened):
+        m = _KEY.match(text[a:z] + ",")
+        if not m:
+            continue
+        key, rest = m[2] or m[3], code[a + m.end() : z].lstrip(": \n\t")
+        at = z - len(rest)
+        if key == "description" and rest:
+            value = text[at:z]
+            said = _squeezed(" ".join(re.findall(r"['\"`]([^'\"`\n]+)['\"`]", value)) if value.startswith("[") else value.strip().strip("'\"`"))
+        elif rest.startswith("{"):
+            if level < _LEVELS:
+                inner_said, inner = _config(text, code, at, level + 1)
+                said, names = inner_said or said, names + inner
+        elif key not in _NOT_PARAMS and re.fullmatch(r"\w{1,40}", key):
+            names.append(key)
+    return said, names
+
+
+def _parameters(text: str, code: str) -> str:
+    """The first list in round brackets of a member, `()` without one."""
+    at = code.find("(")
+    depth = 0
+    for m in re.finditer(r"[()]", code[at:]) if at >= 0 else ():
+        depth += 1 if m[0] == "(" else -1
+        if depth == 0:
+            return text[at : at + m.end()]
+    return "()"
 
 
 def _registration(text: str, code: str, m: re.Match, line: int) -> tuple[str, list[str]]:
     """The placeholder of a registration (empty for other calls) and the methods it names."""
     if m[3] is None:
-        keys = _keys(text, code)
-        body = [f"  {'async ' if a else ''}{k}(...) {{ ... }}," for k, a in keys]
-        return ("\n".join([f"{m[1]}({{", *body, f"}}); // L{line}"]) if keys else ""), [k for k, _ in keys]
+        keys = []
+        for a, z in _inner(code, code.find("{")):
+            if k := _KEY.match(text[a:z] + ","):
+                keys.append((k[2] or k[3], bool(k[1]) or bool(re.match(r"\s*:\s*async\b", code[a + k.end() : z])), _parameters(text[a:z], code[a:z])))
+        body = [f"  {'async ' if a else ''}{k}{p} {{ ... }}," for k, a, p in keys]
+        return ("\n".join([f"{m[1]}({{", *body, f"}}); // L{line}"]) if keys else ""), [k for k, _, _ in keys]
     if not re.search(r"=>|\bfunction\b", code):
         return "", []
-    params = [p for p in re.findall(r"^[ \t]{6,}(\w+)\s*:", text, re.M) if p not in _NOT_PARAMS and len(p) <= 40][:_PARAMS]
-    said = _description(text)
-    listed = "{ " + ", ".join(params) + " }" if params else ""
+    said, names = "", []
+    if config := re.compile(r"\s*\{").match(code, m.end()):
+        said, names = _config(text, code, config.end() - 1)
+    if names:
+        listed = "{ " + ", ".join(names[:_PARAMS]) + " }"
+    else:  # the handler's own parameters
+        own = re.search(r"(?:function\b[^(]*|,\s*(?:async\s*)?)(\()", code[m.end() - 1 :])
+        listed = _parameters(text[m.end() - 1 + own.start(1) :], code[m.end() - 1 + own.start(1) :])[1:-1].strip() if own else ""
     return f"{m[1]}('{m[3]}',{f' /* {said} */' if said else ''} async ({listed}) => {{ ... }}); // L{line}", []
 
 
 def scan(content: str) -> list[tuple]:
-    """Rows of STATEMENT, and rows of section `method` for the keys of registered objects."""
+    """Rows of STATEMENT. Rows of other sections than SECTIONS show in no skeleton: `method`
+    for the keys of registered objects, `declared` for further names of a statement,
+    `registered` for names given to calls without a function, `unclosed` for a statement
+    whose brackets the file does not close."""
     code, rows = code_only(content), []
-    for start, stop in statements(code):
+    ends = [m.start() for m in re.finditer("\n", content)]
+    for start, stop, closed in statements(code):
         text, bare = content[start:stop], code[start:stop]
-        first = content.count("\n", 0, start) + 1
-        last = first + text.count("\n")
+        first, last = bisect_right(ends, start - 1) + 1, bisect_right(ends, stop - 1) + 1
 
         def put(section, kind, name, exported, shown, text=text, first=first, last=last):
             rows.append((section, kind, name, exported, shown, text, first, last, len(rows)))
 
+        if not closed:
+            put("unclosed", None, None, False, text.split("\n")[0])
         declared = _DECLARED.match(bare)
         exported = bare.startswith("export")
         if re.match(r"import\b(?!\s*\()", bare):
@@ -171,14 +307,18 @@ def scan(content: str) -> list[tuple]:
                 shown = text.rstrip(";") + ";" if text.endswith(";") else text
             else:
                 shown = _signature(text, bare)
-            kind = "variable" if kind in ("const", "let", "var") else kind
-            put("Exports" if exported else "Types" if kind in ("interface", "type", "enum") else "Module-level", kind, name, exported, shown)
+            variable = kind in ("const", "let", "var")
+            put("Exports" if exported else "Types" if kind in ("interface", "type", "enum") else "Module-level", "variable" if variable else kind, name, exported, shown)
+            for more in _more_names(bare, declared.end()) if variable and name else ():
+                put("declared", "variable", more, exported, shown)
         elif exported:
             put("Exports", "reexport", None, True, _signature(text, bare) if bare.startswith("export default") else text.split("\n")[0])
         elif m := _REGISTERED.match(text):
             shown, keys = _registration(text, bare, m, first)
             if shown:
                 put("Registrations", "registration", m[3] or m[1], False, shown)
+            elif m[3]:
+                put("registered", "registration", m[3], False, shown)
             for key in keys:
                 put("method", m[1], key, False, key)
     return rows
@@ -212,16 +352,111 @@ def skeletons(sources: DataFrame, parsed: DataFrame, path: str = "path", content
     if methods_of:
         calls = calls.where(F.col("kind") == methods_of)
     named = calls.groupBy(path).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]).alias("methods"))
-    out = sources.select(path, content).join(listed.select(path, text.alias("skeleton")), path, "left").join(named, path, "left")
+    # Of the sources only sizes meet the rows; their texts stay where they are.
+    sizes = sources.select(path, line_count(content).alias("original_lines"), F.length(content).alias("__chars"))
+    out = sizes.join(listed.select(path, text.alias("skeleton")), path, "left").join(named, path, "left")
     kept = F.size(F.filter(lines("skeleton"), lambda x: x != ""))
     return out.select(
         path, F.coalesce("skeleton", F.lit("")).alias("skeleton"), F.coalesce("methods", F.array().cast("array<string>")).alias("methods"),
-        line_count(content).alias("original_lines"), F.coalesce(kept, F.lit(0)).alias("skeleton_lines"),
-        half_up((1 - F.coalesce(kept, F.lit(0)) / line_count(content)) * 100).alias("reduction_pct"),
-        half_up((1 - F.coalesce(F.length("skeleton"), F.lit(0)) / F.greatest(F.length(content), F.lit(1))) * 100).alias("reduction_chars_pct"),
+        "original_lines", F.coalesce(kept, F.lit(0)).alias("skeleton_lines"),
+        half_up((1 - F.coalesce(kept, F.lit(0)) / F.col("original_lines")) * 100).alias("reduction_pct"),
+        half_up((1 - F.coalesce(F.length("skeleton"), F.lit(0)) / F.greatest("__chars", F.lit(1))) * 100).alias("reduction_chars_pct"),
     )
 
 
+# --- line by line -----------------------------------------------------------------------
+
+#: Strings of a line, which hide their braces, and the words that begin a line's declaration.
+_LINE_STRING = r"\"(?:\\.|[^\"\\])*\"?|'(?:\\.|[^'\\])*'?|`(?:\\.|[^`\\])*`?"
+_LINE_MODULE = r"^(?:(?:async\s+)?(function)\b|(?:abstract\s+)?(class)\s|(const|let|var)\s)"
+_LINE_CALL = r"^([\w$]+\.[\w$]+)\s*\(\s*"
+_LINE_NAMED = _LINE_CALL + r"['\"`]([^'\"`\s]+)['\"`]\s*,"
+_LINE_NAME = r"^(?:export\s+)?(?:default\s+)?(?:abstract\s+)?(?:async\s+)?(?:function\*?|class|interface|type|enum|const|let|var)\s+([\w$]+)"
+
+
+def _braces(line: Column) -> tuple[Column, Column]:
+    """How many braces a line opens and closes outside of its strings."""
+    bare = F.regexp_replace(line, _LINE_STRING, "")
+    return F.length(F.regexp_replace(bare, r"[^{]", "")), F.length(F.regexp_replace(bare, r"[^}]", ""))
+
+
+def parse_lines(sources: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """path and STATEMENT's columns by lines alone: a line outside of all braces that imports,
+    exports, registers or declares starts a block, which lasts until its braces close. Bare
+    types are left out, exports and declarations show their first line, keys of a registered
+    object are its lines one brace deep. The depth is a running sum over a file's lines."""
+    order = Window.partitionBy(path).orderBy("at")
+    opens, closes = _braces(F.col("line"))
+    rows = sources.select(path, F.posexplode(lines(content)).alias("at", "line"))
+    rows = rows.withColumns({"__d": F.sum(opens - closes).over(order) - (opens - closes), "t": F.ltrim("line")})
+    call, named = F.col("t").rlike(_LINE_CALL + r"\{"), F.col("t").rlike(_LINE_NAMED)
+    kind = F.when(F.col("t").rlike(r"^import\s"), "imports").when(F.col("t").rlike(r"^export\s"), "Exports").when(named, "named").when(call, "object").when(F.col("t").rlike(_LINE_MODULE), "Module-level")
+    rows = rows.withColumn("kind", F.when(F.col("__d") <= 0, kind))
+    rows = rows.withColumn("block", F.sum(F.col("kind").isNotNull().cast("int")).over(order)).where("block > 0 AND (kind IS NOT NULL OR __d > 0)")
+    blocks = rows.groupBy(path, "block").agg(
+        F.min(F.when(F.col("kind").isNotNull(), F.struct("at", "kind", "line", "t"))).alias("h"), F.max("at").alias("end"),
+        F.transform(F.array_sort(F.collect_list(F.struct("at", "line", "__d"))), lambda x: F.struct(x["line"].alias("line"), x["__d"].alias("d"))).alias("rows"),
+    ).where("h IS NOT NULL")
+    source = F.array_join(F.transform("rows", lambda x: x["line"]), "\n")
+    blocks = blocks.select(path, "block", "h.*", "end", source.alias("source"), F.filter("rows", lambda x: x["d"] == 1)["line"].alias("inner"))
+    first = F.when(F.contains("line", F.lit("{")), F.concat(F.rtrim(F.substring_index("line", "{", 1)), F.lit(" { ... }"))).otherwise(F.rtrim("line"))
+    number = F.concat(F.lit("// L"), (F.col("at") + 1).cast("string"))
+    has_function = F.col("source").rlike(r"=>\s*\{|function\s*[({]|async\s*[(]")
+    said, names = description_of("source"), parameters_of("source")
+    listed = F.when(F.size(names) > 0, F.concat(F.lit("{ "), F.array_join(names, ", "), F.lit(" }"))).otherwise("")
+    shape_a = F.concat(F.regexp_extract("t", _LINE_NAMED, 1), F.lit("('"), F.regexp_extract("t", _LINE_NAMED, 2), F.lit("',"), F.when(said != "", F.concat(F.lit(" /* "), said, F.lit(" */"))).otherwise(""), F.lit(" async ("), listed, F.lit(") => { ... }); "), number)
+    key = r"^\s+(async\s+)?([\w$]+)\s*[:(]"
+    keys = F.transform(F.filter("inner", lambda x: x.rlike(key) & ~F.regexp_extract(x, key, 2).isin(*_NOT_KEYS)), lambda x: F.struct(F.regexp_extract(x, key, 1).alias("a"), F.regexp_extract(x, key, 2).alias("k")))
+    blocks = blocks.withColumn("keys", F.when(F.col("kind") == "object", keys).otherwise(F.array().cast("array<struct<a:string,k:string>>")))
+    body = F.array_join(F.transform("keys", lambda x: F.concat(F.lit("  "), F.when(x["a"] != "", "async ").otherwise(""), x["k"], F.lit("(...) { ... },"))), "\n")
+    shape_b = F.concat(F.regexp_extract("t", _LINE_CALL, 1), F.lit("({\n"), body, F.lit("\n}); "), number)
+    of_call = F.col("kind").isin("named", "object")
+    text = F.when(F.col("kind") == "imports", F.col("source")).when(F.col("kind") == "named", shape_a).when(F.col("kind") == "object", shape_b).otherwise(first)
+    shown = (F.col("kind") == "named") & has_function | (F.col("kind") == "object") & (F.size("keys") > 0) | ~of_call
+    section = F.when(of_call, "Registrations").otherwise(F.col("kind"))
+    name = F.when(F.col("kind") == "named", F.regexp_extract("t", _LINE_NAMED, 2)).when(F.col("kind") == "object", F.regexp_extract("t", _LINE_CALL, 1)).otherwise(F.regexp_extract("t", _LINE_NAME, 1))
+    word = F.regexp_extract("t", r"\b(function|class|interface|type|enum|const|let|var)\b", 1)
+    what = F.when(of_call, "registration").when(F.col("kind") == "imports", "import").when(word.isin("const", "let", "var"), "variable").when(word != "", word).otherwise("reexport")
+    places = [(F.col("at") + 1).alias("line_start"), (F.col("end") + 1).alias("line_end")]
+    top = blocks.where(shown).select(path, section.alias("section"), what.alias("kind"), F.nullif(F.when(F.col("kind") != "imports", name), F.lit("")).alias("name"), (F.col("kind") == "Exports").alias("exported"), text.alias("text"), "source", *places, F.col("at").alias("pos"))
+    methods = blocks.select(path, F.lit("method").alias("section"), F.regexp_extract("t", _LINE_CALL, 1).alias("kind"), F.explode("keys.k").alias("name"), F.lit(False).alias("exported"), F.lit(None).cast("string").alias("text"), "source", *places, F.col("at").alias("pos"))
+    return top.unionByName(methods.withColumn("text", F.col("name")))
+
+
+#: Words before a colon or bracket that are no keys.
+_NOT_KEYS = ("async", "function", "return", "if", "for", "const", "let", "var")
+
+
+def description_of(c: str) -> Column:
+    """The text of a `description` key, an array's strings joined; empty without one."""
+    whole = r"description\s*:\s*(?:\[([^\]]*)\]|['\"`]([^'\"`]{3,}?)['\"`])"
+    strings = F.transform(F.regexp_extract_all(F.regexp_extract(c, whole, 1), F.lit(r"['\"`]([^'\"`\n]+)['\"`]"), F.lit(1)), F.trim)
+    said = F.when(F.size(strings) > 0, F.array_join(strings, " ")).otherwise(F.regexp_extract(c, whole, 2))
+    return F.substring(F.trim(F.regexp_replace(said, r"\s+", " ")), 1, _DESCRIPTION)
+
+
+def parameters_of(c: str) -> Column:
+    """Names before a colon on lines with six blanks or more, the first ten parameters."""
+    names = F.regexp_extract_all(F.col(c), F.lit(r"(?m)^[ \t]{6,}(\w+)\s*:"), F.lit(1))
+    return F.slice(F.filter(names, lambda x: ~x.isin(*sorted(_NOT_PARAMS - {"examples", "outputSchema"})) & (F.length(x) <= 40)), 1, _PARAMS)
+
+
+def read_skeletons(wanted: DataFrame, sources: DataFrame, parsed: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """For every wanted path its skeleton and sizes, with `engine` (scanner, or lines for
+    other languages and for files that the scanner cannot close) and `error` (a path without
+    a source). By lines, reduction_pct is of characters and methods are not listed."""
+    unclosed = parsed.where("section = 'unclosed'").select(path).distinct().withColumn("__open", F.lit(True))
+    kinds = sources.select(path).join(unclosed, path, "left").select(path, F.when(language_of(path).isNotNull() & F.col("__open").isNull(), "scanner").otherwise("lines").alias("engine"))
+    here = sources.join(wanted.select(path).distinct(), path, "left_semi")
+    by_lines = here.join(kinds.where("engine = 'lines'").select(path), path, "left_semi")
+    plain = skeletons(by_lines, parse_lines(by_lines, path, content), path, content).withColumns({"methods": F.array().cast("array<string>"), "reduction_pct": F.col("reduction_chars_pct"), "engine": F.lit("lines")})
+    scanned = here.join(kinds.where("engine = 'scanner'").select(path), path, "left_semi")
+    both = skeletons(scanned, parsed, path, content).withColumn("engine", F.lit("scanner")).unionByName(plain)
+    found = both.withColumn("__found", F.lit(True))
+    missing = F.when(F.col("__found").isNull(), F.concat(F.lit("File not found: "), path))
+    return wanted.select(path).join(found, path, "left").withColumn("error", missing).drop("__found")
+
+
 def symbols(parsed: DataFrame, path: str = "path") -> DataFrame:
     """node_id, name, kind, file, line, exported, pos: declared names, each once a file."""
     named = parsed.where(F.col("name").isNotNull() & F.col("kind").isin("function", "class", "interface", "type", "enum", "variable"))
@@ -239,15 +474,17 @@ LINE_KINDS = (
 )
 
 
-def symbols_of_lines(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """key, pos (line), name, kind, exported from lines of text, by the first kind that fits."""
+def symbols_of_lines(texts: DataFrame, key: str, text: str, exported_variables: bool = False) -> DataFrame:
+    """key, pos (line, from 0), name, kind, exported from lines of text, by the first kind that
+    fits. With exported_variables, the rule of the older index: only exported ones count."""
     rows = texts.select(F.col(key), F.posexplode(lines(text)).alias("pos", "__l")).withColumn("__l", F.trim("__l"))
     name, kind, exported = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("boolean")
     for k, pattern in reversed(LINE_KINDS):
         hit = F.col("__l").rlike(pattern)
         name, kind = F.when(hit, F.regexp_extract("__l", pattern, 2)).otherwise(name), F.when(hit, k).otherwise(kind)
         exported = F.when(hit, F.regexp_extract("__l", pattern, 1) != "").otherwise(exported)
-    return rows.select(key, "pos", name.alias("name"), kind.alias("kind"), exported.alias("exported")).where("name IS NOT NULL")
+    found = rows.select(key, "pos", name.alias("name"), kind.alias("kind"), exported.alias("exported")).where("name IS NOT NULL")
+    return found.where("kind <> 'variable' OR exported") if exported_variables else found
 
 
 #: Words before a bracket that are no calls.
@@ -260,10 +497,11 @@ def calls_of_lines(texts: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key, (F.col("line") + 1).alias("line"), F.posexplode(F.regexp_extract_all("__l", F.lit(r"([A-Za-z0-9_$]+(?:\.[A-Za-z0-9_$]+)*)\s*\("), F.lit(1))).alias("pos", "callee")).where(~F.col("callee").isin(*NOT_CALLED))
 
 
-def call_sites(sources: DataFrame, parsed: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+def call_sites(sources: DataFrame, parsed: DataFrame, path: str = "path", content: str = "content", nested: bool = False) -> DataFrame:
     """file, caller, callee_raw, line: the caller is the top-level declaration whose lines
     hold the call, else <module>. Declarations do not overlap, so the last one that starts at
-    or before a line is the only one to test: a window, not a range join."""
+    or before a line is the only one to test: a window, not a range join. With nested, a call
+    on a line that declares a variable belongs to that variable, wherever it stands."""
     sites = calls_of_lines(sources, path, content).where(F.length("callee") < 120).select(F.col(path).alias("file"), "line", F.lit(1).alias("o"), F.col("callee").alias("callee_raw"), "pos")
     spans = parsed.where(F.col("name").isNotNull() & F.col("section").isin("Exports", "Module-level")).select(F.col(path).alias("file"), F.col("line_start").alias("line"), F.lit(0).alias("o"), "name", "line_end")
     both = sites.unionByName(spans, allowMissingColumns=True)
@@ -271,6 +509,10 @@ def call_sites(sources: DataFrame, parsed: DataFrame, path: str = "path", conten
     name, end = F.last("name", True).over(before), F.last("line_end", True).over(before)
     found = both.withColumns({"__n": name, "__e": end}).where("o = 1")
     caller = F.when(F.col("line") <= F.col("__e"), F.col("__n")).otherwise("<module>")
+    if nested:
+        own = sources.select(F.col(path).alias("file"), F.posexplode(lines(content)).alias("line", "__l")).select("file", (F.col("line") + 1).alias("line"), F.regexp_extract("__l", r"^\s*(?:export\s+)?(?:const|let|var)\s+([\w$]+)\s*[:=]", 1).alias("__own")).where("__own <> ''")
+        found = found.join(own, ["file", "line"], "left")
+        caller = F.coalesce("__own", caller)
     declared = (F.col("callee_raw") == caller) & (F.col("pos") == 0)
     return found.withColumn("caller", caller).where(~declared | F.col("__n").isNull()).select("file", "caller", "callee_raw", "line")
 
@@ -306,22 +548,52 @@ def rpc_methods(parsed: DataFrame, path: str = "path") -> DataFrame:
     return keys.unionByName(parsed.where(named).select(F.concat(F.lit("publish:"), "name").alias("name"), F.col(path).alias("file")))
 
 
-def rpc_methods_by_pattern(sources: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """name, file by pattern alone, for text that is no clean source: names before a bracket
-    or colon at the start of a block's lines, up to the block's first closing brace."""
-    block = r"(?s)Meteor\.methods\s*\(\s*\{([^}]*)\}"
-    key = r"(?m)^\s*(?:async\s+)?['\"]?([\w/:-]+)['\"]?\s*(?:\(|:)"
-    blocks = sources.select(F.col(path).alias("file"), F.explode(F.regexp_extract_all(F.col(content), F.lit(block), F.lit(1))).alias("b"))
-    return blocks.select(F.explode(F.regexp_extract_all("b", F.lit(key), F.lit(1))).alias("name"), "file").where(~F.col("name").isin("function", "async", "return", "if"))
+def rpc_methods_by_pattern(sources: DataFrame, path: str = "path", content: str = "content", levels: int = 6) -> DataFrame:
+    """name, file by pattern alone, for text that is no clean source: keys of objects given to
+    METHODS, and `publish:` names. What stands in brackets inside an object is emptied from
+    the inside out, `levels` deep, so that its own keys are left."""
+    call = METHODS.replace(".", r"\.")
+    after = F.split(F.col(content), rf"{call}\s*\(\s*(?=\{{)")
+    blocks = sources.select(F.col(path).alias("file"), F.explode(F.slice(after, 2, 1 << 30)).alias("b"))
+    text = F.col("b")
+    for _ in range(levels):
+        text = F.regexp_replace(F.regexp_replace(text, r"\([^()]*\)", "<>"), r"(?<!\A)\{[^{}]*\}", "")
+    own = F.regexp_extract(text, r"\A\{([^{}]*)\}", 1)
+    key = r"(?:\A|,)\s*(?:async\s+)?['\"]?([\w./:-]+)['\"]?\s*(?:<>|:)"
+    keys = blocks.select(F.explode(F.regexp_extract_all(own, F.lit(key), F.lit(1))).alias("name"), "file")
+    published = F.regexp_extract_all(F.col(content), F.lit(PUBLICATION.replace(".", r"\.") + r"\s*\(\s*['\"]([^'\"]+)['\"]"), F.lit(1))
+    return keys.unionByName(sources.select(F.explode(published).alias("name"), F.col(path).alias("file")).withColumn("name", F.concat(F.lit("publish:"), "name")))
+
+
+def symbol_source_by_lines(sources: DataFrame, name: str, path: str = "path", content: str = "content") -> DataFrame:
+    """path, source, line_start, line_end of the first line that declares the name: a function,
+    class, interface, type, variable, a method indented by two to six blanks, or a quoted key.
+    It lasts until its braces close; without any, until a later line that ends in `;` or `,`."""
+    n = re.escape(name)
+    declares = "|".join(
+        (
+            rf"^(?:export\s+(?:default\s+)?)?(?:async\s+)?function\s+{n}\s*[(<]", rf"^(?:export\s+(?:default\s+)?)?(?:abstract\s+)?class\s+{n}\s*[{{<(]", rf"^(?:export\s+)?interface\s+{n}\s*[{{<]",
+            rf"^(?:export\s+)?type\s+{n}\s*=", rf"^(?:export\s+)?(?:const|let|var)\s+{n}\s*[=:]", rf"^\s{{2,6}}(?:async\s+)?{n}\s*\(", rf"^\s*['\"`]{n}['\"`]\s*:",
+        )
+    )
+    rows = sources.select(path, F.posexplode(lines(content)).alias("at", "line"))
+    file, until = Window.partitionBy(path), Window.partitionBy(path).orderBy("at")
+    rows = rows.withColumn("first", F.min(F.when(F.col("line").rlike(declares), F.col("at"))).over(file)).where("at >= first")
+    opens, closes = _braces(F.col("line"))
+    rows = rows.withColumns({"__o": F.sum(opens).over(until), "__c": F.sum(closes).over(until)})
+    ended = (F.col("__o") > 0) & (F.col("__o") == F.col("__c")) | (F.col("__o") == 0) & (F.col("at") > F.col("first")) & F.rtrim("line").rlike("[;,]$")
+    rows = rows.withColumn("end", F.min(F.when(ended, F.col("at"))).over(file)).where("end IS NULL OR at <= end")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n")
+    return rows.groupBy(path).agg(whole.alias("source"), (F.min("at") + 1).alias("line_start"), (F.max("at") + 1).alias("line_end"))
 
 
 def symbol_source(sources: DataFrame, name: str, path: str = "path", content: str = "content", parsed: DataFrame | None = None) -> DataFrame:
     """path, source, line_start, line_end, error: a top-level declaration of the name, else a
-    registration of it, else the member of a registered object; else an error."""
+    registration of it, else the member of a registered object, else what lines show; else
+    an error."""
     parsed = parse(sources, path, content) if parsed is None else parsed
-    rank = F.when(F.col("section").isin("Types", "Exports", "Module-level"), 1).when(F.col("section") == "Registrations", 2).otherwise(3)
+    rank = F.when(F.col("section").isin("Types", "Exports", "Module-level", "declared"), 1).when(F.col("section").isin("Registrations", "registered"), 2).otherwise(3)
     best = parsed.where(F.col("name") == name).groupBy(path).agg(F.min(F.struct(rank.alias("r"), "pos", "source", "line_start", "line_end")).alias("m"))
-    out = sources.select(path).join(best, path, "left")
-    return out.select(path, "m.source", "m.line_start", "m.line_end", F.when(F.col("m").isNull(), F.lit(f"Symbol '{name}' not found")).alias("error"))
-
-
+    rest = symbol_source_by_lines(sources.join(best.select(path), path, "left_anti"), name, path, content)
+    found = best.select(path, "m.source", "m.line_start", "m.line_end").unionByName(rest)
+    return sources.select(path).join(found, path, "left").withColumn("error", F.when(F.col("source").isNull(), F.lit(f"Symbol '{name}' not found")))

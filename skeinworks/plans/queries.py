@@ -530,9 +530,10 @@ def code_skeletons(spark, sf):
 @register("""SELECT path, v.name || k AS name, v.kind AS kind, v.exported AS exported FROM (SELECT p_partkey AS k, 'lib/f' || p_partkey % 25 || '/m' || p_partkey || '.ts' AS path FROM part),
 (VALUES ('Kept', 'interface', false), ('run', 'function', true), ('helper', 'function', false)) v(name, kind, exported)""")
 def line_symbols(spark, sf):
-    """Symbols by patterns over lines, without the scanner."""
-    top = parse.symbols_of_lines(modules(spark, sf), "path", "content").where(~F.col("name").isin("text"))
-    return top.select("path", "name", "kind", "exported")
+    """Symbols by patterns over the lines of skeletons."""
+    sources = modules(spark, sf)
+    shown = parse.skeletons(sources, parse.parse(sources))
+    return parse.symbols_of_lines(shown, "path", "skeleton").select("path", "name", "kind", "exported")
 
 
 _SCRIPT = "string_split(html, chr(10))"

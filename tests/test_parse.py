@@ -1,6 +1,10 @@
 """The scanner and what follows from it, on small sources."""
 
+import random
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
 from skeinworks.operators import parse, resolve
 from skeinworks.tools import CodeBase
@@ -132,10 +136,157 @@ def test_symbol_source(rows):
 def test_patterns_agree_with_scanner(rows):
     sources, parsed, _ = rows
     assert {(r.name, r.file) for r in parse.rpc_methods(parsed).collect()} == {("planRoute", "methods.ts"), ("dropStop", "methods.ts")}
-    assert "planRoute" in {r.name for r in parse.rpc_methods_by_pattern(sources).collect()}
+    assert {r.name for r in parse.rpc_methods_by_pattern(sources).collect()} == {"planRoute", "dropStop"}
     assert {r.name for r in parse.symbols_of_lines(sources.where("path = 'basic.ts'"), "path", "content").collect()} >= {"Parcel", "Order", "placeOrder", "Depot", "LIMIT", "Speed"}
 
 
+HARD = r"""
+const quoted = /["{'`]/;
+const split = (a, b) => a / b / 2, other: Map<string, number> = new Map(), last = [1, 2];
+const text = `a ${b ? `x{` : "y}"} ${ { k: 1 }.k } c`;
+const path = a.replace(/\/[/{]+/g, "/"); // it's a comment with a quote
+if (quoted.test(text)) { return /}/.exec(x); }
+
+export function first(x) {
+  const inner = x / 2; /* } */
+  return x.match(/^[^/]*{/) ? `${inner}` : null;
+}
+
+export class Second<T extends { a: string }> {
+  run(v: T): string { return v.a; }
+}
+
+queue.on('drain', settings);
+jobs.plan('sweep', { description: ['Sweeps the', 'old rows.'], input: { shape: { table: s.text(), deep: { limit: s.int() } }, dry: s.bool() } }, async (args) => { await sweep(args); });
+jobs.plan('count', async ({ table, since }) => table.count(since));
+""".lstrip()
+
+
+@pytest.fixture(scope="module")
+def hard(spark):
+    sources = spark.createDataFrame([("hard.ts", HARD)], "path string, content string")
+    return sources, parse.parse(sources)
+
+
+def test_scanner_reaches_the_end(hard):
+    """Quotes and braces in regular expressions and nested templates hide no later line."""
+    sources, parsed = hard
+    names = {r.name for r in parse.symbols(parsed).collect()}
+    assert names == {"quoted", "split", "other", "last", "text", "path", "first", "Second"}
+    spans = {r.name: (r.line_start, r.line_end) for r in parsed.where("section = 'Exports'").collect()}
+    assert spans == {"first": (7, 10), "Second": (12, 14)}
+    assert parsed.where("section = 'unclosed'").count() == 0
+    assert "run(v: T): string;" in parse.skeletons(sources, parsed).first().skeleton
+
+
+def test_registrations(hard):
+    sources, parsed = hard
+    shown = [r.text for r in parsed.where("section = 'Registrations'").orderBy("pos").collect()]
+    assert shown == [
+        "jobs.plan('sweep', /* Sweeps the old rows. */ async ({ table, limit, dry }) => { ... }); // L17",
+        "jobs.plan('count', async ({ table, since }) => { ... }); // L18",
+    ]
+    assert parse.symbol_source(sources, "drain", parsed=parsed).first().source == "queue.on('drain', settings);"
+
+
+@pytest.mark.parametrize("code", ["a / b", "(a) / b / c", "x = 1 / 2 / 3", "a[0] / 2 / i"])
+def test_divisions_stay(code):
+    assert parse.code_only(code) == code
+
+
+def test_code_only_keeps_lengths():
+    rnd = random.Random(1)
+    for _ in range(400):
+        text = "".join(rnd.choice(["`", "${", "}", "{", "/", "'", '"', "\\", "\n", "a", " ", "//", "/*", "*/", "=", "("]) for _ in range(rnd.randint(0, 40)))
+        code = parse.code_only(text)
+        assert len(code) == len(text) and [i for i, c in enumerate(code) if c == "\n"] == [i for i, c in enumerate(text) if c == "\n"]
+
+
+def test_large_file_in_linear_time():
+    part = "export function f%d(a) {\n  const s = `x ${a} {`; // note\n  return [a, { b: /[{]/ }];\n}\n\n"
+    text = "".join(part % k for k in range(120_000))
+    began = time.time()
+    rows = parse.scan(text)
+    assert len(text) > 10_000_000 and len(rows) == 120_000 and rows[-1][6:8] == (599_996, 599_999)
+    assert time.time() - began < 20
+
+
+LOOSE = """
+import { a,
+  b } from './ab';
+export interface Shape { size: number }
+export const top = { x: 1 };
+interface Bare { y: string }
+class Plain {
+  const = 1;
+}
+async function later() {
+  const inside = "}";
+}
+let v = 1;
+jobs.plan('tidy', {
+      description: 'Tidies up.',
+      rows: s.int(),
+}, async (args) => {
+  await tidy(args);
+});
+jobs.plan('none', settings);
+Meteor.methods({
+  async sweep(x) {
+    if (x) { return 1; }
+  },
+  rest: 1,
+});
+""".lstrip()
+
+
+def test_lines_without_the_scanner(spark):
+    sources = spark.createDataFrame([("loose.ts", LOOSE)], "path string, content string")
+    rows = parse.parse_lines(sources)
+    got = {s: [r.text for r in rows.where(F.col("section") == s).orderBy("pos").collect()] for s in parse.SECTIONS}
+    assert got["imports"] == ["import { a,\n  b } from './ab';"] and got["Types"] == []
+    assert got["Exports"] == ["export interface Shape { ... }", "export const top = { ... }"]
+    assert got["Module-level"] == ["class Plain { ... }", "async function later() { ... }", "let v = 1;"]
+    assert got["Registrations"] == ["jobs.plan('tidy', /* Tidies up. */ async ({ rows }) => { ... }); // L13", "Meteor.methods({\n  async sweep(...) { ... },\n  rest(...) { ... },\n}); // L20"]
+    assert [r.name for r in rows.where("section = 'method'").orderBy("pos").collect()] == ["sweep", "rest"]
+    assert {r.name for r in parse.symbols(rows).collect()} == {"Shape", "top", "Plain", "later", "v"}
+
+
+def test_read_skeletons(spark, hard):
+    sources = spark.createDataFrame([("loose.ts", LOOSE), ("open.ts", "export function f() {\n  if (x) {\n}\n"), ("notes.py", "import os\nexport x\n"), ("hard.ts", HARD)], "path string, content string")
+    wanted = spark.createDataFrame([("loose.ts",), ("open.ts",), ("notes.py",), ("gone.ts",)], "path string")
+    got = {r.path: r for r in parse.read_skeletons(wanted, sources, parse.parse(sources)).collect()}
+    assert {p: r.engine for p, r in got.items()} == {"loose.ts": "scanner", "open.ts": "lines", "notes.py": "lines", "gone.ts": None}
+    assert got["gone.ts"].error == "File not found: gone.ts" and all(got[p].error is None for p in ("loose.ts", "open.ts", "notes.py"))
+    assert got["open.ts"].skeleton.endswith("export function f() { ... }") and "import os" in got["notes.py"].skeleton
+    assert "Meteor.methods({\n  async sweep(x) { ... },\n  rest() { ... },\n}); // L20" in got["loose.ts"].skeleton and got["loose.ts"].methods == ["sweep", "rest"]
+
+
+@pytest.mark.parametrize(
+    "name, first, last",
+    [("later", 9, 11), ("Bare", 5, 5), ("top", 4, 4), ("v", 12, 18), ("sweep", 21, 23), ("Plain", 6, 8), ("missing", None, None)],
+)
+def test_symbol_by_lines(spark, name, first, last):
+    rows = parse.symbol_source_by_lines(spark.createDataFrame([("loose.ts", LOOSE)], "path string, content string"), name).collect()
+    assert [(r.line_start, r.line_end) for r in rows] == ([(first, last)] if first else [])
+
+
+def test_methods_by_pattern(spark):
+    text = "Meteor.methods({\n  one(a, b) { if (a) { return { c: 1 }; } },\n  'two.go': async function (x) { run(x, { k: 2 }); },\n  async three() {},\n});\nMeteor.publish('list', f);\nMeteor.methods({ four: g });\n"
+    sources = spark.createDataFrame([("m.js", text)], "path string, content string")
+    assert sorted(r.name for r in parse.rpc_methods_by_pattern(sources).collect()) == ["four", "one", "publish:list", "three", "two.go"]
+
+
+def test_older_rules(spark, hard):
+    sources, parsed = hard
+    shown = parse.skeletons(sources, parsed)
+    names = {r.name for r in parse.symbols_of_lines(shown, "path", "skeleton", exported_variables=True).collect()}
+    assert names == {"first", "Second"}
+    calls = spark.createDataFrame([("n.ts", "function g() {\n  const x = f();\n  return h(x);\n}\n")], "path string, content string")
+    got = lambda nested: {(r.caller, r.callee_raw) for r in parse.call_sites(calls, parse.parse(calls), nested=nested).collect()}
+    assert got(False) == {("g", "f"), ("g", "h")} and got(True) == {("x", "f"), ("g", "h")}
+
+
 FILES = {
     "app/a.ts": "import { b as bee, c } from './b';\nimport d from './d';\nimport './side';\nexport function a() {\n  const x = bee();\n  helper();\n  this.go();\n  return c.run(d());\n}\nfunction helper() { return a(); }\n",
     "app/b.ts": "import {\n  a\n} from './a';\nexport function b() { return a(); }\nexport const c = { run(x) { return x; } };\n",
