@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
-def within_budget(ranked: DataFrame, order: list, cost: str, budget: int, keep: list[str]) -> DataFrame:
+#: Rows that compete for a budget at most; scopes hold 60 files.
+MOST = 1000
+
+
+def within_budget(ranked: DataFrame, order: list, cost: str, budget: int, keep: list[str], most: int = MOST) -> DataFrame:
     """Rows in order, each taken if it still fits; one that does not is skipped and later,
-    smaller ones may follow. ranked is the bounded head of a ranking (scopes hold 60 files at
-    most), as the choice depends on every earlier one. Returns keep, cost, ord, used (tokens
-    so far) and taken."""
+    smaller ones may follow. As the choice depends on every earlier one, it is made in one
+    task, and by no more than the first `most` rows. Returns keep, cost, ord, used (tokens so
+    far) and taken."""
+    ranked = ranked.orderBy(*order).limit(most)
     names = [f"k{i}" for i in range(len(order))]
     row = F.struct(*(c.alias(n) for c, n in zip(order, names)), F.struct(*keep, cost).alias("row"))
     items = ranked.agg(F.array_sort(F.collect_list(row)).alias("items"))

@@ -32,7 +32,7 @@ FAMILIES = (
     Family("meteor-method", r"Meteor\.(?:call|methods)\s*\(\s*['\"]([^'\"]+)['\"]", "Meteor method '{1}' discovered in session", 0.85),
     Family("alias", r"(?i)@([\w./-]+)\s*(?:→|->|resolves to|is at)\s*([\w/.@-]+)", "Import alias @{1} resolves to {2}", 0.9),
     Family("convention", r"(?i)(?:I (?:learned|discovered|found) that|The pattern (?:is|for)|Always use|Convention:|Note:)\s+([^.!?\n]{20,150}[.!?])", "{1}", 0.75, 21, ("{", "function")),
-    Family("avoid", r"(?i)(?:no results|not found|failed to find)\s+(?:for\s+)?['\"]?([^'\".\n]{5,80})['\"]?", "Search term '{1}' yielded no results — use skeletonizer instead", 0.6, 5),
+    Family("avoid", r"(?i)(?:no results|not found|failed to find)\s+(?:for\s+)?['\"]?([^'\".\n]{5,80})['\"]?", "Search term '{1}' yielded no results — use search_symbol instead", 0.6, 5),
     Family("module", r"(?i)(?:package|module)\s+['\"]?([\w@/-]+)['\"]?\s+(?:exports|provides|contains)\s+([^.\n]{10,100})", "Package {1} provides: {2}", 0.8),
 )
 
@@ -123,6 +123,14 @@ def curate(new: DataFrame, known: DataFrame, key: str, text: str, known_key: str
     return new.join(close, key, "left_anti")
 
 
+def learned(old: DataFrame, new: DataFrame, order: str = "seq") -> DataFrame:
+    """type, lesson, seq of old lessons and the new ones after them; both have type, lesson and
+    their own order. The old ones' greatest number is one row."""
+    last = old.agg(F.coalesce(F.max(order), F.lit(-1)).alias("__last"))
+    after = new.crossJoin(last).withColumn(order, F.col("__last") + 1 + F.col(order))
+    return old.select("type", "lesson", F.col(order).cast("long")).unionByName(after.select("type", "lesson", F.col(order).cast("long")))
+
+
 def latest(rows: DataFrame, order: list[str], keep: int = KEPT) -> DataFrame:
     """The last rows in order; a top-k, not a sort of everything."""
     return rows.orderBy(*(F.desc(c) for c in order)).limit(keep)

@@ -226,6 +226,29 @@ def scope_rank(spark, sf):
     return traverse.scope(edges, seeds, 1, 40)
 
 
+@register("""WITH seeds AS (SELECT s_suppkey, s_nationkey FROM supplier WHERE s_suppkey < 4),
+n AS (SELECT s_nationkey AS k, arg_min('supplier::' || s_suppkey, s_suppkey) AS via, min(s_suppkey) AS ord FROM seeds GROUP BY 1),
+r AS (SELECT n_regionkey AS k, arg_min('nation::' || n.k, n.ord) AS via FROM n JOIN nation ON n_nationkey = n.k GROUP BY 1)
+SELECT 'supplier::' || s_suppkey AS file, CAST(0 AS INTEGER) AS depth, CAST(100 AS INTEGER) AS score, 'seed' AS reason FROM seeds
+UNION ALL SELECT 'nation::' || k, 1, 75, 'dep-of:' || via FROM n UNION ALL SELECT 'region::' || k, 2, 50, 'dep-of:' || via FROM r""")
+def scope_two_steps(spark, sf):
+    """A scope of depth two: suppliers, their nations, their regions."""
+    supplier, nation = table(spark, sf, "supplier"), table(spark, sf, "nation")
+    edges = supplier.select(_node("supplier", "s_suppkey").alias("src"), _node("nation", "s_nationkey").alias("dst"), F.lit(0).cast("long").alias("pos"))
+    edges = edges.unionByName(nation.select(_node("nation", "n_nationkey").alias("src"), _node("region", "n_regionkey").alias("dst"), F.lit(0).cast("long").alias("pos")))
+    seeds = supplier.where("s_suppkey < 4").select(_node("supplier", "s_suppkey").alias("file"), F.col("s_suppkey").cast("long").alias("ord"), F.lit("seed").alias("reason"))
+    return traverse.scope(edges, seeds, 2, 40)
+
+
+@register("""WITH s AS (SELECT p_brand AS file, p_partkey AS ord, 'symbol:small ring(' || p_type || ')' AS reason FROM part WHERE p_name = 'small ring'
+UNION ALL SELECT r_name, (1::BIGINT << 40) + (1::BIGINT << 39), 'rpc:NATION_7' FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_name = 'NATION_7')
+SELECT file, min(ord) AS ord, arg_max(reason, ord) AS reason FROM s GROUP BY file""")
+def scope_seeds(spark, sf):
+    """Seeds by an exact symbol and by a method."""
+    symbols, methods, pages = _search_tables(spark, sf)
+    return traverse.seed_files(["small ring", "NATION_7"], pages.select("path"), symbols, methods)
+
+
 @register("""WITH RECURSIVE top AS (SELECT doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens, row_number() OVER (ORDER BY length(text) DESC, doc_id) - 1 AS ord FROM documents QUALIFY ord < 60),
 r AS (SELECT -1::BIGINT AS doc_id, 0::BIGINT AS tokens, -1::BIGINT AS ord, 0::BIGINT AS used, false AS taken
   UNION ALL SELECT t.doc_id, t.tokens, t.ord, r.used + CASE WHEN r.used + t.tokens <= 25000 THEN t.tokens ELSE 0 END, r.used + t.tokens <= 25000 FROM r JOIN top t ON t.ord = r.ord + 1)
@@ -383,13 +406,60 @@ def first_seen(spark, sf):
     return lessons.first_seen(table(spark, sf, "documents").select("doc_id", "text"), F.col("text"), [F.col("doc_id")]).select("doc_id")
 
 
-@register("SELECT doc_id, CAST(2 AS INTEGER) AS pos, 'lang-' || lang AS type, string_split(text, chr(10))[1] AS lesson FROM documents WHERE string_split(text, chr(10))[1] <> ''")
+@register("""WITH l AS (SELECT doc_id, lang, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i, unnest(string_split(text, chr(10))) AS lesson FROM documents)
+SELECT doc_id, CAST(i + 1 AS INTEGER) AS pos, 'lang-' || lang AS type, lesson FROM l WHERE lesson <> ''""")
 def playbook_lines(spark, sf):
-    head = F.lit(f"# Notes\n- [skipped] before\n{transcripts.SECTION}\n\n- [lang-")
-    books = table(spark, sf, "documents").select("doc_id", F.concat(head, "lang", F.lit("] "), F.get(F.split("text", "\n"), F.lit(0)), F.lit("\n* no lesson\n")).alias("text"))
+    """Playbooks whose lessons are all lines of a document."""
+    head = F.lit(f"# Notes\n- [skipped] before\n{transcripts.SECTION}\n\n")
+    said = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("- [lang-"), F.col("lang"), F.lit("] "), x)), "\n")
+    books = table(spark, sf, "documents").select("doc_id", F.concat(head, said, F.lit("\n* no lesson\n")).alias("text"))
     return transcripts.playbook_lessons(books)
 
 
+_TOLD = "'It was found in lib/' || replace(p_name, ' ', '_') || '.ts today. ' || 'Meteor.call(''' || p_brand || ''', 1). ' || '@' || replace(p_name, ' ', '/') || ' resolves to packages/' || p_size || chr(10) || 'Note: ' || p_type || ' parts of the kind ' || p_name || ' come first! no results for ''' || p_name || '''. ' || 'package ''' || replace(p_brand, '#', '-') || ''' contains ' || p_name || '. '"
+
+
+@register(rf"""WITH t AS (SELECT p_partkey, {_TOLD} AS text FROM part),
+f(family, type, confidence, pattern) AS (VALUES (0, 'file-location', 0.7, '(?i)(?:found|located|implemented|defined)\s+in\s+([\w/.@-]+\.(?:ts|js|tsx|jsx))'),
+  (1, 'meteor-method', 0.85, 'Meteor\.(?:call|methods)\s*\(\s*[''"]([^''"]+)[''"]'), (2, 'alias', 0.9, '(?i)@([\w./-]+)\s*(?:→|->|resolves to|is at)\s*([\w/.@-]+)'),
+  (3, 'convention', 0.75, '(?i)(?:I (?:learned|discovered|found) that|The pattern (?:is|for)|Always use|Convention:|Note:)\s+([^.!?\n]{{20,150}}[.!?])'),
+  (4, 'avoid', 0.6, '(?i)(?:no results|not found|failed to find)\s+(?:for\s+)?[''"]?([^''".\n]{{5,80}})[''"]?'), (5, 'module', 0.8, '(?i)(?:package|module)\s+[''"]?([\w@/-]+)[''"]?\s+(?:exports|provides|contains)\s+([^.\n]{{10,100}})')),
+m AS (SELECT p_partkey, family, type, confidence, regexp_extract(text, pattern, 1) AS a, CASE WHEN family IN (2, 5) THEN regexp_extract(text, pattern, 2) END AS b FROM t, f)
+SELECT p_partkey, CAST(family AS INTEGER) AS family, CAST(0 AS INTEGER) AS pos, type, CAST(confidence AS DOUBLE) AS confidence,
+CASE family WHEN 0 THEN 'File location: ' || a WHEN 1 THEN 'Meteor method ''' || a || ''' discovered in session' WHEN 2 THEN 'Import alias @' || a || ' resolves to ' || b
+  WHEN 3 THEN a WHEN 4 THEN 'Search term ''' || a || ''' yielded no results — use search_symbol instead' ELSE 'Package ' || a || ' provides: ' || b END AS lesson
+FROM m WHERE a <> '' AND (family <> 3 OR length(a) >= 21)""")
+def agent_lessons(spark, sf):
+    """The six families over sessions told from the columns of `part`."""
+    part = table(spark, sf, "part").withColumn("p_size", F.col("p_size").cast("string"))
+    swap = lambda c, a, b: F.replace(c, F.lit(a), F.lit(b))
+    said = F.concat(
+        F.lit("It was found in lib/"), swap("p_name", " ", "_"), F.lit(".ts today. Meteor.call('"), "p_brand", F.lit("', 1). @"), swap("p_name", " ", "/"), F.lit(" resolves to packages/"), "p_size",
+        F.lit("\nNote: "), "p_type", F.lit(" parts of the kind "), "p_name", F.lit(" come first! no results for '"), "p_name", F.lit("'. package '"), swap("p_brand", "#", "-"), F.lit("' contains "), "p_name", F.lit(". "),
+    )
+    return lessons.extract(part.select("p_partkey", said.alias("text")), "p_partkey", "text")
+
+
+@register(f"""WITH t AS ({_TURNS_SQL}), s AS (SELECT *, max(turn_id) OVER (PARTITION BY conv_id) - turn_id >= 1 AS stale, string_split(text, chr(10)) AS l FROM t)
+SELECT conv_id AS session, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS pos, role,
+CASE WHEN stale AND len(l) > 5 THEN array_to_string(l[1:3], chr(10)) || chr(10) || '[...' || (len(l) - 4) || ' lines of tool output omitted — within observation masking window...]' || chr(10) || l[-1] ELSE text END AS text FROM s""")
+def masked_transcripts(spark, sf):
+    """Conversations as JSON payloads of tool results, read back, and masked part by part."""
+    said = F.struct(F.lit("text").alias("type"), "text")
+    message = F.struct("turn", "role", F.array(F.struct(F.lit("tool_result").alias("type"), F.array(said).alias("content"))).alias("content"))
+    raw = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(message)).alias("messages"))
+    raw = raw.select("conv_id", F.to_json(F.struct(F.struct("messages").alias("llm_request"))).alias("value"))
+    masked = masking.mask(transcripts.message_rows(transcripts.payloads(raw), "conv_id"), keep=1, role="assistant")
+    return masked.select("session", "pos", "role", F.get(F.get("parts", F.lit(0))["content"], F.lit(0))["text"].alias("text"))
+
+
+@register("""SELECT type, lesson, CAST(row_number() OVER (ORDER BY k, seq) - 1 AS BIGINT) AS seq FROM (SELECT 0 AS k, r_regionkey AS seq, 'region' AS type, r_name AS lesson FROM region UNION ALL SELECT 1, n_nationkey, 'nation', n_name FROM nation)""")
+def learned_lessons(spark, sf):
+    """Old lessons, then new ones."""
+    of = lambda name, c: table(spark, sf, name).select(F.lit(name).alias("type"), F.col(f"{c}_name").alias("lesson"), F.col(f"{c}_{name}key").alias("seq"))
+    return lessons.learned(of("region", "r"), of("nation", "n"))
+
+
 # --- telemetry --------------------------------------------------------------------------
 
 
@@ -527,6 +597,37 @@ def code_skeletons(spark, sf):
     return parse.skeletons(sources, parse.parse(sources)).select("path", "skeleton")
 
 
+def loose_modules(spark: SparkSession, sf: str) -> DataFrame:
+    """path, content: sources with a class, a registration and a regular expression whose quote
+    and brace would hide what follows."""
+    part = table(spark, sf, "part")
+    k, name = F.col("p_partkey").cast("string"), F.col("p_name")
+    content = F.concat(
+        F.lit("const mark = /[\"{]/, size"), k, F.lit(" = 1;\nexport class Depot"), k, F.lit(" extends Base {\n  private rows: string[] = [];\n  async load(at: number): Promise<void> {\n    this.rows.push(`${at} ${ `{` }`);\n  }\n}\njobs.plan('"), name,
+        F.lit("', { description: 'Plans "), name, F.lit("', input: { "), F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))), F.lit(": s.text() } }, async (args) => {\n  await run(args);\n});\n"),
+    )
+    return part.select(F.concat(F.lit("m"), k, F.lit(".ts")).alias("path"), content.alias("content"))
+
+
+@register("""WITH p AS (SELECT p_partkey AS k, 'm' || p_partkey || '.ts' AS path, p_name AS name, lower(replace(p_brand, '#', '_')) AS brand FROM part)
+SELECT path, 'Module-level' AS section, 'mark' AS name, CAST(1 AS INTEGER) AS line_start, CAST(1 AS INTEGER) AS line_end, 'const mark = /["{]/, size' || k || ' = 1;' AS text FROM p
+UNION ALL SELECT path, 'declared', 'size' || k, 1, 1, 'const mark = /["{]/, size' || k || ' = 1;' FROM p
+UNION ALL SELECT path, 'Exports', 'Depot' || k, 2, 7, 'export class Depot' || k || ' extends Base {' || chr(10) || '  private rows: string[] = [];' || chr(10) || '  async load(at: number): Promise<void>;' || chr(10) || '}' FROM p
+UNION ALL SELECT path, 'Registrations', name, 8, 10, 'jobs.plan(''' || name || ''', /* Plans ' || name || ' */ async ({ ' || brand || ' }) => { ... }); // L8' FROM p""")
+def code_statements(spark, sf):
+    """Classes, further declarators and registrations, past a regular expression with a quote."""
+    return parse.parse(loose_modules(spark, sf)).select("path", "section", "name", "line_start", "line_end", "text")
+
+
+@register("""WITH p AS (SELECT p_partkey AS k, 'm' || p_partkey || '.ts' AS path, p_name AS name FROM part)
+SELECT path, 'Module-level' AS section, 'mark' AS name, CAST(1 AS INTEGER) AS line_start FROM p UNION ALL SELECT path, 'Exports', 'Depot' || k, 2 FROM p""")
+def line_statements(spark, sf):
+    """The same sources by lines alone: the quote in the regular expression hides no brace of
+    another line, and a class lasts until its braces close."""
+    rows = parse.parse_lines(loose_modules(spark, sf))
+    return rows.where("section IN ('Module-level', 'Exports')").select("path", "section", "name", "line_start")
+
+
 @register("""SELECT path, v.name || k AS name, v.kind AS kind, v.exported AS exported FROM (SELECT p_partkey AS k, 'lib/f' || p_partkey % 25 || '/m' || p_partkey || '.ts' AS path FROM part),
 (VALUES ('Kept', 'interface', false), ('run', 'function', true), ('helper', 'function', false)) v(name, kind, exported)""")
 def line_symbols(spark, sf):

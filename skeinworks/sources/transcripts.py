@@ -78,7 +78,18 @@ def write_report(report: DataFrame, path: str) -> None:
     report.write.mode("overwrite").json(path)
 
 
-def write_playbook(path: str, text: str) -> None:
-    """The playbook's text to a local file; it holds KEPT lessons at most."""
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(text)
+def write_text(rows: DataFrame, path: str, text: str = "text") -> None:
+    """A column of texts, one to a line or more, into a folder of text files, in any store that
+    Spark reaches."""
+    rows.select(text).write.mode("overwrite").text(path)
+
+
+def write_playbook(spark: SparkSession, path: str, text: str) -> None:
+    """The playbook's text as one file of any store that Spark reaches; it holds KEPT lessons
+    at most."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(text, "utf-8"))
+    finally:
+        out.close()

@@ -31,13 +31,18 @@ def snapshots(calls: DataFrame, write: Callable[[DataFrame, int], None], checkpo
 
 def ingest(files: DataFrame, parse: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Changed files of each batch, found by their hash, go through `parse` into a new version
-    at target; the greatest version of a path is its current one. files(path, content)."""
+    at target; the greatest version of a path is its current one. files(path, content); a row
+    with null content says that the file was deleted, and its path has no current rows then."""
 
     def merge(batch: DataFrame, version: int) -> None:
         spark = batch.sparkSession
         known = current(spark, target)
-        fresh = split_by_cache(batch.dropDuplicates(["path"]), known, "path").where("NOT reused").drop("reused")
-        done = parse(fresh).withColumn("version", F.lit(version).cast("long"))
+        batch = batch.dropDuplicates(["path"])
+        gone = batch.where("content IS NULL").select("path", F.lit(True).alias("deleted"))
+        # Only the hashes of this batch's paths are read of what is known.
+        known = known.join(batch.select("path"), "path", "left_semi")
+        fresh = split_by_cache(batch.where("content IS NOT NULL"), known, "path").where("NOT reused").drop("reused")
+        done = parse(fresh).withColumn("deleted", F.lit(False)).unionByName(gone, allowMissingColumns=True).withColumn("version", F.lit(version).cast("long"))
         # A repeated batch replaces what it wrote before.
         done.write.mode("overwrite").parquet(f"{target}/version_part={version}")
 
@@ -54,7 +59,7 @@ def current(spark: SparkSession, target: str) -> DataFrame:
     except AnalysisException:
         return spark.createDataFrame([], "path string, hash string, version long")
     last = rows.groupBy("path").agg(F.max("version").alias("version"))
-    return rows.join(last, ["path", "version"], "left_semi")
+    return rows.join(last, ["path", "version"], "left_semi").where("NOT deleted").drop("deleted")
 
 
 def run_snapshot(spark: SparkSession, calls: DataFrame, label: str) -> DataFrame:

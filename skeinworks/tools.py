@@ -24,24 +24,33 @@ log = logging.getLogger("skeinworks")
 
 
 def instrument(calls: list, name: str, run: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """run, timed and recorded with its sizes; errors are recorded and raised again."""
+    """run as an action: its result is stored in its order, and the call is recorded with the
+    time that took, the tokens of the rows as JSON, and the engine that parsed them, where rows
+    name one. Errors are recorded and raised again."""
 
     @functools.wraps(run)
     def wrapped(*args, **kwargs):
-        began, error = time.time(), None
+        began, error, said, engine = time.time(), None, 0, None
         try:
-            return run(*args, **kwargs)
+            rows = run(*args, **kwargs)
+            out = stored(rows.withColumn("__place", F.monotonically_increasing_id()), f"tool-{name}")
+            used = F.sum(tokens(F.to_json(F.struct(*rows.columns))))
+            got = out.agg(F.coalesce(used, F.lit(0)).alias("tokens"), (F.min("engine") if "engine" in rows.columns else F.lit(None).cast("string")).alias("engine")).first()
+            said, engine = got.tokens, ENGINES.get(got.engine)
+            return out.orderBy("__place").select(*rows.columns)
         except Exception as e:
             error = str(e)[:200]
             raise
         finally:
-            said = len(str(args) + str(kwargs))
-            calls.append((len(calls) + 1, name, -(-said // 4), 0, int((time.time() - began) * 1000), None, False, error, datetime.now(UTC)))
+            asked = len(str(args) + str(kwargs))
+            calls.append((len(calls) + 1, name, -(-asked // 4), said, int((time.time() - began) * 1000), engine, False, error, datetime.now(UTC)))
             log.info("%s took %d ms", name, calls[-1][4])
 
     return wrapped
 
 
+#: What telemetry calls the engines of `parse.read_skeletons`.
+ENGINES = {"scanner": telemetry.TREE[0], "lines": telemetry.STAND_IN[1]}
 CALLS = "seq long, tool string, input_tokens long, output_tokens long, ms long, engine string, from_cache boolean, error string, wall_time timestamp"
 
 
@@ -76,11 +85,11 @@ class CodeBase:
     def list_files(self, prefix: str | None = None, pattern: str | None = None, max_results: int = 100) -> DataFrame:
         return listing.list_files(self.files, prefix, pattern, max_results)
 
-    def _skeletons(self, sources: DataFrame) -> DataFrame:
-        return parse.skeletons(sources, self.parsed.drop("seq"))
-
     def read_file_skeleton(self, path: str, include_imports: bool = True, include_methods: bool = True) -> DataFrame:
-        rows = self._skeletons(source_files.read_file(self.sources, path))
+        """One row: the skeleton, or an error where the path has no source."""
+        wanted = self.sources.sparkSession.createDataFrame([(path,)], "path string")
+        here = F.col("path") == path
+        rows = parse.read_skeletons(wanted, self.sources.where(here), self.parsed.where(here).drop("seq"))
         if not include_imports:
             rows = rows.withColumn("skeleton", without_lines("skeleton", "import "))
         return rows if include_methods else rows.drop("methods")
@@ -125,8 +134,11 @@ class CodeBase:
         plain = [q.removeprefix(self.root.rstrip("/") + "/") for q in queries]
         seeds = traverse.seed_files(plain, self.files, self.symbols, self.methods)
         ranked = traverse.scope(self.imports.where("dst IS NOT NULL").select("src", "dst", "pos"), seeds, max_depth, max_files)
-        ranked = ranked.withColumn("place", F.monotonically_increasing_id())
-        shown = ranked.join(self._skeletons(self.sources).select(F.col("path").alias("file"), "skeleton"), "file").withColumn("tokens", tokens("skeleton"))
+        ranked = stored(ranked.withColumn("place", F.monotonically_increasing_id()), "scope-files")
+        # At most max_files paths: only their sources and statements are read.
+        files = F.broadcast(ranked.select(F.col("file").alias("path")))
+        shown = parse.skeletons(self.sources.join(files, "path", "left_semi"), self.parsed.drop("seq").join(files, "path", "left_semi"))
+        shown = ranked.join(shown.select(F.col("path").alias("file"), "skeleton"), "file").withColumn("tokens", tokens("skeleton"))
         return budget.within_budget(shown, [-F.col("score"), F.col("depth"), F.col("place")], "tokens", max_tokens, ["file", "depth", "score", "reason", "skeleton"])
 
     def reindex(self) -> CodeBase:

@@ -155,7 +155,7 @@ def test_lessons(spark):
     first = lessons.first_seen(found, F.col("lesson"), [F.col("family"), F.col("pos")], ["id"]).orderBy("family", "pos").collect()
     assert [(r.type, r.lesson) for r in first] == [
         ("file-location", "File location: apps/lib/send.ts"), ("meteor-method", "Meteor method 'joinRoom' discovered in session"), ("alias", "Import alias @app/ui resolves to packages/ui."),
-        ("convention", "always run the formatter before a commit here."), ("avoid", "Search term 'sendMessageX' yielded no results — use skeletonizer instead"), ("module", "Package kit provides: a small set of helpers"),
+        ("convention", "always run the formatter before a commit here."), ("avoid", "Search term 'sendMessageX' yielded no results — use search_symbol instead"), ("module", "Package kit provides: a small set of helpers"),
     ]
 
 
@@ -178,6 +178,22 @@ def test_playbook_round_trip(spark):
     assert transcripts.load_playbook(spark, "/tmp/no-such-playbook").first().text.startswith("# Playbook")
 
 
+def test_sinks(spark, tmp_path):
+    transcripts.write_playbook(spark, str(tmp_path / "book.md"), "# Büch\n\ntext\n")
+    assert transcripts.load_playbook(spark, str(tmp_path / "book.md")).first().text == "# Büch\n\ntext\n"
+    rows = spark.createDataFrame([("one",), ("two",)], "text string")
+    transcripts.write_text(rows, str(tmp_path / "texts"))
+    transcripts.write_report(rows, str(tmp_path / "report"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "texts")).collect()) == ["one", "two"] and spark.read.json(str(tmp_path / "report")).count() == 2
+
+
+def test_learned_follow_old_ones(spark):
+    old = spark.createDataFrame([("a", "x", 4), ("b", "y", 9)], "type string, lesson string, seq int")
+    new = spark.createDataFrame([("c", "z", 0), ("d", "w", 1)], "type string, lesson string, seq int")
+    assert [(r.seq, r.lesson) for r in lessons.learned(old, new).orderBy("seq").collect()] == [(4, "x"), (9, "y"), (10, "z"), (11, "w")]
+    assert [r.seq for r in lessons.learned(old.limit(0), new).orderBy("seq").collect()] == [0, 1]
+
+
 CALLS = "seq long, tool string, input_tokens long, output_tokens long, ms long, engine string, error string"
 
 
@@ -209,6 +225,12 @@ def test_ingest_reparses_only_changes(spark, tmp_path):
         live.ingest(live.file_stream(spark, str(source), schema), parse, target, str(tmp_path / "cp")).awaitTermination()
     assert [x for x in seen if x] == [["a", "b"], ["b"]]
     assert {(r.path, r.version) for r in live.current(spark, target).collect()} == {("a", 0), ("b", 1)}
+    put("3", [("a", None), ("c", "w")])
+    live.ingest(live.file_stream(spark, str(source), schema), parse, target, str(tmp_path / "cp")).awaitTermination()
+    assert {(r.path, r.version) for r in live.current(spark, target).collect()} == {("b", 1), ("c", 2)}
+    put("4", [("a", "x")])
+    live.ingest(live.file_stream(spark, str(source), schema), parse, target, str(tmp_path / "cp")).awaitTermination()
+    assert {r.path for r in live.current(spark, target).collect()} == {"a", "b", "c"}
 
 
 def test_content_cache(spark, tmp_path):

@@ -340,6 +340,14 @@ def test_tools(base):
     assert detail.calls == 1 and detail.called_by == 1 and "return a()" in detail.source
     assert base.read_symbol_details("app/b.ts", "helper").first().candidates == ["app/a.ts"]
     assert [c[1] for c in base.calls][:2] == ["list_files", "blast_radius"]
+    shown = base.read_file_skeleton("app/a.ts").first()
+    assert shown.engine == "scanner" and shown.error is None and base.read_file_skeleton("app/zz.ts").first().error == "File not found: app/zz.ts"
+    parsed = base.calls[-2]
+    assert parsed[3] > len(shown.skeleton) // 4 and parsed[4] > 0 and parsed[5] == "tree-sitter" and parsed[7] is None
+    assert base.repo_stats().first().tree_rate == "100.0%"
+    with pytest.raises(ValueError):
+        base.search_symbol("x", max_results=99)
+    assert "limit" in base.calls[-1][7]
 
 
 def test_source_tree(spark, tmp_path):
