@@ -5,12 +5,15 @@ machines choose the family first, one against the rest; within the family, machi
 pair of languages vote. A text's margin is the mean weight of its trigrams, so all machines
 are read in one pass of array look-ups, whatever the length.
 
-Training sees up to `SAMPLE` rows, as many of each of the `LANGUAGES` most frequent
-languages, chosen by a hash of their id; their trigram shares come to the driver.
+Training sees up to `SAMPLE` ids, as many of each language, chosen by a hash of the id; their
+trigram shares come to the driver. With more than `LANGUAGES` languages the sample grows, so
+that every language is learnt from SAMPLE / LANGUAGES ids.
 
 Defined results
 * null text or no letter: `und`, score 0. Very long texts: whole. Repeated rows: each.
 * one learned language: every text with a letter has it. None: `und`.
+* ties: the first family, and the first language of those with equal votes and equal least
+  probability, in the order of their names.
 * empty table: no rows. Extra columns are ignored by `predict` and kept by `keep`.
 """
 

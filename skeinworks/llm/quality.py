@@ -9,6 +9,8 @@ Defined results
 * null text: scored as the empty text. Very long texts: whole. Repeated rows: each scored.
 * no labels, or labels of one kind only: that share of ones is every score, 0.5 without any.
 * labels null or other than 0 and 1: not learnt. Several labels of one id: the least counts.
+* ties: of splits of equal gain the first statistic's lowest cut; a value on a bin's edge
+  belongs below it; a score on the threshold is good.
 * empty table: no rows. Extra columns are ignored by `score` and kept by `keep`.
 """
 

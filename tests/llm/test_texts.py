@@ -365,6 +365,73 @@ def test_trees_fit_a_rule():
     assert ((model.score(x[1500:]) > 0.5) == y[1500:]).mean() > 0.97
 
 
+def slow_trees(x, y, trees, depth, bins, rate):
+    """Boosting one node, feature and cut at a time. Returns a function from a row to its score."""
+    edges = [sorted(set(np.quantile(x[:, k], np.linspace(0, 1, bins + 1)[1:-1]).tolist())) for k in range(x.shape[1])]
+    bin_of = lambda row, k: sum(e < row[k] for e in edges[k])
+    share = (y.sum() + 0.5) / (len(y) + 1)
+    base, grown = np.log(share / (1 - share)), []
+
+    def walk(node, row):
+        while not isinstance(node, float):
+            k, cut, low, high = node
+            node = high if bin_of(row, k) > cut else low
+        return node
+
+    raw = [base] * len(y)
+    for _ in range(trees):
+        g = [1 / (1 + np.exp(-r)) - t for r, t in zip(raw, y)]
+        h = [(1 / (1 + np.exp(-r))) * (1 - 1 / (1 + np.exp(-r))) for r in raw]
+
+        def grow(rows, left, g=g, h=h):
+            ga, ha = sum(g[i] for i in rows), sum(h[i] for i in rows)
+            if not left:
+                return float(-rate * ga / (ha + 1.0))
+            best = (1e-6, None)
+            for k in range(x.shape[1]):
+                for cut in range(bins + 1):
+                    low = [i for i in rows if bin_of(x[i], k) <= cut]
+                    gl, hl = sum(g[i] for i in low), sum(h[i] for i in low)
+                    if hl < 1 or ha - hl < 1:
+                        continue
+                    gain = gl**2 / (hl + 1) + (ga - gl) ** 2 / (ha - hl + 1) - ga**2 / (ha + 1)
+                    if gain > best[0] + 1e-9:
+                        best = (gain, (k, cut))
+            if best[1] is None:
+                return grow(rows, left - 1)  # all rows stay together down to the leaf
+            k, cut = best[1]
+            return k, cut, grow([i for i in rows if bin_of(x[i], k) <= cut], left - 1), grow([i for i in rows if bin_of(x[i], k) > cut], left - 1)
+
+        tree = grow(list(range(len(y))), depth)
+        grown.append(tree)
+        raw = [r + walk(tree, row) for r, row in zip(raw, x)]
+    return lambda row: 1 / (1 + np.exp(-base - sum(walk(t, row) for t in grown)))
+
+
+@pytest.mark.parametrize("seed, depth", [(0, 1), (1, 2), (2, 3)])
+def test_trees_equal_plain_ones(seed, depth):
+    """Split finding, leaf values and the flattened walk, against nodes built one by one."""
+    rng = np.random.default_rng(seed)
+    x = np.round(rng.normal(size=(160, 4)), 2)
+    x[:, 2] = rng.integers(0, 3, 160)  # few values: bins of equal edges
+    y = ((x[:, 0] + 0.5 * (x[:, 2] == 1) + rng.normal(size=160) * 0.3) > 0).astype(float)
+    score = slow_trees(x, y, 4, depth, 8, 0.3)
+    fresh = np.concatenate([x, np.round(rng.normal(size=(60, 4)), 2), [[-99.0] * 4, [99.0] * 4]])
+    assert np.allclose(quality.fit(x, y, 4, depth, 8, 0.3).score(fresh), [score(row) for row in fresh], atol=1e-9)
+
+
+def test_quality_statistics():
+    """The statistics of a text, counted plainly."""
+    text = "Ab CD 12, x. x. x\n\nAB!! é|%\nab"
+    got = dict(zip(quality.STATISTICS, quality.statistics(text)))
+    data, words = text.encode(), text.split()
+    n, w = len(data), len(words)
+    assert got["log_bytes"] == pytest.approx(np.log1p(n)) and got["upper"] == 5 / n and got["digits"] == 2 / n and got["lines"] == 3 / n and got["multibyte"] == 2 / n
+    assert got["distinct_words"] == len(set(words)) / w and got["top_word"] == 2 / w and got["same_next"] == 1 / w and got["distinct_lines"] == 1
+    assert got["caps_words"] == 2 / w and got["line_upper"] == pytest.approx(0.5) and got["bangs"] == 2 / n
+    assert got["word_len"] == pytest.approx(np.mean([len(x.encode()) for x in words]))
+
+
 def test_language(spark, odd):
     docs = table(spark, "/root/testdata/sf0.1", "documents")
     got = langid.predict(docs, langid.train(docs)).join(docs.select("doc_id", "lang"), "doc_id").where(langid.held_out()).toPandas()
@@ -381,6 +448,77 @@ def test_language(spark, odd):
     assert one.predict(["abc", "1"])[0] == ["en", "und"]
 
 
+def slow_shares(text):
+    """Shares of hashed trigrams, one trigram at a time."""
+    clean = b" " + b" ".join(text.lower().encode().translate(langid._LETTERS).split()) + b"  "
+    x = np.zeros(langid.WIDTH)
+    for k in range(len(clean) - 2):
+        code = clean[k] << 16 | clean[k + 1] << 8 | clean[k + 2]
+        x[(code * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - 13)] += 1
+    return x / (len(clean) - 2)
+
+
+def slow_machine(x, y, rounds=200, ridge=1e-4):
+    """The machine of langid.linear_machine by its weights: one inner product a row."""
+    each = [0.5 / (y > 0).sum() if v > 0 else 0.5 / (y < 0).sum() for v in y]
+    scale = np.sqrt(np.mean([r @ r for r in x]))
+    x = [r / scale for r in x]
+    w, b = np.zeros(len(x[0])), 0.0
+    vw, vb, step = w.copy(), b, 0.5 / (2 * sum(e * (r @ r + 1) for e, r in zip(each, x)) + ridge)
+    for n in range(rounds):
+        gw, gb = ridge * vw, 0.0
+        for e, r, t in zip(each, x, y):
+            slack = max(0.0, 1 - t * (r @ vw + vb))
+            gw, gb = gw - 2 * e * t * slack * r, gb - 2 * e * t * slack
+        nw, nb = vw - step * gw, vb - step * gb
+        vw, vb = nw + n / (n + 3) * (nw - w), nb + n / (n + 3) * (nb - b)
+        w, b = nw, nb
+    margin = [t * (r @ w + b) for r, t in zip(x, y)]
+    return w / scale, b, 3.0 / max(0.05, float(np.median(margin)))
+
+
+def test_language_equals_plain_version():
+    """Trigrams, machines, the family step and the vote, against a plain version of each."""
+    rnd = random.Random(4)
+    letters = {"de": "enirst", "nl": "enatrd", "en": "etaoin", "fr": "esaitn", "it": "eaionl", "xx": "qzjkvw"}
+    word = lambda c: "".join(rnd.choice(letters[c] * 3 + "abcdefgh") for _ in range(rnd.randint(2, 8)))
+    text = lambda c: " ".join(word(c) for _ in range(rnd.randint(5, 40))) + rnd.choice(["", " 12!", "\nÄé ß"])
+    rows = [(text(c), c) for c in letters for _ in range(9)]
+    langs = [c for _, c in rows]
+    x = np.stack([slow_shares(t) for t, _ in rows])
+    assert np.allclose(x, np.stack([langid.shares(t) for t, _ in rows]), atol=1e-6)
+    model = langid.fit(x.astype(np.float32), langs)
+    machines = []
+    by = {f: sorted(c for c in letters if langid.family(c) == f) for f in sorted(set(map(langid.family, letters)))}
+    for f in by:
+        machines.append(slow_machine(x, np.array([1.0 if langid.family(c) == f else -1.0 for c in langs])))
+    pairs = {}
+    for f in by:
+        for i, a in enumerate(by[f]):
+            for b in by[f][i + 1 :]:
+                rows_of = [k for k, c in enumerate(langs) if c in (a, b)]
+                pairs[a, b] = len(machines)
+                machines.append(slow_machine(x[rows_of], np.array([1.0 if langs[k] == a else -1.0 for k in rows_of])))
+    for k, (w, b, scale) in enumerate(machines):
+        assert np.allclose(model.weights[:, k], w, rtol=2e-2, atol=2e-2 * np.abs(w).max()) and model.bias[k] == pytest.approx(b, abs=2e-2) and model.scale[k] == pytest.approx(scale, rel=3e-2)
+
+    def decide(t):
+        p = [1 / (1 + np.exp(-np.clip((slow_shares(t) @ model.weights[:, k] + model.bias[k]) * model.scale[k], -30, 30))) for k in range(len(machines))]
+        f, of = max(((f, p[k]) for k, f in enumerate(by)), key=lambda c: c[1])
+        votes, least = {c: 0 for c in by[f]}, {c: 1.0 for c in by[f]}
+        for (a, b), k in pairs.items():
+            if a in votes:
+                votes[a if p[k] >= 0.5 else b] += 1
+                least[a], least[b] = min(least[a], p[k]), min(least[b], 1 - p[k])
+        won = max(by[f], key=lambda c: (votes[c], least[c]))
+        return won, of * least[won]
+
+    fresh = [text(c) for c in letters for _ in range(12)] + ["a", "É"]
+    got = model.predict(fresh)
+    want = [decide(t) for t in fresh]
+    assert got[0] == [w for w, _ in want] and np.allclose(got[1], [v for _, v in want], atol=1e-4)
+
+
 def test_language_of_hot_id(spark):
     """An id with many rows leaves room for the other ids of its language and for others."""
     words = {"de": "der die das und ist nicht", "en": "the and of with this that", "fr": "le la les des une avec"}
