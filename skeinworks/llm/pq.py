@@ -11,7 +11,8 @@ lies within half of it. A vector visits each list whose border is that near and
 members there whose own distance to that border fits in what is left. A pair that would meet
 in both lists meets in the one of the higher number.
 
-Large lists are cut into tiles. A task returns, for each of its vectors, the number
+The number of lists follows the root of the number of vectors: more lists part the vectors
+finer, and a vector visits a smaller share of them. Large lists are cut into tiles. A task returns, for each of its vectors, the number
 of rows linked and one star link, and never its pairs.
 
 Defined results
@@ -26,6 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import FloatType
 
 from skeinworks.llm.components import components, local_stars
 from skeinworks.llm.vectors import dimension, kmeans, matrix, nearest, packed, rows_of, sample, usable
@@ -33,8 +35,8 @@ from skeinworks.session import reach_workers, stored
 
 #: Cosine from which two vectors link.
 COSINE = 0.9
-#: Inverted lists, dimensions of a subspace, centres of its codebook.
-LISTS, SUBSPACE, CENTRES = 64, 4, 256
+#: Inverted lists, from few to many vectors; dimensions of a subspace, centres of its codebook.
+LISTS, MOST_LISTS, SUBSPACE, CENTRES = 64, 1024, 4, 256
 #: Vectors of the sample that fits the quantisers.
 SAMPLE = 8192
 #: Rows of a tile.
@@ -107,7 +109,9 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     if not len(seen):
         return slim.select(key, alone.alias("n_links"), F.col(key).alias("component_id"), F.lit(True).alias("kept"))
     unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
-    model = spark.sparkContext.broadcast(Quantiser(unit(seen)))
+    lists = min(MOST_LISTS, max(LISTS, 1 << int(np.log2(max(1, heads.count())) / 2)))
+    model = spark.sparkContext.broadcast(Quantiser(unit(seen), lists))
+    kind = "<f4" if isinstance(rows.schema[vector].dataType.elementType, FloatType) else "<f8"
     reach = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + 1e-6
 
     def dealt(batches):
@@ -127,7 +131,7 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
                 # Only members are met by their codes and need the lists that they visit.
                 member = pa.array(np.where(guest, -1, i), mask=guest)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(other.astype(np.int32)), pa.array(guest.astype(np.int32)), pa.array(mine.astype(np.int32)), pa.array(edge[i, other]), packed(np.packbits(go, axis=1)).take(member), part.column("head").take(take), part.column("n").take(take), packed(code).take(member), pa.array(left[i]), packed(x).take(take)],
+                    [pa.array(other.astype(np.int32)), pa.array(guest.astype(np.int32)), pa.array(mine.astype(np.int32)), pa.array(edge[i, other]), packed(np.packbits(go, axis=1)).take(member), part.column("head").take(take), part.column("n").take(take), packed(code).take(member), pa.array(left[i]), packed(x.astype(kind)).take(take)],
                     names=["list", "side", "own", "edge", "visits", "head", "n", "code", "rest", "x"],
                 )
 
@@ -156,7 +160,7 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
         if not len(a) or not len(b):
             return pd.DataFrame({"head": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "root": np.zeros(0, np.int64)})
         code = np.frombuffer(b"".join(b.code), np.uint8).reshape(len(b), -1)
-        xa, xb, rest = rows_of(a.x, dim), rows_of(b.x, dim), b["rest"].to_numpy()
+        xa, xb, rest = rows_of(a.x, dim, kind), rows_of(b.x, dim, kind), b["rest"].to_numpy()
         if guests:
             own, edge = a["own"].to_numpy(), a["edge"].to_numpy()
             apart = q.borders(unit(xb), np.full(len(b), number))

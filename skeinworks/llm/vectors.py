@@ -24,9 +24,9 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def rows_of(packed, dim: int) -> np.ndarray:
-    """Packed doubles of one vector to a row."""
-    return np.frombuffer(b"".join(packed), np.float64).reshape(-1, dim)
+def rows_of(packed, dim: int, kind: str = "<f8") -> np.ndarray:
+    """Packed numbers of one vector to a row, as doubles."""
+    return np.frombuffer(b"".join(packed), kind).reshape(-1, dim).astype(np.float64)
 
 
 def fixed(column: pa.ChunkedArray, kind: str, width: int) -> np.ndarray:
