@@ -13,8 +13,12 @@ Every byte that a `LENGTH`-byte string covers which also starts anywhere else is
    positions at both ends of each run and their longest matches with the suffix before and
    after. Between samples a match shrinks by one a byte, so one pass over the text streams
    the matching statistics of every position, and marks windows whose match is long enough.
-4. An anchor with more different fragments than a bucket should hold parts into its single
-   windows, counted by a 128-bit digest, so that no task holds it and no window is left out.
+4. An anchor with more different fragments than a bucket should hold parts by what stands
+   around it: windows that hold it within `STEP` places of each other share all bytes but
+   those at their ends, and the hash of these bytes names a part. Equal windows stay in one
+   part. Parts fold and go to the index like anchors. Of a part that is still too large, whose
+   windows differ in their last few bytes only, single windows are counted by a 128-bit
+   digest, so that no task holds it and no window is left out.
 
 Texts are compressed for the two joins that bring them to their fragments and spans.
 
@@ -47,8 +51,10 @@ PIECE = 1 << 23
 RUN = 1 << 19
 #: Bytes of fragments that a bucket indexes at a time, about, and different fragments of an
 #: anchor that go there whole. An index takes about 60 bytes of memory for a byte of text,
-#: so HOT fragments of up to 2 * LENGTH bytes keep a task within 150 megabytes.
-BUCKET_BYTES, HOT = 1 << 19, 5000
+#: and HOT fragments of up to 2 * LENGTH bytes are less than a bucket.
+BUCKET_BYTES, HOT = 1 << 19, 1000
+#: Places of an anchor in a window that a part of it covers.
+STEP = 24
 
 
 def _mix(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -130,6 +136,25 @@ def _fragments(parts: list[bytes], row: list[int], base: list[int], length: int,
     return np.array(row)[t], at, stop - begin, h[owner].view(np.int64), frag.view(np.int64)
 
 
+def parts_of(data: bytes, anchor: int, length: int = LENGTH, gram: int = GRAM, step: int = STEP) -> list[tuple[int, int, int]]:
+    """Name, start and end of the parts of one fragment. The anchor is the first gram of its
+    hash among those that all windows of the fragment hold."""
+    last = len(data) - length  # the last window's start
+    inside = data[last:length]
+    h = _words(inside, len(inside))
+    span = 8
+    while span < gram:
+        h[: len(inside) - span] = _mix(h[: len(inside) - span], h[span:])
+        span *= 2
+    at = last + int(np.flatnonzero(h[: len(inside) - gram + 1].view(np.int64) == anchor)[0])
+    out = []
+    for part in range((at - last) // step, at // step + 1):
+        low, high = at - (part + 1) * step + 1, at - part * step  # starts of the part's windows
+        name = xxhash.xxh3_64_intdigest(data[high : low + length], part + 1)
+        out.append((name - (name >> 63 << 64), max(0, low), min(last, high) + length))
+    return out
+
+
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
     """Prefix doubling, on symbols that make all suffixes differ. A group of suffixes that
     are equal so far is ranked by its first slot, so only such groups are sorted again."""
@@ -310,7 +335,7 @@ def spans(docs: DataFrame, key: str, text: str, length: int = LENGTH) -> DataFra
     def cut(batches):
         undo = zstandard.ZstdDecompressor()
         for b in sliced(batches, "__x"):
-            out = {c: [] for c in ("a", *NAME, "span", "data")}
+            out = {c: [] for c in shape.names}
 
             def put(*values):
                 for c, x in zip(out.values(), values):
@@ -321,18 +346,44 @@ def spans(docs: DataFrame, key: str, text: str, length: int = LENGTH) -> DataFra
                 for w in want:
                     at, size = w["span"] >> 20, w["span"] & 0xFFFFF
                     if not w["hot"]:
-                        put(w["a"], d, t, u, w["span"], data[at : at + size])
+                        put(w["a"], None, d, t, u, w["span"], data[at : at + size])
                         continue
-                    for s in range(at, at + size - length + 1):
-                        put(None, d, t, u, s << 20 | length, xxhash.xxh3_128_digest(data[s : s + length]))
+                    for name, low, high in parts_of(data[at : at + size], w["a"], length):
+                        part = data[at + low : at + high]
+                        digest = xxhash.xxh3_64_intdigest(part)
+                        put(name, digest - (digest >> 63 << 64), d, t, u, at + low << 20 | high - low, part)
                 if len(out["a"]) > 1 << 13:
                     yield pa.RecordBatch.from_pydict(out, schema=shape)
                     out = {c: [] for c in out}
             yield pa.RecordBatch.from_pydict(out, schema=shape)
 
-    shape = pa.schema([("a", pa.int64()), ("__d", pa.int64()), ("__t", pa.int64()), ("__u", pa.int32()), ("span", pa.int64()), ("data", pa.binary())])
-    pieces = stored(joined.mapInArrow(cut, "a long, __d long, __t long, __u int, span long, data binary"), "rl-pieces")
-    total = pieces.where("a IS NOT NULL").agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    def cut_windows(batches):
+        for b in batches:
+            row, start, digest = [], [], []
+            for k, (at, data) in enumerate(zip(b.column("span").to_pylist(), b.column("data").to_pylist())):
+                for s in range(len(data) - length + 1):
+                    row.append(k)
+                    start.append((at >> 20) + s << 20 | length)
+                    digest.append(xxhash.xxh3_128_digest(data[s : s + length]))
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(row, pa.int64())) for c in NAME), pa.array(start, pa.int64()), pa.array(digest, pa.binary())], names=[*NAME, "span", "data"])
+
+    shape = pa.schema([("a", pa.int64()), ("f", pa.int64()), ("__d", pa.int64()), ("__t", pa.int64()), ("__u", pa.int32()), ("span", pa.int64()), ("data", pa.binary())])
+    pieces = stored(joined.mapInArrow(cut, "a long, f long, __d long, __t long, __u int, span long, data binary"), "rl-pieces")
+    chosen = pieces.where("f IS NULL").select("a", *NAME, "span", "data")
+    more = []
+    if not sent.where("hot").isEmpty():
+        sub = pieces.where("f IS NOT NULL").withColumn("rep", F.xxhash64(*NAME, "span"))
+        parts = stored(sub.groupBy("a", "f").agg(F.count("*").alias("n"), F.min("rep").alias("r")), "rl-parts")
+        whole_parts = sub.join(parts.where("n > 1").select("a", "f"), ["a", "f"]).select(*NAME, F.array("span").alias("runs"))
+        open_ = parts.groupBy("a").agg(F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("single")).where("single > 0 AND kinds > 1")
+        wanted_parts = parts.join(open_, "a").select("a", "f", "r", (F.col("kinds") > HOT).alias("hot"))
+        left = sub.join(wanted_parts, ["a", "f"]).where("rep = r")
+        chosen = chosen.unionAll(left.where("NOT hot").select("a", *NAME, "span", "data"))
+        windows = left.where("hot").select(*NAME, "span", "data").mapInArrow(cut_windows, "__d long, __t long, __u int, span long, data binary")
+        windows = stored(windows, "rl-windows")
+        twice = windows.groupBy("data").agg(F.count("*").alias("n")).where("n > 1").select("data")
+        more = [whole_parts, windows.join(twice, "data").select(*NAME, F.array("span").alias("runs"))]
+    total = pieces.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
 
     def bucket(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -346,11 +397,10 @@ def spans(docs: DataFrame, key: str, text: str, length: int = LENGTH) -> DataFra
         run = np.array([r for m in marks for r in m], np.int64).reshape(-1, 2)
         return pd.DataFrame({**{c: np.repeat(pdf[c].to_numpy(), n) for c in NAME}, "span": _pack(at + run[:, 0], run[:, 1] - run[:, 0])})
 
-    indexed = pieces.where("a IS NOT NULL").withColumn("g", F.pmod(F.xxhash64("a"), F.lit(buckets))).groupBy("g").applyInPandas(bucket, "__d long, __t long, __u int, span long")
-    windows = pieces.where("a IS NULL").select(*NAME, "span", "data")
-    twice = windows.groupBy("data").agg(F.count("*").alias("n")).where("n > 1").select("data")
-    single = windows.join(twice, "data").select(*NAME, "span")
-    found = folded.unionAll(indexed.unionAll(single).select(*NAME, F.array("span")))
+    indexed = chosen.withColumn("g", F.pmod(F.xxhash64("a"), F.lit(buckets))).groupBy("g").applyInPandas(bucket, "__d long, __t long, __u int, span long")
+    found = folded.unionAll(indexed.select(*NAME, F.array("span")))
+    for rows in more:
+        found = found.unionAll(rows)
     return found.groupBy(*NAME).agg(F.flatten(F.collect_set("runs")).alias("__spans"))
 
 

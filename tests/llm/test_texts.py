@@ -578,6 +578,25 @@ def test_index_runs_spell_the_transform():
     assert index.run_lengths.sum() == index.n == sum(map(len, texts)) + 2 and index.runs < index.n
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_parts_keep_equal_windows_together(seed):
+    """Every window of a fragment is in the part of each place of its anchor, and equal windows
+    of different fragments are in parts of one name."""
+    rnd = random.Random(seed)
+    core = bytes(rnd.choice(b"abcdefghijklmnop \n") for _ in range(500))
+    texts = [bytes(rnd.choice(b"abcxyz") for _ in range(rnd.randint(0, 90))) + core[rnd.randint(0, 120) : rnd.randint(330, 500)] + bytes(rnd.choice(b"abcxyz") for _ in range(90)) for _ in range(12)]
+    names = collections.defaultdict(set)
+    row, at, size, anchor, _ = rlindex.fragments(texts)
+    for r, a, n, h in zip(row.tolist(), at.tolist(), size.tolist(), anchor.tolist()):
+        covered = []
+        for name, low, high in rlindex.parts_of(texts[r][a : a + n], h):
+            for s in range(low, high - 200 + 1):
+                covered.append(s)
+                names[texts[r][a + s : a + s + 200]].add(name)
+        assert sorted(covered) == list(range(n - 200 + 1))
+    assert all(len(n) == 1 for n in names.values())
+
+
 def odd_texts():
     rnd = random.Random(5)
     words = [bytes(rnd.choice(b"abcdefghij") for _ in range(rnd.randint(2, 9))) for _ in range(300)]
@@ -588,7 +607,7 @@ def odd_texts():
     return texts + [texts[3][:100] + b"Z" + texts[3][101:]]
 
 
-@pytest.mark.parametrize("hot, bucket", [(8000, 1 << 20), (3, 3000)])
+@pytest.mark.parametrize("hot, bucket", [(8000, 1 << 20), (3, 3000), (0, 3000)])
 def test_removal_equals_counting(spark, hot, bucket, monkeypatch):
     monkeypatch.setattr(rlindex, "HOT", hot)
     monkeypatch.setattr(rlindex, "BUCKET_BYTES", bucket)
