@@ -4,7 +4,8 @@ In a large-star step every node links its larger neighbours to the least id that
 in a small-star step its smaller ones. Both are a groupBy(min) and a join on the node, so a
 hub's links are summed before the shuffle and its join partition can be split. The number of
 rounds grows with the logarithm of the size; each round's links are stored, which cuts the
-lineage. Nothing but the count of changes comes to the driver.
+lineage, and those of the round before are deleted. Nothing but the count of changes comes to
+the driver.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from skeinworks.session import stored
+from skeinworks.session import discard, stored
 
 
 def _star(links: DataFrame, larger: bool) -> DataFrame:
@@ -33,7 +34,10 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
     now = stored(pairs, "links")
     mark = None
     while True:
-        now = stored(_star(stored(_star(now, True), "links"), False), "links")
+        large = stored(_star(now, True), "links")
+        small = stored(_star(large, False), "links")
+        discard(now, large)
+        now = small
         # A step only moves links to smaller ends: equal sums of both ends mean no change.
         got = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if got == mark or not got[0]:
