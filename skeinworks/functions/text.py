@@ -22,6 +22,11 @@ def tokens(c: Column | str) -> Column:
     return F.ceil(utf16_length(c) / 4).cast("long")
 
 
+def grouped(c: Column | str) -> Column:
+    """A whole number with commas between groups of three digits."""
+    return F.format_number(col(c), 0)
+
+
 def half_up(c: Column) -> Column:
     """Rounding of halves toward positive infinity, also below zero."""
     return F.floor(c + F.lit(0.5)).cast("long")

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skeinworks.functions import text as tx
-from skeinworks.operators import budget, lessons, listing, masking, parse, resolve, search, telemetry, traverse
+from skeinworks.operators import budget, index, lessons, listing, masking, parse, resolve, search, telemetry, traverse
 from skeinworks.session import stored, table
 from skeinworks.sources import files as source_files, transcripts
 from skeinworks.streaming import live
@@ -597,6 +597,25 @@ def code_skeletons(spark, sf):
     return parse.skeletons(sources, parse.parse(sources)).select("path", "skeleton")
 
 
+@register("""WITH p AS (SELECT p_partkey AS k, 'lib/f' || p_partkey % 25 || '/m' || p_partkey || '.ts' AS path, p_size > 25 AS reused FROM part)
+SELECT a.path, a.reused, CASE WHEN a.reused THEN 'old' ELSE 'interface Kept' || a.k || ' 4, function run' || a.k || ' 9, function helper' || a.k || ' 12' END AS symbols, CASE WHEN a.reused THEN 'kept' ELSE coalesce(b.path, '') END AS imports
+FROM p a LEFT JOIN p b ON b.k = a.k + 25""")
+def content_index(spark, sf):
+    """All modules, of which a cache holds those of the larger parts."""
+    sources = modules(spark, sf)
+    row = F.array(F.struct(F.lit("old").alias("name"), F.lit("").alias("kind"), F.lit(0).alias("line")))
+    large = sources.join(table(spark, sf, "part").where("p_size > 25").select(F.col("p_partkey").alias("seq")), "seq", "left_semi")
+    cache = large.select("path", F.md5("content").alias("hash"), row.alias("symbols"), F.array().cast("array<string>").alias("methods"), F.array(F.lit("kept")).alias("imports"))
+    found = index.content_index(sources, cache)
+    shown = F.array_join(F.transform("symbols", lambda s: F.concat_ws(" ", s["kind"], s["name"], s["line"].cast("string"))), ", ")
+    return found.select("path", "reused", F.when(F.col("reused"), F.col("symbols")[0]["name"]).otherwise(shown).alias("symbols"), F.array_join("imports", ",").alias("imports"))
+
+
+@register("SELECT o_orderkey, format('{:,}', CAST(floor(o_totalprice * 1000) AS BIGINT)) AS shown FROM orders")
+def grouped_numbers(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", tx.grouped(F.floor(F.col("o_totalprice") * 1000)).alias("shown"))
+
+
 def loose_modules(spark: SparkSession, sf: str) -> DataFrame:
     """path, content: sources with a class, a registration and a regular expression whose quote
     and brace would hide what follows."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -73,6 +74,17 @@ def stored(df: DataFrame, label: str, compression: str = "snappy", row_group: in
     return out
 
 
+def settled(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """The stored result of `make`, without the tables that were stored on the way to it."""
+    before = len(_STORED)
+    spark = (df := make()).sparkSession
+    out = stored(df, label)
+    for path in [p for p in _STORED[before:] if p != out.stored_at]:
+        _delete(spark, path)
+        _STORED.remove(path)
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of `stored` that nothing reads any more."""
     for df in tables:
