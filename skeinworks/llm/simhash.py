@@ -264,8 +264,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     heads = stored(rows.groupBy("fp").agg(F.min(key).alias("head")), "fingerprint-heads")
     found = components(links(heads.select("fp"), radius), "a", "b")
     # Components of fingerprints, named by the least key of all their rows.
-    named = heads.join(found, heads.fp == found.id, "left").select("fp", "head", F.coalesce("component", "fp").alias("c"))
-    least = named.groupBy("c").agg(F.min("head").alias("component_id"))
+    named = stored(heads.join(found, heads.fp == found.id, "left").select("fp", "head", F.coalesce("component", "fp").alias("c")), "fingerprint-named")
+    # Stored, so that a component with many fingerprints is a plain exchange, which can split.
+    least = stored(named.groupBy("c").agg(F.min("head").alias("component_id")), "fingerprint-least")
     of = stored(named.join(least, "c").select("fp", "component_id"), "fingerprint-components")
     return rows.join(of, "fp").select(key, "fp", "component_id")
 
@@ -283,7 +284,8 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     heads = stored(rows.groupBy("fp").agg(F.min(key).alias("head")).withColumn("node", F.monotonically_increasing_id()), "wide-heads")
     found = components(wide_links(heads.select("node", "fp"), radius), "a", "b")
     named = stored(heads.join(found, heads.node == found.id, "left").select("fp", "head", F.coalesce("component", "node").alias("c")), "wide-components")
-    least = named.groupBy("c").agg(F.min("head").alias("component_id"))
+    # Stored, so that a component with many fingerprints is a plain exchange, which can split.
+    least = stored(named.groupBy("c").agg(F.min("head").alias("component_id")), "wide-least")
     return rows.join(named.join(least, "c").select("fp", "component_id"), "fp").select(key, "component_id")
 
 
