@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -26,17 +26,26 @@ class Family:
     not_holding: tuple[str, ...] = ()
 
 
-#: The six families in their order; {1} is a pattern's first group.
-FAMILIES = (
+#: The six families in their order; {1} is a pattern's first group, TOOL the tool
+#: that `families` names.
+_FAMILIES = (
     Family("file-location", r"(?i)(?:found|located|implemented|defined)\s+in\s+([\w/.@-]+\.(?:ts|js|tsx|jsx))", "File location: {1}", 0.7),
     Family("meteor-method", r"Meteor\.(?:call|methods)\s*\(\s*['\"]([^'\"]+)['\"]", "Meteor method '{1}' discovered in session", 0.85),
     Family("alias", r"(?i)@([\w./-]+)\s*(?:→|->|resolves to|is at)\s*([\w/.@-]+)", "Import alias @{1} resolves to {2}", 0.9),
     Family("convention", r"(?i)(?:I (?:learned|discovered|found) that|The pattern (?:is|for)|Always use|Convention:|Note:)\s+([^.!?\n]{20,150}[.!?])", "{1}", 0.75, 21, ("{", "function")),
-    Family("avoid", r"(?i)(?:no results|not found|failed to find)\s+(?:for\s+)?['\"]?([^'\".\n]{5,80})['\"]?", "Search term '{1}' yielded no results — use search_symbol instead", 0.6, 5),
+    Family("avoid", r"(?i)(?:no results|not found|failed to find)\s+(?:for\s+)?['\"]?([^'\".\n]{5,80})['\"]?", "Search term '{1}' yielded no results — use TOOL instead", 0.6, 5),
     Family("module", r"(?i)(?:package|module)\s+['\"]?([\w@/-]+)['\"]?\s+(?:exports|provides|contains)\s+([^.\n]{10,100})", "Package {1} provides: {2}", 0.8),
 )
 
 
+def families(tool: str = "search_symbol") -> tuple[Family, ...]:
+    """The six families, the lesson on failed searches naming this tool."""
+    return tuple(replace(f, template=f.template.replace("TOOL", tool)) for f in _FAMILIES)
+
+
+FAMILIES = families()
+
+
 def extract(texts: DataFrame, key: str, text: str, families: tuple[Family, ...] = FAMILIES) -> DataFrame:
     """key, family (its number), pos (the match's number), type, lesson, confidence. One scan
     of the text serves all families."""

@@ -401,7 +401,7 @@ def parse_lines(sources: DataFrame, path: str = "path", content: str = "content"
     blocks = blocks.select(path, "block", "h.*", "end", source.alias("source"), F.filter("rows", lambda x: x["d"] == 1)["line"].alias("inner"))
     first = F.when(F.contains("line", F.lit("{")), F.concat(F.rtrim(F.substring_index("line", "{", 1)), F.lit(" { ... }"))).otherwise(F.rtrim("line"))
     number = F.concat(F.lit("// L"), (F.col("at") + 1).cast("string"))
-    has_function = F.col("source").rlike(r"=>\s*\{|function\s*[({]|async\s*[(]")
+    has_function = F.col("source").rlike(HANDLER)
     said, names = description_of("source"), parameters_of("source")
     listed = F.when(F.size(names) > 0, F.concat(F.lit("{ "), F.array_join(names, ", "), F.lit(" }"))).otherwise("")
     shape_a = F.concat(F.regexp_extract("t", _LINE_NAMED, 1), F.lit("('"), F.regexp_extract("t", _LINE_NAMED, 2), F.lit("',"), F.when(said != "", F.concat(F.lit(" /* "), said, F.lit(" */"))).otherwise(""), F.lit(" async ("), listed, F.lit(") => { ... }); "), number)
@@ -423,21 +423,26 @@ def parse_lines(sources: DataFrame, path: str = "path", content: str = "content"
     return top.unionByName(methods.withColumn("text", F.col("name")))
 
 
+#: What makes a call's block a handler, a description in it, its strings where it
+#: is an array, and the lines that name parameters.
+HANDLER = r"=>\s*\{|function\s*[({]|async\s*[(]"
+DESCRIBED = r"description\s*:\s*(?:\[([^\]]*)\]|['\"`]([^'\"`]{3,}?)['\"`])"
+DESCRIBED_PART = r"['\"`]([^'\"`\n]+)['\"`]"
+PARAMETER = r"(?m)^[ \t]{6,}(\w+)\s*:"
 #: Words before a colon or bracket that are no keys.
 _NOT_KEYS = ("async", "function", "return", "if", "for", "const", "let", "var")
 
 
 def description_of(c: str) -> Column:
     """The text of a `description` key, an array's strings joined; empty without one."""
-    whole = r"description\s*:\s*(?:\[([^\]]*)\]|['\"`]([^'\"`]{3,}?)['\"`])"
-    strings = F.transform(F.regexp_extract_all(F.regexp_extract(c, whole, 1), F.lit(r"['\"`]([^'\"`\n]+)['\"`]"), F.lit(1)), F.trim)
-    said = F.when(F.size(strings) > 0, F.array_join(strings, " ")).otherwise(F.regexp_extract(c, whole, 2))
+    strings = F.transform(F.regexp_extract_all(F.regexp_extract(c, DESCRIBED, 1), F.lit(DESCRIBED_PART), F.lit(1)), F.trim)
+    said = F.when(F.size(strings) > 0, F.array_join(strings, " ")).otherwise(F.regexp_extract(c, DESCRIBED, 2))
     return F.substring(F.trim(F.regexp_replace(said, r"\s+", " ")), 1, _DESCRIPTION)
 
 
 def parameters_of(c: str) -> Column:
     """Names before a colon on lines with six blanks or more, the first ten parameters."""
-    names = F.regexp_extract_all(F.col(c), F.lit(r"(?m)^[ \t]{6,}(\w+)\s*:"), F.lit(1))
+    names = F.regexp_extract_all(F.col(c), F.lit(PARAMETER), F.lit(1))
     return F.slice(F.filter(names, lambda x: ~x.isin(*sorted(_NOT_PARAMS - {"examples", "outputSchema"})) & (F.length(x) <= 40)), 1, _PARAMS)
 
 
@@ -518,7 +523,7 @@ def call_sites(sources: DataFrame, parsed: DataFrame, path: str = "path", conten
 
 
 IMPORTED = r"(?s)(?:import\s+(?:type\s+)?(?:[\w$]+\s*,\s*)?(?:\{[^}]*\}|\*\s+as\s+[\w$]+|[\w$]+)\s+from\s+|import\s+|export\s+(?:\*|\{[^}]*\})\s+from\s+|(?:require|import)\s*\(\s*)['\"]([^'\"]+)['\"]"
-#: The reference form: single-line imports and require() only.
+#: Fixed value: single-line imports and require() only.
 IMPORTED_LINE = r"(?:import\s+.*?\s+from\s+|require\s*\(\s*)['\"]([^'\"]+)['\"]"
 
 
@@ -565,17 +570,23 @@ def rpc_methods_by_pattern(sources: DataFrame, path: str = "path", content: str
     return keys.unionByName(sources.select(F.explode(published).alias("name"), F.col(path).alias("file")).withColumn("name", F.concat(F.lit("publish:"), "name")))
 
 
+#: The lines that declare a NAME.
+LINE_FORMS = (
+    r"^(?:export\s+(?:default\s+)?)?(?:async\s+)?function\s+NAME\s*[(<]",
+    r"^(?:export\s+(?:default\s+)?)?(?:abstract\s+)?class\s+NAME\s*[{<(]",
+    r"^(?:export\s+)?interface\s+NAME\s*[{<]",
+    r"^(?:export\s+)?type\s+NAME\s*=",
+    r"^(?:export\s+)?(?:const|let|var)\s+NAME\s*[=:]",
+    r"^\s{2,6}(?:async\s+)?NAME\s*\(",
+    r"^\s*['\"`]NAME['\"`]\s*:",
+)
+
+
 def symbol_source_by_lines(sources: DataFrame, name: str, path: str = "path", content: str = "content") -> DataFrame:
     """path, source, line_start, line_end of the first line that declares the name: a function,
     class, interface, type, variable, a method indented by two to six blanks, or a quoted key.
     It lasts until its braces close; without any, until a later line that ends in `;` or `,`."""
-    n = re.escape(name)
-    declares = "|".join(
-        (
-            rf"^(?:export\s+(?:default\s+)?)?(?:async\s+)?function\s+{n}\s*[(<]", rf"^(?:export\s+(?:default\s+)?)?(?:abstract\s+)?class\s+{n}\s*[{{<(]", rf"^(?:export\s+)?interface\s+{n}\s*[{{<]",
-            rf"^(?:export\s+)?type\s+{n}\s*=", rf"^(?:export\s+)?(?:const|let|var)\s+{n}\s*[=:]", rf"^\s{{2,6}}(?:async\s+)?{n}\s*\(", rf"^\s*['\"`]{n}['\"`]\s*:",
-        )
-    )
+    declares = "|".join(form.replace("NAME", re.escape(name)) for form in LINE_FORMS)
     rows = sources.select(path, F.posexplode(lines(content)).alias("at", "line"))
     file, until = Window.partitionBy(path), Window.partitionBy(path).orderBy("at")
     rows = rows.withColumn("first", F.min(F.when(F.col("line").rlike(declares), F.col("at"))).over(file)).where("at >= first")
