@@ -11,8 +11,10 @@ lies within half of it. A vector visits each list whose border is that near and
 members there whose own distance to that border fits in what is left. A pair that would meet
 in both lists meets in the one of the higher number.
 
-The number of lists follows the root of the number of vectors: more lists part the vectors
-finer, and a vector visits a smaller share of them. Large lists are cut into tiles. A task returns, for each of its vectors, the number
+The number of lists grows up to the root of the number of vectors where that pays: half of the
+sample fits lists and the other half tells how many of them a vector visits and how many rows
+it meets there. Vectors without clusters visit a like share of any lists, and get few. Large
+lists are cut into tiles. A task returns, for each of its vectors, the number
 of rows linked and one star link, and never its pairs.
 
 Defined results
@@ -37,6 +39,8 @@ from skeinworks.session import reach_workers, stored
 COSINE = 0.9
 #: Inverted lists, from few to many vectors; dimensions of a subspace, centres of its codebook.
 LISTS, MOST_LISTS, SUBSPACE, CENTRES = 64, 1024, 4, 256
+#: What a visit (a row shuffled and unpacked) costs besides comparisons, in comparisons.
+VISIT = 2000
 #: Vectors of the sample that fits the quantisers.
 SAMPLE = 8192
 #: Rows of a tile.
@@ -49,7 +53,7 @@ class Quantiser:
         rest = x - self.coarse[nearest(x, self.coarse)]
         self.cuts = [slice(k, min(k + subspace, x.shape[1])) for k in range(0, x.shape[1], subspace)]
         self.books = [kmeans(rest[:, cut], centres, 6) for cut in self.cuts]
-        self.apart = np.linalg.norm(self.coarse[:, None] - self.coarse[None], axis=2)
+        self.apart = between(self.coarse)
 
     def codes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Lists, subspace codes and the length of what the codes leave out."""
@@ -60,10 +64,7 @@ class Quantiser:
         return of, code.astype(np.uint8), np.sqrt(left)
 
     def borders(self, x: np.ndarray, of: np.ndarray) -> np.ndarray:
-        """Distances to the border between the own list and every list; 0 for the own."""
-        d = (self.coarse**2).sum(1) - 2 * x @ self.coarse.T
-        own = d[np.arange(len(x)), of][:, None]
-        return (d - own) / (2 * np.maximum(self.apart[of], 1e-12))
+        return borders(x, of, self.coarse, self.apart)
 
     def distances(self, x: np.ndarray, number: int, code: np.ndarray) -> np.ndarray:
         """Squared distances of whole vectors to codes of one list, by table look-up."""
@@ -76,6 +77,33 @@ class Quantiser:
         return total
 
 
+def borders(x: np.ndarray, of: np.ndarray, coarse: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Distances to the border between the own list and every list; 0 for the own."""
+    d = (coarse**2).sum(1) - 2 * x @ coarse.T
+    own = d[np.arange(len(x)), of][:, None]
+    return (d - own) / (2 * np.maximum(apart[of], 1e-12))
+
+
+def between(coarse: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0, (coarse**2).sum(1)[:, None] - 2 * coarse @ coarse.T + (coarse**2).sum(1)))
+
+
+def number_of_lists(x: np.ndarray, count: int, reach: float, least: int = LISTS, most: int = MOST_LISTS) -> int:
+    """The number of lists with the least cost for `count` vectors like the unit vectors x."""
+    fitted, other = x[::2], x[1::2]
+    best, lists = None, least
+    while lists == least or lists <= min(most, count**0.5, len(fitted) / 4):
+        coarse = kmeans(fitted, min(lists, max(1, len(fitted))), 6)
+        of = nearest(other, coarse)
+        near = borders(other, of, coarse, between(coarse)) <= reach / 2 if len(other) else np.zeros((1, len(coarse)), bool)
+        size = np.bincount(of, minlength=len(coarse)) / max(1, len(other))
+        cost = float((near * (VISIT + count * size)).sum(1).mean())
+        if best is None or cost < best[0]:
+            best = cost, lists
+        lists *= 2
+    return best[1]
+
+
 def close_pairs(quantiser: Quantiser, x, y, number: int, code, left, cosine: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Positions in x and y of pairs with at least the cosine; y are coded in list `number`.
     x and y are not normalised. same: x is y, each pair once."""
@@ -109,10 +137,10 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     if not len(seen):
         return slim.select(key, alone.alias("n_links"), F.col(key).alias("component_id"), F.lit(True).alias("kept"))
     unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
-    lists = min(MOST_LISTS, max(LISTS, 1 << int(np.log2(max(1, heads.count())) / 2)))
-    model = spark.sparkContext.broadcast(Quantiser(unit(seen), lists))
-    kind = "<f4" if isinstance(rows.schema[vector].dataType.elementType, FloatType) else "<f8"
     reach = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + 1e-6
+    seen = unit(seen)
+    model = spark.sparkContext.broadcast(Quantiser(seen, number_of_lists(seen, heads.count(), reach)))
+    kind = "<f4" if isinstance(rows.schema[vector].dataType.elementType, FloatType) else "<f8"
 
     def dealt(batches):
         q = model.value

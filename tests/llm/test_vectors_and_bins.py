@@ -135,6 +135,17 @@ def test_near_duplicates_of_uneven_spread(spark, tile, monkeypatch):
     assert link.sum() > 10_000 and got == [(k, int(n), int(c)) for k, (n, c) in enumerate(zip(link.sum(1), root))]
 
 
+def test_number_of_lists():
+    """Clusters get many lists; directions without any get few."""
+    rng = np.random.default_rng(0)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    reach = np.sqrt(0.2)
+    even = unit(rng.normal(size=(4000, 48)))
+    grouped = unit(unit(rng.normal(size=(300, 48)))[rng.integers(0, 300, 4000)] + 0.02 * rng.normal(size=(4000, 48)))
+    assert pq.number_of_lists(even, 200_000, reach) == pq.LISTS < pq.number_of_lists(grouped, 200_000, reach)
+    assert pq.number_of_lists(grouped, 5000, reach) == pq.LISTS and pq.number_of_lists(even[:1], 1, reach) == pq.LISTS
+
+
 def slow_packing(lengths, capacities, opening):
     bins, where = [], []
     for k, n in enumerate(lengths):
