@@ -31,7 +31,7 @@ _NAME = r"[A-Za-z_$][\w$]*"
 _COMMENT = r"//[^\n]*|/\*.*?(?:\*/|\Z)"
 _STRING = r"\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?"
 _NEXT = re.compile(rf"{_COMMENT}|{_STRING}|[`{{}}/]", re.S)
-_TEMPLATE = re.compile(r"(?:\\(?:.|\Z)|\$(?!\{)|[^`\\$])*(`|\$\{|\Z)", re.S)
+_TEMPLATE = re.compile(r"(?:\\(?:.|\Z)|\$(?!\{)|[^`\\$]++)*+(`|\$\{|\Z)", re.S)
 _REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*")
 #: What stands before a slash that begins a regular expression, not a division.
 _BEFORE_REGEX = re.compile(r"(?:^|[(,=:\[!&|?{};+\-*%~^<>]|\b(?:return|typeof|case|in|of|delete|void|throw|new|instanceof|do|else|await|yield))\s*$")

@@ -125,6 +125,14 @@ def test_skeleton_details(rows):
     assert skeletons["empty.ts"].skeleton == "" and skeletons["null.ts"].skeleton == ""
 
 
+def test_bodies_make_most_of_a_file(spark):
+    body = "\n".join(f"  const step{k} = await run(order, {{ at: {k} }});\n  if (!step{k}) {{ return {k}; }}" for k in range(20))
+    text = BASIC.replace("  const price = await quote(order, { at });", body)
+    sources = spark.createDataFrame([("long.ts", text)], "path string, content string")
+    row = parse.skeletons(sources, parse.parse(sources)).first()
+    assert row.reduction_pct >= 50 and row.original_lines == len(text.split("\n")) and "export async function placeOrder" in row.skeleton
+
+
 def test_symbol_source(rows):
     sources, parsed, _ = rows
     got = {r.path: r for r in parse.symbol_source(sources, "placeOrder", parsed=parsed).collect()}
