@@ -2,10 +2,12 @@
 
 import json
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from skeinworks import session
 from skeinworks.functions import text as tx
 from skeinworks.operators import budget, lessons, masking, search, telemetry, traverse
 from skeinworks.sources import files, transcripts
@@ -19,6 +21,37 @@ def test_text_functions(spark):
     assert tuple(row) == (3, -2, "a/b/c", "long", "a/b", "a/b")
 
 
+def test_stored_tables_are_deleted(spark):
+    there = lambda df: Path(df.stored_at.removeprefix("file:")).exists()
+    a = session.stored(spark.range(5).toDF("n"), "test")
+    b = session.stored(a.where("n > 1"), "test")
+    session.discard(a)
+    assert not there(a) and there(b) and b.count() == 3
+    inner = []
+
+    def make():
+        inner.append(session.stored(spark.range(3).toDF("n"), "test"))
+        return inner[0].where("n > 0")
+
+    out = session.settled(make, "test")
+    assert not there(inner[0]) and there(b) and out.count() == 2
+    session.clean_up(spark)
+    assert not there(out) and not there(b)
+
+
+def test_clusters_name_their_folder():
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+        conf = {}
+
+    with pytest.raises(ValueError):
+        session.shared_folder(Session)
+
+
 def walk(edges, seed, depth):
     seen, level = {seed: 0}, {seed}
     for d in range(1, depth + 1):
