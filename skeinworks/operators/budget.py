@@ -12,12 +12,14 @@ MOST = 1000
 def within_budget(ranked: DataFrame, order: list, cost: str, budget: int, keep: list[str], most: int = MOST) -> DataFrame:
     """Rows in order, each taken if it still fits; one that does not is skipped and later,
     smaller ones may follow. As the choice depends on every earlier one, it is made in one
-    task, and by no more than the first `most` rows. Returns keep, cost, ord, used (tokens so
-    far) and taken."""
-    ranked = ranked.orderBy(*order).limit(most)
+    task, so no more than `most` rows may compete: more raise an error, none is dropped. Returns
+    keep, cost, ord, used (tokens so far) and taken."""
+    ranked = ranked.orderBy(*order).limit(most + 1)
     names = [f"k{i}" for i in range(len(order))]
     row = F.struct(*(c.alias(n) for c, n in zip(order, names)), F.struct(*keep, cost).alias("row"))
     items = ranked.agg(F.array_sort(F.collect_list(row)).alias("items"))
+    too_many = F.raise_error(F.lit(f"more than {most} rows compete for a budget"))
+    items = items.select(F.when(F.size("items") > most, too_many).otherwise(F.col("items")).alias("items"))
     schema = ranked.select(*keep, cost).schema.simpleString()
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<struct<row:{schema},ord:int,used:bigint,taken:boolean>>").alias("rows"))
 

@@ -1,14 +1,15 @@
 """Parsing of TypeScript and JavaScript sources.
 
-One small scanner, run by Spark over partitions of files, cuts a file into its top-level
-statements and labels them; all else is column expressions over its rows: skeletons, symbols,
-call sites, imports, RPC methods. What a regex can find in whole texts never enters Python.
-Files that it cannot close, and files of other languages, are read line by line instead, by
-column expressions alone.
-
-Fidelity: brackets, strings, templates with code inside, regular expressions and comments are
-honoured; types and expressions are not parsed. Bare types are kept, methods are listed, and
-enums are symbols. Time grows in proportion to a file's size.
+A scanner, run by Spark over partitions of files, cuts a file into its top-level statements and
+labels them, and gives the bounds of all declarations and all calls as events; everything else
+is column expressions over its rows: skeletons, symbols, callers, imports, RPC methods. What a
+regex can find in whole texts never enters Python. Files that it cannot close, and files of
+other languages, are read line by line instead, by column expressions alone.
+
+Fidelity: brackets, strings, templates and markup with code inside, regular expressions and
+comments are honoured (see operators.lexer); types are not parsed. Bare types are kept, methods
+are listed, enums are symbols, and so is every name that a pattern binds. Time grows in
+proportion to a file's size.
 """
 
 from __future__ import annotations
@@ -21,21 +22,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skeinworks.functions.text import half_up, language_of, line_count, lines
+from skeinworks.operators import lexer
 from skeinworks.session import reach_workers
 
 #: Sections of a skeleton, in order; imports have no header.
 SECTIONS = ("imports", "Types", "Exports", "Registrations", "Module-level")
 STATEMENT = "section string, kind string, name string, exported boolean, text string, source string, line_start int, line_end int, pos int"
 
-_NAME = r"[A-Za-z_$][\w$]*"
-_COMMENT = r"//[^\n]*|/\*.*?(?:\*/|\Z)"
-_STRING = r"\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?"
-_NEXT = re.compile(rf"{_COMMENT}|{_STRING}|[`{{}}/]", re.S)
-_TEMPLATE = re.compile(r"(?:\\(?:.|\Z)|\$(?!\{)|[^`\\$]++)*+(`|\$\{|\Z)", re.S)
-_REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*")
-#: What stands before a slash that begins a regular expression, not a division.
-_BEFORE_REGEX = re.compile(r"(?:^|[(,=:\[!&|?{};+\-*%~^<>]|\b(?:return|typeof|case|in|of|delete|void|throw|new|instanceof|do|else|await|yield))\s*$")
-_DECLARED = re.compile(rf"(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(function|class|interface|type|enum|const\s+enum|const|let|var)\b\s*\*?\s*({_NAME})?")
+_NAME = lexer.NAME
+_DECLARED = re.compile(rf"(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(function|class|interface|type|enum|const\s+enum|const|let|var)\b\s*\*?\s*(?!extends\b|implements\b)({_NAME})?")
 _REGISTERED = re.compile(rf"({_NAME}(?:\.{_NAME})+)\s*\(\s*(?:(['\"`])([^'\"`]+)\2\s*[,)]|\{{)")
 _MEMBER = re.compile(r"(?:(?:public|private|protected|static|abstract|readonly|async|override|get|set)\s+)*[\w$#]+\??\s*[(:=;<!]")
 _KEY = re.compile(rf"(async\s+)?(?:['\"]([^'\"]+)['\"]|({_NAME}))\s*(?=[(:,])")
@@ -45,63 +40,10 @@ _NOT_PARAMS, _PARAMS = {"description", "title", "shape", "type", "default", "exa
 _LEVELS, _DESCRIPTION = 4, 150
 
 
-def _blank(text: str) -> str:
-    return re.sub(r"[^\n]", " ", text)
-
-
-def code_only(text: str) -> str:
-    """text with the insides of comments, strings, regular expressions and templates (code
-    in templates too) blanked, lengths kept."""
-    out, at, before = [], 0, ""
-    while m := _NEXT.search(text, at):
-        plain, found = text[at : m.start()], m[0]
-        out.append(plain)
-        before = (before + plain)[-40:]
-        end = m.end()
-        if found == "`":
-            end = _template_end(text, end)
-            closed = end - m.start() > 1 and text[end - 1] == "`"
-            out.append("`" + _blank(text[m.end() : end - 1]) + "`" if closed else "`" + _blank(text[m.end() : end]))
-        elif found == "/":
-            r = _REGEX.match(text, m.start()) if _BEFORE_REGEX.search(before) else None
-            end = r.end() if r else end
-            out.append("/" + _blank(text[m.start() + 1 : end - 1]) + "/" if r else "/")
-        elif found[0] == "/":
-            out.append(_blank(found))
-            at = end
-            continue  # a comment does not part what stands around it
-        elif found in "{}":
-            out.append(found)
-        else:
-            closed = len(found) > 1 and found[-1] == found[0]
-            out.append(found[0] + _blank(found[1:-1]) + found[-1] if closed else found[0] + _blank(found[1:]))
-        before = (before + found[-1])[-40:]
-        at = end
-    return "".join([*out, text[at:]])
-
-
-def _template_end(text: str, at: int) -> int:
-    """The end of a template whose inside starts at `at`, templates in its code included."""
-    depth = [0]  # braces open in the code of each template around; 0: in the text of one
-    while depth:
-        if depth[-1] == 0:
-            m = _TEMPLATE.match(text, at)
-            at = m.end()
-            if m[1] == "${":
-                depth[-1] = 1
-            else:
-                depth.pop()
-                if not m[1]:
-                    break
-            continue
-        m = _NEXT.search(text, at)
-        if not m:
-            return len(text)
-        at = m.end()
-        depth[-1] += (m[0] == "{") - (m[0] == "}")
-        if m[0] == "`":
-            depth.append(0)
-    return at
+def code_only(text: str, markup: bool = True) -> str:
+    """text with the insides of comments, strings, regular expressions, templates and markup
+    (code in these too) blanked, lengths kept."""
+    return lexer.blanked(text, markup)[0]
 
 
 _OUTER, _DEEP = re.compile(r"[(\[{]|[)\]}]|;|\n"), re.compile(r"[(\[{]|[)\]}]")
@@ -198,23 +140,28 @@ def _variable(text: str, code: str) -> str:
     at = code.find("=>")
     if at >= 0 and code[:at].count("=") <= 1 + code[:at].count("=>"):
         return text[: at + 2].split("\n")[0].rstrip() + " { ... }"
-    m = re.match(rf"(?:export\s+)?(?:const|let|var)\s+{_NAME}[^=]*=\s*(new\s+[\w$.]+|{_NAME}(?:\.{_NAME})*)\s*\(", code)
+    m = re.match(rf"(?:export\s+)?(?:const|let|var)\s+(?:{_NAME}|[\[{{])[^=]*=\s*(new\s+[\w$.]+|{_NAME}(?:\.{_NAME})*)\s*\(", code)
     return text[: m.end(1)].rstrip() + "(...)" if m else text.split("\n")[0].rstrip()[:80]
 
 
-_DECLARATOR = re.compile(rf"\s*({_NAME})\s*(?=[=:,;!]|\Z)")
-
-
-def _more_names(code: str, at: int) -> Iterator[str]:
-    """Names that a variable statement declares after its first, which ends at `at`."""
-    depth = 0
-    for m in re.finditer(r"[(\[{<]|[)\]}]|>|,", code[at:]):
-        c, place = m[0], at + m.start()
-        if c == "," and depth == 0:
-            if d := _DECLARATOR.match(code, place + 1):
-                yield d[1]
-        elif not (c == ">" and code[place - 1] in "=-"):
-            depth = max(0, depth + (c in "([{<") - (c in ")]}>"))
+def _variables(code: str) -> list[str]:
+    """All names that a variable statement declares, those of patterns included."""
+    to, _ = lexer.partners(code)
+    at, end, names = re.search(r"\b(?:const|let|var)\b", code).end(), len(code), []
+    while True:
+        found, at = lexer.bound_names(code, at, to)
+        names += found
+        depth = 0
+        while at < end and not (code[at] == "," and not depth):  # its type and its value
+            if at in to:
+                at = to[at]
+            elif code[at] in "<>" and code[at - 1] not in "=-":
+                # Only a type argument's bracket is closed before the statement ends.
+                depth = max(0, depth + (1 if code[at] == "<" and re.match(r"<[\w\s,.<>\[\]|&]*>", code[at:]) else -1 if code[at] == ">" else 0))
+            at += 1
+        if at >= end or not found and not names:
+            return names
+        at += 1
 
 
 def _squeezed(text: str) -> str:
@@ -275,12 +222,23 @@ def _registration(text: str, code: str, m: re.Match, line: int) -> tuple[str, li
     return f"{m[1]}('{m[3]}',{f' /* {said} */' if said else ''} async ({listed}) => {{ ... }}); // L{line}", []
 
 
-def scan(content: str) -> list[tuple]:
-    """Rows of STATEMENT. Rows of other sections than SECTIONS show in no skeleton: `method`
-    for the keys of registered objects, `declared` for further names of a statement,
-    `registered` for names given to calls without a function, `unclosed` for a statement
-    whose brackets the file does not close."""
-    code, rows = code_only(content), []
+def scan(content: str, markup: bool = True) -> list[tuple]:
+    """Rows of STATEMENT for all statements. Rows of other sections than SECTIONS show in no
+    skeleton: `method` for the keys of registered objects, `declared` for further names of a
+    statement, `registered` for names given to calls without a function, `unclosed` for a
+    statement whose brackets, template or markup the file does not close."""
+    return _statements(content, *lexer.blanked(content, markup)[::2])
+
+
+def read(content: str, markup: bool = True) -> list[tuple]:
+    """The rows of `scan`, and one for each event: its section says what (EVENTS), its name
+    whose, its pos where."""
+    bare, full, whole = lexer.blanked(content, markup)
+    return _statements(content, bare, whole) + [(what, None, name, False, None, None, line, line, at) for what, name, at, line in lexer.events(content, full)]
+
+
+def _statements(content: str, code: str, whole: bool) -> list[tuple]:
+    rows = []
     ends = [m.start() for m in re.finditer("\n", content)]
     for start, stop, closed in statements(code):
         text, bare = content[start:stop], code[start:stop]
@@ -297,6 +255,8 @@ def scan(content: str) -> list[tuple]:
             put("imports", "import", None, False, text)
         elif declared:
             kind, name = declared[1].split()[-1], declared[2]
+            names = _variables(bare) if kind in ("const", "let", "var") else []
+            name = names[0] if names else name
             if kind == "class":
                 shown = _class(text, bare)
             elif kind in ("const", "let", "var"):
@@ -309,7 +269,7 @@ def scan(content: str) -> list[tuple]:
                 shown = _signature(text, bare)
             variable = kind in ("const", "let", "var")
             put("Exports" if exported else "Types" if kind in ("interface", "type", "enum") else "Module-level", "variable" if variable else kind, name, exported, shown)
-            for more in _more_names(bare, declared.end()) if variable and name else ():
+            for more in names[1:]:
                 put("declared", "variable", more, exported, shown)
         elif exported:
             put("Exports", "reexport", None, True, _signature(text, bare) if bare.startswith("export default") else text.split("\n")[0])
@@ -321,22 +281,49 @@ def scan(content: str) -> list[tuple]:
                 put("registered", "registration", m[3], False, shown)
             for key in keys:
                 put("method", m[1], key, False, key)
+    if not whole and not any(r[0] == "unclosed" for r in rows):
+        rows.append(("unclosed", None, None, False, None, None, len(ends) + 1, len(ends) + 1, len(rows)))
     return rows
 
 
-def parse(sources: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """path and STATEMENT's columns, one row for each labelled statement. Null content: none."""
+#: Sections of events, in the order in which those of one place come.
+EVENTS = ("close", "open", "call")
+#: Suffixes whose files hold no markup: there `<T>` before a value is a type.
+_PLAIN = (".ts", ".mts", ".cts")
+
+
+def scanned(sources: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """path and the rows of `read`: statements and events. Null content: none."""
     reach_workers(sources.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in STATEMENT.split(", ")]
         for pdf in batches:
-            rows = [(p, *r) for p, text in zip(pdf[path], pdf[content]) if text for r in scan(text)]
+            rows = [(p, *r) for p, text in zip(pdf[path], pdf[content]) if text for r in read(text, not str(p).lower().endswith(_PLAIN))]
             yield pd.DataFrame(rows, columns=[path, *names])
 
     return sources.select(path, content).mapInPandas(run, f"{path} string, {STATEMENT}")
 
 
+def is_event() -> Column:
+    return F.col("section").isin(*EVENTS)
+
+
+def parse(sources: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """path and STATEMENT's columns, one row for each labelled statement."""
+    return scanned(sources, path, content).where(~is_event())
+
+
+def with_lines(sources: DataFrame, parsed: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """parsed with `engine`: files that the scanner could not close, and those of other
+    languages, have the statements that lines show (and their `unclosed` row), no others."""
+    marks = parsed.where("section = 'unclosed'")
+    by_lines = sources.select(path).where(language_of(path).isNull()).unionByName(marks.select(path)).distinct()
+    rest = sources.join(by_lines, path, "left_semi")
+    shown = parse_lines(rest, path, content).unionByName(marks).withColumn("engine", F.lit("lines"))
+    return parsed.join(by_lines, path, "left_anti").withColumn("engine", F.lit("scanner")).unionByName(shown)
+
+
 def skeletons(sources: DataFrame, parsed: DataFrame, path: str = "path", content: str = "content", methods_of: str | None = None) -> DataFrame:
     """path, skeleton, methods, original_lines, skeleton_lines, reduction_pct (of lines),
     reduction_chars_pct. Sections meet in their order, each under its header."""
@@ -371,7 +358,7 @@ _LINE_STRING = r"\"(?:\\.|[^\"\\])*\"?|'(?:\\.|[^'\\])*'?|`(?:\\.|[^`\\])*`?"
 _LINE_MODULE = r"^(?:(?:async\s+)?(function)\b|(?:abstract\s+)?(class)\s|(const|let|var)\s)"
 _LINE_CALL = r"^([\w$]+\.[\w$]+)\s*\(\s*"
 _LINE_NAMED = _LINE_CALL + r"['\"`]([^'\"`\s]+)['\"`]\s*,"
-_LINE_NAME = r"^(?:export\s+)?(?:default\s+)?(?:abstract\s+)?(?:async\s+)?(?:function\*?|class|interface|type|enum|const|let|var)\s+([\w$]+)"
+_LINE_NAME = r"^(?:export\s+)?(?:default\s+)?(?:abstract\s+)?(?:async\s+)?(?:function\*?|class|interface|type|enum|const|let|var)\s+(?!extends\b|implements\b)([\w$]+)"
 
 
 def _braces(line: Column) -> tuple[Column, Column]:
@@ -502,24 +489,40 @@ def calls_of_lines(texts: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key, (F.col("line") + 1).alias("line"), F.posexplode(F.regexp_extract_all("__l", F.lit(r"([A-Za-z0-9_$]+(?:\.[A-Za-z0-9_$]+)*)\s*\("), F.lit(1))).alias("pos", "callee")).where(~F.col("callee").isin(*NOT_CALLED))
 
 
-def call_sites(sources: DataFrame, parsed: DataFrame, path: str = "path", content: str = "content", nested: bool = False) -> DataFrame:
-    """file, caller, callee_raw, line: the caller is the top-level declaration whose lines
-    hold the call, else <module>. Declarations do not overlap, so the last one that starts at
-    or before a line is the only one to test: a window, not a range join. With nested, a call
-    on a line that declares a variable belongs to that variable, wherever it stands."""
-    sites = calls_of_lines(sources, path, content).where(F.length("callee") < 120).select(F.col(path).alias("file"), "line", F.lit(1).alias("o"), F.col("callee").alias("callee_raw"), "pos")
-    spans = parsed.where(F.col("name").isNotNull() & F.col("section").isin("Exports", "Module-level")).select(F.col(path).alias("file"), F.col("line_start").alias("line"), F.lit(0).alias("o"), "name", "line_end")
-    both = sites.unionByName(spans, allowMissingColumns=True)
-    before = Window.partitionBy("file").orderBy("line", "o", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    name, end = F.last("name", True).over(before), F.last("line_end", True).over(before)
-    found = both.withColumns({"__n": name, "__e": end}).where("o = 1")
-    caller = F.when(F.col("line") <= F.col("__e"), F.col("__n")).otherwise("<module>")
-    if nested:
-        own = sources.select(F.col(path).alias("file"), F.posexplode(lines(content)).alias("line", "__l")).select("file", (F.col("line") + 1).alias("line"), F.regexp_extract("__l", r"^\s*(?:export\s+)?(?:const|let|var)\s+([\w$]+)\s*[:=]", 1).alias("__own")).where("__own <> ''")
-        found = found.join(own, ["file", "line"], "left")
-        caller = F.coalesce("__own", caller)
-    declared = (F.col("callee_raw") == caller) & (F.col("pos") == 0)
-    return found.withColumn("caller", caller).where(~declared | F.col("__n").isNull()).select("file", "caller", "callee_raw", "line")
+def callers(events: DataFrame, path: str = "path") -> DataFrame:
+    """file, caller, nested_caller, callee_raw, line, pos of the calls among the events of
+    `scanned`: the top-level and the innermost declaration around each, <module> without one.
+    Declarations nest, so a running count of those that are open is a call's depth, and the
+    last that opened at that depth is the innermost around it: two windows over a file's
+    events, which are shuffled once."""
+    order = [F.col("pos"), F.array_position(F.array(*map(F.lit, EVENTS)), F.col("section"))]
+    swept = Window.partitionBy("file").orderBy(*order)
+    rows = events.where(is_event()).select(F.col(path).alias("file"), "section", "name", F.col("line_start").alias("line"), "pos")
+    step = F.when(F.col("section") == "open", 1).when(F.col("section") == "close", -1).otherwise(0)
+    rows = rows.withColumn("depth", F.sum(step).over(swept))
+    opened = F.when(F.col("section") == "open", F.col("name"))
+    top = F.last(F.when(F.col("depth") == 1, opened), True).over(swept)
+    inner = F.last(opened, True).over(Window.partitionBy("file", "depth").orderBy(*order))
+    named = lambda c: F.when(F.col("depth") > 0, c).otherwise("<module>")
+    found = rows.withColumns({"caller": named(top), "nested_caller": named(inner)}).where("section = 'call'")
+    return found.select("file", "caller", "nested_caller", F.col("name").alias("callee_raw"), "line", "pos")
+
+
+#: Fixed value: calls by longer expressions are left out.
+LONGEST_CALLEE = 120
+
+
+def call_sites(sources: DataFrame, events: DataFrame, path: str = "path", content: str = "content", nested: bool = False) -> DataFrame:
+    """file, caller, callee_raw, line from sources and what `scanned` gives of them: the caller
+    is the top-level declaration around the call, or with nested the innermost one (a variable,
+    where the call makes its value), else <module>. Files without a scanner's rows are read by
+    lines, and all their calls are the module's."""
+    by_lines = sources.select(path).where(language_of(path).isNull()).unionByName(events.where("section = 'unclosed'").select(path)).distinct()
+    found = callers(events.join(by_lines, path, "left_anti"), path)
+    shown = calls_of_lines(sources.join(by_lines, path, "left_semi"), path, content)
+    rest = shown.select(F.col(path).alias("file"), F.lit("<module>").alias("caller"), F.col("callee").alias("callee_raw"), "line")
+    sites = found.select("file", F.col("nested_caller" if nested else "caller").alias("caller"), "callee_raw", "line")
+    return sites.unionByName(rest).where(F.length("callee_raw") < LONGEST_CALLEE)
 
 
 IMPORTED = r"(?s)(?:import\s+(?:type\s+)?(?:[\w$]+\s*,\s*)?(?:\{[^}]*\}|\*\s+as\s+[\w$]+|[\w$]+)\s+from\s+|import\s+|export\s+(?:\*|\{[^}]*\})\s+from\s+|(?:require|import)\s*\(\s*)['\"]([^'\"]+)['\"]"
@@ -553,19 +556,32 @@ def rpc_methods(parsed: DataFrame, path: str = "path") -> DataFrame:
     return keys.unionByName(parsed.where(named).select(F.concat(F.lit("publish:"), "name").alias("name"), F.col(path).alias("file")))
 
 
-def rpc_methods_by_pattern(sources: DataFrame, path: str = "path", content: str = "content", levels: int = 6) -> DataFrame:
+#: Strings, brackets, and keys before a colon or a bracket, in text that is no clean source.
+_TOKENS = _LINE_STRING + r"|[{}()\[\]]|(?:async\s+)?[\w./-]+(?=\s*[(:])|,"
+
+
+def rpc_methods_by_pattern(sources: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """name, file by pattern alone, for text that is no clean source: keys of objects given to
-    METHODS, and `publish:` names. What stands in brackets inside an object is emptied from
-    the inside out, `levels` deep, so that its own keys are left."""
+    METHODS, and `publish:` names. The tokens after a call are folded with the number of
+    brackets that are open: a key is the first token of the object or after a comma with one
+    open, whatever stands deeper."""
     call = METHODS.replace(".", r"\.")
     after = F.split(F.col(content), rf"{call}\s*\(\s*(?=\{{)")
     blocks = sources.select(F.col(path).alias("file"), F.explode(F.slice(after, 2, 1 << 30)).alias("b"))
-    text = F.col("b")
-    for _ in range(levels):
-        text = F.regexp_replace(F.regexp_replace(text, r"\([^()]*\)", "<>"), r"(?<!\A)\{[^{}]*\}", "")
-    own = F.regexp_extract(text, r"\A\{([^{}]*)\}", 1)
-    key = r"(?:\A|,)\s*(?:async\s+)?['\"]?([\w./:-]+)['\"]?\s*(?:<>|:)"
-    keys = blocks.select(F.explode(F.regexp_extract_all(own, F.lit(key), F.lit(1))).alias("name"), "file")
+    tokens = F.regexp_extract_all("b", F.lit(f"({_TOKENS})"), F.lit(1))
+    start = F.struct(F.lit(0).alias("open"), F.lit(False).alias("next"), F.lit(False).alias("done"), F.array().cast("array<string>").alias("keys"))
+
+    def step(s, t):
+        opened = s["open"] + F.when(t.isin("{", "(", "["), 1).when(t.isin("}", ")", "]"), -1).otherwise(0)
+        key = F.regexp_replace(F.regexp_replace(t, r"^async\s+", ""), r"^['\"`]|['\"`]$", "")
+        takes = s["next"] & (s["open"] == 1) & key.rlike(r"^[\w./:-]+$") & (key != "async")
+        now = F.struct(
+            opened.alias("open"), ((opened == 1) & (t.isin("{", ",") | s["next"] & (key == "async"))).alias("next"), (opened == 0).alias("done"),
+            F.when(takes, F.array_append(s["keys"], key)).otherwise(s["keys"]).alias("keys"),
+        )
+        return F.when(s["done"], s).otherwise(now)
+
+    keys = blocks.select(F.explode(F.aggregate(tokens, start, step, lambda s: s["keys"])).alias("name"), "file")
     published = F.regexp_extract_all(F.col(content), F.lit(PUBLICATION.replace(".", r"\.") + r"\s*\(\s*['\"]([^'\"]+)['\"]"), F.lit(1))
     return keys.unionByName(sources.select(F.explode(published).alias("name"), F.col(path).alias("file")).withColumn("name", F.concat(F.lit("publish:"), "name")))
 
@@ -602,9 +618,9 @@ def symbol_source(sources: DataFrame, name: str, path: str = "path", content: st
     """path, source, line_start, line_end, error: a top-level declaration of the name, else a
     registration of it, else the member of a registered object, else what lines show; else
     an error."""
-    parsed = parse(sources, path, content) if parsed is None else parsed
+    parsed = with_lines(sources, parse(sources, path, content), path, content) if parsed is None else parsed
     rank = F.when(F.col("section").isin("Types", "Exports", "Module-level", "declared"), 1).when(F.col("section").isin("Registrations", "registered"), 2).otherwise(3)
-    best = parsed.where(F.col("name") == name).groupBy(path).agg(F.min(F.struct(rank.alias("r"), "pos", "source", "line_start", "line_end")).alias("m"))
+    best = parsed.where((F.col("name") == name) & ~is_event()).groupBy(path).agg(F.min(F.struct(rank.alias("r"), "pos", "source", "line_start", "line_end")).alias("m"))
     rest = symbol_source_by_lines(sources.join(best.select(path), path, "left_anti"), name, path, content)
     found = best.select(path, "m.source", "m.line_start", "m.line_end").unionByName(rest)
     return sources.select(path).join(found, path, "left").withColumn("error", F.when(F.col("source").isNull(), F.lit(f"Symbol '{name}' not found")))

@@ -38,6 +38,8 @@ def call_edges(calls: DataFrame, import_names: DataFrame, symbols: DataFrame, pa
     import_names(file, local_name, orig_name, target), symbols(node_id, file, name). A callee
     whose first segment is imported goes to the import's target; else to a symbol of the same
     file. With parsed(path), callers and imported targets outside of it are left out."""
+    # A chain over several lines, with `?.` or `!.`, has the same names.
+    calls = calls.withColumn("callee_raw", F.regexp_replace("callee_raw", r"\s+|[?!](?=\.)", ""))
     head = F.split_part("callee_raw", F.lit("."), F.lit(1))
     sites = calls.withColumn("head", head).where(~F.col("head").isin("", "this")).withColumn("from_id", F.concat_ws("::", "file", "caller"))
     if parsed is not None:

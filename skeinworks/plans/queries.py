@@ -568,7 +568,7 @@ def code_imports(spark, sf):
 
 def _call_edges(spark, sf):
     sources = modules(spark, sf)
-    parsed = stored(parse.parse(sources), "parsed")
+    parsed = stored(parse.scanned(sources), "parsed")
     specs = resolve.imports(parse.import_specs(sources), sources.select("path"))
     names = parse.import_names(sources).join(specs.select(F.col("src").alias("file"), "spec", F.col("dst").alias("target")), ["file", "spec"])
     return resolve.call_edges(parse.call_sites(sources, parsed), names, parse.symbols(parsed))
@@ -656,6 +656,45 @@ def line_symbols(spark, sf):
     return parse.symbols_of_lines(shown, "path", "skeleton").select("path", "name", "kind", "exported")
 
 
+def tricky_modules(spark: SparkSession, sf: str) -> DataFrame:
+    """path, content: components with all that hides or imitates code: calls in comments, strings
+    and regular expressions, code in templates and markup, text of markup with quotes, nested
+    declarations, calls over several lines, patterns, a class without a name; every fifth file
+    ends inside of a template."""
+    part = table(spark, sf, "part")
+    k, name = F.col("p_partkey").cast("string"), F.col("p_name")
+    content = F.concat(
+        F.lit("// see helper(1) in '"), name, F.lit("'\nimport { load } from './load';\nconst said = \"call("), name, F.lit(") {\", { left"), k, F.lit(", right: [deep"), k, F.lit(", ...rest"), k, F.lit("] } = split(said);\nif (said) /[\"{(]/.test(said);\n"),
+        F.lit("export function View"), k, F.lit("({ rows }) {\n  const shown = rows.map((r) => pick(r, `${size(r)} of(x)`));\n  function draw() {\n    /* never(0) */\n    return load\n      .from(shown)\n      .then((x) => new Map(wrap(x)));\n  }\n  return <p title='it(s)'>it`s {draw()} don't(1) <b/></p>;\n}\n"),
+        F.lit("export default class extends mixed(Base) {\n  async run<T>(x: T): Promise<void> { await this.go?.(x); }\n}\ninterface Port"), k, F.lit(" { open(a: string): void }\nstart"), k, F.lit("();\n"), F.when(F.col("p_partkey") % 5 == 0, "export function late() { go(`open\n").otherwise(""),
+    )
+    return part.select(F.concat(F.lit("ui/v"), k, F.when(F.col("p_partkey") % 2 == 0, ".tsx").otherwise(".jsx")).alias("path"), content.alias("content"))
+
+
+_TRICKY = "SELECT p_partkey AS k, p_partkey % 5 = 0 AS broken, 'ui/v' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '.tsx' ELSE '.jsx' END AS file FROM part"
+
+
+@register(f"""WITH p AS ({_TRICKY}), v(caller, nested, callee, line) AS (VALUES ('said', 'said', 'split', 3), ('<module>', '<module>', '/TEST/.test', 4), ('View', 'shown', 'rows.map', 6), ('View', 'shown', 'pick', 6), ('View', 'shown', 'size', 6),
+  ('View', 'draw', 'load' || chr(10) || '      .from', 9), ('View', 'draw', 'load' || chr(10) || '      .from(shown)' || chr(10) || '      .then', 9), ('View', 'draw', 'wrap', 11), ('View', 'View', 'draw', 13), ('<module>', '<module>', 'mixed', 15), ('<module>', '<module>', 'this.go', 16), ('<module>', '<module>', 'start', 19))
+SELECT file, CASE caller WHEN 'View' THEN 'View' || k ELSE caller END AS caller, CASE nested WHEN 'View' THEN 'View' || k ELSE nested END AS nested_caller,
+  CASE callee WHEN 'start' THEN 'start' || k ELSE replace(callee, 'TEST', '["{{(]') END AS callee_raw, CAST(line AS INTEGER) AS line FROM p, v WHERE NOT broken""")
+def code_calls(spark, sf):
+    """Calls with their top-level and innermost callers, out of sources that imitate them."""
+    rows = parse.scanned(tricky_modules(spark, sf))
+    closed = rows.join(rows.where("section = 'unclosed'").select("path"), "path", "left_anti")
+    return parse.callers(closed).select("file", "caller", "nested_caller", "callee_raw", "line")
+
+
+@register(f"""WITH p AS ({_TRICKY}), v(name, kind, line, exported, by_lines) AS (VALUES ('said', 'variable', 3, false, true), ('left', 'variable', 3, false, false), ('deep', 'variable', 3, false, false), ('rest', 'variable', 3, false, false), ('View', 'function', 5, true, true), ('Port', 'interface', 18, false, false), ('late', 'function', 20, true, true))
+SELECT file, CASE WHEN name IN ('said', 'late') THEN name ELSE name || k END AS name, kind, CAST(line AS INTEGER) AS line, exported FROM p, v WHERE CASE WHEN broken THEN by_lines ELSE name <> 'late' END""")
+def code_names(spark, sf):
+    """Declared names, those of patterns too; files that no scanner can close have those that
+    their lines show."""
+    sources = tricky_modules(spark, sf)
+    rows = stored(parse.scanned(sources), "scanned")
+    return parse.symbols(parse.with_lines(sources, rows)).select("file", "name", "kind", "line", "exported")
+
+
 _SCRIPT = "string_split(html, chr(10))"
 
 

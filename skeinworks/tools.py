@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skeinworks.functions.text import relative_to, tokens, without_lines
 from skeinworks.operators import budget, listing, parse, resolve, search, telemetry, traverse
-from skeinworks.session import stored
+from skeinworks.session import discard, stored
 from skeinworks.sources import files as source_files
 
 log = logging.getLogger("skeinworks")
@@ -69,8 +69,10 @@ class CodeBase:
         return cls(stored(tree, "sources"), root, source_files.alias_map(spark, config_text))
 
     def __post_init__(self) -> None:
-        parsed = parse.parse(self.sources).join(self.sources.select("path", "seq"), "path")
-        self.parsed = stored(parsed, "parsed")
+        found = stored(parse.scanned(self.sources), "scanned")
+        # Statements and events; files that the scanner cannot close have the statements of lines.
+        self.parsed = stored(parse.with_lines(self.sources, found).join(self.sources.select("path", "seq"), "path"), "parsed")
+        discard(found)
         files = self.sources.select("path", "seq")
         order = F.col("seq") * (1 << 20)
         self.files = files

@@ -291,7 +291,7 @@ def test_older_rules(spark, hard):
     names = {r.name for r in parse.symbols_of_lines(shown, "path", "skeleton", exported_variables=True).collect()}
     assert names == {"first", "Second"}
     calls = spark.createDataFrame([("n.ts", "function g() {\n  const x = f();\n  return h(x);\n}\n")], "path string, content string")
-    got = lambda nested: {(r.caller, r.callee_raw) for r in parse.call_sites(calls, parse.parse(calls), nested=nested).collect()}
+    got = lambda nested: {(r.caller, r.callee_raw) for r in parse.call_sites(calls, parse.scanned(calls), nested=nested).collect()}
     assert got(False) == {("g", "f"), ("g", "h")} and got(True) == {("x", "f"), ("g", "h")}
 
 
