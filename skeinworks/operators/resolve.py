@@ -18,10 +18,20 @@ def first_candidate(wanted: DataFrame, base: str, known: DataFrame, path: str, s
     return spelled.join(known.select(F.col(path).alias("__path")).distinct(), "__path").groupBy(*keys).agg(F.min_by("__path", "__rank").alias("resolved"))
 
 
+def _relative(specs: DataFrame) -> DataFrame:
+    return specs.where(F.startswith("spec", F.lit("."))).select(F.col("file").alias("src"), "pos", "spec", folded_path(F.concat_ws("/", folder_of("file"), F.col("spec"))).alias("__base"))
+
+
+def spellings(specs: DataFrame) -> DataFrame:
+    """src, pos, spec, __rank, __path: the paths that a relative import could mean, in order."""
+    spelled = F.posexplode(F.array(*(F.concat(F.col("__base"), F.lit(s)) for s in CANDIDATES)))
+    return _relative(specs).select("src", "pos", "spec", spelled.alias("__rank", "__path"))
+
+
 def imports(specs: DataFrame, files: DataFrame, folders_count: bool = False) -> DataFrame:
     """src, pos, spec, dst of relative imports. specs(file, pos, spec), files(path). With
     folders_count, a folder of the exact name wins over its index file."""
-    wanted = specs.where(F.startswith("spec", F.lit("."))).select(F.col("file").alias("src"), "pos", "spec", folded_path(F.concat_ws("/", folder_of("file"), F.col("spec"))).alias("__base"))
+    wanted = _relative(specs)
     known = files.select("path")
     if folders_count:
         known = known.union(files.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(F.split("path", "/")) - 1, F.lit(1))), lambda k: F.array_join(F.slice(F.split("path", "/"), 1, k), "/"))).alias("path")).distinct())

@@ -6,15 +6,16 @@ source files that Spark derives from `part`: one module a part, importing anothe
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skeinworks.functions import text as tx
 from skeinworks.operators import budget, index, lessons, listing, masking, parse, resolve, search, telemetry, traverse
-from skeinworks.session import stored, table
+from skeinworks.session import shared_folder, stored, table
 from skeinworks.sources import files as source_files, transcripts
-from skeinworks.streaming import live
+from skeinworks.streaming import graph, live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -656,6 +657,22 @@ def line_symbols(spark, sf):
     return parse.symbols_of_lines(shown, "path", "skeleton").select("path", "name", "kind", "exported")
 
 
+@register(f"SELECT * FROM ({_CODE_EDGES}) WHERE from_id NOT LIKE 'lib/f7/%'".replace("true AS from_exists, true AS to_exists FROM p a", "true AS from_exists, b.path NOT LIKE 'lib/f7/%' AS to_exists FROM p a").replace("JOIN p b ON b.k = a.k + 25", "JOIN p b ON b.k = a.k + 25 AND b.path NOT LIKE 'lib/f7/%'"))
+def graph_stream(spark, sf):
+    """The call graph of all modules as it grows with a stream of three batches: callers come
+    before the modules that they import, and one folder is deleted at the end."""
+    base = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
+    sources = modules(spark, sf).withColumn("seq", F.lit(1).cast("long"))
+    part = (F.col("path").substr(6, 3).contains("/").cast("int") + F.col("content").contains("7").cast("int")) % 2
+    gone = sources.where("path LIKE 'lib/f7/%'").select("path", F.lit(None).cast("string").alias("content"), F.lit(2).cast("long").alias("seq"))
+    for k, rows in enumerate((sources.where(part == 0), sources.where(part == 1), gone)):
+        rows.coalesce(1).write.mode("append").parquet(f"{base}/files/{k}")
+    files = spark.readStream.schema(sources.select("path", "content", "seq").schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{base}/files")
+    query = graph.grow(files, f"{base}/state", f"{base}/checkpoint", compact_after=2, buckets=4)
+    query.awaitTermination()
+    return graph.GraphState(spark, f"{base}/state", 4).edges()
+
+
 def tricky_modules(spark: SparkSession, sf: str) -> DataFrame:
     """path, content: components with all that hides or imitates code: calls in comments, strings
     and regular expressions, code in templates and markup, text of markup with quotes, nested

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 from pathlib import Path
@@ -59,6 +60,8 @@ def shared_folder(spark: SparkSession) -> str:
 #: Bytes of a row group of intermediate tables: two writers to an executor hold one each.
 ROW_GROUP = 32 << 20
 _STORED: list[str] = []
+#: For each thread, the lists of what is being stored on the way to a result (see settled).
+_OPEN = threading.local()
 
 
 def stored(df: DataFrame, label: str, compression: str = "snappy", row_group: int = ROW_GROUP) -> DataFrame:
@@ -68,6 +71,8 @@ def stored(df: DataFrame, label: str, compression: str = "snappy", row_group: in
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     _STORED.append(path)
+    for way in getattr(_OPEN, "ways", ()):
+        way.append(path)
     df.write.option("compression", compression).option("parquet.block.size", row_group).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
@@ -75,20 +80,25 @@ def stored(df: DataFrame, label: str, compression: str = "snappy", row_group: in
 
 
 def settled(make: Callable[[], DataFrame], label: str) -> DataFrame:
-    """The stored result of `make`, without the tables that were stored on the way to it."""
-    before = len(_STORED)
-    spark = (df := make()).sparkSession
-    out = stored(df, label)
-    for path in [p for p in _STORED[before:] if p != out.stored_at]:
-        _delete(spark, path)
-        _STORED.remove(path)
+    """The stored result of `make`, without the tables that this thread stored on the way to it."""
+    way: list[str] = []
+    _OPEN.ways = [*getattr(_OPEN, "ways", ()), way]
+    try:
+        spark = (df := make()).sparkSession
+        out = stored(df, label)
+    finally:
+        _OPEN.ways = _OPEN.ways[:-1]
+    for path in way:
+        if path != out.stored_at and path in _STORED:
+            delete(spark, path)
+            _STORED.remove(path)
     return out
 
 
 def discard(*tables: DataFrame) -> None:
     """Delete tables of `stored` that nothing reads any more."""
     for df in tables:
-        _delete(df.sparkSession, df.stored_at)
+        delete(df.sparkSession, df.stored_at)
         _STORED.remove(df.stored_at)
 
 
@@ -96,10 +106,26 @@ def clean_up(spark: SparkSession) -> None:
     """Delete all tables that `stored` has written and nothing has discarded. Results that
     still read them are to be written before."""
     while _STORED:
-        _delete(spark, _STORED.pop())
+        delete(spark, _STORED.pop())
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(conf).delete(at, True)
+def _store(spark: SparkSession, path: str) -> tuple:
+    """The store of a path that Spark reaches, and the path in it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    store, at = _store(spark, path)
+    store.delete(at, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, at = _store(spark, path)
+    return store.exists(at)
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none where it is missing."""
+    store, at = _store(spark, path)
+    return sorted(s.getPath().getName() for s in store.listStatus(at)) if store.exists(at) else []
