@@ -15,7 +15,7 @@ from skeinworks.functions import text as tx
 from skeinworks.operators import budget, index, lessons, listing, masking, parse, resolve, search, telemetry, traverse
 from skeinworks.session import shared_folder, stored, table
 from skeinworks.sources import files as source_files, transcripts
-from skeinworks.streaming import graph, live
+from skeinworks.streaming import graph, keyed, live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -538,6 +538,43 @@ def snapshot_stream(spark, sf):
     return live.run_snapshot(spark, tool_calls(events), "snapshot-stream")
 
 
+def _ran(rows: DataFrame, label: str) -> DataFrame:
+    """All that a stream makes of what is there."""
+    base = f"{shared_folder(rows.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    keyed.started(rows, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{base}/out")
+
+
+@register(f"SELECT conv_id, turn, turn_id, stale, after AS text FROM ({_MASKED_SQL})")
+def mask_stream(spark, sf):
+    """Masking of old turns as messages arrive: a turn is masked when a later one begins, the
+    last one is whole once its conversation has been idle."""
+    said = live.file_stream(spark, sf, table(spark, sf, "conversations").schema, pattern="conversations.parquet")
+    said = said.withColumn("at", F.timestamp_seconds(F.col("turn") * 60 + 10**8))
+    # One message long after all others moves the watermark past them.
+    ticks = f"{shared_folder(spark)}/ticks-{uuid.uuid4().hex}"
+    tick = spark.range(1).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in said.schema if f.name not in ("turn", "at")), F.lit(0).cast("long").alias("turn"), F.timestamp_seconds(F.lit(10**9)).alias("at"))
+    tick.select(said.columns).write.parquet(ticks)
+    both = said.unionByName(live.file_stream(spark, ticks, said.schema))
+    marked = _ran(keyed.rolling_turns(both, "conv_id", "turn", "at", F.col("role") == "assistant", keep=1), "mask-stream").where("conv_id IS NOT NULL")
+    return marked.select("conv_id", "turn", "turn_id", "stale", F.when(F.col("stale"), masking.masked_text(F.col("text"))).otherwise(F.col("text")).alias("text"))
+
+
+@register("SELECT min(doc_id) AS doc_id FROM documents GROUP BY lower(left(text, 60))")
+def first_seen_stream(spark, sf):
+    docs = live.file_stream(spark, sf, table(spark, sf, "documents").schema, pattern="documents.parquet").select("doc_id", "text")
+    timed = docs.withColumn("at", F.timestamp_seconds(F.lit(10**8)))
+    return _ran(keyed.first_seen(timed, F.lower(F.left("text", F.lit(60))), "doc_id", "at"), "first-seen").select("doc_id")
+
+
+@register("SELECT event_type, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY 1")
+def last_writer_stream(spark, sf):
+    """The last value of every type, out of a stream of changes."""
+    events = live.file_stream(spark, sf, table(spark, sf, "events").schema, pattern="events.parquet").select("event_type", "value", "event_id", F.col("ts").cast("timestamp").alias("at"))
+    changes = _ran(keyed.last_writer(events, F.col("event_type"), "event_id", "at"), "last-writer")
+    return resolve.last_writer(changes, "event_type", "value", "event_id")
+
+
 # --- parsing ------------------------------------------------------------------------------
 
 

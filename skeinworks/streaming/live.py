@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from skeinworks.operators.telemetry import per_tool
-from skeinworks.session import shared_folder
+from skeinworks.session import listed, shared_folder
 from skeinworks.sources.files import split_by_cache
 
 #: Seconds between two snapshots of a live report.
@@ -52,12 +52,9 @@ def ingest(files: DataFrame, parse: Callable[[DataFrame], DataFrame], target: st
 
 def current(spark: SparkSession, target: str) -> DataFrame:
     """The current rows of an ingested table: each path's rows of its greatest version."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        rows = spark.read.parquet(target)
-    except AnalysisException:
+    if not any(n.startswith("version_part=") for n in listed(spark, target)):
         return spark.createDataFrame([], "path string, hash string, version long")
+    rows = spark.read.parquet(target)
     last = rows.groupBy("path").agg(F.max("version").alias("version"))
     return rows.join(last, ["path", "version"], "left_semi").where("NOT deleted").drop("deleted")
 
