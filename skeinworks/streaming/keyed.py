@@ -89,7 +89,7 @@ class _Turns(StatefulProcessor):
 
     @staticmethod
     def _rows(key, held: list, stale: bool) -> pd.DataFrame:
-        return pd.DataFrame({"session": key[0], "pos": [h[0] for h in held], "turn_id": [h[1] for h in held], "stale": stale, "row": [h[2] for h in held]})
+        return pd.DataFrame({"pos": [h[0] for h in held], "turn_id": [h[1] for h in held], "stale": stale, "row": [h[2] for h in held]})
 
 
 def rolling_turns(messages: DataFrame, session: str, pos: str, at: str, closes: Column, keep: int = masking.TURNS, idle: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
@@ -98,16 +98,15 @@ def rolling_turns(messages: DataFrame, session: str, pos: str, at: str, closes:
     stale turn comes as soon as it is stale, the others once the session has been idle; what
     comes after that begins the session anew."""
     reach_workers(messages.sparkSession)
-    others = [c for c in messages.columns if c not in (session, pos)]
+    others = [c for c in messages.columns if c != pos]
     payload = messages.select(*others).schema
     rows = messages.withWatermark(at, late).select(
-        F.col(session).alias("session"), F.col(pos).cast("long").alias("pos"), F.coalesce(closes, F.lit(False)).alias("closes"), F.to_json(F.struct(*others)).alias("row"), F.unix_millis(at).alias("ms"), F.col(at).alias("__at"),
+        _never_null(F.col(session)).alias("session"), F.col(pos).cast("long").alias("pos"), F.coalesce(closes, F.lit(False)).alias("closes"), F.to_json(F.struct(*others)).alias("row"), F.unix_millis(at).alias("ms"), F.col(at).alias("__at"),
     )
-    kind = messages.schema[session].dataType.simpleString()
     out = rows.groupBy("session").transformWithStateInPandas(
-        statefulProcessor=_Turns(keep, _millis(messages.sparkSession, idle)), outputStructType=StructType.fromDDL(f"session {kind}, pos long, turn_id long, stale boolean, row string"), outputMode="Append", timeMode="EventTime",
+        statefulProcessor=_Turns(keep, _millis(messages.sparkSession, idle)), outputStructType=StructType.fromDDL("pos long, turn_id long, stale boolean, row string"), outputMode="Append", timeMode="EventTime",
     )
-    return out.select(F.col("session").alias(session), F.col("pos").alias(pos), F.from_json("row", payload).alias("r"), "turn_id", "stale").select(session, pos, "r.*", "turn_id", "stale")
+    return out.select(F.col("pos").alias(pos), F.from_json("row", payload).alias("r"), "turn_id", "stale").select(pos, "r.*", "turn_id", "stale")
 
 
 class _Last(StatefulProcessor):
@@ -148,7 +147,7 @@ class _Last(StatefulProcessor):
 
 def _keyed(rows: DataFrame, key: Column, order: str, at: str, first: bool, keep: str, late: str) -> DataFrame:
     reach_workers(rows.sparkSession)
-    packed = rows.withWatermark(at, late).select(key.alias("key"), F.col(order).cast("long").alias("ord"), F.to_json(F.struct(*rows.columns)).alias("row"), F.unix_millis(at).alias("ms"), F.col(at).alias("__at"))
+    packed = rows.withWatermark(at, late).select(_never_null(key).alias("key"), F.col(order).cast("long").alias("ord"), F.to_json(F.struct(*rows.columns)).alias("row"), F.unix_millis(at).alias("ms"), F.col(at).alias("__at"))
     out = packed.groupBy("key").transformWithStateInPandas(statefulProcessor=_Last(first, _millis(rows.sparkSession, keep)), outputStructType=StructType.fromDDL("ord long, row string"), outputMode="Append", timeMode="EventTime")
     return out.select(F.from_json("row", rows.schema).alias("r")).select("r.*")
 
@@ -166,6 +165,11 @@ def last_writer(rows: DataFrame, key: Column, order: str, at: str, keep: str = "
     return _keyed(rows, key, order, at, False, keep, late)
 
 
+def _never_null(key: Column) -> Column:
+    """A key as text, which tells null from all else; workers mix up groups beside a null one."""
+    return F.to_json(F.struct(key.alias("k")))
+
+
 def _millis(spark: SparkSession, interval: str) -> int:
     return int(spark.sql(f"SELECT unix_millis(timestamp_millis(0) + INTERVAL '{interval.split()[0]}' {interval.split()[1]}) AS ms").first().ms)
 
