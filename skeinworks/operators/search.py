@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from skeinworks.functions.text import contains_any_case
 from skeinworks.operators.listing import bounded
@@ -62,13 +62,43 @@ def lookup(names: DataFrame, wanted: str, name: str = "name", limit: int = 5) ->
     return exact.unionByName(near.orderBy(name).limit(limit).crossJoin(none).drop("__n"))  # one row or none
 
 
-def lookup_all(names: DataFrame, wanted: DataFrame, name: str, want: str) -> DataFrame:
-    """For many wanted names at once: exact matches by an equi-join; names without one meet
-    those that hold their first segment."""
-    exact = wanted.join(names, F.col(want) == F.col(name)).withColumn("match", F.lit("exact"))
-    rest = wanted.join(names.select(name), F.col(want) == F.col(name), "left_anti")
-    by_head = rest.withColumn("__h", F.substring_index(want, "/", 1)).join(names.withColumn("__h", F.substring_index(name, "/", 1)), "__h").drop("__h").withColumn("match", F.lit("head"))
-    return exact.unionByName(by_head.select(exact.columns))
+#: Characters of a gram of the containment index.
+GRAM = 3
+
+
+def grams(rows: DataFrame, text: str, least: int = GRAM) -> DataFrame:
+    """text, gram: the distinct posting list of every text, grams of `least` to GRAM characters.
+    A text shorter than GRAM is a gram of its own."""
+    each = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (k - 1), F.lit(1))), lambda at: F.substring(F.col(text), at, F.lit(k)))
+    every = F.array_distinct(F.flatten(F.array(*(each(k) for k in range(least, GRAM + 1)))))
+    return rows.select(text, F.explode(every).alias("gram"))
+
+
+def holders(inner: DataFrame, outer: DataFrame, part: str, whole: str) -> DataFrame:
+    """part, whole: all pairs of distinct texts of which the whole holds the part. A text that
+    holds another has all of its grams, so each part asks for its rarest one alone: one
+    equi-join on grams with the wholes' posting lists, then the exact test. Empty parts hold in
+    everything and are left out."""
+    parts, wholes = inner.select(part).distinct().where(F.length(part) > 0), outer.select(whole).distinct()
+    # A part shorter than a gram asks for itself, so wholes list their shorter grams too.
+    listed = grams(wholes, whole, 1)
+    often = listed.groupBy("gram").agg(F.count("*").alias("__often"))
+    asked = grams(parts, part).join(often, "gram", "left").groupBy(part).agg(F.min_by("gram", F.struct(F.coalesce("__often", F.lit(0)), "gram")).alias("gram"))
+    return asked.join(listed, "gram").where(F.contains(F.col(whole), F.col(part))).select(part, whole)
+
+
+def lookup_all(names: DataFrame, wanted: DataFrame, name: str, want: str, limit: int = 5) -> DataFrame:
+    """`lookup` for a whole column of wanted names: want, the columns of names, match: rows of
+    the exact name; else of the first `limit` names, in their order, that hold it or are held
+    by it. No pair is made but of texts that share a gram."""
+    asked, known = wanted.select(F.col(want).alias("__want")).distinct(), names.select(F.col(name).alias("__name")).distinct()
+    exact = asked.join(known, F.col("__want") == F.col("__name")).withColumn("match", F.lit("exact"))
+    rest = asked.join(known, F.col("__want") == F.col("__name"), "left_anti")
+    near = holders(rest, known, "__want", "__name").unionByName(holders(known, rest, "__name", "__want")).distinct()
+    first = F.row_number().over(Window.partitionBy("__want").orderBy("__name"))
+    near = near.withColumn("__r", first).where(F.col("__r") <= limit).drop("__r").withColumn("match", F.lit("near"))
+    pairs = exact.unionByName(near)
+    return pairs.join(names, F.col("__name") == F.col(name)).select(F.col("__want").alias(want), *names.columns, "match")
 
 
 def resolve_alias(aliases: DataFrame, wanted: str) -> DataFrame:

@@ -186,6 +186,18 @@ def impact_cycle(spark, sf):
     return traverse.impact(both, spark.createDataFrame([("supplier::0",)], "id string"), 2)
 
 
+@register(f"""WITH RECURSIVE e AS ({_EDGES}), s AS (SELECT 'region::' || r_regionkey AS seed FROM region UNION ALL SELECT 'nation::' || n_nationkey FROM nation UNION ALL SELECT 'customer::' || c_custkey FROM customer),
+r(seed, id, depth) AS (SELECT seed, seed, 0 FROM s UNION SELECT r.seed, e.src, r.depth + 1 FROM r JOIN e ON e.dst = r.id WHERE r.depth < 3)
+SELECT seed, id, CAST(min(depth) AS INTEGER) AS depth FROM r WHERE id <> seed GROUP BY ALL""")
+def impact_of_each(spark, sf):
+    """What each region, nation and customer reaches, by one traversal of bits."""
+    seeds = None
+    for t, key in (("region", "r_regionkey"), ("nation", "n_nationkey"), ("customer", "c_custkey")):
+        ids = table(spark, sf, t).select(_node(t, key).alias("id"))
+        seeds = ids if seeds is None else seeds.unionByName(ids)
+    return traverse.impact_of_each(_edges(spark, sf), seeds, 3)
+
+
 _COARSE = """SELECT DISTINCT 'segment::' || c_mktsegment AS src, 'nation::' || c_nationkey AS dst FROM customer
 UNION SELECT 'nation::' || n_nationkey, 'region::' || n_regionkey FROM nation
 UNION SELECT DISTINCT 'priority::' || o_orderpriority, 'segment::' || c_mktsegment FROM orders JOIN customer ON c_custkey = o_custkey"""
@@ -306,6 +318,19 @@ def fuzzy_lookup(spark, sf):
     return search.lookup(names, "PROMOTION")
 
 
+@register("""WITH n AS (SELECT p_name AS name, count(*) AS n FROM part GROUP BY 1),
+w AS (SELECT p_name AS want FROM part UNION SELECT p_name || ' of ' || p_type FROM part UNION SELECT split_part(p_name, ' ', 1) FROM part UNION SELECT left(p_name, 2) FROM part UNION SELECT 'no ' || p_brand FROM part),
+x AS (SELECT want, name, n, 'exact' AS match FROM w JOIN n ON name = want),
+m AS (SELECT want, name, n, 'near' AS match, row_number() OVER (PARTITION BY want ORDER BY name) AS r FROM w JOIN n ON contains(name, want) OR contains(want, name) WHERE want NOT IN (SELECT want FROM x))
+SELECT * FROM x UNION ALL SELECT want, name, n, match FROM m WHERE r <= 5""")
+def fuzzy_lookup_all(spark, sf):
+    """Many names at once: whole ones, parts of known names and longer ones that hold them."""
+    part = table(spark, sf, "part").select("p_name", "p_type", "p_brand")
+    names = part.groupBy(F.col("p_name").alias("name")).agg(F.count("*").alias("n"))
+    forms = (F.col("p_name"), F.concat("p_name", F.lit(" of "), "p_type"), F.split_part("p_name", F.lit(" "), F.lit(1)), F.left("p_name", F.lit(2)), F.concat(F.lit("no "), "p_brand"))
+    return search.lookup_all(names, part.select(F.explode(F.array(*forms)).alias("want")), "name", "want")
+
+
 @register("SELECT p_brand AS alias, min(p_name) AS target, 'head' AS match FROM part WHERE p_brand = 'Brand#7' GROUP BY p_brand")
 def alias_lookup(spark, sf):
     aliases = table(spark, sf, "part").groupBy(F.col("p_brand").alias("alias")).agg(F.min("p_name").alias("target"))

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from skeinworks.functions.text import relative_to, tokens, without_lines
 from skeinworks.operators import budget, listing, parse, resolve, search, telemetry, traverse
@@ -33,10 +33,13 @@ def instrument(calls: list, name: str, run: Callable[..., DataFrame]) -> Callabl
         began, error, said, engine = time.time(), None, 0, None
         try:
             rows = run(*args, **kwargs)
-            out = stored(rows.withColumn("__place", F.monotonically_increasing_id()), f"tool-{name}")
+            # The metrics are observed while the rows are written: a call is one action.
+            seen = Observation(f"tool-{name}")
             used = F.sum(tokens(F.to_json(F.struct(*rows.columns))))
-            got = out.agg(F.coalesce(used, F.lit(0)).alias("tokens"), (F.min("engine") if "engine" in rows.columns else F.lit(None).cast("string")).alias("engine")).first()
-            said, engine = got.tokens, ENGINES.get(got.engine)
+            by = F.min("engine") if "engine" in rows.columns else F.min(F.lit(None).cast("string"))
+            watched = rows.observe(seen, F.coalesce(used, F.lit(0)).alias("tokens"), by.alias("engine"))
+            out = stored(watched.withColumn("__place", F.monotonically_increasing_id()), f"tool-{name}")
+            said, engine = seen.get["tokens"], ENGINES.get(seen.get["engine"])
             return out.orderBy("__place").select(*rows.columns)
         except Exception as e:
             error = str(e)[:200]
