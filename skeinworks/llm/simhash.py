@@ -12,11 +12,11 @@ hold is cut into tiles and compared tile against tile, so no link is lost. A tas
 links as stars, at most one per fingerprint, and never its pairs.
 
 `near_duplicates` links fingerprints of 64 bits that differ in three or fewer: all such pairs.
-`similar` and `keep` are for texts that share about 0.8 of their 5-word shingles: fingerprints
-of 256 bits, mixed from the same hashes, which differ in 39 of them at that similarity, 26 at
-0.9 and 128 when unrelated. They link up to `NEAR_RADIUS`, which 0.9 of the pairs at 0.8 keep,
-all at 0.9 and one in ten at 0.65. Keys are samples of the bits, as many as find 0.97 of the
-pairs at 0.8; their number of bits grows with the logarithm of the number of fingerprints.
+`similar` and `keep` are for texts that share 0.8 of their 5-word shingles or more: fingerprints
+of 1,024 bits, mixed from the same hashes, which differ in 155 of them at that similarity, 106
+at 0.9, 217 at 0.65 and 512 when unrelated, give or take 12. They link up to `NEAR_RADIUS`;
+measured against the true overlap in tests. Keys are samples of the bits, as many as find 0.99
+of the pairs at 0.8; their number of bits grows with the logarithm of the number of fingerprints.
 
 Defined results
 * null text: as the empty text. No word: fingerprint zero, linked like any other.
@@ -49,10 +49,10 @@ TILE = 4096
 #: Keyed fingerprints that a task compares at once, about; the number of groups follows.
 GROUP_ROWS = 100_000
 #: Words to a shingle, words of 64 bits to a fingerprint and differing bits of `similar`.
-NEAR_WORDS, NEAR_WIDTH, NEAR_RADIUS = 5, 4, 46
+NEAR_WORDS, NEAR_WIDTH, NEAR_RADIUS = 5, 16, 175
 #: Share of its bits in which a pair at a similarity of 0.8 differs, the share of such pairs
 #: that meet in a key, and the binary logarithm of the fingerprints that a key holds by chance.
-NEAR_DIFFER, NEAR_FOUND, NEAR_CHANCE = 0.152, 0.97, 6
+NEAR_DIFFER, NEAR_FOUND, NEAR_CHANCE = 0.152, 0.99, 6
 
 
 def shingle_hashes(text: str, words: int = WORDS, seed: int = SEED) -> np.ndarray:

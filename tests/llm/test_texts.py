@@ -283,7 +283,7 @@ def slow_wide(text, words=5):
     parts = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
     shingles = [" ".join(parts[k : k + words]) for k in range(len(parts) - words + 1)] if len(parts) >= words else [" ".join(parts)] * bool(parts)
     bits = 0
-    for k in range(4):
+    for k in range(simhash.NEAR_WIDTH):
         mixed = []
         for s in shingles:
             x = (xxhash.xxh64_intdigest(s.encode(), 42) + k * 0x9E3779B97F4A7C15) % 2**64
@@ -324,6 +324,26 @@ def test_similar_texts(spark, tile, monkeypatch):
     assert sorted(r.doc_id for r in simhash.keep(docs).collect()) == sorted(i for i, c in got.items() if i == c)
 
 
+def test_similar_texts_by_overlap(spark):
+    """Planted pairs by their true overlap: 0.8 and more meet, clearly less stays apart."""
+    rnd = random.Random(1)
+    words = [f"w{k}" for k in range(3000)]
+    rows, pairs = [], []
+    for group in range(1200):
+        base = [rnd.choice(words) for _ in range(rnd.choice([30, 80, 200, 600]))]
+        edited = list(base)
+        for _ in range(max(1, int(len(base) * rnd.uniform(0.005, 0.07)))):
+            edited[rnd.randrange(len(edited))] = f"e{rnd.randrange(10**6)}"
+        a, b = " ".join(base), " ".join(edited)
+        rows += [(2 * group, a), (2 * group + 1, b)]
+        x, y = (set(simhash.shingle_hashes(t, 5).tolist()) for t in (a, b))
+        pairs.append(len(x & y) / len(x | y))
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    share = lambda low, high: np.mean([got[2 * g + 1] == 2 * g for g, j in enumerate(pairs) if low <= j < high])
+    assert share(0.8, 0.85) > 0.92 and share(0.85, 1.1) > 0.99
+    assert share(0.6, 0.7) < 0.06 and share(0, 0.6) == 0
+
+
 def test_simhash_hot_key(spark):
     """One key's fingerprints in tiles: a chain of single-bit steps stays one component."""
     base = 0x0123456789ABCDEF

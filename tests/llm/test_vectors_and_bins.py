@@ -120,6 +120,12 @@ def test_near_duplicate_vectors(spark, vectors, tile, monkeypatch):
     assert pq.near_duplicates(vectors.limit(0)).count() == 0
 
 
+def test_near_duplicates_without_id(spark):
+    rows = [(None, [1.0, 0.0]), (0, [1.0, 0.0]), (None, [0.0, 1.0]), (3, [1.0, 0.01]), (None, None)]
+    got = pq.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(None, 0, None, True)] * 3 + [(0, 1, 0, True), (3, 1, 0, False)], key=str)
+
+
 @pytest.mark.parametrize("tile", [4096, 150])
 def test_near_duplicates_of_uneven_spread(spark, tile, monkeypatch):
     """Vectors that vary in few directions, along which lists part: no link may be lost."""
@@ -271,7 +277,7 @@ def test_written_shards_fit(spark, tmp_path):
 def test_pipeline(spark, odd, labels, tmp_path):
     """Each stage against a plain version of its rule, on whole small tables."""
     from skeinworks.llm import langid, quality
-    from tests.llm.test_texts import repeats, slow_wide
+    from tests.llm.test_texts import repeats
 
     docs = table(spark, SF, "documents")
     model = quality.train(docs, table(spark, SF, "labels"))
@@ -284,9 +290,9 @@ def test_pipeline(spark, odd, labels, tmp_path):
     stage = corpus_pipeline.language_id(spark, stage, SF)
     assert sorted(r.doc_id for r in stage.collect()) == sorted(known.doc_id)
     known = known.sort_values("doc_id")
-    fps = [slow_wide(t) for t in known.text]
+    fps = [int.from_bytes(simhash.wide_fingerprint(t).tobytes(), "little") for t in known.text]  # test_wide_fingerprints has the slow form
     differ = np.array([[(x ^ y).bit_count() for y in fps] for x in fps])
-    bits = np.array([[x >> b & 1 for b in range(256)] for x in fps])
+    bits = np.array([[x >> b & 1 for b in range(64 * simhash.NEAR_WIDTH)] for x in fps])
     meet = np.zeros_like(differ, bool)
     for key in simhash.sampled_bits(len(set(fps))):
         meet |= (bits[:, None, key] == bits[None, :, key]).all(2)
