@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from skeinworks.session import reach_workers
+from skeinworks.session import reach_workers, stored
 
 #: Permitted sequence lengths, in tokens.
 CAPACITIES = (2048, 4096, 8192, 16384, 32768)
@@ -101,7 +101,8 @@ def pack(docs: DataFrame, length, key: str = "doc_id", capacities=CAPACITIES, co
     and fill, and its offset there."""
     reach_workers(docs.sparkSession)
     top = max(capacities)
-    rows = docs.select(F.col(key).cast("long").alias(key), (F.coalesce(length, F.lit(0)).cast("long") + 1).alias("__n"))
+    # Stored, so that a row that is read again by a retry has the same number.
+    rows = stored(docs.select(F.col(key).cast("long").alias(key), (F.coalesce(length, F.lit(0)).cast("long") + 1).alias("__n")), "packing")
     count = rows.agg(F.sum(F.ceil(F.col("__n") / top))).first()[0] or 0
     groups = max(1, math.ceil(count / group_pieces))
     tasks = min(groups, max(TASKS, groups // TASK_GROUPS))
