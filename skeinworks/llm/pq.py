@@ -20,6 +20,8 @@ of rows linked and one star link, and never its pairs.
 Defined results
 * vectors null, zero, of another length than most, or holding null or non-finite components
   link with nothing: n_links 0, a component of their own.
+* rows without an id link with nothing: n_links 0, component null, kept true; no other row
+  counts them.
 * repeated rows link with each other. Empty table: no rows. Extra columns are ignored.
 """
 
@@ -130,8 +132,8 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     spark = rows.sparkSession
     reach_workers(spark)
     dim = dimension(rows, vector)
-    slim = rows.select(F.col(key).cast("long").alias(key), F.when(usable(vector, dim), F.col(vector).cast("array<double>")).alias("__v"))
-    heads = stored(slim.where(F.col("__v").isNotNull() & F.col(key).isNotNull()).groupBy("__v").agg(F.min(key).alias("head"), F.count("*").alias("n")), "pq-heads")
+    slim = rows.select(F.col(key).cast("long").alias(key), F.when(usable(vector, dim) & F.col(key).isNotNull(), F.col(vector).cast("array<double>")).alias("__v"))
+    heads = stored(slim.where(F.col("__v").isNotNull()).groupBy("__v").agg(F.min(key).alias("head"), F.count("*").alias("n")), "pq-heads")
     seen = sample(heads, "head", "__v", SAMPLE) if dim else np.zeros((0, 0))
     alone = F.lit(0).cast("long")
     if not len(seen):
@@ -222,4 +224,4 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     classes = stored(heads.join(linked, "head", "left").join(of, F.col("head") == F.col("id"), "left").select("__v", (F.col("n") - 1 + F.coalesce("links", alone)).alias("n_links"), F.coalesce("component", "head").alias("component_id")), "pq-classes")
     out = slim.join(classes, "__v", "left")
     component = F.coalesce("component_id", key)
-    return out.select(key, F.coalesce("n_links", alone).alias("n_links"), component.alias("component_id"), (F.col(key) == component).alias("kept"))
+    return out.select(key, F.coalesce("n_links", alone).alias("n_links"), component.alias("component_id"), F.coalesce(F.col(key) == component, F.lit(True)).alias("kept"))
