@@ -289,7 +289,7 @@ def _statements(content: str, code: str, whole: bool) -> list[tuple]:
 #: Sections of events, in the order in which those of one place come.
 EVENTS = ("close", "open", "call")
 #: Suffixes whose files hold no markup: there `<T>` before a value is a type.
-_PLAIN = (".ts", ".mts", ".cts")
+PLAIN = (".ts", ".mts", ".cts")
 
 
 def scanned(sources: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
@@ -299,7 +299,7 @@ def scanned(sources: DataFrame, path: str = "path", content: str = "content") ->
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in STATEMENT.split(", ")]
         for pdf in batches:
-            rows = [(p, *r) for p, text in zip(pdf[path], pdf[content]) if text for r in read(text, not str(p).lower().endswith(_PLAIN))]
+            rows = [(p, *r) for p, text in zip(pdf[path], pdf[content]) if text for r in read(text, not str(p).lower().endswith(PLAIN))]
             yield pd.DataFrame(rows, columns=[path, *names])
 
     return sources.select(path, content).mapInPandas(run, f"{path} string, {STATEMENT}")
@@ -324,6 +324,10 @@ def with_lines(sources: DataFrame, parsed: DataFrame, path: str = "path", conten
     return parsed.join(by_lines, path, "left_anti").withColumn("engine", F.lit("scanner")).unionByName(shown)
 
 
+def header(section: str) -> str:
+    return f"// ── {section} " + "─" * max(0, 38 - len(section))
+
+
 def skeletons(sources: DataFrame, parsed: DataFrame, path: str = "path", content: str = "content", methods_of: str | None = None) -> DataFrame:
     """path, skeleton, methods, original_lines, skeleton_lines, reduction_pct (of lines),
     reduction_chars_pct. Sections meet in their order, each under its header."""
@@ -332,7 +336,7 @@ def skeletons(sources: DataFrame, parsed: DataFrame, path: str = "path", content
     blocks = []
     for s in SECTIONS:
         items = F.transform(s, lambda x: x["text"])
-        head = F.array() if s == "imports" else F.when(F.size(s) > 0, F.array(F.lit(""), F.lit(f"// ── {s} " + "─" * max(0, 38 - len(s))))).otherwise(F.array().cast("array<string>"))
+        head = F.array() if s == "imports" else F.when(F.size(s) > 0, F.array(F.lit(""), F.lit(header(s)))).otherwise(F.array().cast("array<string>"))
         blocks.append(F.concat(head.cast("array<string>"), items))
     text = F.regexp_replace(F.regexp_replace(F.array_join(F.concat(*blocks), "\n"), "\n{3,}", "\n\n"), r"^\s+|\s+$", "")
     calls = parsed.where(F.col("section") == "method")
@@ -449,9 +453,13 @@ def read_skeletons(wanted: DataFrame, sources: DataFrame, parsed: DataFrame, pat
     return wanted.select(path).join(found, path, "left").withColumn("error", missing).drop("__found")
 
 
+#: Kinds of statements that declare symbols.
+SYMBOLS = ("function", "class", "interface", "type", "enum", "variable")
+
+
 def symbols(parsed: DataFrame, path: str = "path") -> DataFrame:
     """node_id, name, kind, file, line, exported, pos: declared names, each once a file."""
-    named = parsed.where(F.col("name").isNotNull() & F.col("kind").isin("function", "class", "interface", "type", "enum", "variable"))
+    named = parsed.where(F.col("name").isNotNull() & F.col("kind").isin(*SYMBOLS))
     first = named.groupBy(path, "name").agg(F.min(F.struct("pos", "kind", "line_start", "exported")).alias("m"))
     return first.select(F.concat_ws("::", path, "name").alias("node_id"), "name", "m.kind", F.col(path).alias("file"), F.col("m.line_start").alias("line"), "m.exported", "m.pos")
 

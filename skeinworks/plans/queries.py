@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skeinworks.functions import text as tx
+from skeinworks.functions import tables, text as tx
 from skeinworks.operators import budget, index, lessons, listing, masking, parse, resolve, search, telemetry, traverse
 from skeinworks.session import shared_folder, stored, table
 from skeinworks.sources import files as source_files, transcripts
@@ -774,6 +774,22 @@ def code_names(spark, sf):
     return parse.symbols(parse.with_lines(sources, rows)).select("file", "name", "kind", "line", "exported")
 
 
+@register("""WITH p AS (SELECT p_partkey AS k, 'lib/f' || p_partkey % 25 || '/m' || p_partkey || '.ts' AS path FROM part)
+SELECT path, exported, count(*) AS names, min(line) AS first_line, string_agg(name, ',' ORDER BY line) AS declared, '' AS callee FROM (SELECT path, v.exported, CAST(v.line AS INTEGER) AS line, v.name || k AS name FROM p, (VALUES ('Kept', 4, false), ('run', 8, true), ('helper', 13, false)) v(name, line, exported)) GROUP BY 1, 2
+UNION ALL SELECT path, false, 1, CAST(v.line AS INTEGER), v.caller || k, v.callee || CASE WHEN v.callee = 'helper' THEN CAST(k AS VARCHAR) ELSE '' END FROM p, (VALUES ('run', 'next', 10), ('run', 'helper', 10), ('helper', 'shared.load', 14)) v(caller, callee, line)
+UNION ALL SELECT path, false, pos, 0, spec, 'import' FROM p, LATERAL (SELECT 0 AS pos, './m' || (k + 25) AS spec UNION ALL SELECT 1, '../shared') i""")
+def code_in_sql(spark, sf):
+    """Symbols, calls and imports of sources by table functions, in SQL alone."""
+    tables.register(spark)
+    return spark.sql(
+        """SELECT m.path, s.exported, count(*) AS names, min(s.line) AS first_line, array_join(transform(array_sort(collect_list(struct(s.line, s.name))), x -> x.name), ',') AS declared, '' AS callee
+        FROM {m} m, LATERAL code_symbols(m.path, m.content) s GROUP BY m.path, s.exported
+        UNION ALL SELECT m.path, false, 1, c.line, c.caller, c.callee_raw FROM {m} m, LATERAL code_calls(m.path, m.content) c
+        UNION ALL SELECT m.path, false, i.pos, 0, i.spec, 'import' FROM {m} m, LATERAL code_imports(m.path, m.content) i""",
+        m=modules(spark, sf),
+    )
+
+
 _SCRIPT = "string_split(html, chr(10))"
 
 
