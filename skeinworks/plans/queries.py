@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from skeinworks.functions import tables, text as tx
 from skeinworks.operators import budget, index, lessons, listing, masking, parse, resolve, search, telemetry, traverse
 from skeinworks.session import shared_folder, stored, table
-from skeinworks.sources import files as source_files, transcripts
+from skeinworks.sources import files as source_files, transcripts, trees
 from skeinworks.streaming import graph, keyed, live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -790,6 +790,18 @@ def code_in_sql(spark, sf):
     )
 
 
+@register("""SELECT 'lib/f7/m' || p_partkey || '.ts' AS file, v.name || p_partkey AS name, v.kind AS kind, CAST(v.line AS INTEGER) AS line FROM part, (VALUES ('Kept', 'interface', 4), ('run', 'function', 8), ('helper', 'function', 13)) v(name, kind, line) WHERE p_partkey % 25 = 7""")
+def tree_symbols(spark, sf):
+    """All modules written as files of a tree, and the symbols of one of its folders, to which
+    the listing of the data source is pruned."""
+    trees.register(spark)
+    path = f"{shared_folder(spark)}/tree-{uuid.uuid4().hex}"
+    files = modules(spark, sf).select("path", "content", F.lit(None).cast("long").alias("size"), F.lit(None).cast("timestamp").alias("modified"))
+    files.write.format(trees.NAME).option("path", path).mode("append").save()
+    folder = spark.read.format(trees.NAME).option("path", path).load().where("path LIKE 'lib/f7/%'")
+    return parse.symbols(parse.parse(folder)).select("file", "name", "kind", "line")
+
+
 _SCRIPT = "string_split(html, chr(10))"
 
 
