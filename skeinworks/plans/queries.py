@@ -16,6 +16,7 @@ from skeinworks.operators import budget, index, lessons, listing, masking, parse
 from skeinworks.session import shared_folder, stored, table
 from skeinworks.sources import files as source_files, transcripts, trees
 from skeinworks.streaming import graph, keyed, live
+from skeinworks.tools import normalised
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -262,6 +263,16 @@ def scope_seeds(spark, sf):
     return traverse.seed_files(["small ring", "NATION_7"], pages.select("path"), symbols, methods)
 
 
+@register("""WITH q(k, q) AS (VALUES (0, 'small ring'), (1, 'no such name'), (2, 'ed wid')), n AS (SELECT k, q, p_brand AS file, min(p_partkey) AS seq, arg_max(p_name, p_partkey) AS name FROM part, q WHERE k > 0 AND contains(lower(p_name), q) GROUP BY ALL),
+s AS (SELECT 0 AS k, p_brand AS file, p_partkey AS ord, 'symbol:small ring(' || p_type || ')' AS reason FROM part WHERE p_name = 'small ring'
+UNION ALL SELECT k, file, (k::BIGINT << 40) + seq, 'fuzzy:' || name FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq) AS r FROM n) WHERE r <= 5)
+SELECT file, min(ord) AS ord, arg_max(reason, ord) AS reason FROM s GROUP BY file""")
+def scope_seeds_per_query(spark, sf):
+    """Seeds by the older rule: a part of a name counts for each query that found nothing."""
+    symbols, methods, pages = _search_tables(spark, sf)
+    return traverse.seed_files(["small ring", "no such name", "ed wid"], pages.select("path"), symbols, methods, per_query=True)
+
+
 @register("""WITH RECURSIVE top AS (SELECT doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens, row_number() OVER (ORDER BY length(text) DESC, doc_id) - 1 AS ord FROM documents QUALIFY ord < 60),
 r AS (SELECT -1::BIGINT AS doc_id, 0::BIGINT AS tokens, -1::BIGINT AS ord, 0::BIGINT AS used, false AS taken
   UNION ALL SELECT t.doc_id, t.tokens, t.ord, r.used + CASE WHEN r.used + t.tokens <= 25000 THEN t.tokens ELSE 0 END, r.used + t.tokens <= 25000 FROM r JOIN top t ON t.ord = r.ord + 1)
@@ -555,6 +566,22 @@ def user_turns(spark, sf):
     return marked.groupBy("conv_id").agg(F.max("turn_id").alias("turns"))
 
 
+@register(_PER_TOOL)
+def report_files(spark, sf):
+    """The per-tool report, written as JSON and read back."""
+    report = telemetry.per_tool(tool_calls(table(spark, sf, "events")))
+    path = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
+    transcripts.write_report(report, path)
+    return spark.read.schema(report.schema).json(path)
+
+
+@register("SELECT p_partkey, CASE WHEN p_size > 25 THEN replace(p_name, ' ', '/') ELSE '/srv/repository/' || p_name END AS path FROM part")
+def relative_paths(spark, sf):
+    """Paths under a root as relative ones; those that only begin like it stay."""
+    under = F.when(F.col("p_size") > 25, F.concat(F.lit("/srv/repo/"), F.replace("p_name", F.lit(" "), F.lit("/")))).otherwise(F.concat(F.lit("/srv/repository/"), "p_name"))
+    return normalised(table(spark, sf, "part").select("p_partkey", under.alias("path")), "/srv/repo")
+
+
 @register(_PER_TOOL)
 def snapshot_stream(spark, sf):
     """The per-tool report as a stream over the events files, in complete mode."""
@@ -802,6 +829,47 @@ def tree_symbols(spark, sf):
     return parse.symbols(parse.parse(folder)).select("file", "name", "kind", "line")
 
 
+@register(f"""WITH p AS ({_TRICKY}), t AS (SELECT p_partkey AS k, p_name AS name FROM part)
+SELECT file, 'const said = "call(' || name || ') {{", {{ left' || k || ', right: [deep' || k || ', ...rest' || k || '] }} = split(said);' AS source, CAST(3 AS INTEGER) AS line_start, CAST(3 AS INTEGER) AS line_end FROM p JOIN t USING (k)""")
+def symbol_sources(spark, sf):
+    """The source of one symbol of every file: by the scanner, or by lines where a file does not
+    close."""
+    found = parse.symbol_source(tricky_modules(spark, sf), "said")
+    return found.where("error IS NULL").select(F.col("path").alias("file"), "source", "line_start", "line_end")
+
+
+def method_modules(spark: SparkSession, sf: str) -> DataFrame:
+    """path, content: objects of methods with deep bodies, and publications."""
+    part = table(spark, sf, "part")
+    k = F.col("p_partkey").cast("string")
+    content = F.concat(
+        F.lit("Meteor.methods({\n  async 'plan."), k, F.lit("'(a, b) {\n    if (a) { return { x: [{ y: { z: { q: { r: { s: () => ({ t: 1 }) } } } } }] }; }\n  },\n  sweep"), k, F.lit(": async function () { go({ deep: 1 }); },\n  rest"), k,
+        F.lit(": known,\n});\nMeteor.publish('list."), F.col("p_brand"), F.lit("', function () { return all(); });\n"),
+    )
+    return part.select(F.concat(F.lit("srv/m"), k, F.lit(".js")).alias("path"), content.alias("content"))
+
+
+@register("""WITH p AS (SELECT p_partkey AS k, 'srv/m' || p_partkey || '.js' AS file, p_brand AS brand FROM part), e(engine) AS (VALUES ('scanner'), ('pattern'))
+SELECT engine, file, unnest(['plan.' || k, 'sweep' || k, 'rest' || k, 'publish:list.' || brand]) AS name FROM p, e""")
+def method_names(spark, sf):
+    """Methods and publications of all files, by the scanner and by patterns."""
+    sources = method_modules(spark, sf)
+    both = parse.rpc_methods(parse.parse(sources)).withColumn("engine", F.lit("scanner")).unionByName(parse.rpc_methods_by_pattern(sources).withColumn("engine", F.lit("pattern")))
+    return both.select("engine", "file", "name")
+
+
+@register("""WITH p AS (SELECT p_partkey AS k, 'lib/f' || p_partkey % 25 || '/m' || p_partkey || '.ts' AS path FROM part), s(name, pos) AS (VALUES ('Kept', 0), ('run', 1), ('helper', 2))
+SELECT path AS file, 'symbol' AS kind, name || k AS name, CAST(pos AS INTEGER) AS pos FROM p, s UNION ALL SELECT a.path, 'import', b.path, 0 FROM p a JOIN p b ON b.k = a.k + 25""")
+def cached_index(spark, sf):
+    """The index of all modules, saved as a cache, loaded and taken apart again."""
+    sources = modules(spark, sf)
+    none = source_files.load_cache(spark, f"{shared_folder(spark)}/no-cache-{uuid.uuid4().hex}")
+    path = f"{shared_folder(spark)}/cache-{uuid.uuid4().hex}"
+    source_files.save_cache(index.content_index(sources, none).drop("reused"), path)
+    symbols, _, imports = source_files.restored(source_files.load_cache(spark, path))
+    return symbols.select("file", F.lit("symbol").alias("kind"), "name", "pos").unionByName(imports.select(F.col("src").alias("file"), F.lit("import").alias("kind"), F.col("dst").alias("name"), "pos"))
+
+
 _SCRIPT = "string_split(html, chr(10))"
 
 
