@@ -357,12 +357,14 @@ def skeletons(sources: DataFrame, parsed: DataFrame, path: str = "path", content
 
 # --- line by line -----------------------------------------------------------------------
 
-#: Strings of a line, which hide their braces, and the words that begin a line's declaration.
+#: Fixed values, as the rules by lines have them: strings of a line, which hide their braces;
+#: lines that begin a declaration or a registration; a declared name; a key of an object.
 _LINE_STRING = r"\"(?:\\.|[^\"\\])*\"?|'(?:\\.|[^'\\])*'?|`(?:\\.|[^`\\])*`?"
 _LINE_MODULE = r"^(?:(?:async\s+)?(function)\b|(?:abstract\s+)?(class)\s|(const|let|var)\s)"
 _LINE_CALL = r"^([\w$]+\.[\w$]+)\s*\(\s*"
 _LINE_NAMED = _LINE_CALL + r"['\"`]([^'\"`\s]+)['\"`]\s*,"
 _LINE_NAME = r"^(?:export\s+)?(?:default\s+)?(?:abstract\s+)?(?:async\s+)?(?:function\*?|class|interface|type|enum|const|let|var)\s+(?!extends\b|implements\b)([\w$]+)"
+_LINE_KEY = r"^\s+(async\s+)?([\w$]+)\s*[:(]"
 
 
 def _braces(line: Column) -> tuple[Column, Column]:
@@ -396,7 +398,7 @@ def parse_lines(sources: DataFrame, path: str = "path", content: str = "content"
     said, names = description_of("source"), parameters_of("source")
     listed = F.when(F.size(names) > 0, F.concat(F.lit("{ "), F.array_join(names, ", "), F.lit(" }"))).otherwise("")
     shape_a = F.concat(F.regexp_extract("t", _LINE_NAMED, 1), F.lit("('"), F.regexp_extract("t", _LINE_NAMED, 2), F.lit("',"), F.when(said != "", F.concat(F.lit(" /* "), said, F.lit(" */"))).otherwise(""), F.lit(" async ("), listed, F.lit(") => { ... }); "), number)
-    key = r"^\s+(async\s+)?([\w$]+)\s*[:(]"
+    key = _LINE_KEY
     keys = F.transform(F.filter("inner", lambda x: x.rlike(key) & ~F.regexp_extract(x, key, 2).isin(*_NOT_KEYS)), lambda x: F.struct(F.regexp_extract(x, key, 1).alias("a"), F.regexp_extract(x, key, 2).alias("k")))
     blocks = blocks.withColumn("keys", F.when(F.col("kind") == "object", keys).otherwise(F.array().cast("array<struct<a:string,k:string>>")))
     body = F.array_join(F.transform("keys", lambda x: F.concat(F.lit("  "), F.when(x["a"] != "", "async ").otherwise(""), x["k"], F.lit("(...) { ... },"))), "\n")

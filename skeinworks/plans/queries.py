@@ -453,6 +453,7 @@ def playbook_lines(spark, sf):
     return transcripts.playbook_lessons(books)
 
 
+# The SQL restates the six patterns of operators.lessons for the comparison.
 _TOLD = "'It was found in lib/' || replace(p_name, ' ', '_') || '.ts today. ' || 'Meteor.call(''' || p_brand || ''', 1). ' || '@' || replace(p_name, ' ', '/') || ' resolves to packages/' || p_size || chr(10) || 'Note: ' || p_type || ' parts of the kind ' || p_name || ' come first! no results for ''' || p_name || '''. ' || 'package ''' || replace(p_brand, '#', '-') || ''' contains ' || p_name || '. '"
 
 
@@ -873,6 +874,7 @@ def cached_index(spark, sf):
 _SCRIPT = "string_split(html, chr(10))"
 
 
+# The SQL restates the pattern of calls by lines and the words that are none.
 @register(f"""WITH l AS (SELECT page_id, unnest(range(1, len({_SCRIPT}) + 1)) AS line, unnest({_SCRIPT}) AS t FROM pages),
 m AS (SELECT page_id, line, regexp_extract_all(t, '([A-Za-z0-9_$]+(?:\\.[A-Za-z0-9_$]+)*)\\s*\\(', 1) AS c FROM l), x AS (SELECT page_id, line, unnest(range(0, len(c))) AS pos, unnest(c) AS callee FROM m)
 SELECT page_id, CAST(line AS INTEGER) AS line, CAST(pos AS INTEGER) AS pos, callee FROM x WHERE callee NOT IN ('function', 'if', 'for', 'while', 'switch', 'catch', 'class')""")
