@@ -27,8 +27,11 @@ _CONDITION = re.compile(r"(?<![\w$.])(?:if|while|for|with|for\s+await)\s*$")
 _OPENS_TAG = re.compile(rf"<(?:>|{NAME}(?:[.:-][\w$]+)*(?=[\s/>])(?!\s+extends\b))")
 
 
+_VISIBLE = re.compile(r"[^\n]")
+
+
 def _blank(text: str) -> str:
-    return re.sub(r"[^\n]", " ", text)
+    return _VISIBLE.sub(" ", text) if "\n" in text else " " * len(text)
 
 
 class _Frame:
@@ -47,9 +50,10 @@ def blanked(text: str, markup: bool = True) -> tuple[str, str, bool]:
     frames = [_Frame("code")]
 
     def put(plain: str, shown: str | None = None) -> None:
-        shown = plain if shown is None else shown
-        full.append(shown)
-        bare.append(shown if len(frames) == 1 else _blank(plain))
+        if plain:
+            shown = plain if shown is None else shown
+            full.append(shown)
+            bare.append(shown if len(frames) == 1 else _blank(plain))
 
     def leave() -> None:
         nonlocal before
@@ -75,7 +79,8 @@ def blanked(text: str, markup: bool = True) -> tuple[str, str, bool]:
                 frames.append(_Frame("template"))
                 continue
             if found == "(":
-                frame.conditions.append(bool(_CONDITION.search(before)))
+                # Only the last letters of the words that may stand here are worth a look.
+                frame.conditions.append(before.rstrip()[-1:] in tuple("frhet") and bool(_CONDITION.search(before)))
             elif found == ")":
                 mark = ";" if frame.conditions and frame.conditions.pop() else ")"
             elif found == "{":

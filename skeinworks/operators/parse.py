@@ -292,14 +292,16 @@ EVENTS = ("close", "open", "call")
 PLAIN = (".ts", ".mts", ".cts")
 
 
-def scanned(sources: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """path and the rows of `read`: statements and events. Null content: none."""
+def scanned(sources: DataFrame, path: str = "path", content: str = "content", events: bool = True) -> DataFrame:
+    """path and the rows of `read`: statements and, unless not asked for, events. Null content:
+    none."""
     reach_workers(sources.sparkSession)
+    rows_of = read if events else scan
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in STATEMENT.split(", ")]
         for pdf in batches:
-            rows = [(p, *r) for p, text in zip(pdf[path], pdf[content]) if text for r in read(text, not str(p).lower().endswith(PLAIN))]
+            rows = [(p, *r) for p, text in zip(pdf[path], pdf[content]) if text for r in rows_of(text, not str(p).lower().endswith(PLAIN))]
             yield pd.DataFrame(rows, columns=[path, *names])
 
     return sources.select(path, content).mapInPandas(run, f"{path} string, {STATEMENT}")
@@ -311,7 +313,7 @@ def is_event() -> Column:
 
 def parse(sources: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """path and STATEMENT's columns, one row for each labelled statement."""
-    return scanned(sources, path, content).where(~is_event())
+    return scanned(sources, path, content, events=False)
 
 
 def with_lines(sources: DataFrame, parsed: DataFrame, path: str = "path", content: str = "content") -> DataFrame:

@@ -75,25 +75,23 @@ def seed_files(queries: list[str], files: DataFrame, symbols: DataFrame, methods
     five files by part of a name only where nothing else was found (with per_query: for each
     query that found nothing). A later reason replaces an earlier one; the first place stays.
     files(path), symbols(name, kind, file, seq), methods(name, file, seq)."""
-    parts, tried = [], None
-    for k, q in enumerate(queries):
-        place = F.lit(k).cast("long") * (1 << 40)
-        if q.endswith((".ts", ".tsx", ".js", ".jsx")):
-            own = files.where(F.col("path") == q).select(F.col("path").alias("file"), place.alias("ord"), F.lit(f"direct:{q}").alias("reason"))
-        else:
-            exact = symbols.where(F.col("name") == q).select("file", (place + F.col("seq")).alias("ord"), F.concat(F.lit(f"symbol:{q}("), "kind", F.lit(")")).alias("reason"))
-            rpc = methods.where(F.col("name") == q).groupBy("name").agg(F.max_by("file", "seq").alias("file")).select("file", (place + (1 << 39)).alias("ord"), F.lit(f"rpc:{q}").alias("reason"))
-            own = exact.unionByName(rpc)
-            near = symbols.where(F.contains(F.lower("name"), F.lit(q.lower()))).groupBy("file").agg(F.min("seq").alias("seq"), F.max_by("name", "seq").alias("name")).orderBy("seq").limit(5)
-            fuzzy = near.select("file", (place + F.col("seq")).alias("ord"), F.concat(F.lit("fuzzy:"), "name").alias("reason"))
-            before = own if per_query or tried is None else own.unionByName(tried)
-            own = own.unionByName(fuzzy.crossJoin(before.agg(F.count("*").alias("__n")).where("__n = 0")).drop("__n"))  # one row or none
-        tried = own if tried is None else tried.unionByName(own)
-        parts.append(own)
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    return found.groupBy("file").agg(F.min("ord").alias("ord"), F.max_by("reason", "ord").alias("reason"))
+    is_path = [q.endswith((".ts", ".tsx", ".js", ".jsx")) for q in queries]
+    # The queries of one call are a literal, so each table is read once for all of them.
+    asked = lambda paths: F.array(*(F.struct(F.lit(k).cast("long").alias("k"), F.lit(q).alias("q")) for k, q in enumerate(queries) if is_path[k] == paths)).cast("array<struct<k:bigint,q:string>>")
+    met = lambda rows, paths, test: rows.select("*", F.explode(F.filter(asked(paths), test)).alias("x")).select(*rows.columns, "x.*")
+    place = F.col("k") * (1 << 40)
+    direct = met(files.select("path"), True, lambda x: x["q"] == F.col("path")).select("k", F.col("path").alias("file"), place.alias("ord"), F.concat(F.lit("direct:"), "q").alias("reason"))
+    hits = met(symbols.select("name", "kind", "file", "seq"), False, lambda x: F.contains(F.lower("name"), F.lower(x["q"])))
+    exact = hits.where("name = q").select("k", "file", (place + F.col("seq")).alias("ord"), F.concat(F.lit("symbol:"), "q", F.lit("("), "kind", F.lit(")")).alias("reason"))
+    rpc = met(methods.select("name", "file", "seq"), False, lambda x: x["q"] == F.col("name")).groupBy("k", "q").agg(F.max_by("file", "seq").alias("file")).select("k", "file", (place + (1 << 39)).alias("ord"), F.concat(F.lit("rpc:"), "q").alias("reason"))
+    own = direct.unionByName(exact).unionByName(rpc)
+    near = hits.groupBy("k", "file").agg(F.min("seq").alias("seq"), F.max_by("name", "seq").alias("name"))
+    near = near.withColumn("__r", F.row_number().over(Window.partitionBy("k").orderBy("seq"))).where("__r <= 5")
+    fuzzy = near.join(own.select("k").distinct(), "k", "left_anti").select("k", "file", (place + F.col("seq")).alias("ord"), F.concat(F.lit("fuzzy:"), "name").alias("reason"))
+    if not per_query:
+        first = own.select("k").unionByName(fuzzy.select("k")).agg(F.min("k").alias("__first"))
+        fuzzy = fuzzy.crossJoin(first).where("k = __first").drop("__first")  # first is one row
+    return own.unionByName(fuzzy).groupBy("file").agg(F.min("ord").alias("ord"), F.max_by("reason", "ord").alias("reason"))
 
 
 def scope(edges: DataFrame, seeds: DataFrame, max_depth: int = 2, max_files: int = 40) -> DataFrame:
