@@ -303,7 +303,7 @@ def test_wide_fingerprints():
 @pytest.mark.parametrize("tile", [4096, 40])
 def test_similar_texts(spark, tile, monkeypatch):
     """Edited copies that share 0.8 to 1 of their 5-word shingles meet; other texts do not."""
-    monkeypatch.setattr(simhash.wide_links, "__defaults__", (simhash.NEAR_RADIUS, tile, simhash.NEAR_WIDTH))
+    monkeypatch.setattr(simhash.wide_links, "__defaults__", (simhash.NEAR_RADIUS, tile))
     rnd = random.Random(11)
     words = [f"w{k}" for k in range(4000)]
     sets = lambda t: {tuple(t[k : k + 5]) for k in range(len(t) - 4)}

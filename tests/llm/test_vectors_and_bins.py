@@ -292,10 +292,9 @@ def test_pipeline(spark, odd, labels, tmp_path):
     known = known.sort_values("doc_id")
     fps = [int.from_bytes(simhash.wide_fingerprint(t).tobytes(), "little") for t in known.text]  # test_wide_fingerprints has the slow form
     differ = np.array([[(x ^ y).bit_count() for y in fps] for x in fps])
-    bits = np.array([[x >> b & 1 for b in range(64 * simhash.NEAR_WIDTH)] for x in fps])
-    meet = np.zeros_like(differ, bool)
-    for key in simhash.sampled_bits(len(set(fps))):
-        meet |= (bits[:, None, key] == bits[None, :, key]).all(2)
+    keys = [simhash.wide_fingerprint_and_keys(t)[1] for t in known.text]
+    keys = np.array([k if len(k) else np.full(simhash.NEAR_KEYS, -1 - n) for n, k in enumerate(keys)])
+    meet = (keys[:, None] == keys[None]).any(2) | (differ == 0)
     root = local_stars(len(fps), *np.nonzero(meet & (differ <= simhash.NEAR_RADIUS)))
     one = known[root == np.arange(len(known))]
     stage = spark.createDataFrame(known[docs.columns])
