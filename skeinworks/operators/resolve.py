@@ -12,10 +12,12 @@ CANDIDATES = ("", ".ts", ".tsx", ".js", "/index.ts", "/index.js")
 
 def first_candidate(wanted: DataFrame, base: str, known: DataFrame, path: str, suffixes=CANDIDATES, keys: list[str] | None = None) -> DataFrame:
     """keys and `resolved`: for each wanted row the known path of the first suffix. An
-    equi-join on the spelled-out candidates, then the least rank."""
+    equi-join on the spelled-out candidates, then the least rank. Both sides grow with the
+    files, and Spark guesses paths that are made from short columns far too small, so the join
+    sorts: broadcast, they would meet in the driver."""
     keys = keys or wanted.columns
     spelled = wanted.select(*keys, F.posexplode(F.array(*(F.concat(F.col(base), F.lit(s)) for s in suffixes))).alias("__rank", "__path"))
-    return spelled.join(known.select(F.col(path).alias("__path")).distinct(), "__path").groupBy(*keys).agg(F.min_by("__path", "__rank").alias("resolved"))
+    return spelled.join(known.select(F.col(path).alias("__path")).distinct().hint("merge"), "__path").groupBy(*keys).agg(F.min_by("__path", "__rank").alias("resolved"))
 
 
 def _relative(specs: DataFrame) -> DataFrame:

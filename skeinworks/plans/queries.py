@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skeinworks.functions import tables, text as tx
 from skeinworks.operators import budget, index, lessons, listing, masking, parse, resolve, search, telemetry, traverse
-from skeinworks.session import shared_folder, stored, table
+from skeinworks.session import shared_folder, spread, stored, table
 from skeinworks.sources import files as source_files, transcripts, trees
 from skeinworks.streaming import graph, keyed, live
 from skeinworks.tools import normalised
@@ -634,7 +634,7 @@ def last_writer_stream(spark, sf):
 def modules(spark: SparkSession, sf: str) -> DataFrame:
     """path, content, seq: a TypeScript module for every part. It imports the module of the
     part 25 further on in its folder, if there is one, and calls its function."""
-    part = table(spark, sf, "part").select("p_partkey", "p_name")
+    part = spread(table(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey")
     k, name = F.col("p_partkey").cast("string"), F.col("p_name")
     other = (F.col("p_partkey") + 25).cast("string")
     content = F.concat(

@@ -45,6 +45,14 @@ def reach_workers(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *parts])
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt to several tasks a core by keys, whatever files they came from. For work that
+    costs far more than reading: a small file is one task, however much is made of its rows."""
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return rows.repartition(tasks, *keys)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir. Where a local session names
     none (tests on one machine), a fresh local folder is set; a cluster has to name one."""
