@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skeinworks.functions.text import half_up, language_of, line_count, lines
 from skeinworks.operators import lexer
-from skeinworks.session import reach_workers
+from skeinworks.session import reach_workers, spread, stored
 
 #: Sections of a skeleton, in order; imports have no header.
 SECTIONS = ("imports", "Types", "Exports", "Registrations", "Module-level")
@@ -294,7 +294,7 @@ PLAIN = (".ts", ".mts", ".cts")
 
 def scanned(sources: DataFrame, path: str = "path", content: str = "content", events: bool = True) -> DataFrame:
     """path and the rows of `read`: statements and, unless not asked for, events. Null content:
-    none."""
+    none. The sources are spread over tasks, as reading one costs far more than moving it."""
     reach_workers(sources.sparkSession)
     rows_of = read if events else scan
 
@@ -304,7 +304,13 @@ def scanned(sources: DataFrame, path: str = "path", content: str = "content", ev
             rows = [(p, *r) for p, text in zip(pdf[path], pdf[content]) if text for r in rows_of(text, not str(p).lower().endswith(PLAIN))]
             yield pd.DataFrame(rows, columns=[path, *names])
 
-    return sources.select(path, content).mapInPandas(run, f"{path} string, {STATEMENT}")
+    return spread(sources.select(path, content), path).mapInPandas(run, f"{path} string, {STATEMENT}")
+
+
+def _own(path: str) -> Column:
+    """path as a value of its own. Spark 4.1 zips the sides of a union that are dealt alike by
+    a column, and fails where it has coalesced one side's partitions otherwise."""
+    return F.concat(path, F.lit("")).alias(path)
 
 
 def is_event() -> Column:
@@ -318,9 +324,10 @@ def parse(sources: DataFrame, path: str = "path", content: str = "content") -> D
 
 def with_lines(sources: DataFrame, parsed: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """parsed with `engine`: files that the scanner could not close, and those of other
-    languages, have the statements that lines show (and their `unclosed` row), no others."""
+    languages, have the statements that lines show (and their `unclosed` row), no others.
+    parsed is read three times: it should be stored."""
     marks = parsed.where("section = 'unclosed'")
-    by_lines = sources.select(path).where(language_of(path).isNull()).unionByName(marks.select(path)).distinct()
+    by_lines = sources.select(path).where(language_of(path).isNull()).unionByName(marks.select(path)).distinct().hint("merge")
     rest = sources.join(by_lines, path, "left_semi")
     shown = parse_lines(rest, path, content).unionByName(marks).withColumn("engine", F.lit("lines"))
     return parsed.join(by_lines, path, "left_anti").withColumn("engine", F.lit("scanner")).unionByName(shown)
@@ -333,21 +340,23 @@ def header(section: str) -> str:
 def skeletons(sources: DataFrame, parsed: DataFrame, path: str = "path", content: str = "content", methods_of: str | None = None) -> DataFrame:
     """path, skeleton, methods, original_lines, skeleton_lines, reduction_pct (of lines),
     reduction_chars_pct. Sections meet in their order, each under its header."""
-    shown = parsed.where(F.col("section").isin(*SECTIONS))
-    listed = shown.groupBy(path).agg(*(F.array_sort(F.collect_list(F.when(F.col("section") == s, F.struct("pos", "text")))).alias(s) for s in SECTIONS))
+    method = F.col("section") == "method"
+    if methods_of:
+        method &= F.col("kind") == methods_of
+    # One pass over parsed gives both.
+    listed = parsed.where(F.col("section").isin(*SECTIONS) | method).groupBy(path).agg(
+        *(F.array_sort(F.collect_list(F.when(F.col("section") == s, F.struct("pos", "text")))).alias(s) for s in SECTIONS),
+        F.transform(F.array_sort(F.collect_list(F.when(method, F.struct("pos", "name")))), lambda x: x["name"]).alias("methods"),
+    )
     blocks = []
     for s in SECTIONS:
         items = F.transform(s, lambda x: x["text"])
         head = F.array() if s == "imports" else F.when(F.size(s) > 0, F.array(F.lit(""), F.lit(header(s)))).otherwise(F.array().cast("array<string>"))
         blocks.append(F.concat(head.cast("array<string>"), items))
     text = F.regexp_replace(F.regexp_replace(F.array_join(F.concat(*blocks), "\n"), "\n{3,}", "\n\n"), r"^\s+|\s+$", "")
-    calls = parsed.where(F.col("section") == "method")
-    if methods_of:
-        calls = calls.where(F.col("kind") == methods_of)
-    named = calls.groupBy(path).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]).alias("methods"))
     # Of the sources only sizes meet the rows; their texts stay where they are.
     sizes = sources.select(path, line_count(content).alias("original_lines"), F.length(content).alias("__chars"))
-    out = sizes.join(listed.select(path, text.alias("skeleton")), path, "left").join(named, path, "left")
+    out = sizes.join(listed.select(path, text.alias("skeleton"), "methods").hint("merge"), path, "left")
     kept = F.size(F.filter(lines("skeleton"), lambda x: x != ""))
     return out.select(
         path, F.coalesce("skeleton", F.lit("")).alias("skeleton"), F.coalesce("methods", F.array().cast("array<string>")).alias("methods"),
@@ -449,7 +458,7 @@ def read_skeletons(wanted: DataFrame, sources: DataFrame, parsed: DataFrame, pat
     kinds = sources.select(path).join(unclosed, path, "left").select(path, F.when(language_of(path).isNotNull() & F.col("__open").isNull(), "scanner").otherwise("lines").alias("engine"))
     here = sources.join(wanted.select(path).distinct(), path, "left_semi")
     by_lines = here.join(kinds.where("engine = 'lines'").select(path), path, "left_semi")
-    plain = skeletons(by_lines, parse_lines(by_lines, path, content), path, content).withColumns({"methods": F.array().cast("array<string>"), "reduction_pct": F.col("reduction_chars_pct"), "engine": F.lit("lines")})
+    plain = skeletons(by_lines, parse_lines(by_lines, path, content), path, content).withColumns({path: _own(path), "methods": F.array().cast("array<string>"), "reduction_pct": F.col("reduction_chars_pct"), "engine": F.lit("lines")})
     scanned = here.join(kinds.where("engine = 'scanner'").select(path), path, "left_semi")
     both = skeletons(scanned, parsed, path, content).withColumn("engine", F.lit("scanner")).unionByName(plain)
     found = both.withColumn("__found", F.lit(True))
@@ -501,15 +510,18 @@ def calls_of_lines(texts: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key, (F.col("line") + 1).alias("line"), F.posexplode(F.regexp_extract_all("__l", F.lit(r"([A-Za-z0-9_$]+(?:\.[A-Za-z0-9_$]+)*)\s*\("), F.lit(1))).alias("pos", "callee")).where(~F.col("callee").isin(*NOT_CALLED))
 
 
-def callers(events: DataFrame, path: str = "path") -> DataFrame:
+def callers(events: DataFrame, path: str = "path", closed: bool = False) -> DataFrame:
     """file, caller, nested_caller, callee_raw, line, pos of the calls among the events of
     `scanned`: the top-level and the innermost declaration around each, <module> without one.
     Declarations nest, so a running count of those that are open is a call's depth, and the
     last that opened at that depth is the innermost around it: two windows over a file's
-    events, which are shuffled once."""
+    events, which are shuffled once. With closed, files with an `unclosed` row have no calls."""
     order = [F.col("pos"), F.array_position(F.array(*map(F.lit, EVENTS)), F.col("section"))]
     swept = Window.partitionBy("file").orderBy(*order)
-    rows = events.where(is_event()).select(F.col(path).alias("file"), "section", "name", F.col("line_start").alias("line"), "pos")
+    mark = F.col("section") == "unclosed"
+    rows = events.where(is_event() | mark if closed else is_event()).select(F.col(path).alias("file"), "section", "name", F.col("line_start").alias("line"), "pos")
+    if closed:
+        rows = rows.withColumn("__open", F.max(mark).over(Window.partitionBy("file"))).where("NOT __open").drop("__open")
     step = F.when(F.col("section") == "open", 1).when(F.col("section") == "close", -1).otherwise(0)
     rows = rows.withColumn("depth", F.sum(step).over(swept))
     opened = F.when(F.col("section") == "open", F.col("name"))
@@ -529,10 +541,10 @@ def call_sites(sources: DataFrame, events: DataFrame, path: str = "path", conten
     is the top-level declaration around the call, or with nested the innermost one (a variable,
     where the call makes its value), else <module>. Files without a scanner's rows are read by
     lines, and all their calls are the module's."""
-    by_lines = sources.select(path).where(language_of(path).isNull()).unionByName(events.where("section = 'unclosed'").select(path)).distinct()
-    found = callers(events.join(by_lines, path, "left_anti"), path)
+    by_lines = sources.select(path).where(language_of(path).isNull()).unionByName(events.where("section = 'unclosed'").select(path)).distinct().hint("merge")
+    found = callers(events.where(language_of(path).isNotNull()), path, closed=True)
     shown = calls_of_lines(sources.join(by_lines, path, "left_semi"), path, content)
-    rest = shown.select(F.col(path).alias("file"), F.lit("<module>").alias("caller"), F.col("callee").alias("callee_raw"), "line")
+    rest = shown.select(_own(path).alias("file"), F.lit("<module>").alias("caller"), F.col("callee").alias("callee_raw"), "line")
     sites = found.select("file", F.col("nested_caller" if nested else "caller").alias("caller"), "callee_raw", "line")
     return sites.unionByName(rest).where(F.length("callee_raw") < LONGEST_CALLEE)
 
@@ -630,9 +642,9 @@ def symbol_source(sources: DataFrame, name: str, path: str = "path", content: st
     """path, source, line_start, line_end, error: a top-level declaration of the name, else a
     registration of it, else the member of a registered object, else what lines show; else
     an error."""
-    parsed = with_lines(sources, parse(sources, path, content), path, content) if parsed is None else parsed
+    parsed = with_lines(sources, stored(parse(sources, path, content), "parsed"), path, content) if parsed is None else parsed
     rank = F.when(F.col("section").isin("Types", "Exports", "Module-level", "declared"), 1).when(F.col("section").isin("Registrations", "registered"), 2).otherwise(3)
     best = parsed.where((F.col("name") == name) & ~is_event()).groupBy(path).agg(F.min(F.struct(rank.alias("r"), "pos", "source", "line_start", "line_end")).alias("m"))
-    rest = symbol_source_by_lines(sources.join(best.select(path), path, "left_anti"), name, path, content)
-    found = best.select(path, "m.source", "m.line_start", "m.line_end").unionByName(rest)
-    return sources.select(path).join(found, path, "left").withColumn("error", F.when(F.col("source").isNull(), F.lit(f"Symbol '{name}' not found")))
+    best = stored(best.select(path, "m.source", "m.line_start", "m.line_end"), "best")
+    rest = symbol_source_by_lines(sources.join(best.select(path).hint("merge"), path, "left_anti"), name, path, content)
+    return sources.select(path).join(best.unionByName(rest).hint("merge"), path, "left").withColumn("error", F.when(F.col("source").isNull(), F.lit(f"Symbol '{name}' not found")))

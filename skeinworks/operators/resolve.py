@@ -57,12 +57,12 @@ def call_edges(calls: DataFrame, import_names: DataFrame, symbols: DataFrame, pa
     if parsed is not None:
         sites = sites.join(parsed.select(F.col("path").alias("file")), "file", "left_semi")
     named = import_names.select("file", F.col("local_name").alias("head"), "orig_name", "target")
-    joined = sites.join(named, ["file", "head"], "left")
+    joined = sites.join(named.hint("merge"), ["file", "head"], "left")  # as in first_candidate
     last = F.when(F.instr("callee_raw", ".") > 0, F.substring_index("callee_raw", ".", -1)).otherwise(F.coalesce("orig_name", "head"))
     across = joined.where("target IS NOT NULL").select("from_id", F.concat_ws("::", "target", last).alias("to_id"), F.col("target").alias("path"))
     if parsed is not None:
         across = across.join(parsed.select("path"), "path", "left_semi")
-    here = joined.where("target IS NULL").select("from_id", F.concat_ws("::", "file", "head").alias("to_id")).join(symbols.select(F.col("node_id").alias("to_id")).distinct(), "to_id", "left_semi").select("from_id", "to_id")
+    here = joined.where("target IS NULL").select("from_id", F.concat_ws("::", "file", "head").alias("to_id")).join(symbols.select(F.col("node_id").alias("to_id")).distinct().hint("merge"), "to_id", "left_semi").select("from_id", "to_id")
     return with_ends(across.select("from_id", "to_id").unionByName(here).distinct(), symbols)
 
 
@@ -71,7 +71,7 @@ def with_ends(edges: DataFrame, nodes: DataFrame, node: str = "node_id") -> Data
     ids = nodes.select(F.col(node).alias("__n")).distinct()
     for end in ("from", "to"):
         mark = ids.select(F.col("__n").alias(f"{end}_id"), F.lit(True).alias(f"{end}_exists"))
-        edges = edges.join(mark, f"{end}_id", "left").withColumn(f"{end}_exists", F.coalesce(f"{end}_exists", F.lit(False)))
+        edges = edges.join(mark.hint("merge"), f"{end}_id", "left").withColumn(f"{end}_exists", F.coalesce(f"{end}_exists", F.lit(False)))
     return edges
 
 

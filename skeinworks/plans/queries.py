@@ -661,7 +661,7 @@ def _call_edges(spark, sf):
     sources = modules(spark, sf)
     parsed = stored(parse.scanned(sources), "parsed")
     specs = resolve.imports(parse.import_specs(sources), sources.select("path"))
-    names = parse.import_names(sources).join(specs.select(F.col("src").alias("file"), "spec", F.col("dst").alias("target")), ["file", "spec"])
+    names = parse.import_names(sources).join(specs.select(F.col("src").alias("file"), "spec", F.col("dst").alias("target")).hint("merge"), ["file", "spec"])
     return resolve.call_edges(parse.call_sites(sources, parsed), names, parse.symbols(parsed))
 
 
@@ -710,7 +710,7 @@ def grouped_numbers(spark, sf):
 def loose_modules(spark: SparkSession, sf: str) -> DataFrame:
     """path, content: sources with a class, a registration and a regular expression whose quote
     and brace would hide what follows."""
-    part = table(spark, sf, "part")
+    part = spread(table(spark, sf, "part"), "p_partkey")
     k, name = F.col("p_partkey").cast("string"), F.col("p_name")
     content = F.concat(
         F.lit("const mark = /[\"{]/, size"), k, F.lit(" = 1;\nexport class Depot"), k, F.lit(" extends Base {\n  private rows: string[] = [];\n  async load(at: number): Promise<void> {\n    this.rows.push(`${at} ${ `{` }`);\n  }\n}\njobs.plan('"), name,
@@ -768,7 +768,7 @@ def tricky_modules(spark: SparkSession, sf: str) -> DataFrame:
     and regular expressions, code in templates and markup, text of markup with quotes, nested
     declarations, calls over several lines, patterns, a class without a name; every fifth file
     ends inside of a template."""
-    part = table(spark, sf, "part")
+    part = spread(table(spark, sf, "part"), "p_partkey")
     k, name = F.col("p_partkey").cast("string"), F.col("p_name")
     content = F.concat(
         F.lit("// see helper(1) in '"), name, F.lit("'\nimport { load } from './load';\nconst said = \"call("), name, F.lit(") {\", { left"), k, F.lit(", right: [deep"), k, F.lit(", ...rest"), k, F.lit("] } = split(said);\nif (said) /[\"{(]/.test(said);\n"),
@@ -788,8 +788,7 @@ SELECT file, CASE caller WHEN 'View' THEN 'View' || k ELSE caller END AS caller,
 def code_calls(spark, sf):
     """Calls with their top-level and innermost callers, out of sources that imitate them."""
     rows = parse.scanned(tricky_modules(spark, sf))
-    closed = rows.join(rows.where("section = 'unclosed'").select("path"), "path", "left_anti")
-    return parse.callers(closed).select("file", "caller", "nested_caller", "callee_raw", "line")
+    return parse.callers(rows, closed=True).select("file", "caller", "nested_caller", "callee_raw", "line")
 
 
 @register(f"""WITH p AS ({_TRICKY}), v(name, kind, line, exported, by_lines) AS (VALUES ('said', 'variable', 3, false, true), ('left', 'variable', 3, false, false), ('deep', 'variable', 3, false, false), ('rest', 'variable', 3, false, false), ('View', 'function', 5, true, true), ('Port', 'interface', 18, false, false), ('late', 'function', 20, true, true))
@@ -798,7 +797,7 @@ def code_names(spark, sf):
     """Declared names, those of patterns too; files that no scanner can close have those that
     their lines show."""
     sources = tricky_modules(spark, sf)
-    rows = stored(parse.scanned(sources), "scanned")
+    rows = stored(parse.parse(sources), "scanned")
     return parse.symbols(parse.with_lines(sources, rows)).select("file", "name", "kind", "line", "exported")
 
 
@@ -841,7 +840,7 @@ def symbol_sources(spark, sf):
 
 def method_modules(spark: SparkSession, sf: str) -> DataFrame:
     """path, content: objects of methods with deep bodies, and publications."""
-    part = table(spark, sf, "part")
+    part = spread(table(spark, sf, "part"), "p_partkey")
     k = F.col("p_partkey").cast("string")
     content = F.concat(
         F.lit("Meteor.methods({\n  async 'plan."), k, F.lit("'(a, b) {\n    if (a) { return { x: [{ y: { z: { q: { r: { s: () => ({ t: 1 }) } } } } }] }; }\n  },\n  sweep"), k, F.lit(": async function () { go({ deep: 1 }); },\n  rest"), k,

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from skeinworks.operators import resolve
+from skeinworks.operators import parse, resolve
 from skeinworks.plans import queries as plans
 from tests.conftest import SMALL
 
@@ -17,3 +17,27 @@ def test_imports_never_meet_in_the_driver(spark):
     found = resolve.imports(specs, files)
     assert "Broadcast" not in plan(found) and found.count() == 50
     assert "Broadcast" not in plan(plans.QUERIES["code_imports"](spark, SMALL))
+
+
+def test_sources_of_one_file_are_read_by_many_tasks(spark):
+    sources = spark.range(400).coalesce(1).select(F.concat(F.col("id").cast("string"), F.lit(".ts")).alias("path"), F.lit("const a = 1;").alias("content"))
+    tasks = parse.parse(sources).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(tasks) >= spark.sparkContext.defaultParallelism and sum(t["count"] for t in tasks) == 400
+
+
+def scans(df):
+    return plan(df).count("MapInPandas")
+
+
+def test_each_source_is_scanned_once(spark):
+    assert scans(plans.QUERIES["code_calls"](spark, SMALL)) == 1
+    assert scans(plans.QUERIES["code_skeletons"](spark, SMALL)) == 1
+    assert scans(plans.QUERIES["code_names"](spark, SMALL)) == 0  # stored
+    assert scans(plans.QUERIES["symbol_sources"](spark, SMALL)) == 0
+
+
+def test_callers_of_closed_files(spark):
+    sources = spark.createDataFrame([("a.js", "function f() { g(1); }\n"), ("b.js", "h(1);\nconst s = `open")], "path string, content string")
+    rows = parse.scanned(sources)
+    assert [(r.file, r.caller, r.callee_raw) for r in parse.callers(rows, closed=True).collect()] == [("a.js", "f", "g")]
+    assert sorted(r.file for r in parse.callers(rows).collect()) == ["a.js", "b.js"]
