@@ -586,8 +586,7 @@ def relative_paths(spark, sf):
 @register(_PER_TOOL)
 def snapshot_stream(spark, sf):
     """The per-tool report as a stream over the events files, in complete mode."""
-    schema = table(spark, sf, "events").schema
-    events = live.file_stream(spark, sf, schema, pattern="events.parquet")
+    events = live.table_stream(spark, sf, "events")
     return live.run_snapshot(spark, tool_calls(events), "snapshot-stream")
 
 
@@ -602,7 +601,7 @@ def _ran(rows: DataFrame, label: str) -> DataFrame:
 def mask_stream(spark, sf):
     """Masking of old turns as messages arrive: a turn is masked when a later one begins, the
     last one is whole once its conversation has been idle."""
-    said = live.file_stream(spark, sf, table(spark, sf, "conversations").schema, pattern="conversations.parquet")
+    said = live.table_stream(spark, sf, "conversations")
     said = said.withColumn("at", F.timestamp_seconds(F.col("turn") * 60 + 10**8))
     # One message long after all others moves the watermark past them.
     ticks = f"{shared_folder(spark)}/ticks-{uuid.uuid4().hex}"
@@ -615,7 +614,7 @@ def mask_stream(spark, sf):
 
 @register("SELECT min(doc_id) AS doc_id FROM documents GROUP BY lower(left(text, 60))")
 def first_seen_stream(spark, sf):
-    docs = live.file_stream(spark, sf, table(spark, sf, "documents").schema, pattern="documents.parquet").select("doc_id", "text")
+    docs = live.table_stream(spark, sf, "documents").select("doc_id", "text")
     timed = docs.withColumn("at", F.timestamp_seconds(F.lit(10**8)))
     return _ran(keyed.first_seen(timed, F.lower(F.left("text", F.lit(60))), "doc_id", "at"), "first-seen").select("doc_id")
 
@@ -623,7 +622,7 @@ def first_seen_stream(spark, sf):
 @register("SELECT event_type, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY 1")
 def last_writer_stream(spark, sf):
     """The last value of every type, out of a stream of changes."""
-    events = live.file_stream(spark, sf, table(spark, sf, "events").schema, pattern="events.parquet").select("event_type", "value", "event_id", F.col("ts").cast("timestamp").alias("at"))
+    events = live.table_stream(spark, sf, "events").select("event_type", "value", "event_id", F.col("ts").cast("timestamp").alias("at"))
     changes = _ran(keyed.last_writer(events, F.col("event_type"), "event_id", "at"), "last-writer")
     return resolve.last_writer(changes, "event_type", "value", "event_id")
 

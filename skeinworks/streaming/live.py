@@ -9,19 +9,30 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from skeinworks.operators.telemetry import per_tool
-from skeinworks.session import listed, shared_folder
+from skeinworks.session import listed, shared_folder, table
 from skeinworks.sources.files import split_by_cache
 
 #: Seconds between two snapshots of a live report.
 SNAPSHOT_SECONDS = 30
 
 
-def file_stream(spark: SparkSession, folder: str, schema: StructType, files_per_trigger: int = 100, pattern: str | None = None) -> DataFrame:
-    """Parquet files of a folder as they arrive."""
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+def file_stream(spark: SparkSession, folder: str, schema: StructType, files_per_trigger: int | None = 100, pattern: str | None = None) -> DataFrame:
+    """Parquet files of a folder as they arrive; with no files_per_trigger, all that are there
+    are one batch."""
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return (reader.option("pathGlobFilter", pattern) if pattern else reader).parquet(folder)
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a data folder, one file or a folder of them, as a stream whose first batch
+    is all of it: order between its files means nothing."""
+    schema = table(spark, sf_dir, name).schema
+    path = f"{sf_dir}/{name}.parquet"
+    return file_stream(spark, path, schema, None) if listed(spark, path) != [f"{name}.parquet"] else file_stream(spark, sf_dir, schema, None, f"{name}.parquet")
+
+
 def snapshots(calls: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False) -> StreamingQuery:
     """A cumulative per-tool report, handed to `write` every SNAPSHOT_SECONDS, or once for all
     that is there. State holds one row a tool."""

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from skeinworks.operators import parse, resolve
 from skeinworks.plans import queries as plans
+from skeinworks.session import table
 from tests.conftest import SMALL
 
 
@@ -41,3 +42,12 @@ def test_callers_of_closed_files(spark):
     rows = parse.scanned(sources)
     assert [(r.file, r.caller, r.callee_raw) for r in parse.callers(rows, closed=True).collect()] == [("a.js", "f", "g")]
     assert sorted(r.file for r in parse.callers(rows).collect()) == ["a.js", "b.js"]
+
+
+def test_streams_over_tables_of_several_files(spark, tmp_path):
+    for name, order in (("conversations", "turn"), ("documents", "doc_id")):
+        # The rows that come first by their order stand in the last file.
+        table(spark, SMALL, name).repartitionByRange(3, F.desc(order)).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for name in ("mask_stream", "first_seen_stream"):
+        got, want = (sorted(map(tuple, plans.QUERIES[name](spark, sf).collect())) for sf in (str(tmp_path), SMALL))
+        assert got == want and got
