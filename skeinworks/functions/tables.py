@@ -16,12 +16,19 @@ from pyspark.sql.functions import udtf
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
-from skeinworks.operators import parse
+from skeinworks.operators import lexer, parse
 from skeinworks.session import reach_workers
 
 
 def _rows(path: str | None, content: str | None) -> list[tuple]:
-    return parse.read(content, not str(path).lower().endswith(parse.PLAIN)) if content else []
+    """The statements of a file."""
+    return parse.scan(content, not str(path).lower().endswith(parse.PLAIN)) if content else []
+
+
+def _events(path: str | None, content: str | None) -> list[tuple]:
+    """what, name, place and line of a file's declarations and calls."""
+    markup = not str(path).lower().endswith(parse.PLAIN)
+    return list(lexer.events(content, lexer.blanked(content, markup)[1])) if content else []
 
 
 def _checked(path: AnalyzeArgument, content: AnalyzeArgument, schema: str) -> AnalyzeResult:
@@ -50,7 +57,7 @@ class CodeStatements:
 
     def eval(self, path: str, content: str, sections: list[str] | None = None) -> Iterator[tuple]:
         for r in _rows(path, content):
-            if r[0] not in parse.EVENTS and (sections is None or r[0] in sections):
+            if sections is None or r[0] in sections:
                 yield r
 
 
@@ -77,7 +84,7 @@ class CodeCalls:
         return _checked(path, content, "caller string, nested_caller string, callee_raw string, line int")
 
     def eval(self, path: str, content: str) -> Iterator[tuple]:
-        events = [(r[8], parse.EVENTS.index(r[0]), r[2], r[6]) for r in _rows(path, content) if r[0] in parse.EVENTS]
+        events = [(at, parse.EVENTS.index(what), name, line) for what, name, at, line in _events(path, content)]
         around = []
         for _, what, name, line in sorted(events, key=lambda e: e[:2]):
             if parse.EVENTS[what] == "open":

@@ -1,5 +1,6 @@
 """What keeps work in proportion to the rows, on plans and tasks of small tables."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from skeinworks.operators import parse, resolve
@@ -51,3 +52,8 @@ def test_streams_over_tables_of_several_files(spark, tmp_path):
     for name in ("mask_stream", "first_seen_stream"):
         got, want = (sorted(map(tuple, plans.QUERIES[name](spark, sf).collect())) for sf in (str(tmp_path), SMALL))
         assert got == want and got
+
+
+@pytest.mark.parametrize("make", [plans.modules, plans.loose_modules, plans.tricky_modules, plans.method_modules, plans.QUERIES["agent_lessons"]])
+def test_what_is_made_of_parts_is_spread(spark, make):
+    assert make(spark, SMALL).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
