@@ -469,7 +469,7 @@ CASE family WHEN 0 THEN 'File location: ' || a WHEN 1 THEN 'Meteor method ''' ||
 FROM m WHERE a <> '' AND (family <> 3 OR length(a) >= 21)""")
 def agent_lessons(spark, sf):
     """The six families over sessions told from the columns of `part`."""
-    part = table(spark, sf, "part").withColumn("p_size", F.col("p_size").cast("string"))
+    part = spread(table(spark, sf, "part"), "p_partkey").withColumn("p_size", F.col("p_size").cast("string"))
     swap = lambda c, a, b: F.replace(c, F.lit(a), F.lit(b))
     said = F.concat(
         F.lit("It was found in lib/"), swap("p_name", " ", "_"), F.lit(".ts today. Meteor.call('"), "p_brand", F.lit("', 1). @"), swap("p_name", " ", "/"), F.lit(" resolves to packages/"), "p_size",
@@ -754,11 +754,12 @@ def graph_stream(spark, sf):
     sources = modules(spark, sf).withColumn("seq", F.lit(1).cast("long"))
     part = (F.col("path").substr(6, 3).contains("/").cast("int") + F.col("content").contains("7").cast("int")) % 2
     gone = sources.where("path LIKE 'lib/f7/%'").select("path", F.lit(None).cast("string").alias("content"), F.lit(2).cast("long").alias("seq"))
+    # What comes between two runs of the stream is a batch, of any number of files.
     for k, rows in enumerate((sources.where(part == 0), sources.where(part == 1), gone)):
-        rows.coalesce(1).write.mode("append").parquet(f"{base}/files/{k}")
-    files = spark.readStream.schema(sources.select("path", "content", "seq").schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{base}/files")
-    query = graph.grow(files, f"{base}/state", f"{base}/checkpoint", compact_after=2, buckets=4)
-    query.awaitTermination()
+        rows.write.mode("append").parquet(f"{base}/files/{k}")
+        files = spark.readStream.schema(sources.select("path", "content", "seq").schema).option("recursiveFileLookup", True).parquet(f"{base}/files")
+        query = graph.grow(files, f"{base}/state", f"{base}/checkpoint", compact_after=2, buckets=4)
+        query.awaitTermination()
     return graph.GraphState(spark, f"{base}/state", 4).edges()
 
 

@@ -45,12 +45,15 @@ def reach_workers(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *parts])
 
 
+def tasks_of(spark: SparkSession) -> int:
+    """Several tasks a core, or as many as shuffles have."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
 def spread(rows: DataFrame, *keys: str) -> DataFrame:
     """rows dealt to several tasks a core by keys, whatever files they came from. For work that
     costs far more than reading: a small file is one task, however much is made of its rows."""
-    spark = rows.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    return rows.repartition(tasks, *keys)
+    return rows.repartition(tasks_of(rows.sparkSession), *keys)
 
 
 def shared_folder(spark: SparkSession) -> str:
