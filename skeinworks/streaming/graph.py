@@ -20,7 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from skeinworks.operators import parse, resolve
-from skeinworks.session import delete, discard, exists, listed, settled, stored
+from skeinworks.session import delete, discard, exists, listed, settled, stored, tasks_of
 
 #: Folders of a state table by a hash of its key, and versions after which it is compacted.
 BUCKETS, COMPACT_AFTER = 64, 20
@@ -86,7 +86,10 @@ class GraphState:
     def _write(self, table: str, rows: DataFrame, path: str) -> None:
         columns = StructType.fromDDL(TABLES[table]).names
         out = rows.select(*columns, "version").withColumn("bucket", self.bucket(columns[0]))
-        out.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+        # Where there are few buckets, several tasks write one.
+        parts = -(-tasks_of(self.spark) // self.buckets)
+        dealt = out.repartition(self.buckets * parts, "bucket", F.pmod(F.hash(columns[0]), F.lit(parts))) if parts > 1 else out.repartition("bucket")
+        dealt.write.mode("overwrite").partitionBy("bucket").parquet(path)
 
     # --- the graph ----------------------------------------------------------------------
 
