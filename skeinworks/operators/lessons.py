@@ -6,7 +6,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from skeinworks.session import stored
+from skeinworks.session import spread, stored
 
 #: Lessons that a playbook keeps, and the cosine above which a lesson is known already.
 KEPT, SIMILAR = 120, 0.82
@@ -107,6 +107,21 @@ def _small(df: DataFrame, of: DataFrame) -> DataFrame:
     return F.broadcast(df) if of.count() <= BROADCAST_ROWS else df
 
 
+def cosine_pairs_of_texts(texts: DataFrame, right: DataFrame, key: str, text: str, right_key: str, least: float = 0.0) -> DataFrame:
+    """What `cosine_pairs` gives for the terms of texts and few term vectors of a right side.
+    Only the texts are shuffled, by their key: counting terms, norms and sums of pairs all
+    group by that key first, so nothing made of the texts moves or is stored."""
+    right = stored(right, "terms")
+    if right.count() > BROADCAST_ROWS:
+        return cosine_pairs(terms(texts, key, text), right, key, right_key, least)
+    norm = F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("__norm")
+    other = right.join(right.groupBy(right_key).agg(norm), right_key).select(right_key, "term", F.col("tf").alias("__tf"), "__norm")
+    left = terms(spread(texts.select(key, text), key), key, text)
+    left = left.withColumn("norm", F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(Window.partitionBy(key))))
+    cosine = F.sum(F.col("tf") * F.col("__tf")) / (F.first("norm") * F.first("__norm"))
+    return left.join(F.broadcast(other), "term").groupBy(key, right_key).agg(cosine.alias("cosine")).where(F.col("cosine") > least)
+
+
 def cosine_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, least: float = 0.0) -> DataFrame:
     """left_key, right_key, cosine of term vectors (key, term, tf) above `least`: one join on
     terms, summed for the candidates. A left row without a term of the right side only counts
@@ -128,7 +143,7 @@ def cosine_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: st
 def curate(new: DataFrame, known: DataFrame, key: str, text: str, known_key: str, known_text: str, similar: float = SIMILAR) -> DataFrame:
     """New rows without a known text more similar than the limit; new ones are not compared
     with each other."""
-    close = cosine_pairs(terms(new, key, text), terms(known, known_key, known_text), key, known_key, similar).select(key).distinct()
+    close = cosine_pairs_of_texts(new, terms(known, known_key, known_text), key, text, known_key, similar).select(key).distinct()
     return new.join(close, key, "left_anti")
 
 

@@ -404,8 +404,8 @@ p AS (SELECT doc_id, item_id, dot / (na.n * nb.n) AS cosine FROM d JOIN na USING
 
 @register(f"{_COSINE} SELECT doc_id, item_id, round(cosine, 6) AS cosine FROM p WHERE cosine > 0.5")
 def cosine_pairs(spark, sf):
-    a, b = lessons.terms(table(spark, sf, "documents"), "doc_id", "text"), lessons.terms(table(spark, sf, "benchmark"), "item_id", "text")
-    return lessons.cosine_pairs(a, b, "doc_id", "item_id", 0.5).select("doc_id", "item_id", F.round("cosine", 6).alias("cosine"))
+    b = lessons.terms(table(spark, sf, "benchmark"), "item_id", "text")
+    return lessons.cosine_pairs_of_texts(table(spark, sf, "documents"), b, "doc_id", "text", "item_id", 0.5).select("doc_id", "item_id", F.round("cosine", 6).alias("cosine"))
 
 
 @register(f"{_COSINE} SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM p WHERE cosine > 0.6)")

@@ -57,3 +57,11 @@ def test_streams_over_tables_of_several_files(spark, tmp_path):
 @pytest.mark.parametrize("make", [plans.modules, plans.loose_modules, plans.tricky_modules, plans.method_modules, plans.QUERIES["agent_lessons"]])
 def test_what_is_made_of_parts_is_spread(spark, make):
     assert make(spark, SMALL).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_cosines_of_texts_move_texts_alone(spark):
+    for name in ("cosine_pairs", "curate_anti"):
+        moved = [line for line in plan(plans.QUERIES[name](spark, SMALL)).splitlines() if "Exchange hashpartitioning" in line and "term" in line]
+        assert not moved or all("item_id" not in line and "doc_id" not in line for line in moved)
+    got = plans.QUERIES["cosine_pairs"](spark, SMALL)
+    assert plan(got).count("REPARTITION_BY_NUM") == 1
