@@ -574,10 +574,11 @@ METHODS, PUBLICATION = "Meteor.methods", "Meteor.publish"
 
 
 def rpc_methods(parsed: DataFrame, path: str = "path") -> DataFrame:
-    """name, file of methods that registered objects name, and `publish:` names."""
-    keys = parsed.where((F.col("section") == "method") & (F.col("kind") == METHODS)).select("name", F.col(path).alias("file"))
-    named = (F.col("section") == "Registrations") & F.startswith(F.col("text"), F.lit(f"{PUBLICATION}('"))
-    return keys.unionByName(parsed.where(named).select(F.concat(F.lit("publish:"), "name").alias("name"), F.col(path).alias("file")))
+    """name, file of methods that registered objects name, and `publish:` names, in one pass
+    over parsed, which may be a scan."""
+    method = (F.col("section") == "method") & (F.col("kind") == METHODS)
+    published = (F.col("section") == "Registrations") & F.startswith(F.col("text"), F.lit(f"{PUBLICATION}('"))
+    return parsed.where(method | published).select(F.when(method, F.col("name")).otherwise(F.concat(F.lit("publish:"), "name")).alias("name"), F.col(path).alias("file"))
 
 
 #: Strings, brackets, and keys before a colon or a bracket, in text that is no clean source.
@@ -588,26 +589,33 @@ def rpc_methods_by_pattern(sources: DataFrame, path: str = "path", content: str
     """name, file by pattern alone, for text that is no clean source: keys of objects given to
     METHODS, and `publish:` names. The tokens after a call are folded with the number of
     brackets that are open: a key is the first token of the object or after a comma with one
-    open, whatever stands deeper."""
+    open, whatever stands deeper. What a token is gets worked out once, before the fold, and a
+    text is read once for both kinds of names."""
     call = METHODS.replace(".", r"\.")
-    after = F.split(F.col(content), rf"{call}\s*\(\s*(?=\{{)")
-    blocks = sources.select(F.col(path).alias("file"), F.explode(F.slice(after, 2, 1 << 30)).alias("b"))
-    tokens = F.regexp_extract_all("b", F.lit(f"({_TOKENS})"), F.lit(1))
+    blocks = F.slice(F.split(F.col(content), rf"{call}\s*\(\s*(?=\{{)"), 2, 1 << 30)
     start = F.struct(F.lit(0).alias("open"), F.lit(False).alias("next"), F.lit(False).alias("done"), F.array().cast("array<string>").alias("keys"))
 
+    def token(t):
+        return F.struct(
+            F.when(t.isin("{", "(", "["), 1).when(t.isin("}", ")", "]"), -1).otherwise(0).alias("opens"), t.isin("{", ",").alias("next"),
+            F.regexp_replace(F.regexp_replace(t, r"^async\s+", ""), r"^['\"`]|['\"`]$", "").alias("key"),
+        )
+
     def step(s, t):
-        opened = s["open"] + F.when(t.isin("{", "(", "["), 1).when(t.isin("}", ")", "]"), -1).otherwise(0)
-        key = F.regexp_replace(F.regexp_replace(t, r"^async\s+", ""), r"^['\"`]|['\"`]$", "")
+        opened, key = s["open"] + t["opens"], t["key"]
         takes = s["next"] & (s["open"] == 1) & key.rlike(r"^[\w./:-]+$") & (key != "async")
         now = F.struct(
-            opened.alias("open"), ((opened == 1) & (t.isin("{", ",") | s["next"] & (key == "async"))).alias("next"), (opened == 0).alias("done"),
+            opened.alias("open"), ((opened == 1) & (t["next"] | s["next"] & (key == "async"))).alias("next"), (opened == 0).alias("done"),
             F.when(takes, F.array_append(s["keys"], key)).otherwise(s["keys"]).alias("keys"),
         )
         return F.when(s["done"], s).otherwise(now)
 
-    keys = blocks.select(F.explode(F.aggregate(tokens, start, step, lambda s: s["keys"])).alias("name"), "file")
+    def keys(b):
+        return F.aggregate(F.transform(F.regexp_extract_all(b, F.lit(f"({_TOKENS})"), F.lit(1)), token), start, step, lambda s: s["keys"])
+
     published = F.regexp_extract_all(F.col(content), F.lit(PUBLICATION.replace(".", r"\.") + r"\s*\(\s*['\"]([^'\"]+)['\"]"), F.lit(1))
-    return keys.unionByName(sources.select(F.explode(published).alias("name"), F.col(path).alias("file")).withColumn("name", F.concat(F.lit("publish:"), "name")))
+    names = F.concat(F.flatten(F.transform(blocks, keys)), F.transform(published, lambda n: F.concat(F.lit("publish:"), n)))
+    return sources.select(F.explode(names).alias("name"), F.col(path).alias("file"))
 
 
 #: The lines that declare a NAME.

@@ -38,6 +38,11 @@ def test_each_source_is_scanned_once(spark):
     assert scans(plans.QUERIES["symbol_sources"](spark, SMALL)) == 0
 
 
+def test_methods_are_found_in_one_pass(spark):
+    found = plan(plans.QUERIES["method_names"](spark, SMALL))
+    assert found.count("MapInPandas") == 1 and found.count("Generate explode") == 1
+
+
 def test_callers_of_closed_files(spark):
     sources = spark.createDataFrame([("a.js", "function f() { g(1); }\n"), ("b.js", "h(1);\nconst s = `open")], "path string, content string")
     rows = parse.scanned(sources)
