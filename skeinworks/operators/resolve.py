@@ -58,12 +58,15 @@ def call_edges(calls: DataFrame, import_names: DataFrame, symbols: DataFrame, pa
         sites = sites.join(parsed.select(F.col("path").alias("file")), "file", "left_semi")
     named = import_names.select("file", F.col("local_name").alias("head"), "orig_name", "target")
     joined = sites.join(named.hint("merge"), ["file", "head"], "left")  # as in first_candidate
-    last = F.when(F.instr("callee_raw", ".") > 0, F.substring_index("callee_raw", ".", -1)).otherwise(F.coalesce("orig_name", "head"))
-    across = joined.where("target IS NOT NULL").select("from_id", F.concat_ws("::", "target", last).alias("to_id"), F.col("target").alias("path"))
     if parsed is not None:
-        across = across.join(parsed.select("path"), "path", "left_semi")
-    here = joined.where("target IS NULL").select("from_id", F.concat_ws("::", "file", "head").alias("to_id")).join(symbols.select(F.col("node_id").alias("to_id")).distinct().hint("merge"), "to_id", "left_semi").select("from_id", "to_id")
-    return with_ends(across.select("from_id", "to_id").unionByName(here).distinct(), symbols)
+        within = parsed.select(F.col("path").alias("target"), F.lit(True).alias("__in")).distinct()
+        joined = joined.join(within, "target", "left").where("target IS NULL OR __in")
+    last = F.when(F.instr("callee_raw", ".") > 0, F.substring_index("callee_raw", ".", -1)).otherwise(F.coalesce("orig_name", "head"))
+    # Both kinds come out of one pass over the sites; those of the same file have to exist.
+    across = F.col("target").isNotNull()
+    to_id = F.when(across, F.concat_ws("::", "target", last)).otherwise(F.concat_ws("::", "file", "head"))
+    edges = joined.groupBy("from_id", to_id.alias("to_id")).agg(F.max(across).alias("__across"))
+    return with_ends(edges, symbols).where("__across OR to_exists").drop("__across")
 
 
 def with_ends(edges: DataFrame, nodes: DataFrame, node: str = "node_id") -> DataFrame:

@@ -43,6 +43,22 @@ def test_methods_are_found_in_one_pass(spark):
     assert found.count("MapInPandas") == 1 and found.count("Generate explode") == 1
 
 
+def test_call_edges_sweep_calls_once_and_meet_in_no_driver(spark):
+    found = plan(plans.QUERIES["code_call_edges"](spark, SMALL))
+    assert "Broadcast" not in found
+    assert found.count("Window [last(") == 1
+
+
+def test_edges_across_files_and_inside_of_one(spark):
+    calls = spark.createDataFrame([("a", "f", "next"), ("a", "f", "g"), ("a", "f", "gone"), ("a", "f", "ns.go"), ("b", "h", "a.x")], "file string, caller string, callee_raw string")
+    names = spark.createDataFrame([("a", "next", "run", "b"), ("a", "ns", "default", "c"), ("b", "a", "default", "a")], "file string, local_name string, orig_name string, target string")
+    nodes = spark.createDataFrame([("a::f", "a", "f"), ("a::g", "a", "g"), ("b::run", "b", "run")], "node_id string, file string, name string")
+    edges = lambda **kw: sorted((r.from_id, r.to_id, r.from_exists, r.to_exists) for r in resolve.call_edges(calls, names, nodes, **kw).collect())
+    here = [("a::f", "a::g", True, True), ("a::f", "b::run", True, True)]
+    assert edges() == sorted([*here, ("a::f", "c::go", True, False), ("b::h", "a::x", False, False)])
+    assert edges(parsed=spark.createDataFrame([("a",), ("b",)], "path string")) == sorted([*here, ("b::h", "a::x", False, False)])
+
+
 def test_callers_of_closed_files(spark):
     sources = spark.createDataFrame([("a.js", "function f() { g(1); }\n"), ("b.js", "h(1);\nconst s = `open")], "path string, content string")
     rows = parse.scanned(sources)
